@@ -77,6 +77,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def span_hash(buf: np.ndarray, gap: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each byte span; ``gap`` marks the bytes between spans."""
+    length = end - start
+    inside = np.arange(len(buf), dtype=np.int32 if len(buf) < 1 << 31 else np.int64)
+    inside[start[0] :] -= np.repeat(start.astype(inside.dtype), np.diff(np.append(start, len(buf))))
+    value = _BYTE[buf]
+    value[gap] = 0
+    inside[gap] = 0
+    value *= powers(int(length.max()) + 1)[inside]
+    return mix(np.add.reduceat(value, start) + length.astype(np.uint64) * _MIX)
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of texts, found and hashed with array operations.
 
@@ -101,14 +113,7 @@ class Words:
         if len(self.start) == 0:
             self.hash = np.zeros(0, dtype=np.uint64)
             return
-        length = self.end - self.start
-        inside = np.arange(len(buf))
-        inside[self.start[0]:] -= np.repeat(self.start, np.diff(np.append(self.start, len(buf))))
-        value = _BYTE[buf]
-        value[space] = 0
-        inside[space] = 0
-        value *= powers(int(length.max()) + 1)[inside]
-        self.hash = mix(np.add.reduceat(value, self.start) + length.astype(np.uint64) * _MIX)
+        self.hash = span_hash(buf, space, self.start, self.end)
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; meaningless where they would leave the text (see ``whole``)."""

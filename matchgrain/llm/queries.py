@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op2_best_fit_packing
 from .quality_bands import op1_quality_bands
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_bands,)}
+    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
