@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op2_best_fit_packing
 from .quality_bands import op1_quality_bands
+from .token_counts import op10_token_counts
 from .topk import OP7_SQL, op7_exact_top_k
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op7_exact_top_k)}
+    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op7_exact_top_k, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
