@@ -119,7 +119,8 @@ PASSAGES = "name long, sid_a long, sid_b long, doc_id long, rid long, start int,
 def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     """The passages of ``wanted`` (``rid``, ``runs`` of start, n, name, hot) with their symbols.
 
-    A hot run gives one row a window, with a fingerprint in place of the symbols.
+    Long runs, those of periodic text, are cut: their pieces have one name and so meet again. A hot run gives one row a
+    window, with a fingerprint in place of the symbols.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,8 +132,8 @@ def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                 rid, doc_id, raw = rid.as_py(), doc_id.as_py(), text.as_py().encode()
                 symbols = raw.split() if unit.words else raw
                 for r in listed.as_py():
-                    a, n = r["start"], r["n"]
-                    for b, m in [(a + j, 1) for j in range(n)] if r["hot"] else [(a, n)]:
+                    a, n, step = r["start"], r["n"], 1 if r["hot"] else unit.grams
+                    for b, m in [(a + j, min(step, n - j)) for j in range(0, n, step)]:
                         part = symbols[b : b + m + unit.window - 1]
                         content = b" ".join(part) if unit.words else part
                         out.append((r["name"], *fingerprint(content), doc_id, rid, b, m, None if r["hot"] else content))

@@ -77,7 +77,8 @@ class FMIndex:
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix ranges of symbol + pattern from those of the patterns."""
         base = self.first[symbol] - self.origin[symbol]
-        return base + self.tree.rank(symbol, low), base + self.tree.rank(symbol, high)
+        both = self.tree.rank(np.concatenate((symbol, symbol)), np.concatenate((low, high)))
+        return base + both[: len(low)], base + both[len(low) :]
 
 
 def match(index: FMIndex, text: np.ndarray, begin: np.ndarray, size: np.ndarray, window: int) -> list[list[tuple[int, int]]]:
