@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op2_best_fit_packing
 from .quality_bands import op1_quality_bands
 from .substring_dedup import op4_substring_dedup
+from .suffix_dedup import op9_suffix_dedup
 from .token_counts import op10_token_counts
 from .topk import OP7_SQL, op7_exact_top_k
 
@@ -16,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op4_substring_dedup, op7_exact_top_k, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op4_substring_dedup, op7_exact_top_k, op9_suffix_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
