@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_text import op3_main_text
+from .mixing import op6_mixing_rates
 from .packing import op2_best_fit_packing
 from .quality_bands import op1_quality_bands
 from .substring_dedup import op4_substring_dedup
@@ -17,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op4_substring_dedup, op7_exact_top_k, op9_suffix_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op3_main_text, op4_substring_dedup, op6_mixing_rates, op7_exact_top_k, op9_suffix_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
