@@ -24,8 +24,8 @@ from .common import _BYTE, Words, durable, mix, partitions, shared_folder, text_
 
 #: Runs of one name beyond which its windows are dealt out one by one.
 HOT_RUNS = 20_000
-#: Bytes of distinct passages for each shard, about.
-SHARD_BYTES = 3 << 20
+#: Bytes of passages for each shard, about.
+SHARD_BYTES = 6 << 20
 
 
 class Unit(NamedTuple):
@@ -174,29 +174,38 @@ def repeated_windows(rows: DataFrame, unit: Unit, judge: Judge, first_stays: boo
     parts, parts_path = stored(passages(rows, wanted, unit))
     remove(spark, runs_path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the phase that is over
-    distinct = parts.groupBy("name", "sid_a", "sid_b").agg(
-        F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "start")).alias("at"), F.first("content").alias("content"), F.first("n").alias("n")
-    )
     total = parts.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(partitions(spark), -(-total // shard_bytes))
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        spans = judge(rows["content"].tolist(), rows["copies"].to_numpy(), pd.DataFrame(rows["at"].tolist()))
-        keep = [i for i, s in enumerate(spans) if s or (first_stays and rows["copies"].iloc[i] > 1)]
-        out = rows.iloc[keep][["name", "sid_a", "sid_b", "at"]].copy()
-        out["at_rid"], out["at_start"] = [x["rid"] for x in out["at"]], [x["start"] for x in out["at"]]
-        out["spans"] = [[{"a": a, "b": b} for a, b in spans[i]] for i in keep]
-        return out.drop(columns="at")
-
     span = "array<struct<a:int,b:int>>"
-    decided = (
-        distinct.where(F.col("content").isNotNull())
-        .groupBy(F.pmod(F.xxhash64("name"), F.lit(shards)).alias("shard"))
-        .applyInPandas(decide, f"name long, sid_a long, sid_b long, at_rid long, at_start int, spans {span}")
-    )
-    # Windows of hot names: equal fingerprints are equal windows.
+    result = f"name long, sid_a long, sid_b long, at_rid long, at_start int, spans {span}"
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches))  # a shard, whose size the number of shards bounds
+        if not rows.num_rows:
+            return
+        col = {c: rows.column(c).to_numpy() for c in ("name", "sid_a", "sid_b", "rid", "start")}
+        # Nulls before all ids.
+        doc = np.array([-(1 << 63) if d is None else d for d in rows.column("doc_id").to_pylist()], dtype=np.int64)
+        order = np.lexsort((col["start"], col["rid"], doc, col["sid_b"], col["sid_a"]))
+        same = np.ones(len(order), dtype=bool)
+        for c in ("sid_a", "sid_b"):
+            same[1:] &= col[c][order[1:]] == col[c][order[:-1]]
+        same[0] = False
+        first = np.flatnonzero(~same)
+        copies, take = np.diff(np.append(first, len(order))), order[first]
+        at = pd.DataFrame({"doc_id": doc[take], "rid": col["rid"][take], "start": col["start"][take]})
+        spans = judge(rows.column("content").take(pa.array(take)).to_pylist(), copies, at)
+        keep = [i for i, s in enumerate(spans) if s or (first_stays and copies[i] > 1)]
+        kept = take[keep]
+        listed = pa.array([[{"a": a, "b": b} for a, b in spans[i]] for i in keep], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
+        yield pa.RecordBatch.from_arrays([pa.array(col[c][kept]) for c in ("name", "sid_a", "sid_b", "rid", "start")] + [listed], names=["name", "sid_a", "sid_b", "at_rid", "at_start", "spans"])
+
+    # Passages of one name meet in one partition, which is a shard: their symbols are shuffled once.
+    decided = parts.where(F.col("content").isNotNull()).repartition(shards, "name").mapInArrow(decide, result)
+    # Windows of hot names: equal fingerprints are equal windows, counted before the shuffle.
+    hot = parts.where(F.col("content").isNull()).groupBy("name", "sid_a", "sid_b").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "start")).alias("at"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
-    hot = distinct.where(F.col("content").isNull() & (F.col("copies") > 1)).select(
+    hot = hot.where(F.col("copies") > 1).select(
         "name", "sid_a", "sid_b", F.col("at.rid").alias("at_rid"), F.col("at.start").alias("at_start"), (F.array().cast(span) if first_stays else whole.cast(span)).alias("spans")
     )
     decided = decided.unionByName(hot)

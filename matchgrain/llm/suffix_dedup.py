@@ -230,9 +230,7 @@ def judge(window: int, budget: int):
         whole = (offset + window <= size[passage])[order]
         order, group = order[whole], group[whole]
         # When each window first occurs: by document, row and start.
-        ids = [-(1 << 63) if pd.isna(d) else int(d) for d in at["doc_id"].astype(object)]
-        rank = {k: i for i, k in enumerate(sorted(set(zip(ids, at["rid"].tolist(), strict=True))))}
-        row = np.array([rank[k] for k in zip(ids, at["rid"].tolist(), strict=True)], dtype=np.int64)
+        row = at.groupby(["doc_id", "rid"]).ngroup().to_numpy(np.int64)
         when = (row[passage] << 31) + at["start"].to_numpy(np.int64)[passage] + offset
         new = np.flatnonzero(np.diff(group, prepend=-1))
         earliest = np.repeat(np.minimum.reduceat(when[order], new), np.diff(np.append(new, len(order)))) if len(order) else when[order]
