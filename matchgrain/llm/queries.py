@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .html_text import op3_main_text
+from .jaccard_join import op8_jaccard_join
 from .lattice_lm import op5_lattice_lm
 from .mixing import op6_mixing_rates
 from .packing import op2_best_fit_packing
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op3_main_text, op4_substring_dedup, op5_lattice_lm, op6_mixing_rates, op7_exact_top_k, op9_suffix_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op3_main_text, op4_substring_dedup, op5_lattice_lm, op6_mixing_rates, op7_exact_top_k, op8_jaccard_join, op9_suffix_dedup, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
