@@ -108,12 +108,12 @@ def runs(rows: DataFrame, unit: Unit) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(run, "name long, rid long, start int, n int, again boolean")
 
 
-def fingerprint(b: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(b, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def fingerprint(b: bytes) -> int:
+    """64 bits of the symbols; with the 64 bits of the name they identify a passage."""
+    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
 
 
-PASSAGES = "name long, sid_a long, sid_b long, doc_id long, rid long, start int, n int, content binary"
+PASSAGES = "name long, sid long, doc_id long, rid long, start int, n int, again boolean, content binary"
 
 
 def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
@@ -125,7 +125,7 @@ def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PASSAGES.split(", ")]
-        types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
+        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
             for rid, doc_id, listed, text in zip(*(batch.column(c) for c in ("rid", "doc_id", "runs", "text")), strict=True):
@@ -136,7 +136,7 @@ def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                     for b, m in [(a + j, min(step, n - j)) for j in range(0, n, step)]:
                         part = symbols[b : b + m + unit.window - 1]
                         content = b" ".join(part) if unit.words else part
-                        out.append((r["name"], *fingerprint(content), doc_id, rid, b, m, None if r["hot"] else content))
+                        out.append((r["name"], fingerprint(content), doc_id, rid, b, m, r["again"], None if r["hot"] else content))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
                     out = []
@@ -169,52 +169,59 @@ def repeated_windows(rows: DataFrame, unit: Unit, judge: Judge, first_stays: boo
     spark = rows.sparkSession
     found, runs_path = stored(runs(rows, unit))
     names = found.groupBy("name").agg(F.count("*").alias("c"), F.max("again").alias("again"))
-    shared = names.where((F.col("c") > 1) | F.col("again")).select("name", (F.col("c") > hot_runs).alias("hot"))
-    wanted = found.join(shared, "name").groupBy("rid").agg(F.collect_list(F.struct("start", "n", "name", "hot")).alias("runs"))
+    shared = names.where((F.col("c") > 1) | F.col("again")).select("name", (F.col("c") > hot_runs).alias("hot"), F.col("again").alias("any_again"))
+    wanted = found.drop("again").join(shared.withColumnRenamed("any_again", "again"), "name").groupBy("rid").agg(F.collect_list(F.struct("start", "n", "name", "hot", "again")).alias("runs"))
     parts, parts_path = stored(passages(rows, wanted, unit))
     remove(spark, runs_path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the phase that is over
     total = parts.agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(partitions(spark), -(-total // shard_bytes))
     span = "array<struct<a:int,b:int>>"
-    result = f"name long, sid_a long, sid_b long, at_rid long, at_start int, spans {span}"
+    result = f"name long, sid long, at_rid long, at_start int, spans {span}"
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches))  # a shard, whose size the number of shards bounds
         if not rows.num_rows:
             return
-        col = {c: rows.column(c).to_numpy() for c in ("name", "sid_a", "sid_b", "rid", "start")}
+        col = {c: rows.column(c).to_numpy() for c in ("name", "sid", "rid", "start", "again")}
         # Nulls before all ids.
         doc = np.array([-(1 << 63) if d is None else d for d in rows.column("doc_id").to_pylist()], dtype=np.int64)
-        order = np.lexsort((col["start"], col["rid"], doc, col["sid_b"], col["sid_a"]))
-        same = np.ones(len(order), dtype=bool)
-        for c in ("sid_a", "sid_b"):
-            same[1:] &= col[c][order[1:]] == col[c][order[:-1]]
-        same[0] = False
-        first = np.flatnonzero(~same)
+        order = np.lexsort((col["start"], col["rid"], doc, col["sid"], col["name"]))
+        name, sid = col["name"][order], col["sid"][order]
+        new_name = np.append(True, name[1:] != name[:-1])
+        first = np.flatnonzero(new_name | np.append(True, sid[1:] != sid[:-1]))
         copies, take = np.diff(np.append(first, len(order))), order[first]
-        at = pd.DataFrame({"doc_id": doc[take], "rid": col["rid"][take], "start": col["start"][take]})
-        spans = judge(rows.column("content").take(pa.array(take)).to_pylist(), copies, at)
+        # A name whose passages are all the same needs no index: its windows occur as often as the passage does.
+        of = np.cumsum(new_name[first]) - 1
+        kinds = np.bincount(of)[of]
+        n = rows.column("n").to_numpy()[take]
+        spans: list[list[tuple[int, int]]] = [[] if first_stays or c == 1 else [(0, int(m))] for c, m in zip(copies.tolist(), n.tolist(), strict=True)]
+        look = np.flatnonzero((kinds > 1) | col["again"][take])
+        if len(look):
+            at = pd.DataFrame({"doc_id": doc[take], "rid": col["rid"][take], "start": col["start"][take]}).iloc[look].reset_index(drop=True)
+            judged = judge(rows.column("content").take(pa.array(take[look])).to_pylist(), copies[look], at)
+            for i, s in zip(look.tolist(), judged, strict=True):
+                spans[i] = s
         keep = [i for i, s in enumerate(spans) if s or (first_stays and copies[i] > 1)]
         kept = take[keep]
         listed = pa.array([[{"a": a, "b": b} for a, b in spans[i]] for i in keep], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
-        yield pa.RecordBatch.from_arrays([pa.array(col[c][kept]) for c in ("name", "sid_a", "sid_b", "rid", "start")] + [listed], names=["name", "sid_a", "sid_b", "at_rid", "at_start", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(col[c][kept]) for c in ("name", "sid", "rid", "start")] + [listed], names=["name", "sid", "at_rid", "at_start", "spans"])
 
     # Passages of one name meet in one partition, which is a shard: their symbols are shuffled once.
     decided = parts.where(F.col("content").isNotNull()).repartition(shards, "name").mapInArrow(decide, result)
     # Windows of hot names: equal fingerprints are equal windows, counted before the shuffle.
-    hot = parts.where(F.col("content").isNull()).groupBy("name", "sid_a", "sid_b").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "start")).alias("at"))
+    hot = parts.where(F.col("content").isNull()).groupBy("name", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "start")).alias("at"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
     hot = hot.where(F.col("copies") > 1).select(
-        "name", "sid_a", "sid_b", F.col("at.rid").alias("at_rid"), F.col("at.start").alias("at_start"), (F.array().cast(span) if first_stays else whole.cast(span)).alias("spans")
+        "name", "sid", F.col("at.rid").alias("at_rid"), F.col("at.start").alias("at_start"), (F.array().cast(span) if first_stays else whole.cast(span)).alias("spans")
     )
     decided = decided.unionByName(hot)
     is_first = (F.col("rid") == F.col("at_rid")) & (F.col("start") == F.col("at_start"))
     everything = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     spans = F.when(~is_first, everything).otherwise(F.col("spans")) if first_stays else F.col("spans")
     marked = (
-        parts.drop("content", "doc_id")
-        .join(decided, ["name", "sid_a", "sid_b"])
+        parts.drop("content", "doc_id", "again")
+        .join(decided, ["name", "sid"])
         .select("rid", F.transform(spans, lambda s: F.struct((s.a + F.col("start")).alias("a"), (s.b + F.col("start")).alias("b"))).alias("spans"))
         .where(F.size("spans") > 0)
     )
