@@ -11,9 +11,24 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    """Register a function of (spark, sf_dir) under its own name, with its oracle."""
+
+    def put(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
 def queries() -> dict[str, Query]:
+    from . import matches, players, selection, statistics, tables  # noqa: F401  they register themselves
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
