@@ -69,7 +69,7 @@ def profile_table(spark, sf_dir):
 
 @query(
     neutral.SQL + """ SELECT player_id, count(*) AS touches, round(count(*) FILTER (WHERE type = 'pass' AND success) / nullif(count(*) FILTER (WHERE type = 'pass' AND success IS NOT NULL), 0), 6) AS completion,
-  round(avg(start_x), 6) AS mean_x, round(avg(start_y), 6) AS mean_y, round(avg(sqrt((end_x - start_x) * (end_x - start_x) + (end_y - start_y) * (end_y - start_y))) FILTER (WHERE type = 'pass'), 6) AS mean_length,
+  round(avg(start_x), 10) AS mean_x, round(avg(start_y), 10) AS mean_y, round(avg(sqrt((end_x - start_x) * (end_x - start_x) + (end_y - start_y) * (end_y - start_y))) FILTER (WHERE type = 'pass'), 6) AS mean_length,
   count(*) FILTER (WHERE type = 'shot') AS shots FROM actions WHERE player_id <> 0 GROUP BY player_id"""
 )
 def baselines(spark, sf_dir):
@@ -79,7 +79,7 @@ def baselines(spark, sf_dir):
     return a.groupBy("player_id").agg(
         F.count("*").alias("touches"),
         F.round(ratio(F.count_if(passes & F.col("success")), F.count_if(passes & F.col("success").isNotNull())), 6).alias("completion"),
-        F.round(F.avg("start_x"), 6).alias("mean_x"), F.round(F.avg("start_y"), 6).alias("mean_y"),
+        F.round(F.avg("start_x"), 10).alias("mean_x"), F.round(F.avg("start_y"), 10).alias("mean_y"),
         F.round(F.avg(F.when(passes, F.sqrt(dx * dx + dy * dy))), 6).alias("mean_length"), F.count_if(F.col("type") == "shot").alias("shots"),
     )
 

@@ -61,8 +61,8 @@ def attainable_ranges(spark, sf_dir):
 
 
 @query(SQUAD + """, w AS (SELECT unnest(range(5)) AS w), pl AS (SELECT xi, w, sum(s.passes * (8 + (s.player_id + w) % 5)) AS v FROM loss JOIN squad s ON list_contains(xi, s.player_id), w GROUP BY ALL),
-l AS (SELECT xi, w, greatest(0, 400 - v) AS m FROM pl), k AS (SELECT *, row_number() OVER (PARTITION BY xi ORDER BY m DESC, w) AS r FROM l), t AS (SELECT xi, sum(m) AS tail FROM k WHERE r <= 2 GROUP BY xi)
-SELECT array_to_string(xi, ',') AS xi, CAST(tail AS BIGINT) AS tail FROM t QUALIFY rank() OVER (ORDER BY tail) = 1""")
+l AS (SELECT xi, w, greatest(0, 400 - v) AS m FROM pl), k AS (SELECT *, row_number() OVER (PARTITION BY xi ORDER BY m DESC, w) AS r FROM l), tails AS (SELECT xi, sum(m) AS tail FROM k WHERE r <= 2 GROUP BY xi)
+SELECT array_to_string(xi, ',') AS xi, CAST(tail AS BIGINT) AS tail FROM tails QUALIFY rank() OVER (ORDER BY tail) = 1""")
 def tail_risk_selection(spark, sf_dir):
     """The sets whose two worst worlds sum to the least shortfall."""
     s = squad(spark, sf_dir)

@@ -92,8 +92,8 @@ def tumbling_windows(spark, sf_dir):
     return a.groupBy(F.window("ts", "5 minutes").start.alias("start"), "type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, o_custkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS off_mean FROM orders")
+@query("SELECT o_orderkey, o_custkey, round(o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey), 7) AS off_mean FROM orders")
 def centred_values(spark, sf_dir):
     o = _t(spark, sf_dir, "orders")
     mean = o.groupBy("o_custkey").agg(F.avg("o_totalprice").alias("m"))
-    return o.join(mean, "o_custkey").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") - F.col("m"), 2).alias("off_mean"))
+    return o.join(mean, "o_custkey").select("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") - F.col("m"), 7).alias("off_mean"))
