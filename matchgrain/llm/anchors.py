@@ -180,9 +180,10 @@ def repeated_windows(rows: DataFrame, unit: Unit, judge: Judge, first_stays: boo
     result = f"name long, sid long, at_rid long, at_start int, spans {span}"
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))  # a shard, whose size the number of shards bounds
-        if not rows.num_rows:
+        held = [b for b in batches if b.num_rows]  # a shard, whose size the number of shards bounds
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         col = {c: rows.column(c).to_numpy() for c in ("name", "sid", "rid", "start", "again")}
         # Nulls before all ids.
         doc = np.array([-(1 << 63) if d is None else d for d in rows.column("doc_id").to_pylist()], dtype=np.int64)

@@ -34,6 +34,13 @@ def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def free_name(taken: Iterable[str], name: str) -> str:
+    """``name``, or one like it that no column in ``taken`` has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def text_slices(batches: Iterable, columns: list[str], most: int = SLICE_BYTES) -> Iterator[tuple]:
     """Arrow batches to (lists of the columns ..., list of UTF-8 texts) of about ``most`` bytes; null texts become empty.
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import remove, stored
-from .common import Words, durable, mix, partitions, text_slices
+from .common import Words, durable, free_name, mix, partitions, text_slices
 from .components import components
 from .substring_dedup import with_rows
 
@@ -333,7 +333,8 @@ def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component: the smallest doc_id, then the earlier row (pipeline stage)."""
     found = jaccard_components(docs, threshold)
     keep = found.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("k")).select(F.col("k.rid").alias("rid"))
-    return with_rows(docs).join(keep, "rid").select(*docs.columns)
+    rid = free_name(docs.columns, "rid")
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(keep.withColumnRenamed("rid", rid), rid, "left_semi").select(*docs.columns)
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

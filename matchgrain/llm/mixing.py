@@ -147,7 +147,9 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, most:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """``docs`` (its own columns) with ``n_tokens``, ``p_<domain>`` and ``rate``."""
+    """``docs`` (its own columns, but for those named like a result) with ``n_tokens``, ``p_<domain>`` and ``rate``."""
+    made = {"n_tokens", "rate", "p", "_here", "_place", "_score", "_e", *(f"p_{d}" for d in DOMAINS)}
+    docs = docs.select(*[c for c in docs.columns if c.lower() not in made])
     model = fit(docs, labels)
     members = posteriors(docs, model)
     steps = fit_rates(durable(members.select("n_tokens", "p")), targets)

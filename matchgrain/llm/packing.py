@@ -29,7 +29,8 @@ GROUP_ROWS = 20_000
 #: Pricing rounds for each distinct length, and how fast a covered length loses weight.
 ROUNDS, EPSILON = 0.5, 0.5
 #: A configuration that leaves more tokens free is not rounded down to whole sequences; its pieces go to the last step.
-SLACK = 2
+#: Each of these roundings is tried on the histogram (-1 leaves all to the last step), and the shortest plan is taken.
+SLACKS = (2, 0, -1)
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -131,15 +132,18 @@ def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
     """Configurations (how many of each length) with whole multiplicities that use up exactly ``counts``."""
-    left, out = counts.copy(), []
-    for key, v in sorted(solve(lengths, counts, capacity).items(), key=lambda kv: (-kv[1], kv[0])):
-        c = np.array(key)
-        used = c > 0
-        k = min(int(v), int((left[used] // c[used]).min()))
-        if k > 0 and capacity - c @ lengths <= SLACK:
-            out.append((c, k))
-            left -= k * c
-    return out + best_fit(lengths, left, capacity)
+    program = [(np.array(key), v) for key, v in sorted(solve(lengths, counts, capacity).items(), key=lambda kv: (-kv[1], kv[0]))]
+    plans = []
+    for slack in SLACKS:
+        left, out = counts.copy(), []
+        for c, v in program:
+            used = c > 0
+            k = min(int(v), int((left[used] // c[used]).min()))
+            if k > 0 and capacity - c @ lengths <= slack:
+                out.append((c, k))
+                left -= k * c
+        plans.append(out + best_fit(lengths, left, capacity))
+    return min(plans, key=lambda plan: sum(k for _, k in plan))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Unit, covered, repeated_windows
+from .common import free_name
 
 WINDOW, GRAM = 35, 8
 
@@ -141,10 +142,11 @@ def with_rows(docs: DataFrame) -> DataFrame:
 
 
 def marked_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **limits: int) -> DataFrame:
-    """``docs`` with ``rid`` and ``spans`` of the windows (starts, in words) that occur anywhere else."""
-    rows = with_rows(docs)
-    slim = rows.select("rid", F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(repeated_windows(slim, Unit(True, window, gram), judge(window), False, **limits), "rid", "left")
+    """``docs`` and, as the last column, the spans of its windows (starts, in words) that occur anywhere else."""
+    rid, spans = free_name(docs.columns, "rid"), free_name(docs.columns, "spans")
+    slim = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).select("rid", "doc_id", "text")
+    found = repeated_windows(slim, Unit(True, window, gram), judge(window), False, **limits).select(F.col("rid").alias(rid), F.col("spans").alias(spans))
+    return docs.withColumn(rid, F.monotonically_increasing_id()).join(found, rid, "left").select(*docs.columns, spans)
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **limits: int) -> DataFrame:
@@ -160,7 +162,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **l
                 out.append((doc_id.as_py(), len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return marked_documents(docs, window, gram, **limits).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, RESULT)
+    return marked_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, gram, **limits).mapInArrow(run, RESULT)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -181,13 +183,13 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [cut(t.as_py(), s.as_py()) if s.is_valid and t.is_valid else t.as_py() for t, s in zip(batch.column("text"), batch.column("spans"), strict=True)]
+            texts = [cut(t.as_py(), s.as_py()) if s.is_valid and t.is_valid else t.as_py() for t, s in zip(batch.column("text"), batch.columns[-1], strict=True)]
             cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in cols:
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], cols["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return marked_documents(docs, window, gram).select(*names, "spans").mapInArrow(run, docs.schema)
+    return marked_documents(docs, window, gram).mapInArrow(run, docs.schema)
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 A token never crosses from one word into the next other than by the one space it takes along, so a text cut at single
 spaces gives the same ids piece by piece. The distinct pieces of a slice of texts are encoded once and gathered with array
-operations. Texts that begin or end with a space, or in which two spaces meet, are encoded whole.
+operations. Texts that begin or end with a space, or in which two spaces meet or white space stands on both sides of one,
+are encoded whole.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 
@@ -18,6 +20,9 @@ END_OF_TEXT = 50256
 SLICE_BYTES = 4 << 20
 #: Distinct words remembered by a worker (about 40 bytes each); when full the table starts anew, which changes no result.
 REMEMBERED = 2_000_000
+#: The last byte of a white-space character, a space, and the first byte of one; some other characters share these bytes.
+_AMID = re.compile(rb"[\s\x80-\x8a\x9f\xa0\xa8\xa9\xaf] [\s\xc2\xe1\xe2\xe3]")
+_EDGES = re.compile(rb"[\s\xc2\xe1\xe2\xe3]|.*[\s\x80-\x8a\x9f\xa0\xa8\xa9\xaf]\Z", re.S)
 
 
 def vocabulary(path: str | None = None):
@@ -52,12 +57,20 @@ class Encoder:
             self._forget()
             new[:] = True
         if new.any():
-            distinct = words(np.flatnonzero(new))
-            ids = np.array(self.whole((b" " + b" ".join(distinct)).decode()), np.uint32)
+            which = np.flatnonzero(new)
+            distinct = words(which)
+            # White space at a word's edge would run together with its neighbour's: such words go one by one.
+            alone = np.fromiter((_EDGES.match(w) is not None for w in distinct), bool, len(distinct))
+            plain = [w for w, a in zip(distinct, alone.tolist(), strict=True) if not a]
+            ids = np.array(self.whole((b" " + b" ".join(plain)).decode()) if plain else [], np.uint32)
             cut = np.append(np.flatnonzero(self.begins[ids]), len(ids))
-            if len(cut) != len(distinct) + 1:
+            if len(cut) != len(plain) + 1:
                 raise AssertionError("a token crossed a word boundary")
-            hashes = np.concatenate((self.known, kinds[new]))
+            each = [np.array(self.whole((b" " + w).decode()), np.uint32) for w, a in zip(distinct, alone.tolist(), strict=True) if a]
+            ids = np.concatenate((ids, *each))
+            cut = np.append(cut, cut[-1] + np.cumsum([len(x) for x in each], dtype=np.int64))
+            kinds_new = kinds[np.concatenate((which[~alone], which[alone]))]
+            hashes = np.concatenate((self.known, kinds_new))
             order = np.argsort(hashes, kind="stable")
             self.known = hashes[order]
             self.at = np.concatenate((self.at, cut[:-1] + len(self.ids)))[order]
@@ -68,7 +81,7 @@ class Encoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has."""
-        plain = [bool(t) and b"  " not in t and t[0] != 32 and t[-1] != 32 for t in texts]
+        plain = [bool(t) and b"  " not in t and t[0] != 32 and t[-1] != 32 and not _AMID.search(t) for t in texts]
         parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
         for i, (t, p) in enumerate(zip(texts, plain, strict=True)):
             if t:  # the first word of a plain text, which has no space before it, or else all of the text
