@@ -31,6 +31,9 @@ FEATURES = 512
 LEAST_GAIN = 12.0
 SMOOTHING = 0.5
 STEPS, TOLERANCE = 30, 1e-6
+#: Share of the token mass added to the diagonal of the domains' Gram matrix: domains that the posteriors hardly tell apart
+#: then move by small steps instead of being pulled apart by rounding errors.
+RIDGE = 1e-4
 #: The pipeline keeps documents of at least this rate.
 KEEP_RATE = 0.5
 
@@ -132,7 +135,7 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, most:
     total = sum(mass)
     if total == 0:
         return []
-    gram = [[(first[f"g{i}{j}"] or 0.0) + (1e-9 * total if i == j else 0.0) for j in k] for i in k]
+    gram = [[(first[f"g{i}{j}"] or 0.0) + (RIDGE * total if i == j else 0.0) for j in k] for i in k]
     scale = mass[0] / targets[DOMAINS[0]] if targets[DOMAINS[0]] else total
     wanted = [targets[d] * scale for d in DOMAINS]
     steps: list[list[float]] = []
