@@ -9,6 +9,9 @@ ordered by set size and skip, block by block, every pair whose sizes or position
   both distances to a common set are known, the triangle inequality of the Jaccard distance decides most others: the answers
   of a set follow from those of a highly similar one. Only what stays open is compared.
 
+Before texts are moved, a pair's sketches (how many shingles fall into each of some hash buckets) bound its intersection
+from above; pairs whose bound is too low are not similar, and their bound serves the second round as a distance bound.
+
 Defined results: texts of fewer words than a shingle are one shingle; a null text or one without words is empty, linked
 with nothing, and its own component; equal sets are linked; a component's id is its smallest doc_id (null ids count only
 where there is no other); repeated rows are documents of their own; an empty table gives no rows.
@@ -67,16 +70,38 @@ def similar(n1: np.ndarray, n2: np.ndarray, common: np.ndarray, threshold: int)
     return 100 * common >= threshold * (n1 + n2 - common)
 
 
+def sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """Of each set the numbers of hashes in equal ranges, two to four a range on average; none if one exceeds a byte."""
+    bits = np.ceil(np.log2(np.maximum(n, 16) / 4)).astype(np.int64)
+    to = np.cumsum(1 << bits)
+    place = (to - (1 << bits))[doc] + (h >> (64 - bits[doc]).astype(np.uint64)).astype(np.int64)
+    counts = np.bincount(place, minlength=int(to[-1]) if len(to) else 0)
+    parts = np.split(counts, to[:-1]) if len(to) else []
+    return [p.astype(np.uint8).tobytes() if p.max() < 256 else None for p in parts]
+
+
+def most_common(a: bytes | None, b: bytes | None, na: int, nb: int) -> int:
+    """No two sets with these sketches and sizes have more hashes in common."""
+    if a is None or b is None:
+        return min(na, nb)
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x = x.reshape(len(y), -1).sum(axis=1, dtype=np.int64)
+    elif len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1, dtype=np.int64)
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
 def fits(n1, p1, n2, p2, threshold: int) -> np.ndarray:
     """Whether sets of these sizes whose first common shingle is at these positions can still be similar enough."""
     return similar(n1, n2, 1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1), threshold)
 
 
 def documents(rows: DataFrame) -> DataFrame:
-    """``rid, n, fp_a, fp_b`` of each row, and among them, as rows with ``h`` and ``c``, shingles frequent in a part."""
+    """``rid, n, fp_a, fp_b, sketch`` of each row, and among them, as rows with ``h`` and ``c``, shingles frequent in a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["rid", "n", "fp_a", "fp_b", "h", "c"], [pa.int64()] * 6
+        names = ["rid", "n", "fp_a", "fp_b", "h", "c", "sketch"]
         seen: list[np.ndarray] = []
         size, docs = 0, 0
 
@@ -84,7 +109,7 @@ def documents(rows: DataFrame) -> DataFrame:
             h, c = np.unique(np.concatenate(seen), return_counts=True)
             often = c >= max(3, FREQUENT_SHARE * docs)
             n = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.array(h[often].view(np.int64)), pa.array(c[often])], names=names)
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64())] * 4 + [pa.array(h[often].view(np.int64)), pa.array(c[often]), pa.nulls(n, pa.binary())], names=names)
 
         for rid, texts in text_slices(batches, ["rid", "text"]):
             doc, h = shingles(texts)
@@ -94,7 +119,7 @@ def documents(rows: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.diff(doc, prepend=-1))
                 a[doc[first]] = np.add.reduceat(mix(h), first)
                 b[doc[first]] = np.bitwise_xor.reduceat(mix(h ^ np.uint64(0x5DEECE66D)), first)
-            yield pa.RecordBatch.from_arrays([rid, pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([rid, pa.array(n, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), *[pa.nulls(len(n), pa.int64())] * 2, pa.array(sketches(doc, h, n), pa.binary())], names=names)
             seen.append(h)
             size, docs = size + len(h), docs + len(texts)
             if size > 4_000_000:
@@ -103,7 +128,7 @@ def documents(rows: DataFrame) -> DataFrame:
         if seen:
             yield frequent()
 
-    return rows.select("rid", "text").mapInArrow(run, "rid long, n long, fp_a long, fp_b long, h long, c long")
+    return rows.select("rid", "text").mapInArrow(run, "rid long, n long, fp_a long, fp_b long, h long, c long, sketch binary")
 
 
 def prefix_blocks(rows: DataFrame, frequent: np.ndarray, tasks: int, threshold: int) -> DataFrame:
@@ -202,7 +227,8 @@ def index_lists(blocks: DataFrame, tasks: int, threshold: int) -> DataFrame:
 
 
 def open_pairs(entries: DataFrame, threshold: int) -> DataFrame:
-    """Pairs across components in lists (``h, rid, n, place, c``, and ``lead``, ``dist`` to the list's first set).
+    """Pairs across components in lists (``h, rid, n, place, c``, and ``low``, ``high``: bounds of the distance to the list's
+    first set).
 
     The triangle inequality drops pairs whose distances to that set differ by more than the threshold allows. A long list is
     dealt out as pairs of its blocks.
@@ -211,19 +237,19 @@ def open_pairs(entries: DataFrame, threshold: int) -> DataFrame:
     size = F.ceil(F.count("*").over(Window.partitionBy("h")) / LIST_BLOCK).cast("int")
     dealt = entries.withColumn("blocks", size).withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rid", "n", "place", "c", "dist")
+    dealt = dealt.select("h", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rid", "n", "place", "c", "low", "high")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            col = {c: rows.column(c).to_numpy() for c in ("i", "rid", "n", "place", "c", "dist")}
+            col = {c: rows.column(c).to_numpy() for c in ("i", "rid", "n", "place", "c", "low", "high")}
             order = np.lexsort((col["rid"], col["n"]))
-            i, rid, n, place, c, dist = (col[k][order] for k in ("i", "rid", "n", "place", "c", "dist"))
+            i, rid, n, place, c, low, high = (col[k][order] for k in ("i", "rid", "n", "place", "c", "low", "high"))
             cross = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
             out_a, out_b = [], []
             for k in range(len(rid)):
                 stop = int(np.searchsorted(n, n[k] * 100 // threshold, side="right"))  # larger sets are skipped at once
                 z = slice(k + 1, stop)
-                ok = (c[z] != c[k]) & fits(n[k], place[k], n[z], place[z], threshold) & ~(np.abs(dist[z] - dist[k]) > far + 1e-9)
+                ok = (c[z] != c[k]) & fits(n[k], place[k], n[z], place[z], threshold) & (np.maximum(low[z] - high[k], low[k] - high[z]) <= far + 1e-9)
                 if cross:
                     ok &= i[z] != i[k]
                 b = rid[z][ok]
@@ -251,6 +277,22 @@ def open_pairs(entries: DataFrame, threshold: int) -> DataFrame:
     return dealt.repartition(tasks, "h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def promising(pairs: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame:
+    """``a, b, low, open``: whether each pair may be similar enough by its sketches, and the least distance it can have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            sketch = zip(batch.column("sa"), batch.column("sb"), na.tolist(), nb.tolist(), strict=True)
+            common = np.fromiter((most_common(x.as_py(), y.as_py(), m, n) for x, y, m, n in sketch), np.int64, len(na))
+            low = 1 - common / np.maximum(na + nb - common, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(low), pa.array(similar(na, nb, common, threshold))], names=["a", "b", "low", "open"])
+
+    one = sketched.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = sketched.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, low double, open boolean")
+
+
 def compare(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """``a, b, common, na, nb, linked`` of each pair, from the texts (``rid``, ``text``)."""
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("parts"))
@@ -286,30 +328,36 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     spark = docs.sparkSession
     rows = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
     known = durable(documents(rows))
-    prints = known.where("rid is not null").drop("h", "c")
+    prints = known.where("rid is not null").drop("h", "c", "sketch")
+    sketched = known.where("n > 0").select("rid", "n", "sketch")
     total = prints.agg(F.count("*"), F.sum("n")).first()
     n_docs, n_shingles = int(total[0]), int(total[1] or 0)
     often = known.where("rid is null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > max(FREQUENT_LEAST, FREQUENT_SHARE * n_docs))
     frequent = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(FREQUENT_MOST).collect()], dtype=np.int64).view(np.uint64))
     tasks = max(partitions(spark), n_shingles * (100 - threshold) // 100 // TASK_ENTRIES + 1)
     lists, lists_path = stored(index_lists(prefix_blocks(rows, frequent, tasks, threshold), tasks, threshold))
-    first = durable(lists.where("a is not null").select("a", "b").distinct())
     entries = lists.where("h is not null").select("h", "rid", "n", "place")
-    in_lists = first.select(F.col("a").alias("rid")).union(first.select("b")).union(entries.select("rid")).distinct()
-    texts, texts_path = stored(rows.select("rid", "text").join(in_lists, "rid"))
-    met = durable(compare(first, texts, threshold))
+    first = durable(promising(lists.where("a is not null").select("a", "b").distinct(), sketched, threshold))
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
+        return durable(compare(pairs, rows.select("rid", "text").join(ends, "rid"), threshold))
+
+    met = compared(first.where("open").select("a", "b"))
     links = met.where("linked").select("a", "b")
     labels = components(links)
     # Second round: entries of lists that still hold several components, with their distance to the list's first set.
     placed = entries.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("c", F.coalesce("c", "rid"))
     mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("n", "rid")).alias("lead")).where("lo <> hi").select("h", F.col("lead.rid").alias("lead"))
     left = placed.join(mixed, "h")
-    dist = met.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("dist"))
+    dist = met.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("low")).withColumn("high", F.col("low"))
+    dist = dist.union(first.where("not open").select("a", "b", "low", F.lit(1.0)))
     left = left.withColumn("a", F.least("rid", "lead")).withColumn("b", F.greatest("rid", "lead")).join(dist, ["a", "b"], "left")
-    left = left.select("h", "rid", "n", "place", "c", F.when(F.col("rid") == F.col("lead"), 0.0).otherwise(F.coalesce("dist", F.lit(float("nan")))).alias("dist"))
-    more = durable(open_pairs(left, threshold).join(first, ["a", "b"], "left_anti"))
+    itself = F.col("rid") == F.col("lead")
+    left = left.select("h", "rid", "n", "place", "c", F.when(itself, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(itself, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
+    more = durable(promising(open_pairs(left, threshold).join(first, ["a", "b"], "left_anti"), sketched, threshold).where("open").select("a", "b"))
     if not more.isEmpty():
-        links = durable(links.union(compare(more, texts, threshold).where("linked").select("a", "b")))
+        links = durable(links.union(compared(more).where("linked").select("a", "b")))
         labels = components(links)
     # Equal sets: the smallest row speaks for all, as in the lists.
     same = Window.partitionBy("n", "fp_a", "fp_b")
@@ -318,7 +366,6 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     out = prints.join(rep, ["n", "fp_a", "fp_b"], "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("c", "rid").alias("c"))
     out = durable(out.join(rows.select("rid", "doc_id"), "rid"))
     remove(spark, lists_path)
-    remove(spark, texts_path)
     return out
 
 
