@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,24 +13,29 @@ from .common import durable
 def components(links: DataFrame) -> DataFrame:
     """``v, c``: for every end of ``links`` (a, b) the smallest end that it reaches. Links are undirected.
 
-    Every round hooks each label to the smallest label next to it and then halves the paths; the edges between labels shrink
-    as labels merge, so a component of any size takes a number of rounds that grows as its logarithm at most.
+    Every round each vertex goes to the neighbour (or itself) of smallest hash, whose salt changes with the round, and on from
+    there, twice; links between what is left go on to the next round. A constant share of the vertices that still have links
+    leaves in each round, so that the number of rounds grows as the logarithm of the largest component; a round costs two jobs.
     """
+    ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
     edges = durable(links.select("a", "b").where("a <> b").distinct())
-    labels = durable(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("c", F.col("v")))
-    while True:
+    moves: list[DataFrame] = []
+    while not edges.isEmpty():
+        salt = F.lit(len(moves))
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy("a").agg(F.min("b").alias("m")).where("m < a").select(F.col("a").alias("c"), "m")
-        hook = durable(hook)
-        if hook.isEmpty():
-            return labels
-        # Follow the hooks to their roots.
-        while True:
-            up = hook.select(F.col("c").alias("m"), F.col("m").alias("root"))
-            further = durable(hook.join(up, "m", "left").select("c", F.coalesce("root", "m").alias("m"), F.col("root").isNotNull().alias("moved")))
-            hook = further.select("c", "m")
-            if further.where("moved").isEmpty():
-                break
-        labels = durable(labels.join(hook, "c", "left").select("v", F.coalesce("m", "c").alias("c")))
-        a, b = hook.select(F.col("c").alias("a"), F.col("m").alias("x")), hook.select(F.col("c").alias("b"), F.col("m").alias("y"))
-        edges = durable(edges.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).where("a <> b").distinct())
+        least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("k"), "b")).alias("m"))
+        own = F.struct(F.xxhash64("a", salt).alias("k"), F.col("a").alias("b"))
+        to = least.select("a", F.least("m", own)["b"].alias("to"))
+        for _ in range(2):
+            further = to.select(F.col("a").alias("to"), F.col("to").alias("then"))
+            to = to.join(further, "to").select("a", F.col("then").alias("to"))
+        move = durable(to)
+        moves.append(move)
+        edges = (
+            edges.join(move.withColumnRenamed("to", "x"), "a").select("b", "x").join(move.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+            .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        )
+        edges = durable(edges)
+    roots = reduce(lambda at, move: at.join(move.withColumnRenamed("a", "r"), "r", "left").select("v", F.coalesce("to", "r").alias("r")), moves, ends.withColumn("r", F.col("v")))
+    smallest = roots.groupBy("r").agg(F.min("v").alias("c"))
+    return durable(roots.join(smallest, "r").select("v", "c"))

@@ -227,8 +227,8 @@ def index_lists(blocks: DataFrame, tasks: int, threshold: int) -> DataFrame:
 
 
 def open_pairs(entries: DataFrame, threshold: int) -> DataFrame:
-    """Pairs across components in lists (``h, rid, n, place, c``, and ``low``, ``high``: bounds of the distance to the list's
-    first set).
+    """Pairs across components in lists (``h, rid, n, place, c, sketch``, and ``low``, ``high``: bounds of the distance to the
+    list's first set) that may be similar enough by all that is known.
 
     The triangle inequality drops pairs whose distances to that set differ by more than the threshold allows. A long list is
     dealt out as pairs of its blocks.
@@ -237,13 +237,14 @@ def open_pairs(entries: DataFrame, threshold: int) -> DataFrame:
     size = F.ceil(F.count("*").over(Window.partitionBy("h")) / LIST_BLOCK).cast("int")
     dealt = entries.withColumn("blocks", size).withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rid", "n", "place", "c", "low", "high")
+    dealt = dealt.select("h", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rid", "n", "place", "c", "low", "high", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             col = {c: rows.column(c).to_numpy() for c in ("i", "rid", "n", "place", "c", "low", "high")}
             order = np.lexsort((col["rid"], col["n"]))
             i, rid, n, place, c, low, high = (col[k][order] for k in ("i", "rid", "n", "place", "c", "low", "high"))
+            sketch = rows.column("sketch").take(pa.array(order)).to_pylist()
             cross = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
             out_a, out_b = [], []
             for k in range(len(rid)):
@@ -252,7 +253,8 @@ def open_pairs(entries: DataFrame, threshold: int) -> DataFrame:
                 ok = (c[z] != c[k]) & fits(n[k], place[k], n[z], place[z], threshold) & (np.maximum(low[z] - high[k], low[k] - high[z]) <= far + 1e-9)
                 if cross:
                     ok &= i[z] != i[k]
-                b = rid[z][ok]
+                near = [m for m in np.flatnonzero(ok).tolist() if similar(n[k], n[k + 1 + m], most_common(sketch[k], sketch[k + 1 + m], n[k], n[k + 1 + m]), threshold)]
+                b = rid[z][near]
                 out_a.append(np.minimum(b, rid[k]))
                 out_b.append(np.maximum(b, rid[k]))
             if out_a:
@@ -355,10 +357,16 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     left = left.withColumn("a", F.least("rid", "lead")).withColumn("b", F.greatest("rid", "lead")).join(dist, ["a", "b"], "left")
     itself = F.col("rid") == F.col("lead")
     left = left.select("h", "rid", "n", "place", "c", F.when(itself, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(itself, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
-    more = durable(promising(open_pairs(left, threshold).join(first, ["a", "b"], "left_anti"), sketched, threshold).where("open").select("a", "b"))
+    left = left.join(sketched.select("rid", "sketch"), "rid")
+    more = durable(open_pairs(left, threshold).join(first, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        links = durable(links.union(compared(more).where("linked").select("a", "b")))
-        labels = components(links)
+        # Only links between the components so far matter; each is named by one of its rows.
+        new = compared(more).where("linked").select("a", "b")
+        for end in ("a", "b"):
+            new = new.join(labels.withColumnRenamed("v", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        joined = components(new).withColumnRenamed("v", "old").withColumnRenamed("c", "new")
+        labels = labels.unionByName(joined.select(F.col("old").alias("v"), F.col("old").alias("c"))).distinct()
+        labels = durable(labels.join(joined, F.col("c") == F.col("old"), "left").select("v", F.coalesce("new", "c").alias("c")).distinct())
     # Equal sets: the smallest row speaks for all, as in the lists.
     same = Window.partitionBy("n", "fp_a", "fp_b")
     rep = prints.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("rid").alias("rep"))
