@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import remove, stored
-from .common import Words, durable, free_name, mix, partitions, text_slices
+from .common import Words, durable, fixed, free_name, mix, partitions, text_slices
 from .components import components
 from .substring_dedup import with_rows
 
@@ -386,6 +386,7 @@ def jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each component: the smallest doc_id, then the earlier row (pipeline stage)."""
+    docs = fixed(docs)
     found = jaccard_components(docs, threshold)
     keep = found.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rid")).alias("k")).select(F.col("k.rid").alias("rid"))
     rid = free_name(docs.columns, "rid")

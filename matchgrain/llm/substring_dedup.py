@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Unit, covered, repeated_windows
-from .common import free_name
+from .common import fixed, free_name
 
 WINDOW, GRAM = 35, 8
 
@@ -137,13 +137,13 @@ _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with a number for each row. The input is a table scan, whose partitions and rows keep their order."""
-    return docs.withColumn("rid", F.monotonically_increasing_id())
+    """``docs`` with a number for each row, the same in every job. Who numbers rows twice does so on one ``fixed`` table."""
+    return fixed(docs).withColumn("rid", F.monotonically_increasing_id())
 
 
 def marked_documents(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **limits: int) -> DataFrame:
     """``docs`` and, as the last column, the spans of its windows (starts, in words) that occur anywhere else."""
-    rid, spans = free_name(docs.columns, "rid"), free_name(docs.columns, "spans")
+    docs, rid, spans = fixed(docs), free_name(docs.columns, "rid"), free_name(docs.columns, "spans")
     slim = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))).select("rid", "doc_id", "text")
     found = repeated_windows(slim, Unit(True, window, gram), judge(window), False, **limits).select(F.col("rid").alias(rid), F.col("spans").alias(spans))
     return docs.withColumn(rid, F.monotonically_increasing_id()).join(found, rid, "left").select(*docs.columns, spans)

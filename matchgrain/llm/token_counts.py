@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import durable, shared_folder, text_slices
+from .common import durable, fixed, shared_folder, text_slices
 
 BLOCK_TOKENS = 1 << 18
 SCANNED = "path string, block long, first long, n long, last boolean, separators array<long>"
@@ -96,9 +96,10 @@ def corpus_token_counts(docs: DataFrame) -> DataFrame:
     """Write the texts as flat files into the shared folder, scan those, and name each count's document.
 
     A flat file knows no ids: its number and order are those of the scan's partitions and rows, which is also how
-    ``monotonically_increasing_id`` counts, so that is what the spans are joined on. The files are removed afterwards.
+    ``monotonically_increasing_id`` counts, so that is what the spans are joined on. Both jobs read one fixed list of
+    splits. The files are removed afterwards.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, fixed(docs.select("doc_id", "text"))
     path = f"{shared_folder(spark)}/flat-{uuid.uuid4().hex}"
     write_flat(docs, path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
