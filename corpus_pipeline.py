@@ -1,8 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, repeated passages, mixing, packing.
 
 Each stage works on all rows that its predecessor kept, and its decisions take effect: rejected documents go, one document
-of each group of near duplicates stays, repeated passages are cut out of the texts, documents that the mix gives a rate
-below one half go, and the last stage packs what is left into sequences.
+of each group of near duplicates stays, repeated passages are cut out of the texts, toxic documents go and low-quality ones
+are thinned or repeated as often as the mix's rates say, and the last stage packs what is left into sequences.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, fixed
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the mix; the first domain keeps its mass, which fixes the scale of the others.
@@ -34,7 +34,7 @@ STEPS, TOLERANCE = 30, 1e-6
 #: Share of the token mass added to the diagonal of the domains' Gram matrix: domains that the posteriors hardly tell apart
 #: then move by small steps instead of being pulled apart by rounding errors.
 RIDGE = 1e-4
-#: The pipeline keeps documents of at least this rate.
+#: Documents of at least this rate count as kept where rates alone are judged; the pipeline's stage thins instead.
 KEEP_RATE = 0.5
 
 _WORD_EDGE = r"[\s\p{Z}]+|(?<=[\p{L}\p{N}])(?=[^\s\p{Z}\p{L}\p{N}])"
@@ -166,7 +166,16 @@ def op6_mixing_rates(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose fitted rate reaches ``KEEP_RATE`` (pipeline stage)."""
+    """The rows of ``docs`` in the numbers that their fitted rates ask for (pipeline stage).
+
+    What is at least as likely toxic as anything else goes by its own posterior, whatever the corpus holds of it, so the
+    toxic target is a ceiling. What is most likely clean stays, once. The others come ``rate`` times: the whole part as
+    copies, the rest by the hash of the row, so a rerun draws the same rows.
+    """
     own = [F.col(c) for c in docs.columns]
     slim = docs.select("doc_id", "text", F.struct(*own).alias("_row"))
-    return mixing_rates(slim, labels).where(F.col("rate") >= KEEP_RATE).select("_row.*")
+    chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
+    copies = F.when(F.col("p_toxic") >= F.greatest("p_clean", "p_low"), 0).when(F.col("p_clean") >= F.col("p_low"), 1).otherwise(F.floor(F.col("rate") + chance)).cast("int")
+    # Fixed first: the optimiser would otherwise work the posterior's terms out again for every use in the filter.
+    drawn = fixed(mixing_rates(slim, labels).select("_row", copies.alias("copies"))).where("copies > 0")
+    return drawn.select(F.explode(F.array_repeat("_row", F.col("copies"))).alias("_row")).select("_row.*")
