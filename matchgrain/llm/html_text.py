@@ -5,6 +5,10 @@ generalised tag-class path (digits in classes do not matter) within the page's h
 elements on the host's highest-ranked path that the page has give its text, without menus, headers, footers, asides,
 notices, adverts, forms, scripts, styles and reader comments.
 
+Names count as whole class tokens or in known compounds (``_out_name``). An element that is out by its name, or as a form,
+stays in if it holds the page's main element, all its articles or most of its text; if nothing is left, the page is read
+again without these rules.
+
 Defined results: a null or empty page has an empty text; markup that never closes ends with its parent; a page whose host's
 paths it does not have falls back to its own best container; line breaks inside a block are white space; every row gives one
 row; other columns do not matter.
@@ -43,28 +47,66 @@ _OUT_NAMES = frozenset(
     "alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations sidebar widget widgets menu nav navbar "
     "navigation breadcrumb breadcrumbs masthead footer comment comments discussion disqus reply replies respond login search toolbar pagination pager disclaimer".split()
 )
+#: Words that may stand beside an out-name: places before it, and what it is or has after it.
+_PLACES = frozenset("site page main top bottom left right header footer head foot global primary secondary mobile desktop sticky fixed post article entry user inline video".split())
+_PARTS = frozenset("area bar block box button buttons container form holder icons inner item items label links list menu message nav outer panel section slot text unit widget wrap wrapper posts articles stories content cards feed tools top bottom left right primary secondary mobile desktop sticky fixed".split())
+#: Names of what readers wrote: often longer than the page's own text, so its length says nothing.
+_READERS = frozenset("comment comments discussion disqus reply replies respond".split())
 _GOOD_NAMES = frozenset("article content entry post story main body text".split())
 _KEEP_TAGS = frozenset("html body main article".split())
 #: Elements that end an open paragraph of the same kind.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _named(tokens: list[str], wanted: frozenset[str]) -> bool:
+    """Whether a class or id is one of ``wanted``, or a compound of one with places before it and parts after it."""
+    for token in tokens:
+        words = [re.sub(r"\d+$", "", w) for w in re.split(r"[-_]+", token) if w]
+        words = [w for w in words if w]
+        for k, w in enumerate(words):
+            if w in wanted and all(x in _PLACES or x in wanted for x in words[:k]) and all(x in _PARTS or x in wanted for x in words[k + 1 :]):
+                return True
+    return False
+
+
 class Page:
-    """A page's elements and blocks, found in one pass."""
+    """A page's elements and blocks. Elements have the same numbers each time the page is read."""
 
     def __init__(self, html: str):
+        self.spare: set[int] = set()  # elements for which neither names nor being a form count
+        self._start(html)
+        self.spare = self._holders()
+        if self.spare:
+            self._start(html)
+        if not self.blocks and any(self.soft):
+            self.spare = set(range(len(self.tag)))
+            self._start(html)
+
+    def _start(self, html: str) -> None:
         self.parent, self.tag, self.path, self.bonus = [-1], ["#root"], [""], [0.5]
         self.out, self.head_only = [False], [False]
+        self.soft, self.hard, self.readers, self.mass = [False], [False], [False], [0]  # out by name, out otherwise, own characters outside links
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self._read(html)
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
         classes = found.get("class", "").lower().split()
-        names = {x for c in (*classes, found.get("id", "").lower()) for x in (c, *re.split(r"[-_]+", c))}
-        hidden = bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes)) or "display:none" in found.get("style", "").replace(" ", "").lower()
-        head = tag == "header" or (tag not in _KEEP_TAGS and tag not in _HEADING and "header" in names)
-        out = tag not in _KEEP_TAGS and (tag in _OUT_TAGS or hidden or found.get("role", "").lower() in _OUT_ROLES or bool(names & _OUT_NAMES))
+        tokens = [*classes, *found.get("id", "").lower().split()]
+        names = {x for c in tokens for x in (c, *re.split(r"[-_]+", c))}
+        bare = re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", " ", attributes)
+        hidden = "hidden" in bare.lower().rstrip("/").split() or "display:none" in found.get("style", "").replace(" ", "").lower()
+        role, spared = found.get("role", "").lower(), len(self.tag) in self.spare
+        named_head = tag not in _KEEP_TAGS and tag not in _HEADING and _named(tokens, frozenset({"header"}))
+        form = tag == "form" or role == "form"
+        soft = tag not in _KEEP_TAGS and (form or named_head or _named(tokens, _OUT_NAMES))
+        hard = tag not in _KEEP_TAGS and ((tag in _OUT_TAGS and tag != "form") or hidden or (role in _OUT_ROLES and role != "form"))
+        head = tag == "header" or (named_head and not spared)
+        out = hard or (soft and not spared and (form or _named(tokens, _OUT_NAMES)))
+        self.soft.append(soft)
+        self.hard.append(self.hard[parent] or hard)
+        self.readers.append(_named(tokens, _READERS))
+        self.mass.append(0)
         self.parent.append(parent)
         self.tag.append(tag)
         name = ".".join([tag, *sorted({re.sub(r"\d+", "#", c) for c in classes})])
@@ -88,6 +130,7 @@ class Page:
             nonlocal text, links
             if text:
                 whole = " ".join(unescape("".join(text)).split())
+                self.mass[block] += 0 if self.hard[block] else max(0, len(whole) - links)
                 if whole and not self.out[block] and not (self.head_only[block] and not self._in_heading(block)):
                     self.blocks.append((block, whole, links))
             text, links = [], 0
@@ -137,6 +180,23 @@ class Page:
         add(html[at:])
         flush()
 
+    def _holders(self) -> set[int]:
+        """Elements out by name or as a form that hold a main element, every article or most of the page's text."""
+        if not any(self.soft):
+            return set()
+        n = len(self.tag)
+        mass, mains, articles = self.mass[:], [0] * n, [0] * n
+        for i in range(1, n):
+            own = not self.hard[i] and not self.readers[i]
+            mains[i], articles[i] = own and self.tag[i] == "main", own and self.tag[i] == "article"
+        for i in range(n - 1, 0, -1):  # parents come before their children
+            for x in (mass, mains, articles):
+                x[self.parent[i]] += x[i]
+        return {
+            i for i in range(1, n)
+            if self.soft[i] and (mains[i] or (articles[i] and articles[i] == articles[0]) or (2 * mass[i] > mass[0] and not self.readers[i]))
+        }
+
     def _in_heading(self, i: int) -> bool:
         while i > 0:
             if self.tag[i] in _HEADING:
