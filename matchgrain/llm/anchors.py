@@ -10,17 +10,16 @@ fingerprint of each single window.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Words, durable, mix, partitions, shared_folder, text_slices
+from .common import _BYTE, Words, durable, mix, partitions, remove, stored, text_slices
 
 #: Runs of one name beyond which its windows are dealt out one by one.
 HOT_RUNS = 20_000
@@ -145,18 +144,6 @@ def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     return rows.join(wanted, "rid").select("rid", "doc_id", "runs", "text").mapInArrow(run, PASSAGES)
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write a table into the shared folder: smaller there than a checkpoint. The caller removes it."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 #: For a shard's distinct passages (symbols, copies, first place) the windows that repeat, as offsets (from, to) of window starts.
 Judge = Callable[[list[bytes], np.ndarray, pd.DataFrame], list[list[tuple[int, int]]]]
 

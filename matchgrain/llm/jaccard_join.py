@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import remove, stored
-from .common import Words, durable, fixed, free_name, mix, partitions, text_slices
+from .common import Words, durable, fixed, free_name, mix, partitions, remove, stored, text_slices
 from .components import components
 from .substring_dedup import with_rows
 

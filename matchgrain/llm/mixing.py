@@ -19,7 +19,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fixed
+from .common import stored
 
 DOMAINS = ("clean", "low", "toxic")
 #: Shares of the mix; the first domain keeps its mass, which fixes the scale of the others.
@@ -37,22 +37,35 @@ RIDGE = 1e-4
 #: Documents of at least this rate count as kept where rates alone are judged; the pipeline's stage thins instead.
 KEEP_RATE = 0.5
 
-_WORD_EDGE = r"[\s\p{Z}]+|(?<=[\p{L}\p{N}])(?=[^\s\p{Z}\p{L}\p{N}])"
 _SPACE = r"[\x20\x09-\x0D]+"
+#: White space, or the edge from a letter or digit to a mark. Neither begins with a letter or digit, which the first part
+#: says of the commonest ones at once.
+_WORD_EDGE = r"(?![a-z0-9])(?:[\s\p{Z}]+|(?<=[a-z0-9\p{L}\p{N}])(?=[^\s\p{Z}\p{L}\p{N}]))"
+#: The telling words are looked up in this many buckets.
+BUCKETS = 256
 
 
 def features(text: Column) -> Column:
-    """Distinct lower-case words and runs of marks that follow them."""
-    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), _WORD_EDGE))
+    """Lower-case words and runs of marks that follow them, with repeats."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), _WORD_EDGE)
+
+
+def bucket(word: Column | str) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
 
 def n_tokens(text: Column) -> Column:
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{_SPACE}|{_SPACE}$", "")
-    return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(F.size(F.split(trimmed, _SPACE))).cast("long")
+    parts = F.split(F.coalesce(text, F.lit("")), _SPACE)
+    # Only the first and the last part can be empty.
+    return (F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")).cast("long")
+
 
+#: Log priors of the domains and, for each telling word, its bucket and its log odds by domain.
+Model = tuple[list[float], list[tuple[str, int, list[float]]]]
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS, most_words: int = FEATURES) -> tuple[list[float], list[tuple[str, list[float]]]]:
-    """Log priors and, for each telling word, its log odds by domain. Reads the documents of at most ``most_rows`` labels."""
+
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS, most_words: int = FEATURES) -> Model:
+    """The classifier. Reads the documents of at most ``most_rows`` labels."""
     label = (
         labels.where("doc_id is not null and (quality is not null or toxic is not null)")
         .groupBy("doc_id")
@@ -62,39 +75,46 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS, most
         .limit(most_rows)
     )
     # The sample is bounded, so it may be broadcast.
-    known = docs.select("doc_id", "text").join(F.broadcast(label), "doc_id").select("domain", features(F.col("text")).alias("words"))
+    known = docs.select("doc_id", "text").join(F.broadcast(label), "doc_id").select("domain", F.array_distinct(features(F.col("text"))).alias("words"))
     of = [F.count_if(F.col("domain") == k) for k in range(len(DOMAINS))]
     total = [int(x or 0) for x in known.agg(*[c.alias(f"n{k}") for k, c in enumerate(of)]).first()]
     n = sum(total)
     if n == 0:
         return [-log(len(DOMAINS))] * len(DOMAINS), []
-    found = known.select("domain", F.explode("words").alias("word")).where("word <> ''").groupBy("word").agg(*[c.alias(f"n{k}") for k, c in enumerate(of)])
+    # explode_outer: for explode, the optimiser would filter by the size of ``words`` before the join, over all documents.
+    found = known.select("domain", F.explode_outer("words").alias("word")).where("word <> ''").groupBy("word").agg(*[c.alias(f"n{k}") for k, c in enumerate(of)])
     df = sum((F.col(f"n{k}") for k in range(len(DOMAINS))), F.lit(0))
     gain = sum((F.when(F.col(f"n{k}") > 0, F.col(f"n{k}") * F.log(F.col(f"n{k}") * n / (df * total[k]))).otherwise(0.0) for k in range(len(DOMAINS)) if total[k]), F.lit(0.0))
-    telling = found.withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "word").limit(most_words).collect()
+    telling = found.withColumn("gain", gain).withColumn("bucket", bucket("word")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "word").limit(most_words).collect()
     odds = []
     for row in telling:
         seen = [row[f"n{k}"] for k in range(len(DOMAINS))]
         base = sum(seen) / n
-        odds.append((row["word"], [log((s + SMOOTHING * base) / (t + SMOOTHING)) - log(base) for s, t in zip(seen, total, strict=True)]))
+        odds.append((row["word"], row["bucket"], [log((s + SMOOTHING * base) / (t + SMOOTHING)) - log(base) for s, t in zip(seen, total, strict=True)]))
     return [log((t + 1) / (n + len(DOMAINS))) for t in total], odds
 
 
-def posteriors(docs: DataFrame, model: tuple[list[float], list[tuple[str, list[float]]]]) -> DataFrame:
+def posteriors(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``n_tokens`` and ``p``, the posterior over the domains."""
     prior, odds = model
-    here = F.array_intersect(features(F.col("text")), F.array(*[F.lit(w) for w, _ in odds]).cast("array<string>"))
-    place = F.transform(F.col("_here"), lambda w: F.array_position(F.array(*[F.lit(x) for x, _ in odds]).cast("array<string>"), w).cast("int"))
-    weights = [F.array(*[F.lit(o[k]) for _, o in odds]).cast("array<double>") for k in range(len(DOMAINS))]
-
-    def total(k: int) -> Column:
-        return F.aggregate("_place", F.lit(prior[k]), lambda acc, i: acc + F.coalesce(F.try_element_at(weights[k], i), F.lit(0.0)))
-
-    score = [total(k) for k in range(len(DOMAINS))]
-    scored = docs.withColumn("_here", here).withColumn("_place", place).withColumn("_score", F.array(*score))
+    k = range(len(DOMAINS))
+    scored = docs.withColumn("n_tokens", n_tokens(F.col("text")))
+    if odds:
+        entry = "array<struct<w:string,o:array<double>>>"
+        listed: list[list[Column]] = [[] for _ in range(BUCKETS)]
+        for word, at, by in odds:
+            listed[at].append(F.struct(F.lit(word).alias("w"), F.array(*map(F.lit, by)).alias("o")))
+        buckets = F.array(*[F.array(*entries).cast(entry) for entries in listed])
+        here = F.array_intersect(features(F.col("text")), F.array(*[F.lit(w) for w, _, _ in odds]))
+        hits = F.transform(F.col("_here"), lambda w: F.filter(F.element_at(buckets, bucket(w) + 1), lambda e: e.w == w)[0].o)
+        scored = scored.withColumn("_here", here).withColumn("_hits", hits)
+        score = F.aggregate("_hits", F.array(*map(F.lit, prior)), lambda acc, o: F.array(*[acc[i] + o[i] for i in k]))
+    else:
+        score = F.array(*map(F.lit, prior))
+    scored = scored.withColumn("_score", score)
     shifted = F.transform("_score", lambda x: F.exp(x - F.array_max("_score")))
     out = scored.withColumn("_e", shifted).withColumn("p", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, b: a + b)))
-    return out.withColumn("n_tokens", n_tokens(F.col("text"))).drop("_here", "_place", "_score", "_e")
+    return out.drop("_here", "_hits", "_score", "_e")
 
 
 def dot(p: Column, by: Sequence[float]) -> Column:
@@ -149,20 +169,22 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, most:
     return steps
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS) -> DataFrame:
-    """``docs`` (its own columns, but for those named like a result) with ``n_tokens``, ``p_<domain>`` and ``rate``."""
-    made = {"n_tokens", "rate", "p", "_here", "_place", "_score", "_e", *(f"p_{d}" for d in DOMAINS)}
+def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, keep: Sequence[str] | None = None) -> DataFrame:
+    """``docs`` (its own columns, or those in ``keep``, but for those named like a result) with ``n_tokens``, ``p_<domain>`` and ``rate``.
+
+    Texts are read once for the posteriors, which are written with the row; rates are worked out on what is written.
+    """
+    made = {"n_tokens", "rate", "p", "_here", "_hits", "_score", "_e", *(f"p_{d}" for d in DOMAINS)}
     docs = docs.select(*[c for c in docs.columns if c.lower() not in made])
-    model = fit(docs, labels)
-    members = posteriors(docs, model)
-    steps = fit_rates(durable(members.select("n_tokens", "p")), targets)
-    rated = members.withColumn("rate", F.round(rate_after(steps), 9))
-    return rated.select(*docs.columns, "n_tokens", *[F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], "rate")
+    kept = docs.columns if keep is None else [c for c in keep if c in docs.columns]
+    members, _ = stored(posteriors(docs, fit(docs, labels)).select(*kept, "n_tokens", "p"))
+    steps = fit_rates(members.select("n_tokens", "p"), targets)
+    return members.select(*kept, "n_tokens", *[F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.round(rate_after(steps), 9).alias("rate"))
 
 
 def op6_mixing_rates(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return mixing_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+    return mixing_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
 
 
 def keep_mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,10 +194,8 @@ def keep_mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     toxic target is a ceiling. What is most likely clean stays, once. The others come ``rate`` times: the whole part as
     copies, the rest by the hash of the row, so a rerun draws the same rows.
     """
-    own = [F.col(c) for c in docs.columns]
-    slim = docs.select("doc_id", "text", F.struct(*own).alias("_row"))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
-    copies = F.when(F.col("p_toxic") >= F.greatest("p_clean", "p_low"), 0).when(F.col("p_clean") >= F.col("p_low"), 1).otherwise(F.floor(F.col("rate") + chance)).cast("int")
-    # Fixed first: the optimiser would otherwise work the posterior's terms out again for every use in the filter.
-    drawn = fixed(mixing_rates(slim, labels).select("_row", copies.alias("copies"))).where("copies > 0")
+    slim = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), chance.alias("_chance"))
+    copies = F.when(F.col("p_toxic") >= F.greatest("p_clean", "p_low"), 0).when(F.col("p_clean") >= F.col("p_low"), 1).otherwise(F.floor(F.col("rate") + F.col("_chance"))).cast("int")
+    drawn = mixing_rates(slim, labels, keep=["_row", "_chance"]).select("_row", copies.alias("copies")).where("copies > 0")
     return drawn.select(F.explode(F.array_repeat("_row", F.col("copies"))).alias("_row")).select("_row.*")
