@@ -2,10 +2,11 @@
 
 The length histogram (at most ``capacity`` rows, whatever the input) goes to the driver, which solves the configuration
 linear program on it: multiplicative weights price the lengths, a knapsack dynamic program finds the best configuration at
-these prices. The fractional multiplicities are rounded down; what is left is filled best fit first, again on the histogram.
+these prices. The fractional multiplicities are rounded down; what is left is priced and filled again in the same way.
 Pieces then get their places on Spark: a rank within their length picks the configuration copy and the slot.
 
-Defined results: a null or empty text is one piece that holds only the end token; every row of the input is packed, also
+Defined results: strings of special tokens in a text, such as ``<|endoftext|>``, are ordinary text, since a document must not
+be able to end itself (``encode_special_tokens`` of tokenizers); a null or empty text is one piece that holds only the end token; every row of the input is packed, also
 repeated ones; an empty table gives no rows; other columns do not matter.
 """
 
@@ -27,10 +28,14 @@ END = 2
 #: Ranks are dealt in groups of about this many pieces of one length.
 GROUP_ROWS = 20_000
 #: Pricing rounds for each distinct length, and how fast a covered length loses weight.
-ROUNDS, EPSILON = 0.5, 0.5
-#: A configuration that leaves more tokens free is not rounded down to whole sequences; its pieces go to the last step.
-#: Each of these roundings is tried on the histogram (-1 leaves all to the last step), and the shortest plan is taken.
-SLACKS = (2, 0, -1)
+ROUNDS, EPSILON = 1.0, 0.3
+#: First prices: a piece's share of a sequence to this power, so that long pieces find their fillings before these run short.
+LONG_FIRST = 1.3
+#: A multiplicity of the program is rounded down to whole sequences from this on, if they leave nothing free.
+ROUND_FROM = 2
+#: On what is left a piece's price is its share of a sequence to this power: a little dearer by length, so that short pieces,
+#: which fill any gap, are spent last.
+BIAS = 1.05
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -86,13 +91,13 @@ def best_configuration(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray
 def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: float = ROUNDS, epsilon: float = EPSILON) -> dict[tuple, float]:
     """Multiplicative weights on the configuration program: configuration -> fractional multiplicity, mean coverage one.
 
-    Prices start at the pieces' share of a sequence, which is the dual solution wherever whole sequences can be filled; a
+    Prices start near the pieces' share of a sequence, which is the dual solution wherever whole sequences can be filled; a
     length loses weight as it is covered, so that the next configurations turn to the others.
     """
     weight, cover = np.ones(len(lengths)), np.zeros(len(lengths))
     x: dict[tuple, float] = {}
     for _ in range(int(rounds * len(lengths)) + 1 if len(lengths) else 0):
-        c = best_configuration(lengths, lengths / capacity * weight, counts, capacity)
+        c = best_configuration(lengths, (lengths / capacity) ** LONG_FIRST * weight, counts, capacity)
         used = np.flatnonzero(c)
         step = float((counts[used] / c[used]).min())
         key = tuple(c.tolist())
@@ -104,46 +109,54 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: float
     return {k: v / mean for k, v in x.items()}
 
 
-def best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best fit decreasing on a histogram: bins that hold the same are moved together, as groups."""
-    by_room: list[dict[tuple, int]] = [{} for _ in range(capacity + 1)]
-    for i in np.argsort(-lengths):
-        n, size = int(left[i]), int(lengths[i])
-        room = size
-        while n and room <= capacity:
-            if not by_room[room]:
-                room += 1
-                continue
-            held, bins = by_room[room].popitem()
-            k = min(n, bins)
-            if bins > k:
-                by_room[room][held] = bins - k
-            to, more = by_room[room - size], held + (int(i),)
-            to[more] = to.get(more, 0) + k
-            n -= k
-            room = max(size, room - size) if room >= 2 * size else room
-        each = capacity // size
-        for m, k in ((each, n // each), (n % each, 1 if n % each else 0)):
-            if k:
-                to = by_room[capacity - m * size]
-                to[(int(i),) * m] = to.get((int(i),) * m, 0) + k
-    return [(np.bincount(held, minlength=len(lengths)), k) for groups in by_room for held, k in sorted(groups.items())]
+def fill(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack by dynamic programming with at most ``limit`` of each length: the dearest configuration within ``capacity``."""
+    best, took = np.zeros(capacity + 1), []
+    for i, (size, most) in enumerate(zip(lengths.tolist(), np.minimum(limit, capacity // lengths).tolist(), strict=True)):
+        some = 1
+        while most > 0:
+            k = min(some, most)
+            gain = best[: capacity + 1 - k * size] + k * price[i]
+            better = gain > best[k * size :] + 1e-12
+            best[k * size :] = np.where(better, gain, best[k * size :])
+            took.append((i, k, k * size, better))
+            most, some = most - k, 2 * some
+    out, room = np.zeros(len(lengths), dtype=np.int64), capacity
+    for i, k, size, better in reversed(took):
+        if room >= size and better[room - size]:
+            out[i] += k
+            room -= size
+    return out
 
 
 def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations (how many of each length) with whole multiplicities that use up exactly ``counts``."""
-    program = [(np.array(key), v) for key, v in sorted(solve(lengths, counts, capacity).items(), key=lambda kv: (-kv[1], kv[0]))]
-    plans = []
-    for slack in SLACKS:
-        left, out = counts.copy(), []
-        for c, v in program:
-            used = c > 0
-            k = min(int(v), int((left[used] // c[used]).min()))
-            if k > 0 and capacity - c @ lengths <= slack:
-                out.append((c, k))
-                left -= k * c
-        plans.append(out + best_fit(lengths, left, capacity))
-    return min(plans, key=lambda plan: sum(k for _, k in plan))
+    """Configurations (how many of each length) with whole multiplicities that use up exactly ``counts``.
+
+    The program's multiplicities are rounded down. What is left is priced again, configuration by configuration: the longest
+    piece left with the dearest filling for the rest of its sequence, as often as the pieces allow.
+    """
+    left, out = counts.copy(), []
+
+    def take(c: np.ndarray, k: int) -> None:
+        nonlocal left
+        out.append((c, k))
+        left = left - k * c
+
+    for key, v in sorted(solve(lengths, counts, capacity).items(), key=lambda kv: (-kv[1], kv[0])):
+        c = np.array(key)
+        k = min(int(v), int((left[c > 0] // c[c > 0]).min()))
+        if k >= ROUND_FROM and c @ lengths == capacity:
+            take(c, k)
+    while left.any():
+        c = np.zeros_like(left)
+        longest = int(np.flatnonzero(left)[-1])
+        c[longest] = 1
+        room = capacity - int(lengths[longest])
+        here = (left > c) & (lengths <= room)
+        if here.any():
+            c[here] += fill(lengths[here], (lengths[here] / capacity) ** BIAS, (left - c)[here], room)
+        take(c, int((left[c > 0] // c[c > 0]).min()))
+    return out
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

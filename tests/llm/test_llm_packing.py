@@ -64,3 +64,23 @@ def test_knapsack_is_exact():
     best = max(a * 2.0 + b * 3.1 + c * 5.0 for a, b, c in itertools.product(range(7), repeat=3) if 3 * a + 4 * b + 7 * c <= 20)
     c = packing.best_configuration(lengths, price, np.array([9, 9, 9]), 20)
     assert c @ lengths <= 20 and c @ price == pytest.approx(best)
+
+
+def test_special_strings_are_ordinary_text(spark):
+    text = "a <|endoftext|> b"
+    ids, _ = tokens.encoder()([text.encode()])
+    assert ids.tolist() == ids_of(text) and tokens.END_OF_TEXT not in ids_of(text)
+    got = packing.token_pieces(documents(spark, [(1, text)])).collect()
+    assert [(r.length, r.ids_crc32) for r in got] == [(len(ids) + 1, zlib.crc32(np.append(ids, 2).astype("<u4").tobytes()))]
+
+
+@given(st.lists(st.integers(1, 40), max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_plans_use_up_the_counts(pieces):
+    h = np.bincount(pieces, minlength=1)
+    lengths = np.flatnonzero(h)
+    plan = packing.plan(lengths, h[lengths], 40)
+    assert sum((k * c for c, k in plan), np.zeros(len(lengths), np.int64)).tolist() == h[lengths].tolist()
+    assert all(k > 0 and c @ lengths <= 40 for c, k in plan)
+    # Never more than first fit could need: all but one sequence are more than half full.
+    assert sum(k for _, k in plan) <= 2 * sum(pieces) / 40 + 1
