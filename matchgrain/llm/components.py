@@ -1,41 +1,45 @@
-"""Connected components of a link table, by repeated joins on small rows."""
+"""Connected components of a link table, by stars on small rows."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import remove, stored
+
+
+def large_star(edges: DataFrame) -> DataFrame:
+    """Every vertex hangs its larger neighbours on the smallest one it knows."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+    return edges.join(least, "b").select("a", F.col("m").alias("b"))
+
+
+def small_star(edges: DataFrame) -> DataFrame:
+    """Every vertex hangs itself and its smaller neighbours on the smallest of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    others = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return others.unionByName(least.withColumnRenamed("m", "b")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``v, c``: for every end of ``links`` (a, b) the smallest end that it reaches. Links are undirected.
+    """``v, c``: for every end of ``links`` (a, b) the smallest end that it reaches. The table stays in the shared folder.
 
-    Every round each vertex goes to the neighbour (or itself) of smallest hash, whose salt changes with the round, and on from
-    there, twice; links between what is left go on to the next round. A constant share of the vertices that still have links
-    leaves in each round, so that the number of rounds grows as the logarithm of the largest component; a round costs two jobs.
+    Links are undirected. Alternating large and small stars (a round is one job) until nothing changes; a round at least
+    halves the depth of what hangs on a vertex, and minima are taken before rows are shuffled. Once every vertex hangs on its
+    component's smallest one a round changes nothing.
     """
     ends = links.select(F.col("a").alias("v")).union(links.select("b")).distinct()
-    edges = durable(links.select("a", "b").where("a <> b").distinct())
-    moves: list[DataFrame] = []
-    while not edges.isEmpty():
-        salt = F.lit(len(moves))
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.struct(F.xxhash64("b", salt).alias("k"), "b")).alias("m"))
-        own = F.struct(F.xxhash64("a", salt).alias("k"), F.col("a").alias("b"))
-        to = least.select("a", F.least("m", own)["b"].alias("to"))
-        for _ in range(2):
-            further = to.select(F.col("a").alias("to"), F.col("to").alias("then"))
-            to = to.join(further, "to").select("a", F.col("then").alias("to"))
-        move = durable(to)
-        moves.append(move)
-        edges = (
-            edges.join(move.withColumnRenamed("to", "x"), "a").select("b", "x").join(move.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-            .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        )
-        edges = durable(edges)
-    roots = reduce(lambda at, move: at.join(move.withColumnRenamed("a", "r"), "r", "left").select("v", F.coalesce("to", "r").alias("r")), moves, ends.withColumn("r", F.col("v")))
-    smallest = roots.groupBy("r").agg(F.min("v").alias("c"))
-    return durable(roots.join(smallest, "r").select("v", "c"))
+    edges, path = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before, paths = None, [path]
+    while True:
+        now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+        if now == before:
+            break
+        before = now
+        edges, path = stored(small_star(large_star(edges)))
+        paths.append(path)
+    out, _ = stored(ends.join(edges.select(F.col("a").alias("v"), F.col("b").alias("c")), "v", "left").select("v", F.coalesce("c", "v").alias("c")))
+    for p in paths:
+        remove(links.sparkSession, p)
+    return out

@@ -5,9 +5,11 @@ similar enough if they share a shingle of their prefixes: the documents of each
 ordered by set size and skip, block by block, every pair whose sizes or positions rule it out. Links are found in two rounds:
 
 * each list's smallest set meets all others (and near neighbours meet each other); copies of one set count as one;
-* pairs that are left in long lists are first judged by these answers. Sets already in one component need no link, and where
-  both distances to a common set are known, the triangle inequality of the Jaccard distance decides most others: the answers
-  of a set follow from those of a highly similar one. Only what stays open is compared.
+* pairs that are left in long lists are first judged by these answers, whole blocks of a list at once where sizes and
+  positions allow it. Sets already in one component need no link, and where both distances to a common set are known, the
+  triangle inequality of the Jaccard distance decides most others. Of what stays open, the pairs that could join components
+  are compared first: the answers of a set then hold for all that are linked with it, and only pairs between components
+  that are left are compared after them.
 
 Before texts are moved, a pair's sketches (how many shingles fall into each of some hash buckets) bound its intersection
 from above; pairs whose bound is too low are not similar, and their bound serves the second round as a distance bound.
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, durable, fixed, free_name, mix, partitions, remove, stored, text_slices
@@ -39,6 +41,10 @@ FREQUENT_SHARE, FREQUENT_LEAST, FREQUENT_MOST = 1 / 2000, 50, 200_000
 TASK_ENTRIES = 1_500_000
 #: Neighbours in a list that meet in the first round; lists up to one more are then complete.
 NEAR = 4
+#: Entries of a list that are skipped together by their largest size and earliest position.
+SKIP_BLOCK = 64
+#: Row ids that are broadcast to pick texts (16 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 #: Documents of one list for each task of the second round, and partners of one document for each comparing task.
 LIST_BLOCK, PARTNERS = 4096, 2000
 
@@ -79,16 +85,38 @@ def sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes | None
     return [p.astype(np.uint8).tobytes() if p.max() < 256 else None for p in parts]
 
 
-def most_common(a: bytes | None, b: bytes | None, na: int, nb: int) -> int:
-    """No two sets with these sketches and sizes have more hashes in common."""
-    if a is None or b is None:
-        return min(na, nb)
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    if len(x) > len(y):
-        x = x.reshape(len(y), -1).sum(axis=1, dtype=np.int64)
-    elif len(y) > len(x):
-        y = y.reshape(len(x), -1).sum(axis=1, dtype=np.int64)
-    return int(np.minimum(x, y).sum(dtype=np.int64))
+def most_common(sketch: list[bytes | None], n: np.ndarray):
+    """``bound(k, other)``: no more hashes than this can the set ``k`` have in common with each of ``other``, by their sketches.
+
+    Sketches of one width stand in one matrix; where widths differ, the finer one is summed to the coarser.
+    """
+    width = np.fromiter((0 if x is None else len(x) for x in sketch), np.int64, len(sketch))
+    by: dict[int, np.ndarray] = {}
+    row = np.zeros(len(sketch), dtype=np.int64)
+    for w in np.unique(width[width > 0]).tolist():
+        at = np.flatnonzero(width == w)
+        row[at] = np.arange(len(at))
+        by[w] = np.frombuffer(b"".join(sketch[i] for i in at.tolist()), np.uint8).reshape(-1, w)
+
+    def bound(k: int, other: np.ndarray) -> np.ndarray:
+        out = np.minimum(n[k], n[other])
+        mine = int(width[k])
+        if not mine:
+            return out
+        own = by[mine][row[k]]
+        for w in np.unique(width[other]).tolist():
+            if w == 0:
+                continue
+            z = np.flatnonzero(width[other] == w)
+            theirs = by[w][row[other[z]]]
+            if w > mine:
+                theirs, me = theirs.reshape(len(z), mine, -1).sum(axis=2, dtype=np.int64), own
+            else:
+                me = own.reshape(w, -1).sum(axis=1, dtype=np.int64) if w < mine else own
+            out[z] = np.minimum(theirs, me).sum(axis=1, dtype=np.int64)
+        return out
+
+    return bound
 
 
 def fits(n1, p1, n2, p2, threshold: int) -> np.ndarray:
@@ -225,39 +253,89 @@ def index_lists(blocks: DataFrame, tasks: int, threshold: int) -> DataFrame:
     return blocks.repartition(tasks, "task").mapInArrow(run, LISTS)
 
 
-def open_pairs(entries: DataFrame, threshold: int) -> DataFrame:
+def spanning(x: np.ndarray, y: np.ndarray, common: np.ndarray, n: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which of the pairs (x, y), most similar first by what they may have in common, still join components ``c``."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.setdefault(v, v) != v:
+            root[v] = v = root[root[v]]
+        return v
+
+    take = []
+    for i in np.lexsort((y, x, -common / (n[x] + n[y] - common))).tolist():
+        a, b = find(int(c[x[i]])), find(int(c[y[i]]))
+        if a != b:
+            root[a] = b
+            take.append(i)
+    return np.array(take, dtype=np.int64)
+
+
+def open_pairs(entries: DataFrame, threshold: int, every: bool) -> DataFrame:
     """Pairs across components in lists (``h, rid, n, place, c, sketch``, and ``low``, ``high``: bounds of the distance to the
     list's first set) that may be similar enough by all that is known.
 
-    The triangle inequality drops pairs whose distances to that set differ by more than the threshold allows. A long list is
-    dealt out as pairs of its blocks.
+    Sorted by size, a list is cut into blocks that carry their largest size and the position of their earliest entry: for a
+    set, whole blocks are skipped by these, and the pairs of the others are tested. The triangle inequality drops pairs whose
+    distances to the first set differ by more than the threshold allows. A long list is dealt out as pairs of its blocks.
+
+    Without ``every``, only each set's most promising partner is looked at, and of these pairs only those that would join
+    components that nothing joins yet: fewer than the list has components.
     """
     far = 1 - threshold / 100
-    size = F.ceil(F.count("*").over(Window.partitionBy("h")) / LIST_BLOCK).cast("int")
-    dealt = entries.withColumn("blocks", size).withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    many = entries.groupBy("h").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
+    dealt = entries.join(many, "h").withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("h", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rid", "n", "place", "c", "low", "high", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             col = {c: rows.column(c).to_numpy() for c in ("i", "rid", "n", "place", "c", "low", "high")}
+            if (col["c"] == col["c"][0]).all():
+                return
             order = np.lexsort((col["rid"], col["n"]))
             i, rid, n, place, c, low, high = (col[k][order] for k in ("i", "rid", "n", "place", "c", "low", "high"))
-            sketch = rows.column("sketch").take(pa.array(order)).to_pylist()
+            bound = most_common(rows.column("sketch").take(pa.array(order)).to_pylist(), n)
             cross = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
-            out_a, out_b = [], []
-            for k in range(len(rid)):
-                stop = int(np.searchsorted(n, n[k] * 100 // threshold, side="right"))  # larger sets are skipped at once
-                z = slice(k + 1, stop)
+            begin = np.arange(0, len(rid), SKIP_BLOCK)
+            largest, earliest = np.maximum.reduceat(n, begin), np.minimum.reduceat(place, begin)
+            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            best, partner = np.zeros(len(rid)), np.full(len(rid), -1)
+            shared = np.zeros(len(rid), dtype=np.int64)
+            for k in range(len(rid) - 1):
+                # The most that a block allows: its sets all as large as its largest, sharing from its earliest position on.
+                more = np.flatnonzero((begin + SKIP_BLOCK > k + 1) & similar(n[k], n[np.maximum(begin, k)], 1 + np.minimum(n[k] - place[k] - 1, largest - earliest - 1), threshold))
+                z = (begin[more][:, None] + np.arange(SKIP_BLOCK)).ravel()
+                z = z[(z > k) & (z < len(rid))]
                 ok = (c[z] != c[k]) & fits(n[k], place[k], n[z], place[z], threshold) & (np.maximum(low[z] - high[k], low[k] - high[z]) <= far + 1e-9)
                 if cross:
                     ok &= i[z] != i[k]
-                near = [m for m in np.flatnonzero(ok).tolist() if similar(n[k], n[k + 1 + m], most_common(sketch[k], sketch[k + 1 + m], n[k], n[k + 1 + m]), threshold)]
-                b = rid[z][near]
-                out_a.append(np.minimum(b, rid[k]))
-                out_b.append(np.maximum(b, rid[k]))
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                z = z[ok]
+                if not len(z):
+                    continue
+                common = bound(k, z)
+                ok = similar(n[k], n[z], common, threshold)
+                z, common = z[ok], common[ok]
+                if not len(z):
+                    continue
+                if every:
+                    found.append((np.full(len(z), k), z, common))
+                    continue
+                near = common / (n[k] + n[z] - common)
+                j = int(near.argmax())
+                if near[j] > best[k]:
+                    best[k], partner[k], shared[k] = near[j], z[j], common[j]
+                ok = near > best[z]
+                best[z[ok]], partner[z[ok]], shared[z[ok]] = near[ok], k, common[ok]
+            if every and found:
+                x, y, _ = (np.concatenate(f) for f in zip(*found, strict=True))
+            else:
+                x = np.flatnonzero(partner >= 0)
+                y = partner[x]
+                take = spanning(np.minimum(x, y), np.maximum(x, y), shared[x], n, c)
+                x, y = (x[take], y[take]) if len(take) else (x[:0], y[:0])
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[x], rid[y])), pa.array(np.maximum(rid[x], rid[y]))], names=["a", "b"])
 
         held, key = [], None
         for batch in batches:
@@ -283,11 +361,12 @@ def promising(pairs: DataFrame, sketched: DataFrame, threshold: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            sketch = zip(batch.column("sa"), batch.column("sb"), na.tolist(), nb.tolist(), strict=True)
-            common = np.fromiter((most_common(x.as_py(), y.as_py(), m, n) for x, y, m, n in sketch), np.int64, len(na))
-            low = 1 - common / np.maximum(na + nb - common, 1)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(low), pa.array(similar(na, nb, common, threshold))], names=["a", "b", "low", "open"])
+            m = batch.num_rows
+            n = np.concatenate((batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
+            bound = most_common([*batch.column("sa").to_pylist(), *batch.column("sb").to_pylist()], n)
+            common = np.fromiter((bound(k, np.array([m + k]))[0] for k in range(m)), np.int64, m)
+            low = 1 - common / np.maximum(n[:m] + n[m:] - common, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(low), pa.array(similar(n[:m], n[m:], common, threshold))], names=["a", "b", "low", "open"])
 
     one = sketched.select(F.col("rid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sketched.select(F.col("rid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -328,51 +407,60 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     """``docs`` rows by ``rid`` with ``doc_id``, ``n_shingles`` and ``c``: the smallest row of their component."""
     spark = docs.sparkSession
     rows = with_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
-    known = durable(documents(rows))
-    prints = known.where("rid is not null").drop("h", "c", "sketch")
+    paths: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        """Cut the lineage; tables on disk also tell the planner how small they are."""
+        table, path = stored(df)
+        paths.append(path)
+        return table
+
+    known = keep(documents(rows))
+    prints = known.where("rid is not null").select("rid", "n", "fp_a", "fp_b")
     sketched = known.where("n > 0").select("rid", "n", "sketch")
     total = prints.agg(F.count("*"), F.sum("n")).first()
     n_docs, n_shingles = int(total[0]), int(total[1] or 0)
     often = known.where("rid is null").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") > max(FREQUENT_LEAST, FREQUENT_SHARE * n_docs))
     frequent = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("c"), "h").limit(FREQUENT_MOST).collect()], dtype=np.int64).view(np.uint64))
     tasks = max(partitions(spark), n_shingles * (100 - threshold) // 100 // TASK_ENTRIES + 1)
-    lists, lists_path = stored(index_lists(prefix_blocks(rows, frequent, tasks, threshold), tasks, threshold))
+    lists = keep(index_lists(prefix_blocks(rows, frequent, tasks, threshold), tasks, threshold))
     entries = lists.where("h is not null").select("h", "rid", "n", "place")
-    first = durable(promising(lists.where("a is not null").select("a", "b").distinct(), sketched, threshold))
+    first = keep(promising(lists.where("a is not null").select("a", "b").distinct(), sketched, threshold))
 
     def compared(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct()
-        return durable(compare(pairs, rows.select("rid", "text").join(ends, "rid"), threshold))
+        some = ends.count()
+        return keep(compare(pairs, rows.select("rid", "text").join(F.broadcast(ends) if some <= BROADCAST_IDS else ends, "rid"), threshold))
 
-    met = compared(first.where("open").select("a", "b"))
-    links = met.where("linked").select("a", "b")
-    labels = components(links)
+    answers = compared(first.where("open").select("a", "b"))
+    labels = components(answers.where("linked").select("a", "b"))
     # Second round: entries of lists that still hold several components, with their distance to the list's first set.
-    placed = entries.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("c", F.coalesce("c", "rid"))
+    of = labels.withColumnRenamed("v", "rid")
+    placed = entries.join(of, "rid", "left").withColumn("c", F.coalesce("c", "rid"))
     mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("n", "rid")).alias("lead")).where("lo <> hi").select("h", F.col("lead.rid").alias("lead"))
-    left = placed.join(mixed, "h")
-    dist = met.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("low")).withColumn("high", F.col("low"))
+    dist = answers.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("low")).withColumn("high", F.col("low"))
     dist = dist.union(first.where("not open").select("a", "b", "low", F.lit(1.0)))
-    left = left.withColumn("a", F.least("rid", "lead")).withColumn("b", F.greatest("rid", "lead")).join(dist, ["a", "b"], "left")
+    left = entries.join(mixed, "h").withColumn("a", F.least("rid", "lead")).withColumn("b", F.greatest("rid", "lead")).join(dist, ["a", "b"], "left")
     itself = F.col("rid") == F.col("lead")
-    left = left.select("h", "rid", "n", "place", "c", F.when(itself, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(itself, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
-    left = left.join(sketched.select("rid", "sketch"), "rid")
-    more = durable(open_pairs(left, threshold).join(first, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        # Only links between the components so far matter; each is named by one of its rows.
-        new = compared(more).where("linked").select("a", "b")
-        for end in ("a", "b"):
-            new = new.join(labels.withColumnRenamed("v", end), end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
-        joined = components(new).withColumnRenamed("v", "old").withColumnRenamed("c", "new")
-        labels = labels.unionByName(joined.select(F.col("old").alias("v"), F.col("old").alias("c"))).distinct()
-        labels = durable(labels.join(joined, F.col("c") == F.col("old"), "left").select("v", F.coalesce("new", "c").alias("c")).distinct())
+    left = left.select("h", "rid", "n", "place", F.when(itself, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(itself, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
+    left = keep(left.join(sketched.select("rid", "sketch"), "rid"))
+    asked = first.select("a", "b")
+    # What one set is found to be linked with, all sets linked with it need not ask again: first the pairs that would join
+    # components, then those that are still open between components.
+    for every in (False, True):
+        here = left.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("c", F.coalesce("c", "rid"))
+        more = keep(open_pairs(here, threshold, every).join(asked, ["a", "b"], "left_anti"))
+        if more.isEmpty():
+            continue
+        asked = asked.union(more)
+        labels = components(compared(more).where("linked").select("a", "b").union(labels))
     # Equal sets: the smallest row speaks for all, as in the lists.
-    same = Window.partitionBy("n", "fp_a", "fp_b")
     rep = prints.where("n > 0").groupBy("n", "fp_a", "fp_b").agg(F.min("rid").alias("rep"))
     rep = rep.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("n", "fp_a", "fp_b", F.coalesce("c", "rep").alias("c"))
     out = prints.join(rep, ["n", "fp_a", "fp_b"], "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("c", "rid").alias("c"))
     out = durable(out.join(rows.select("rid", "doc_id"), "rid"))
-    remove(spark, lists_path)
+    for path in paths:
+        remove(spark, path)
     return out
 
 
