@@ -35,10 +35,11 @@ def fixed(df: DataFrame) -> DataFrame:
     """``df`` with its partitions decided here and now, so that numbered rows have the same numbers in every later job.
 
     A plan of its own would split the files anew for each job, by the cores that are registered at that moment. A scan
-    keeps the list of its splits and is not stored; rows from behind a shuffle, whose order may change, are.
+    keeps the list of its splits and is not stored; rows from behind a shuffle, whose order may change, are, and so is a
+    table without rows, which costs nothing.
     """
     run = df._jdf.queryExecution()
-    if "Exchange" in run.executedPlan().toString():
+    if df.isEmpty() or "Exchange" in run.executedPlan().toString():
         return durable(df)
     return type(df)(df.sparkSession._jsparkSession.internalCreateDataFrame(run.toRdd(), df._jdf.schema(), False), df.sparkSession)
 

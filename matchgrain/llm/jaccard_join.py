@@ -43,6 +43,8 @@ TASK_ENTRIES = 1_500_000
 NEAR = 4
 #: Entries of a list that are skipped together by their largest size and earliest position.
 SKIP_BLOCK = 64
+#: Pairs of a list that a task looks at together.
+PAIRS_AT_ONCE = 1 << 16
 #: Row ids that are broadcast to pick texts (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Documents of one list for each task of the second round, and partners of one document for each comparing task.
@@ -86,7 +88,7 @@ def sketches(doc: np.ndarray, h: np.ndarray, n: np.ndarray) -> list[bytes | None
 
 
 def most_common(sketch: list[bytes | None], n: np.ndarray):
-    """``bound(k, other)``: no more hashes than this can the set ``k`` have in common with each of ``other``, by their sketches.
+    """``bound(x, y)``: no more hashes than this can each set of ``x`` have in common with that of ``y``, by their sketches.
 
     Sketches of one width stand in one matrix; where widths differ, the finer one is summed to the coarser.
     """
@@ -98,22 +100,18 @@ def most_common(sketch: list[bytes | None], n: np.ndarray):
         row[at] = np.arange(len(at))
         by[w] = np.frombuffer(b"".join(sketch[i] for i in at.tolist()), np.uint8).reshape(-1, w)
 
-    def bound(k: int, other: np.ndarray) -> np.ndarray:
-        out = np.minimum(n[k], n[other])
-        mine = int(width[k])
-        if not mine:
-            return out
-        own = by[mine][row[k]]
-        for w in np.unique(width[other]).tolist():
-            if w == 0:
-                continue
-            z = np.flatnonzero(width[other] == w)
-            theirs = by[w][row[other[z]]]
-            if w > mine:
-                theirs, me = theirs.reshape(len(z), mine, -1).sum(axis=2, dtype=np.int64), own
-            else:
-                me = own.reshape(w, -1).sum(axis=1, dtype=np.int64) if w < mine else own
-            out[z] = np.minimum(theirs, me).sum(axis=1, dtype=np.int64)
+    def bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.minimum(n[x], n[y])
+        coarse, fine = np.where(width[x] <= width[y], x, y), np.where(width[x] <= width[y], y, x)
+        kinds = width[coarse] << 32 | width[fine]
+        for kind in np.unique(kinds[width[coarse] > 0]).tolist():
+            a, b = kind >> 32, kind & 0xFFFFFFFF
+            at = np.flatnonzero(kinds == kind)
+            for part in np.array_split(at, -(-len(at) * b // (4 << 20))):
+                other = by[b][row[fine[part]]]
+                if b > a:
+                    other = other.reshape(len(part), a, b // a).sum(axis=2, dtype=np.int32)
+                out[part] = np.minimum(by[a][row[coarse[part]]], other).sum(axis=1, dtype=np.int64)
         return out
 
     return bound
@@ -297,43 +295,44 @@ def open_pairs(entries: DataFrame, threshold: int, every: bool) -> DataFrame:
             i, rid, n, place, c, low, high = (col[k][order] for k in ("i", "rid", "n", "place", "c", "low", "high"))
             bound = most_common(rows.column("sketch").take(pa.array(order)).to_pylist(), n)
             cross = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
-            begin = np.arange(0, len(rid), SKIP_BLOCK)
+            m = len(rid)
+            begin = np.arange(0, m, SKIP_BLOCK)
             largest, earliest = np.maximum.reduceat(n, begin), np.minimum.reduceat(place, begin)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            best, partner = np.zeros(len(rid)), np.full(len(rid), -1)
-            shared = np.zeros(len(rid), dtype=np.int64)
-            for k in range(len(rid) - 1):
-                # The most that a block allows: its sets all as large as its largest, sharing from its earliest position on.
-                more = np.flatnonzero((begin + SKIP_BLOCK > k + 1) & similar(n[k], n[np.maximum(begin, k)], 1 + np.minimum(n[k] - place[k] - 1, largest - earliest - 1), threshold))
-                z = (begin[more][:, None] + np.arange(SKIP_BLOCK)).ravel()
-                z = z[(z > k) & (z < len(rid))]
-                ok = (c[z] != c[k]) & fits(n[k], place[k], n[z], place[z], threshold) & (np.maximum(low[z] - high[k], low[k] - high[z]) <= far + 1e-9)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            best, edge = np.zeros(m), np.zeros((3, m), dtype=np.int64)  # each set's best partner so far: the pair, and what it may share
+            step = max(1, PAIRS_AT_ONCE // m)
+            for k in range(0, m, step):
+                me = np.arange(k, min(k + step, m))[:, None]
+                # The most that a block allows: sets from its smallest size on, sharing from its earliest position to its largest size.
+                share = 1 + np.minimum(n[me] - place[me] - 1, largest - earliest - 1)
+                x, block = np.nonzero((begin + SKIP_BLOCK > me + 1) & similar(n[me], n[np.maximum(begin, me)], share, threshold))
+                x, y = np.repeat(x + k, SKIP_BLOCK), (begin[block][:, None] + np.arange(SKIP_BLOCK)).ravel()
+                x, y = (v[(y > x) & (y < m)] for v in (x, y))
+                ok = (c[x] != c[y]) & fits(n[x], place[x], n[y], place[y], threshold) & (np.maximum(low[y] - high[x], low[x] - high[y]) <= far + 1e-9)
                 if cross:
-                    ok &= i[z] != i[k]
-                z = z[ok]
-                if not len(z):
-                    continue
-                common = bound(k, z)
-                ok = similar(n[k], n[z], common, threshold)
-                z, common = z[ok], common[ok]
-                if not len(z):
-                    continue
+                    ok &= i[x] != i[y]
+                x, y = x[ok], y[ok]
+                common = bound(x, y)
+                ok = similar(n[x], n[y], common, threshold)
+                x, y, common = x[ok], y[ok], common[ok]
                 if every:
-                    found.append((np.full(len(z), k), z, common))
+                    found.append((x, y))
                     continue
-                near = common / (n[k] + n[z] - common)
-                j = int(near.argmax())
-                if near[j] > best[k]:
-                    best[k], partner[k], shared[k] = near[j], z[j], common[j]
-                ok = near > best[z]
-                best[z[ok]], partner[z[ok]], shared[z[ok]] = near[ok], k, common[ok]
-            if every and found:
-                x, y, _ = (np.concatenate(f) for f in zip(*found, strict=True))
+                near = common / (n[x] + n[y] - common)
+                order = np.lexsort((-y, -x, near))
+                for end in (x, y):
+                    last = np.full(m, -1)
+                    last[end[order]] = order  # of a set's pairs the nearest is written last
+                    better = np.flatnonzero(last >= 0)
+                    better = better[near[last[better]] > best[better]]
+                    take = last[better]
+                    best[better], edge[:, better] = near[take], np.stack((x[take], y[take], common[take]))
+            if every:
+                x, y = (np.concatenate(f) for f in zip(*found, strict=True))
             else:
-                x = np.flatnonzero(partner >= 0)
-                y = partner[x]
-                take = spanning(np.minimum(x, y), np.maximum(x, y), shared[x], n, c)
-                x, y = (x[take], y[take]) if len(take) else (x[:0], y[:0])
+                x, y, common = edge[:, best > 0]
+                take = spanning(x, y, common, n, c)
+                x, y = x[take], y[take]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[x], rid[y])), pa.array(np.maximum(rid[x], rid[y]))], names=["a", "b"])
 
@@ -364,7 +363,7 @@ def promising(pairs: DataFrame, sketched: DataFrame, threshold: int) -> DataFram
             m = batch.num_rows
             n = np.concatenate((batch.column("na").to_numpy(), batch.column("nb").to_numpy()))
             bound = most_common([*batch.column("sa").to_pylist(), *batch.column("sb").to_pylist()], n)
-            common = np.fromiter((bound(k, np.array([m + k]))[0] for k in range(m)), np.int64, m)
+            common = bound(np.arange(m), np.arange(m) + m)
             low = 1 - common / np.maximum(n[:m] + n[m:] - common, 1)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(low), pa.array(similar(n[:m], n[m:], common, threshold))], names=["a", "b", "low", "open"])
 
