@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import matches, players, selection, statistics, tables  # noqa: F401  they register themselves
+    from . import matches, players, selection, statistics, stores, tables, teams  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
