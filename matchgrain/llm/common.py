@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Documents' text handled at once inside a task, in UTF-8 bytes; a longer single text forms a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,8 @@ SKIP_BLOCK = 64
 PAIRS_AT_ONCE = 1 << 16
 #: Row ids that are broadcast to pick texts (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Entries of one lead's lists for each task of the second round, about.
+LEAD_ENTRIES = 16_384
 #: Documents of one list for each task of the second round, and partners of one document for each comparing task.
 LIST_BLOCK, PARTNERS = 4096, 2000
 
@@ -160,7 +163,7 @@ def prefix_blocks(rows: DataFrame, frequent: np.ndarray, tasks: int, threshold:
     """Prefix entries, gathered by the task of their shingle: ``task, docs`` (rid, n, print, entries), ``hashes``, ``places``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rid, texts in text_slices(batches, ["rid", "text"], 4 << 20):
+        for rid, texts in text_slices(batches, ["rid", "text"], 2 << 20):
             doc, h = shingles(texts)
             if not len(doc):
                 continue
@@ -269,90 +272,114 @@ def spanning(x: np.ndarray, y: np.ndarray, common: np.ndarray, n: np.ndarray, c:
     return np.array(take, dtype=np.int64)
 
 
-def open_pairs(entries: DataFrame, threshold: int, every: bool) -> DataFrame:
-    """Pairs across components in lists (``h, rid, n, place, c, sketch``, and ``low``, ``high``: bounds of the distance to the
-    list's first set) that may be similar enough by all that is known.
+def by_lead(entries: DataFrame, labels: DataFrame, dist: DataFrame, sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lists that still hold several components, gathered by their first (smallest) set, the lead.
+
+    ``lead, rid, n, low, high, sketch, lists``: a set once for all lists (``h``, ``place``) that it shares with one lead, with
+    bounds of its distance to it; and ``lead, buckets, blocks``: into how many parts a lead's lists, and each of them, are dealt.
+    """
+    placed = entries.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("c", F.coalesce("c", "rid"))
+    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("n", "rid")).alias("lead"), F.count("*").alias("size")).where("lo <> hi").select("h", F.col("lead.rid").alias("lead"), "size")
+    parts = mixed.groupBy("lead").agg(F.ceil(F.sum("size") / LEAD_ENTRIES).cast("int").alias("buckets"), F.ceil(F.max("size") / LIST_BLOCK).cast("int").alias("blocks"))
+    sets = entries.join(mixed.drop("size"), "h").groupBy("lead", "rid").agg(F.first("n").alias("n"), F.collect_list(F.struct("h", "place")).alias("lists"))
+    known = sets.withColumn("a", F.least("rid", "lead")).withColumn("b", F.greatest("rid", "lead")).join(dist, ["a", "b"], "left")
+    itself = F.col("rid") == F.col("lead")
+    low, high = F.when(itself, 0.0).otherwise(F.coalesce("low", F.lit(0.0))), F.when(itself, 0.0).otherwise(F.coalesce("high", F.lit(1.0)))
+    return known.select("lead", "rid", "n", low.alias("low"), high.alias("high"), "lists").join(sketched.select("rid", "sketch"), "rid"), parts
+
+
+def open_pairs(sets: DataFrame, parts: DataFrame, threshold: int, every: bool) -> DataFrame:
+    """Pairs across components ``c`` in the lists of ``sets`` (see ``by_lead``) that may be similar enough by all that is known.
 
     Sorted by size, a list is cut into blocks that carry their largest size and the position of their earliest entry: for a
-    set, whole blocks are skipped by these, and the pairs of the others are tested. The triangle inequality drops pairs whose
-    distances to the first set differ by more than the threshold allows. A long list is dealt out as pairs of its blocks.
+    set, whole blocks are skipped by these, and the pairs of the others are tested. A pair that several lists give is judged
+    once: by the triangle inequality over the lead, then by its sketches. A long list is dealt out as pairs of its blocks, and
+    a lead with very many entries by its lists.
 
     Without ``every``, only each set's most promising partner is looked at, and of these pairs only those that would join
-    components that nothing joins yet: fewer than the list has components.
+    components that nothing joins yet: fewer than there are components.
     """
     far = 1 - threshold / 100
-    many = entries.groupBy("h").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("blocks"))
-    dealt = entries.join(many, "h").withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = sets.join(parts, "lead").withColumn("i", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    bucket = lambda x: F.pmod(F.xxhash64(x.h), F.col("buckets")).cast("int")
+    dealt = dealt.withColumn("bucket", F.explode(F.array_distinct(F.transform("lists", bucket)))).withColumn("lists", F.filter("lists", lambda x: bucket(x) == F.col("bucket")))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rid", "n", "place", "c", "low", "high", "sketch")
+    key = ["lead", "bucket", "x", "y"]
+    dealt = dealt.select("lead", "bucket", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "rid", "n", "c", "low", "high", "sketch", "lists")
+
+    def in_list(n: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a list, which is sorted by size, that sizes and positions allow."""
+        m = len(n)
+        begin = np.arange(0, m, SKIP_BLOCK)
+        largest, earliest = np.maximum.reduceat(n, begin), np.minimum.reduceat(place, begin)
+        step = max(1, PAIRS_AT_ONCE // m)
+        for k in range(0, m, step):
+            me = np.arange(k, min(k + step, m))[:, None]
+            # The most that a block allows: sets from its smallest size on, sharing from its earliest position to its largest size.
+            share = 1 + np.minimum(n[me] - place[me] - 1, largest - earliest - 1)
+            x, block = np.nonzero((begin + SKIP_BLOCK > me + 1) & similar(n[me], n[np.maximum(begin, me)], share, threshold))
+            x, y = np.repeat(x + k, SKIP_BLOCK), (begin[block][:, None] + np.arange(SKIP_BLOCK)).ravel()
+            x, y = (v[(y > x) & (y < m)] for v in (x, y))
+            ok = fits(n[x], place[x], n[y], place[y], threshold)
+            yield x[ok], y[ok]
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.take(pa.array(np.lexsort((rows.column("rid").to_numpy(), rows.column("n").to_numpy())))).combine_chunks()
+        i, rid, n, c, low, high = (rows.column(k).to_numpy() for k in ("i", "rid", "n", "c", "low", "high"))
+        m = len(rid)
+        if (c == c[0]).all():
+            return
+        cross = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
+        lists = rows.column("lists").combine_chunks()
+        of, flat = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+        h, place = flat.field("h").to_numpy(), flat.field("place").to_numpy().astype(np.int64)
+        order = np.lexsort((of, h))
+        of, h, place = of[order], h[order], place[order]
+        codes, held = [np.zeros(0, np.int64)], 0
+        for members, at in zip(*(np.split(v, np.flatnonzero(np.diff(h)) + 1) for v in (of, place)), strict=True):
+            for x, y in in_list(n[members], at):
+                x, y = members[x], members[y]
+                ok = (c[x] != c[y]) & (np.maximum(low[y] - high[x], low[x] - high[y]) <= far + 1e-9)
+                codes.append(x[ok] * m + y[ok])
+                held += len(codes[-1])
+                if held > 4 * PAIRS_AT_ONCE:
+                    codes = [np.unique(np.concatenate(codes))]
+                    held = 0
+        code = np.unique(np.concatenate(codes))
+        x, y = code // m, code % m
+        if cross:
+            x, y = (v[i[x] != i[y]] for v in (x, y))
+        common = most_common(rows.column("sketch").to_pylist(), n)(x, y)
+        ok = similar(n[x], n[y], common, threshold)
+        x, y, common = x[ok], y[ok], common[ok]
+        if not every and len(x):
+            order = np.lexsort((-y, -x, common / (n[x] + n[y] - common)))
+            last = np.full(m, -1)
+            for end in (x, y):
+                last[end[order]] = np.maximum(last[end[order]], np.arange(len(order)))  # of a set's pairs the nearest comes last
+            take = order[np.unique(last[last >= 0])]
+            take = take[spanning(x[take], y[take], common[take], n, c)]
+            x, y = x[take], y[take]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[x], rid[y])), pa.array(np.maximum(rid[x], rid[y]))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            col = {c: rows.column(c).to_numpy() for c in ("i", "rid", "n", "place", "c", "low", "high")}
-            if (col["c"] == col["c"][0]).all():
-                return
-            order = np.lexsort((col["rid"], col["n"]))
-            i, rid, n, place, c, low, high = (col[k][order] for k in ("i", "rid", "n", "place", "c", "low", "high"))
-            bound = most_common(rows.column("sketch").take(pa.array(order)).to_pylist(), n)
-            cross = rows.column("x")[0].as_py() != rows.column("y")[0].as_py()
-            m = len(rid)
-            begin = np.arange(0, m, SKIP_BLOCK)
-            largest, earliest = np.maximum.reduceat(n, begin), np.minimum.reduceat(place, begin)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            best, edge = np.zeros(m), np.zeros((3, m), dtype=np.int64)  # each set's best partner so far: the pair, and what it may share
-            step = max(1, PAIRS_AT_ONCE // m)
-            for k in range(0, m, step):
-                me = np.arange(k, min(k + step, m))[:, None]
-                # The most that a block allows: sets from its smallest size on, sharing from its earliest position to its largest size.
-                share = 1 + np.minimum(n[me] - place[me] - 1, largest - earliest - 1)
-                x, block = np.nonzero((begin + SKIP_BLOCK > me + 1) & similar(n[me], n[np.maximum(begin, me)], share, threshold))
-                x, y = np.repeat(x + k, SKIP_BLOCK), (begin[block][:, None] + np.arange(SKIP_BLOCK)).ravel()
-                x, y = (v[(y > x) & (y < m)] for v in (x, y))
-                ok = (c[x] != c[y]) & fits(n[x], place[x], n[y], place[y], threshold) & (np.maximum(low[y] - high[x], low[x] - high[y]) <= far + 1e-9)
-                if cross:
-                    ok &= i[x] != i[y]
-                x, y = x[ok], y[ok]
-                common = bound(x, y)
-                ok = similar(n[x], n[y], common, threshold)
-                x, y, common = x[ok], y[ok], common[ok]
-                if every:
-                    found.append((x, y))
-                    continue
-                near = common / (n[x] + n[y] - common)
-                order = np.lexsort((-y, -x, near))
-                for end in (x, y):
-                    last = np.full(m, -1)
-                    last[end[order]] = order  # of a set's pairs the nearest is written last
-                    better = np.flatnonzero(last >= 0)
-                    better = better[near[last[better]] > best[better]]
-                    take = last[better]
-                    best[better], edge[:, better] = near[take], np.stack((x[take], y[take], common[take]))
-            if every:
-                x, y = (np.concatenate(f) for f in zip(*found, strict=True))
-            else:
-                x, y, common = edge[:, best > 0]
-                take = spanning(x, y, common, n, c)
-                x, y = x[take], y[take]
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rid[x], rid[y])), pa.array(np.maximum(rid[x], rid[y]))], names=["a", "b"])
-
-        held, key = [], None
+        held, now = [], None
         for batch in batches:
-            keys = list(zip(batch.column("h").to_pylist(), batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True))
+            keys = list(zip(*(batch.column(k).to_pylist() for k in key), strict=True))
             begin = 0
             for k in range(len(keys)):
-                if keys[k] != key:
+                if keys[k] != now:
                     if k > begin:
                         held.append(batch.slice(begin, k - begin))
                     if held:
                         yield from pairs(pa.Table.from_batches(held))
-                    held, key, begin = [], keys[k], k
+                    held, now, begin = [], keys[k], k
             held.append(batch.slice(begin))
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    tasks = partitions(entries.sparkSession)
-    return dealt.repartition(tasks, "h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(partitions(sets.sparkSession), *key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
 def promising(pairs: DataFrame, sketched: DataFrame, threshold: int) -> DataFrame:
@@ -434,21 +461,15 @@ def jaccard_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     answers = compared(first.where("open").select("a", "b"))
     labels = components(answers.where("linked").select("a", "b"))
     # Second round: entries of lists that still hold several components, with their distance to the list's first set.
-    of = labels.withColumnRenamed("v", "rid")
-    placed = entries.join(of, "rid", "left").withColumn("c", F.coalesce("c", "rid"))
-    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("n", "rid")).alias("lead")).where("lo <> hi").select("h", F.col("lead.rid").alias("lead"))
     dist = answers.select("a", "b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("low")).withColumn("high", F.col("low"))
     dist = dist.union(first.where("not open").select("a", "b", "low", F.lit(1.0)))
-    left = entries.join(mixed, "h").withColumn("a", F.least("rid", "lead")).withColumn("b", F.greatest("rid", "lead")).join(dist, ["a", "b"], "left")
-    itself = F.col("rid") == F.col("lead")
-    left = left.select("h", "rid", "n", "place", F.when(itself, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(itself, 0.0).otherwise(F.coalesce("high", F.lit(1.0))).alias("high"))
-    left = keep(left.join(sketched.select("rid", "sketch"), "rid"))
+    sets, parts = map(keep, by_lead(entries, labels, dist, sketched))
     asked = first.select("a", "b")
     # What one set is found to be linked with, all sets linked with it need not ask again: first the pairs that would join
     # components, then those that are still open between components.
     for every in (False, True):
-        here = left.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("c", F.coalesce("c", "rid"))
-        more = keep(open_pairs(here, threshold, every).join(asked, ["a", "b"], "left_anti"))
+        here = sets.join(labels.withColumnRenamed("v", "rid"), "rid", "left").withColumn("c", F.coalesce("c", "rid"))
+        more = keep(open_pairs(here, parts, threshold, every).join(asked, ["a", "b"], "left_anti"))
         if more.isEmpty():
             continue
         asked = asked.union(more)
