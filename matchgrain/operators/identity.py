@@ -1,26 +1,142 @@
-"""Record linkage: candidates share a name token, agree on the birth date or nearly so, and are scored by token overlap."""
+"""Record linkage without guessing: ties and near ties are ambiguous, and a name alone is never enough."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import tokens
 
-ACCEPT, REVIEW = 0.90, 0.72
+ACCEPT, REVIEW, NEAR_TIE = 0.90, 0.72, 0.05
+#: What a name's overlap and each agreeing piece of context add; context alone never reaches acceptance.
+NAME, TEAM, COUNTRY, SHIRT, MOST = 0.60, 0.15, 0.08, 0.05, 0.89
+
+
+def jaccard(a: str, b: str) -> Column:
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def by_rarity(*sides: DataFrame) -> list[DataFrame]:
+    """Each side (with ``id`` and ``t``, its tokens) with ``r``: its tokens, rarest first over all sides, ties by spelling."""
+    every = sides[0].select(F.explode("t").alias("w"))
+    for s in sides[1:]:
+        every = every.unionByName(s.select(F.explode("t").alias("w")))
+    counts = every.groupBy("w").count()
+    out = []
+    for s in sides:
+        order = s.select("id", F.explode("t").alias("w")).join(counts, "w").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("count", "w"))), lambda x: x.w).alias("r"))
+        out.append(s.join(order, "id", "left"))
+    return out
 
 
 def resolve(left: DataFrame, right: DataFrame, accept: float = ACCEPT, review: float = REVIEW) -> DataFrame:
-    """``id, other, score, status`` for every left row (``id``, ``name``, ``born``). Two equal best candidates are ambiguous.
+    """``id, other, score, status`` for every left row (``id, name, born, team, country, shirt``; right rows alike).
+
+    Equal birth dates with equal names score 1, with a shared token 0.95, without one 0.80. Else the name's overlap counts,
+    with small additions for context, unless one name is a single token of the other (0.30). The best score decides; a runner-up
+    that is as perfect, or within 0.05, makes it ambiguous. ``score`` is null where nothing reaches review.
 
-    Blocking on the birth date keeps candidates linear; names alone decide only among those.
+    Two ways lead to a score that matters, and each is an equi-join: the same birth date, or an overlap so high that the names
+    share one of their rarest tokens (prefix filter); names made of common tokens alone do not meet.
     """
-    a = left.select("id", tokens(F.col("name")).alias("ta"), "born")
-    b = right.select(F.col("id").alias("other"), tokens(F.col("name")).alias("tb"), "born")
-    overlap = F.size(F.array_intersect("ta", "tb")) / F.greatest(F.lit(1), F.size(F.array_union("ta", "tb")))
-    scored = a.join(b, "born").select("id", "other", F.round(0.5 + 0.5 * overlap, 6).alias("score"))
+    least = (review - TEAM - COUNTRY - SHIRT) / NAME
+    a, b = by_rarity(left.withColumn("t", tokens(F.col("name"))), right.withColumn("t", tokens(F.col("name"))))
+    head = F.slice(F.col("r"), F.lit(1), F.size("r") - F.ceil(least * F.size("r")).cast("int") + 1)
+    pairs = a.where("born is not null").select("id", "born").join(b.where("born is not null").select(F.col("id").alias("other"), "born"), "born").select("id", "other")
+    x = a.where("size(r) > 0").select("id", F.explode(head).alias("w"))
+    y = b.where("size(r) > 0").select(F.col("id").alias("other"), F.explode(head).alias("w"))
+    pairs = pairs.unionByName(x.join(y, "w").select("id", "other")).distinct()
+    cols = ("t", "born", "team", "country", "shirt")
+    met = pairs.join(a.select("id", *[F.col(c).alias(f"a_{c}") for c in cols]), "id").join(b.select(F.col("id").alias("other"), *[F.col(c).alias(f"b_{c}") for c in cols]), "other")
+    overlap = jaccard("a_t", "b_t")
+    small = F.least(F.size("a_t"), F.size("b_t"))
+    absorbed = (small == 0) | ((small == 1) & (F.size("a_t") != F.size("b_t")) & (F.size(F.array_intersect("a_t", "b_t")) == small))
+    same = lambda c: F.coalesce(F.col(f"a_{c}") == F.col(f"b_{c}"), F.lit(False))
+    context = NAME * overlap + F.when(same("team"), TEAM).otherwise(0.0) + F.when(same("country"), COUNTRY).otherwise(0.0) + F.when(same("shirt"), SHIRT).otherwise(0.0)
+    score = F.when(same("born"), F.when(overlap >= 0.999, 1.0).when(overlap > 0, 0.95).otherwise(0.80)).when(absorbed, 0.30).otherwise(F.least(context, F.lit(MOST)))
+    top = met.select("id", "other", F.round(score, 6).alias("score")).where(F.col("score") >= review)
     order = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-    top = scored.withColumn("next", F.lead("score").over(order)).withColumn("r", F.row_number().over(order)).where("r = 1")
-    status = F.when(F.col("score") < review, "none").when(F.col("next") == F.col("score"), "ambiguous").when(F.col("score") >= accept, "accepted").otherwise("review")
-    out = left.select("id").join(top.select("id", "other", "score", status.alias("status")), "id", "left")
-    return out.withColumn("status", F.coalesce("status", F.lit("none")))
+    top = top.withColumn("next", F.coalesce(F.lead("score").over(order), F.lit(0.0))).withColumn("n", F.row_number().over(order)).where("n = 1")
+    s, nxt = F.col("score"), F.col("next")
+    status = (
+        F.when(s >= 0.999, F.when(nxt >= 0.999, "ambiguous").otherwise("exact"))
+        .when((s >= accept) & (F.round(s - nxt, 6) < NEAR_TIE), "ambiguous").when(s >= accept, "high confidence").otherwise("ambiguous")
+    )
+    top = top.select("id", "other", "score", status.alias("status")).withColumn("other", F.when(F.col("status").isin("exact", "high confidence"), F.col("other")))
+    return left.select("id").join(top, "id", "left").withColumn("status", F.coalesce("status", F.lit("unresolved")))
+
+
+def tiered_links(left: DataFrame, right: DataFrame, tiers: Sequence[str] = ("A", "N", "B"), least: int = 2, unique: bool = True) -> DataFrame:
+    """``id, other, tier, outcome`` for every left row (``id, name, known_as, country, hidden``; right: ``id, name, country``).
+
+    Tier A: equal token sets; N: the known name's tokens equal the right name's; B: one set strictly holds the other. Countries
+    agree always. The first tier with candidates decides: one is a link, several are ambiguous. ``hidden`` names a right id that
+    this left row may not see. A right row that several left rows reach is claimed twice.
+    """
+    sorted_tokens = lambda c: F.array_sort(tokens(F.col(c)))
+    a, b = by_rarity(left.withColumn("t", sorted_tokens("name")).withColumn("k", sorted_tokens("known_as")), right.withColumn("t", sorted_tokens("name")))
+    b = b.select(F.col("id").alias("other"), F.col("t").alias("u"), F.col("r").alias("s"), "country")
+    found = {
+        "A": lambda: a.where(F.size("t") >= least).join(b, (F.col("t") == F.col("u")) & (a.country == b.country)),
+        "N": lambda: a.where(F.size("k") >= least).join(b, (F.col("k") == F.col("u")) & (a.country == b.country)),
+        "B": lambda: contained(),
+    }
+
+    def contained() -> DataFrame:
+        # The smaller set's rarest token is a token of the larger one: two equi-joins, by which side is the smaller.
+        one = a.withColumn("w", F.col("r")[0]).join(b.withColumn("w", F.explode("u")).withColumnRenamed("country", "bc"), "w").where((F.size("t") < F.size("u")) & (F.size("t") >= least) & (F.col("country") == F.col("bc")) & (F.size(F.array_except("t", "u")) == 0))
+        two = a.withColumn("w", F.explode("t")).join(b.withColumn("w", F.col("s")[0]).withColumnRenamed("country", "bc"), "w").where((F.size("u") < F.size("t")) & (F.size("u") >= least) & (F.col("country") == F.col("bc")) & (F.size(F.array_except("u", "t")) == 0))
+        return one.select("id", "hidden", "other").unionByName(two.select("id", "hidden", "other")).distinct()
+
+    every = None
+    for n, tier in enumerate(tiers):
+        one = found[tier]().select("id", "hidden", "other").where(~F.col("other").eqNullSafe(F.col("hidden"))).select("id", "other", F.lit(n).alias("n"), F.lit(tier).alias("tier"))
+        every = one if every is None else every.unionByName(one)
+    by = every.groupBy("id", "n", "tier").agg(F.count("*").alias("c"), F.min("other").alias("other"))
+    first = by.groupBy("id").agg(F.min(F.struct("n", "tier", "c", "other")).alias("m")).select("id", F.when(F.col("m.c") == 1, F.col("m.other")).alias("other"), "m.tier", F.when(F.col("m.c") == 1, "linked").otherwise("ambiguous").alias("outcome"))
+    if unique:
+        claims = first.where("outcome = 'linked'").groupBy("other").agg(F.count("*").alias("claims"))
+        first = first.join(claims, "other", "left").withColumn("outcome", F.when(F.col("claims") > 1, "claimed twice").otherwise(F.col("outcome"))).select("id", "other", "tier", "outcome")
+    return left.select("id").join(first, "id", "left").withColumn("outcome", F.coalesce("outcome", F.lit("no candidate")))
+
+
+def match_fixtures(left: DataFrame, right: DataFrame, days: int, above: float) -> DataFrame:
+    """``id, other, swapped, outcome``: fixtures (``id, day, home, away`` token arrays, ``hg, ag`` goals) of two sources.
+
+    A candidate lies within ``days`` and its smaller side overlap, in the better orientation, is above ``above``; one candidate
+    that nobody else claims, with the same goals, is a link.
+    """
+    b = right.select(F.col("id").alias("other"), F.col("day").alias("d"), F.col("home").alias("oh"), F.col("away").alias("oa"), F.col("hg").alias("ohg"), F.col("ag").alias("oag"), F.explode(F.sequence(F.col("day") - days, F.col("day") + days)).alias("day"))
+    straight, crossed = F.least(jaccard("home", "oh"), jaccard("away", "oa")), F.least(jaccard("home", "oa"), jaccard("away", "oh"))
+    met = left.join(b, "day").withColumn("straight", straight).withColumn("crossed", crossed).where((F.col("straight") != F.col("crossed")) & (F.greatest("straight", "crossed") > above))
+    met = met.withColumn("swapped", F.col("crossed") > F.col("straight"))
+    claims = met.groupBy("other").agg(F.count("*").alias("claims"))
+    one = met.join(claims, "other").groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("other", "swapped", "claims", "hg", "ag", "ohg", "oag")).alias("m"))
+    agree = F.when(F.col("m.swapped"), (F.col("m.hg") == F.col("m.oag")) & (F.col("m.ag") == F.col("m.ohg"))).otherwise((F.col("m.hg") == F.col("m.ohg")) & (F.col("m.ag") == F.col("m.oag")))
+    outcome = F.when(F.col("n").isNull(), "no candidate").when(F.col("n") > 1, "ambiguous").when(F.col("m.claims") > 1, "claimed twice").when(~F.coalesce(agree, F.lit(False)), "goals disagree").otherwise("linked")
+    out = left.select("id").join(one, "id", "left").select("id", outcome.alias("outcome"), F.col("m.other").alias("other"), F.col("m.swapped").cast("int").alias("swapped"))
+    linked = F.col("outcome") == "linked"
+    return out.select("id", F.when(linked, F.col("other")).alias("other"), F.when(linked, F.col("swapped")).alias("swapped"), "outcome")
+
+
+def pair_sheets(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, id, other, how``: players of two versions of one team sheet (``id``, ``t`` tokens).
+
+    Who is each other's only best overlap is paired by name; where one player a side is then left, they are paired by
+    elimination; the others stay open. A sheet has a few dozen players at most, and pairs arise only from shared tokens.
+    """
+    x = left.select(*keys, "id", "t", F.explode("t").alias("w"))
+    y = right.select(*keys, F.col("id").alias("other"), F.col("t").alias("u"), F.explode("t").alias("w"))
+    met = x.join(y, [*keys, "w"]).select(*keys, "id", "other", jaccard("t", "u").alias("o")).distinct()
+
+    def only_best(by: str) -> DataFrame:
+        top = met.groupBy(*keys, by).agg(F.max("o").alias("o"))
+        return met.join(top, [*keys, by, "o"]).groupBy(*keys, by).agg(F.count("*").alias("n"), F.min(F.struct("id", "other")).alias("m")).where("n = 1").select(*keys, "m.id", "m.other")
+
+    named = only_best("id").join(only_best("other"), [*keys, "id", "other"])
+    rest_a = left.select(*keys, "id").join(named, [*keys, "id"], "left_anti").groupBy(*keys).agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
+    rest_b = right.select(*keys, F.col("id").alias("other")).join(named, [*keys, "other"], "left_anti").groupBy(*keys).agg(F.count("*").alias("n"), F.min("other").alias("other")).where("n = 1").drop("n")
+    found = named.withColumn("how", F.lit("name")).unionByName(rest_a.join(rest_b, keys).select(*keys, "id", "other", F.lit("elimination").alias("how")))
+    return left.select(*keys, "id").join(found, [*keys, "id"], "left").withColumn("how", F.coalesce("how", F.lit("open")))

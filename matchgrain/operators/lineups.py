@@ -1,15 +1,16 @@
-"""Exact selection without a solver: the feasible player sets of a formation, as a relation.
+"""Exact selection without a solver: the feasible player sets of a formation, as a relation, for any number of squads.
 
 Slots are filled one after another and equal sets collapse after each slot, so permutations never pile up. A question about
-selections is then an aggregate over the sets. The number of sets is bounded before any work: beyond ``cap`` the answer is
-refused, never cut.
+selections is then an aggregate over the sets, by squad where ``by`` names the squad's columns. The number of sets is bounded
+before any work: beyond ``cap`` the answer is refused, never cut.
 """
 
 from __future__ import annotations
 
-from math import comb
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,62 +18,116 @@ class TooManySets(ValueError):
     """The relation would exceed its cap; the question stays undecided."""
 
 
-def feasible_sets(candidates: DataFrame, formation: dict[str, int], cap: int = 5_000_000) -> DataFrame:
+def _and(parts: Sequence[Column]) -> Column:
+    return reduce(Column.__and__, parts, F.lit(True))
+
+
+def most_sets(candidates: DataFrame, formation: Mapping[str, int], by: Sequence[str] = ()) -> int:
+    """No more sets than this are feasible: the product over the slots of the ways to choose, summed over squads."""
+    n = candidates.groupBy(*by).agg(*[F.count_if(F.array_contains("slots", s)).alias(f"_{i}") for i, s in enumerate(formation)])
+    ways = F.lit(1.0)
+    for i, places in enumerate(formation.values()):
+        for k in range(places):
+            ways = ways * F.greatest(F.lit(0), F.col(f"_{i}") - k) / (k + 1)
+    return round(n.agg(F.sum(ways)).first()[0] or 0)
+
+
+def feasible_sets(candidates: DataFrame, formation: Mapping[str, int], cap: int = 5_000_000, by: Sequence[str] = ()) -> DataFrame:
     """``candidates`` (player_id, slots array) to ``xi``: sorted arrays of players that fill ``formation`` (slot -> places)."""
-    spark = candidates.sparkSession
-    sizes = {r["slot"]: r["count"] for r in candidates.select(F.explode("slots").alias("slot")).where(F.col("slot").isin(*formation)).groupBy("slot").count().collect()}
-    bound = 1
-    for slot, places in formation.items():
-        bound *= comb(sizes.get(slot, 0), places)
+    bound = most_sets(candidates, formation, by)
     if bound > cap:
         raise TooManySets(f"up to {bound} sets, the cap is {cap}")
-    state = spark.createDataFrame([([],)], "xi array<long>")
+    empty = F.array().cast("array<long>").alias("xi")
+    state = candidates.select(*by, empty).distinct() if by else candidates.sparkSession.range(1).select(empty)
     for slot, places in formation.items():
-        fit = candidates.where(F.array_contains("slots", slot)).select(F.col("player_id").alias("p"))
-        for k in range(places):
+        fit = candidates.where(F.array_contains("slots", slot)).select(*[F.col(b).alias(f"_{b}") for b in by], F.col("player_id").alias("p"))
+        state = state.withColumn("prev", F.lit(None).cast("long"))
+        for _ in range(places):
             # Within one slot kind players come in ascending order: no permutations.
-            state = state.withColumn("prev", F.lit(None).cast("long")) if k == 0 else state
-            grown = state.join(F.broadcast(fit), ~F.array_contains("xi", F.col("p")) & (F.col("prev").isNull() | (F.col("p") > F.col("prev"))))
-            state = grown.select(F.concat("xi", F.array("p")).alias("xi"), F.col("p").alias("prev"))
-        state = state.select(F.array_sort("xi").alias("xi")).distinct()
+            new = ~F.array_contains("xi", F.col("p")) & (F.col("prev").isNull() | (F.col("p") > F.col("prev")))
+            grown = state.join(fit, _and([F.col(b) == F.col(f"_{b}") for b in by] + [new]))
+            state = grown.select(*by, F.concat("xi", F.array("p")).alias("xi"), F.col("p").alias("prev"))
+        state = state.select(*by, F.array_sort("xi").alias("xi")).distinct()
     return state
 
 
-def losses(sets: DataFrame, coefficients: DataFrame, minima: dict[str, int]) -> DataFrame:
-    """``xi``, its integer sums, and the pair (largest shortfall, total shortfall). ``coefficients``: player_id and a long each."""
-    names = list(minima)
-    # One row for each candidate, whose number the set bound has limited.
-    table = F.broadcast(coefficients.select(F.col("player_id").alias("p"), *names))
-    sums = sets.withColumn("p", F.explode("xi")).join(table, "p").groupBy("xi").agg(*[F.sum(n).alias(n) for n in names])
-    short = [F.greatest(F.lit(0), F.lit(minima[n]) - F.col(n)).cast("long") for n in names]
-    return sums.withColumn("max_short", F.greatest(*short) if len(short) > 1 else short[0]).withColumn("total_short", sum(short[1:], short[0]))
+def sums(sets: DataFrame, coefficients: DataFrame, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """``xi`` with the sums of its players' integers. ``coefficients``: player_id (each once) and a long each."""
+    table = coefficients.select(F.col("player_id").alias("p"), *names)
+    return sets.withColumn("p", F.explode("xi")).join(table, "p").groupBy(*by, "xi").agg(*[F.sum(n).alias(n) for n in names])
 
 
-def best(loss: DataFrame) -> DataFrame:
-    """All sets of the least loss: the optimum and its ties."""
-    least = loss.agg(F.min(F.struct("max_short", "total_short")).alias("m"))
-    return loss.join(F.broadcast(least)).where((F.col("max_short") == F.col("m.max_short")) & (F.col("total_short") == F.col("m.total_short"))).drop("m")
+def shortfalls(sum_of: Mapping[str, Column], minima: Mapping[str, int]) -> tuple[Column, Column]:
+    """The largest and the total shortfall of sums against minima."""
+    short = [F.greatest(F.lit(0), F.lit(m) - sum_of[n]).cast("long") for n, m in minima.items()]
+    return F.greatest(*short) if len(short) > 1 else short[0], sum(short[1:], short[0])
 
 
-def membership(level: DataFrame) -> DataFrame:
-    """Players in some and in all of the best sets."""
-    n = level.agg(F.count("*").alias("n"))
-    return level.select(F.explode("xi").alias("player_id")).groupBy("player_id").count().join(F.broadcast(n)).select("player_id", (F.col("count") == F.col("n")).alias("necessary"))
+def losses(sets: DataFrame, coefficients: DataFrame, minima: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
+    """``xi``, its integer sums, and the pair (largest shortfall, total shortfall)."""
+    worst, total = shortfalls({n: F.col(n) for n in minima}, minima)
+    return sums(sets, coefficients, list(minima), by).withColumn("max_short", worst).withColumn("total_short", total)
+
 
+def least(rows: DataFrame, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """All rows whose ``key`` is the least of their squad."""
+    m = rows.groupBy(*by).agg(F.min(F.struct(*key)).alias("_m"))
+    met = rows.join(m, list(by)) if by else rows.join(F.broadcast(m))
+    return met.where(_and([F.col(k) == F.col("_m")[k] for k in key])).drop("_m")
 
-def frontier(loss: DataFrame, dims: list[str]) -> DataFrame:
-    """Nondominated distinct sum vectors."""
-    points = loss.select(*dims).distinct()
-    other = points.toDF(*[f"_{d}" for d in dims])
-    no_worse = [F.col(f"_{d}") >= F.col(d) for d in dims]
-    better = [F.col(f"_{d}") > F.col(d) for d in dims]
-    cond, some = no_worse[0], better[0]
-    for a, b in zip(no_worse[1:], better[1:], strict=True):
-        cond, some = cond & a, some | b
-    return points.join(other, cond & some, "left_anti")
+
+def best(loss: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """All sets of the least loss: the optimum and its ties."""
+    return least(loss, ("max_short", "total_short"), by)
 
 
-def absence(loss: DataFrame, players: DataFrame) -> DataFrame:
+def membership(level: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Players in some and in all of the best sets."""
+    n = level.groupBy(*by).agg(F.count("*").alias("n"))
+    c = level.select(*by, F.explode("xi").alias("player_id")).groupBy(*by, "player_id").count()
+    met = c.join(n, list(by)) if by else c.join(F.broadcast(n))
+    return met.select(*by, "player_id", (F.col("count") == F.col("n")).alias("necessary"))
+
+
+def diverse(level: DataFrame, changes: int, most: int, by: Sequence[str] = ()) -> DataFrame:
+    """``nth, xi``: of sets that are equally good the first one, then each time the first that differs from every one before
+    in at least ``changes`` players."""
+    left, out = level.select(*by, "xi"), None
+    for k in range(most):
+        first = left.groupBy(*by).agg(F.min("xi").alias("xi"))
+        one = first.select(*by, F.lit(k + 1).alias("nth"), "xi")
+        out = one if out is None else out.unionByName(one)
+        taken = first.withColumnRenamed("xi", "_x")
+        met = left.join(taken, list(by)) if by else left.join(F.broadcast(taken))
+        left = met.where(F.size(F.array_except("xi", "_x")) >= changes).drop("_x")
+    return out.where("xi is not null")
+
+
+def frontier(loss: DataFrame, dims: list[str], by: Sequence[str] = ()) -> DataFrame:
+    """Nondominated distinct sum vectors. Two dimensions need one sort and a running maximum for each squad."""
+    points = loss.select(*by, *dims).distinct()
+    if len(dims) == 2:
+        before = Window.partitionBy(*by).orderBy(*[F.desc(d) for d in dims]).rowsBetween(Window.unboundedPreceding, -1)
+        return points.withColumn("_top", F.max(dims[1]).over(before)).where(F.col("_top").isNull() | (F.col(dims[1]) > F.col("_top"))).drop("_top")
+    other = points.toDF(*[f"_{c}" for c in points.columns])
+    better = reduce(Column.__or__, [F.col(f"_{d}") > F.col(d) for d in dims])
+    return points.join(other, _and([F.col(b) == F.col(f"_{b}") for b in by] + [F.col(f"_{d}") >= F.col(d) for d in dims]) & better, "left_anti")
+
+
+def absence(loss: DataFrame, players: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The least loss without each single player; no row means that no set is left."""
-    p = F.broadcast(players.select(F.col("player_id").alias("absent")))
-    return loss.join(p, ~F.array_contains("xi", F.col("absent"))).groupBy("absent").agg(F.min(F.struct("max_short", "total_short")).alias("m")).select("absent", "m.max_short", "m.total_short")
+    p = players.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("player_id").alias("absent"))
+    met = loss.join(p, _and([F.col(b) == F.col(f"_{b}") for b in by] + [~F.array_contains("xi", F.col("absent"))]))
+    return met.groupBy(*by, "absent").agg(F.min(F.struct("max_short", "total_short")).alias("m")).select(*by, "absent", "m.max_short", "m.total_short")
+
+
+def conflict(feasible: Sequence[Column], names: Sequence[str]) -> Column:
+    """The minimal conflicting set of declarations, by deletion: ``feasible[m]`` says whether some set meets all declarations in
+    the bits of m. Each is dropped in turn if the rest is infeasible without it; nothing if all can be met."""
+    table = F.array(*feasible)
+    mask = F.lit((1 << len(names)) - 1)
+    for i in range(len(names)):
+        without = mask.bitwiseAND(F.lit(~(1 << i)))
+        mask = F.when(~F.element_at(table, without + 1), without).otherwise(mask)
+    kept = F.filter(F.array(*[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(n)) for i, n in enumerate(names)]), lambda x: x.isNotNull())
+    return F.when(feasible[-1], F.lit("")).otherwise(F.concat_ws(" + ", kept))

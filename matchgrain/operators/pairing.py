@@ -1,11 +1,14 @@
-"""One-to-one pairing of two event streams inside a time tolerance, nearest pairs first."""
+"""One-to-one pairing of two event streams inside a time tolerance, nearest pairs first; and the clocks between them."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 
 def candidates(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """Pairs within the tolerance: events meet in time buckets of its width, so the join is an equi-join."""
@@ -13,19 +16,46 @@ def candidates(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float) ->
     x = a.select(*keys, F.col("event_id").alias("a"), F.col("seconds").alias("sa"), "start_x", "start_y", bucket.alias("k"))
     y = b.select(*keys, F.col("event_id").alias("b"), F.col("seconds").alias("sb"), F.col("start_x").alias("bx"), F.col("start_y").alias("by"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("k"))
     gap = F.abs(F.col("sa") - F.col("sb"))
-    return x.join(y, [*keys, "k"]).where(gap <= tolerance).select(*keys, "a", "b", gap.alias("gap"), F.hypot(F.col("start_x") - F.col("bx"), F.col("start_y") - F.col("by")).alias("distance"))
+    return x.join(y, [*keys, "k"]).where(gap <= tolerance).select("a", "b", gap.alias("gap"), F.hypot(F.col("start_x") - F.col("bx"), F.col("start_y") - F.col("by")).alias("distance"))
 
 
 def pair_events(a: DataFrame, b: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """Greedy matching by (gap, distance, ids) inside each group of ``keys``: a group is one side of one half of one match."""
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, keep = set(), set(), []
-        for r in rows.sort_values(["gap", "distance", "a", "b"]).itertuples():
-            if r.a not in left and r.b not in right:
-                left.add(r.a)
-                right.add(r.b)
-                keep.append(r.Index)
-        return rows.loc[keep, ["a", "b", "gap"]]
-
-    return candidates(a, b, keys, tolerance).groupBy(*keys).applyInPandas(match, "a long, b long, gap double")
+    """``a, b, gap``: what a greedy pass over all pairs by (gap, distance, ids) would keep.
+
+    A pair that is the nearest one left for both its events is in the greedy result whatever else happens, so rounds of such
+    mutual choices, taken with grouped minima, give the same pairs without ever holding a group in one task.
+    """
+    left = cut(candidates(a, b, keys, tolerance))
+    order = F.struct("gap", "distance", "a", "b")
+    found = None
+    while not left.isEmpty():
+        one = left.groupBy("a").agg(F.min(order).alias("m")).select("m.*")
+        two = left.groupBy("b").agg(F.min(order).alias("m")).select("m.*")
+        both = cut(one.join(two.select("a", "b"), ["a", "b"]).select("a", "b", "gap"))
+        found = both if found is None else found.unionByName(both)
+        left = cut(left.join(both.select("a"), "a", "left_anti").join(both.select("b"), "b", "left_anti"))
+    return left.select("a", "b", "gap") if found is None else found
+
+
+def clock_offsets(a: DataFrame, b: DataFrame, keys: list[str], team: str, grid: Sequence[float], window: float) -> DataFrame:
+    """``keys, offset, hits``: the offset of ``grid`` under which most events of ``a`` have one of ``b``, same team, near.
+
+    Ties go to the smallest absolute offset, then to the negative one. The grid is declared and short, so each event is
+    repeated once for each of its offsets and meets ``b`` in buckets of the window's width.
+    """
+    shifted = a.select(*keys, team, "event_id", "seconds", F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("offset")).withColumn("at", F.col("seconds") + F.col("offset"))
+    bucket = F.floor(F.col("at") / window)
+    near = b.select(*keys, team, F.col("seconds").alias("other"), F.explode(F.array(*[F.floor(F.col("seconds") / window) + d for d in (-1, 0, 1)])).alias("k")).distinct()
+    hit = shifted.withColumn("k", bucket).join(near, [*keys, team, "k"]).where(F.abs(F.col("at") - F.col("other")) <= window).select(*keys, "event_id", "offset").distinct()
+    counts = hit.groupBy(*keys, "offset").count()
+    every = a.select(*keys).union(b.select(*keys)).distinct()
+    best = counts.groupBy(*keys).agg(F.min(F.struct((-F.col("count")).alias("c"), F.abs("offset").alias("d"), "offset")).alias("m"))
+    return every.join(best, keys, "left").select(*keys, F.coalesce("m.offset", F.lit(float(min(grid, key=lambda g: (abs(g), g))))).alias("offset"), F.coalesce(-F.col("m.c"), F.lit(0)).cast("long").alias("hits"))
+
+
+def derangement(rows: DataFrame, key: str, stratum: str, order: F.Column) -> DataFrame:
+    """Each row's partner in its stratum, never itself: the next one in a declared order, round the circle. Alone: null."""
+    w = Window.partitionBy(stratum).orderBy(order, key)
+    every = Window.partitionBy(stratum)
+    first = F.min(F.struct(order.alias("o"), F.col(key).alias("k"))).over(every)["k"]
+    return rows.select(key, stratum, F.when(F.count("*").over(every) > 1, F.coalesce(F.lead(key).over(w), first)).alias("partner"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import channel, gain, located, ratio, strictly_below, third
 from ..operators.constructs import components, rates
+from ..operators.ranks import order_statistics
 from ..operators.surface import fit_surface, surface_frame, with_delta
 from ..sources import neutral
 from .registry import query
@@ -171,8 +172,5 @@ def league_reference(spark, sf_dir):
     """Order statistics (no interpolation) of the starters' summed rates over team-matches."""
     acts = neutral.actions(spark, sf_dir)
     sums = neutral.lineups(acts).where("started").join(construct_rates(spark, sf_dir), "player_id").groupBy("game_id", "team_id").agg(F.sum("progression").alias("total"))
-    # One value for each team-match; the five statistics come from exact discrete percentiles of their count.
-    ranked = sums.withColumn("r", F.row_number().over(Window.orderBy("total"))).crossJoin(F.broadcast(sums.agg(F.count("*").alias("n"))))
-    points = spark.createDataFrame([(p,) for p in (10, 25, 50, 75, 90)], "p int")
-    hit = ranked.join(F.broadcast(points), F.col("r") == F.greatest(F.lit(1), F.floor((F.col("p") * F.col("n") + 99) / 100)))
-    return hit.select("p", F.round("total", 5).alias("value"))
+    hit = order_statistics(sums, "total", (10, 25, 50, 75, 90))
+    return hit.select("p", F.round("value", 5).alias("value"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import average_rank, gain, ratio
+from ..functions.scalars import gain, ratio
+from ..operators.ranks import average_ranks
 from ..sources import neutral
 from .registry import query
 
@@ -55,7 +56,7 @@ SELECT round({pearson_sql("a", "b")}, 6) AS rho, count(*) AS players FROM k""")
 def rank_correlation(spark, sf_dir):
     """Average ranks: row order does not matter under ties."""
     t = per_match(spark, sf_dir).groupBy("player_id").agg(F.sum("n").cast("double").alias("passes"), F.sum("d").cast("double").alias("touches"))
-    k = t.select(average_rank("passes").alias("a"), average_rank("touches").alias("b"))
+    k = average_ranks(average_ranks(t, "passes", "a"), "touches", "b")
     return k.agg(F.round(pearson("a", "b"), 6).alias("rho"), F.count("*").alias("players"))
 
 
@@ -110,8 +111,8 @@ def group_residuals(spark, sf_dir):
     acts = neutral.actions(spark, sf_dir)
     t = per_match(spark, sf_dir).groupBy("player_id").agg(F.sum("n").cast("double").alias("y"), F.sum("d").cast("double").alias("x"))
     t = t.join(neutral.players(acts).where("position is not null"), "player_id")
-    w = Window.partitionBy("position")
-    c = t.select("player_id", (F.col("y") - F.avg("y").over(w)).alias("yc"), (F.col("x") - F.avg("x").over(w)).alias("xc"))
+    means = t.groupBy("position").agg(F.avg("y").alias("my"), F.avg("x").alias("mx"))
+    c = t.join(F.broadcast(means), "position").select("player_id", (F.col("y") - F.col("my")).alias("yc"), (F.col("x") - F.col("mx")).alias("xc"))
     b = c.agg(ratio(F.sum(F.col("xc") * F.col("yc")), F.sum(F.col("xc") * F.col("xc"))).alias("slope"))
     return c.join(F.broadcast(b)).select("player_id", F.round(F.col("yc") - F.col("slope") * F.col("xc"), 5).alias("residual"))
 

@@ -1,13 +1,11 @@
-"""Relational queries on the business tables: validated joins, set operations, identity, pairing, windows, streams."""
+"""Relational queries on the business tables: validated joins, set operations, windows, streams."""
 
 from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import fold, tokens
-from ..operators.identity import resolve
-from ..operators.pairing import pair_events
+from ..functions.scalars import fold
 from ..sources import neutral
 from .registry import query
 
@@ -69,23 +67,6 @@ def folded_search(spark, sf_dir):
     return _t(spark, sf_dir, "customer").select("c_custkey", fold(F.col("c_name")).alias("folded")).where(F.contains("folded", F.lit("7")))
 
 
-@query()
-def identity_links(spark, sf_dir):
-    """Customers against a second provider's spelling of them, blocked on name tokens; brute force in the tests."""
-    c = _t(spark, sf_dir, "customer")
-    left = c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.date_add(F.lit("1990-01-01").cast("date"), F.pmod("c_custkey", F.lit(3650)).cast("int")).alias("born"))
-    right = left.where("id % 3 <> 0").select((F.col("id") + 1_000_000).alias("id"), F.upper("name").alias("name"), "born")
-    return resolve(left, right)
-
-
-@query()
-def paired_events(spark, sf_dir):
-    """Two providers' events of one match matched one to one in time; greedy, so checked by its own invariants in tests."""
-    a = neutral.actions(spark, sf_dir).where("type = 'pass'").select("game_id", "period", "team_id", "seconds", "event_id", "start_x", "start_y")
-    b = a.where("event_id % 5 <> 0").withColumn("seconds", F.col("seconds") + F.col("event_id") % 3).withColumn("event_id", F.col("event_id") + 10_000_000)
-    return pair_events(a, b, ["game_id", "period", "team_id"], 5.0)
-
-
 @query(neutral.SQL + " SELECT CAST(time_bucket(INTERVAL '5 minutes', ts) AS TIMESTAMP) AS start, type, count(*) AS n FROM actions GROUP BY ALL")
 def tumbling_windows(spark, sf_dir):
     a = neutral.actions(spark, sf_dir)

@@ -28,6 +28,12 @@ def workspace(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in that folder, so that a lost executor loses nothing."""
+    workspace(df.sparkSession)
+    return df.checkpoint()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

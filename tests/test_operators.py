@@ -72,21 +72,93 @@ def test_pairing_is_one_to_one_and_nearest_first(spark):
     assert [(r.a, r.b) for r in pair_events(a, b, ["g"], 5.0).collect()] == [(2, 7)]
 
 
-def test_pairing_invariants(spark):
-    from matchgrain.plans.tables import paired_events
-
-    p = paired_events(spark, SMALL).toPandas()
-    assert p["a"].is_unique and p["b"].is_unique and (p["gap"] <= 5).all()
+def greedy(a, b, tolerance):
+    """One pass over all pairs, nearest first."""
+    pairs = sorted(
+        (abs(x.seconds - y.seconds), ((x.start_x - y.start_x) ** 2 + (x.start_y - y.start_y) ** 2) ** 0.5, x.event_id, y.event_id)
+        for x in a for y in b if (x.game_id, x.period, x.team_id) == (y.game_id, y.period, y.team_id) and abs(x.seconds - y.seconds) <= tolerance
+    )
+    left, right, out = set(), set(), set()
+    for gap, _, x, y in pairs:
+        if x not in left and y not in right:
+            left.add(x)
+            right.add(y)
+            out.add((x, y, gap))
+    return out
+
+
+def test_pairing_as_by_a_greedy_pass(spark):
+    from matchgrain.plans.links import paired_events, streams
+
+    p = paired_events(spark, SMALL).collect()
+    a, b = (x.collect() for x in streams(spark, SMALL, F.col("event_id") % 3))
+    assert {(r.a, r.b, r.gap) for r in p} == greedy(a, b, 5.0)
+    # A dense stream in one group, where choices hang on each other for many rounds.
+    cols = "game_id long, period string, team_id long, seconds double, event_id long, start_x double, start_y double"
+    rows = [(1, "1H", 0, float((i * 37) % 50) / 4, i, (i % 7) / 7, (i % 5) / 5) for i in range(60)]
+    x = spark.createDataFrame(rows, cols)
+    y = spark.createDataFrame([(g, p, t, s + (e % 4) * 0.3, e + 1000, u, v) for g, p, t, s, e, u, v in rows if e % 3], cols)
+    got = {(r.a, r.b, round(r.gap, 9)) for r in pair_events(x, y, ["game_id", "period", "team_id"], 1.0).collect()}
+    assert got == {(i, j, round(gap, 9)) for i, j, gap in greedy(x.collect(), y.collect(), 1.0)}
+    assert pair_events(x.limit(0), y, ["game_id", "period", "team_id"], 1.0).count() == 0
 
 
 def test_identity(spark):
     import datetime as dt
 
     d = dt.date(1990, 1, 1)
-    left = spark.createDataFrame([(1, "José Pérez", d), (2, "Nobody", d), (3, "Twin One", d)], "id long, name string, born date")
-    right = spark.createDataFrame([(10, "JOSE PEREZ", d), (11, "twin one", d), (12, "Twin One", d)], "id long, name string, born date")
-    got = {r.id: (r.other, r.status) for r in resolve(left, right).collect()}
-    assert got[1] == (10, "accepted") and got[2][1] == "none" and got[3][1] == "ambiguous"
+    cols = "id long, name string, born date, team long, country long, shirt long"
+    left = spark.createDataFrame([(1, "José Pérez", d, 1, 1, 9), (2, "Nobody", d, 1, 1, 9), (3, "Twin One", d, 2, 2, 2), (4, "Andrey", None, 5, 5, 5), (5, "Ana Maria Silva", None, 7, 7, 7)], cols)
+    right = spark.createDataFrame([
+        (10, "JOSE PEREZ", d, 1, 1, 9), (11, "twin one", d, 2, 2, 2), (12, "Twin One", d, 2, 2, 2), (13, "Andrey Semenov", None, 5, 5, 5), (14, "Silva, Ana Maria", None, 7, 7, 7),
+    ], cols)
+    got = {r.id: (r.other, r.status, r.score) for r in resolve(left, right).collect()}
+    assert got[1] == (10, "exact", 1.0)
+    assert got[2] == (None, "ambiguous", 0.8)  # the birth date alone
+    assert got[3] == (None, "ambiguous", 1.0)  # two perfect candidates
+    assert got[4] == (None, "unresolved", None)  # a single name never swallows a full one
+    assert got[5] == (None, "ambiguous", 0.88)  # a name is not enough, whatever the context
+
+
+def test_store_refuses_what_is_not_there(spark, tmp_path):
+    from matchgrain.sources import store
+
+    a = spark.createDataFrame([(1, "c0", store.PROVIDER), (2, "c1", store.PROVIDER)], "event_id long, competition string, provider string")
+    root = str(tmp_path / "s")
+    with pytest.raises(store.StoreError):
+        store.load(spark, root, "actions", "c0")
+    store.publish(spark, root, {"actions": a}, {"actions": ("event_id",)})
+    assert store.competitions(spark, root, ["actions"]) == ["c0", "c1"]
+    assert store.load(spark, root, "actions", "c0", ["event_id"], verify=True).collect()[0].event_id == 1
+    for table, competition, columns in (("actions", "c9", None), ("lineups", "c0", None), ("actions", "c0", ["nothing"])):
+        with pytest.raises(store.StoreError):
+            store.load(spark, root, table, competition, columns)
+    with pytest.raises(store.StoreError):
+        store.publish(spark, root, {"actions": a})
+    with pytest.raises(store.StoreError):
+        store.publish(spark, str(tmp_path / "n"), {"actions": a.withColumn("event_id", F.lit(None).cast("long"))}, {"actions": ("event_id",)})
+    a.where("competition = 'c0'").write.mode("append").partitionBy("competition").parquet(f"{root}/actions")
+    with pytest.raises(store.StoreError):
+        store.load(spark, root, "actions", "c0")
+    other = str(tmp_path / "o")
+    store.publish(spark, other, {"actions": a.withColumn("provider", F.lit("someone"))})
+    with pytest.raises(store.StoreError):
+        store.load(spark, other, "actions", "c0")
+    side = spark.createDataFrame([(1, 5), (1, 6)], "event_id long, zone long")
+    for s in (side, side.limit(1)):
+        with pytest.raises(store.StoreError):
+            store.attach(a, s, "event_id", ["zone"])
+    store.write_bundle(a, str(tmp_path / "b"), "v1")
+    with pytest.raises(store.StoreError):
+        store.read_bundle(spark, str(tmp_path / "b"), "event_id long, competition string, provider string", "v2")
+
+
+def test_descriptor_says_what_it_counts():
+    from matchgrain.operators.descriptors import ATTACKS, Partition
+
+    assert ATTACKS.events.describe() == "completed pass, or shot, starting outside the last fifth (x >= 4/5), ending in the attacking half (x > 1/2)"
+    with pytest.raises(ValueError):
+        Partition("end", (("left", ()), ("right", ())))
 
 
 def test_surface_is_a_fixed_point(spark):
