@@ -2,9 +2,9 @@
 
 Every window of L symbols (words or bytes) is named by the smallest hash among its grams of k symbols, so equal windows have
 equal names. Runs of neighbouring windows with one name form a passage; names that occur once cannot repeat and drop out
-before any text is moved. The passages left are collapsed by content and dealt to shards by name; a shard's own index then
-decides, on the symbols themselves, which windows repeat. A name with very many runs is dealt out further, by the
-fingerprint of each single window.
+before any text is moved. The passages left are dealt to shards by name and collapsed there by content; a shard's own index
+then decides, on the symbols themselves, which windows repeat. A name with very many runs is dealt out further: window by
+window, by its fingerprint, equal windows brought down to one with their number before they are moved.
 """
 
 from __future__ import annotations
@@ -112,19 +112,19 @@ def fingerprint(b: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
 
 
-PASSAGES = "name long, sid long, doc_id long, rid long, start int, n int, again boolean, content binary"
+PASSAGES = "name long, sid long, doc_id long, rid long, start int, n int, again boolean, hot boolean, content binary"
 
 
 def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     """The passages of ``wanted`` (``rid``, ``runs`` of start, n, name, hot) with their symbols.
 
     Long runs, those of periodic text, are cut: their pieces have one name and so meet again. A hot run gives one row a
-    window, with a fingerprint in place of the symbols.
+    window.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PASSAGES.split(", ")]
-        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.binary()]
+        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.binary()]
         for batch in batches:
             out: list[tuple] = []
             for rid, doc_id, listed, text in zip(*(batch.column(c) for c in ("rid", "doc_id", "runs", "text")), strict=True):
@@ -135,7 +135,7 @@ def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                     for b, m in [(a + j, min(step, n - j)) for j in range(0, n, step)]:
                         part = symbols[b : b + m + unit.window - 1]
                         content = b" ".join(part) if unit.words else part
-                        out.append((r["name"], fingerprint(content), doc_id, rid, b, m, r["again"], None if r["hot"] else content))
+                        out.append((r["name"], fingerprint(content), doc_id, rid, b, m, r["again"], r["hot"], content))
                 if len(out) > 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
                     out = []
@@ -161,7 +161,7 @@ def repeated_windows(rows: DataFrame, unit: Unit, judge: Judge, first_stays: boo
     parts, parts_path = stored(passages(rows, wanted, unit))
     remove(spark, runs_path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of the phase that is over
-    total = parts.agg(F.sum(F.length("content"))).first()[0] or 0
+    total = parts.where("not hot").agg(F.sum(F.length("content"))).first()[0] or 0
     shards = max(partitions(spark), -(-total // shard_bytes))
     span = "array<struct<a:int,b:int>>"
     result = f"name long, sid long, at_rid long, at_start int, spans {span}"
@@ -171,44 +171,31 @@ def repeated_windows(rows: DataFrame, unit: Unit, judge: Judge, first_stays: boo
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        col = {c: rows.column(c).to_numpy() for c in ("name", "sid", "rid", "start", "again")}
+        col = {c: rows.column(c).to_numpy() for c in ("name", "sid", "rid", "start", "copies")}
         # Nulls before all ids.
         doc = np.array([-(1 << 63) if d is None else d for d in rows.column("doc_id").to_pylist()], dtype=np.int64)
         order = np.lexsort((col["start"], col["rid"], doc, col["sid"], col["name"]))
         name, sid = col["name"][order], col["sid"][order]
-        new_name = np.append(True, name[1:] != name[:-1])
-        first = np.flatnonzero(new_name | np.append(True, sid[1:] != sid[:-1]))
-        copies, take = np.diff(np.append(first, len(order))), order[first]
-        # A name whose passages are all the same needs no index: its windows occur as often as the passage does.
-        of = np.cumsum(new_name[first]) - 1
-        kinds = np.bincount(of)[of]
-        n = rows.column("n").to_numpy()[take]
-        spans: list[list[tuple[int, int]]] = [[] if first_stays or c == 1 else [(0, int(m))] for c, m in zip(copies.tolist(), n.tolist(), strict=True)]
-        look = np.flatnonzero((kinds > 1) | col["again"][take])
-        if len(look):
-            at = pd.DataFrame({"doc_id": doc[take], "rid": col["rid"][take], "start": col["start"][take]}).iloc[look].reset_index(drop=True)
-            judged = judge(rows.column("content").take(pa.array(take[look])).to_pylist(), copies[look], at)
-            for i, s in zip(look.tolist(), judged, strict=True):
-                spans[i] = s
+        first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (sid[1:] != sid[:-1])))
+        copies, take = np.add.reduceat(col["copies"][order], first), order[first]
+        at = pd.DataFrame({"doc_id": doc[take], "rid": col["rid"][take], "start": col["start"][take]})
+        spans = judge(rows.column("content").take(pa.array(take)).to_pylist(), copies, at)
         keep = [i for i, s in enumerate(spans) if s or (first_stays and copies[i] > 1)]
         kept = take[keep]
         listed = pa.array([[{"a": a, "b": b} for a, b in spans[i]] for i in keep], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
         yield pa.RecordBatch.from_arrays([pa.array(col[c][kept]) for c in ("name", "sid", "rid", "start")] + [listed], names=["name", "sid", "at_rid", "at_start", "spans"])
 
     # Passages of one name meet in one partition, which is a shard: their symbols are shuffled once.
-    decided = parts.where(F.col("content").isNotNull()).repartition(shards, "name").mapInArrow(decide, result)
-    # Windows of hot names: equal fingerprints are equal windows, counted before the shuffle.
-    hot = parts.where(F.col("content").isNull()).groupBy("name", "sid").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "rid", "start")).alias("at"))
-    whole = F.array(F.struct(F.lit(0).alias("a"), F.lit(1).alias("b")))
-    hot = hot.where(F.col("copies") > 1).select(
-        "name", "sid", F.col("at.rid").alias("at_rid"), F.col("at.start").alias("at_start"), (F.array().cast(span) if first_stays else whole.cast(span)).alias("spans")
-    )
-    decided = decided.unionByName(hot)
+    own = ["name", "sid", "doc_id", "rid", "start", "content"]
+    plain = parts.where("not hot").select(*own, F.lit(1).cast("long").alias("copies"), F.col("name").alias("shard"))
+    hot = parts.where("hot").groupBy("name", "sid").agg(F.count("*").alias("copies"), F.min(F.struct(*own[2:])).alias("at"))
+    hot = hot.select("name", "sid", *[f"at.{c}" for c in own[2:]], "copies", F.col("sid").alias("shard"))
+    decided = plain.unionByName(hot).repartition(shards, "shard").mapInArrow(decide, result)
     is_first = (F.col("rid") == F.col("at_rid")) & (F.col("start") == F.col("at_start"))
     everything = F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))
     spans = F.when(~is_first, everything).otherwise(F.col("spans")) if first_stays else F.col("spans")
     marked = (
-        parts.drop("content", "doc_id", "again")
+        parts.drop("content", "doc_id", "again", "hot")
         .join(decided, ["name", "sid"])
         .select("rid", F.transform(spans, lambda s: F.struct((s.a + F.col("start")).alias("a"), (s.b + F.col("start")).alias("b"))).alias("spans"))
         .where(F.size("spans") > 0)

@@ -94,51 +94,92 @@ def rising(text: np.ndarray) -> np.ndarray:
     return step[nearest] > 0
 
 
-def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Common prefix of the suffixes at a and b, up to ``most``."""
+SYMBOLS, BITS = 7, 9  #: symbols that fit one 64-bit key
+
+
+def packed(text: np.ndarray, depth: int) -> np.ndarray:
+    """For each place the next seven symbols in one number; beyond the end there is nothing but zeros."""
+    padded = np.concatenate((text, np.zeros(depth + 2 * SYMBOLS, text.dtype))).astype(np.uint64)
+    key = padded[: len(padded) - SYMBOLS + 1].copy()
+    for j in range(1, SYMBOLS):
+        key <<= np.uint64(BITS)
+        key |= padded[j : len(padded) - SYMBOLS + 1 + j]
+    return key
+
+
+def common(keys: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Common prefix of the suffixes at a and b of a text of n symbols, up to ``most``; seven symbols at a time."""
     out = np.zeros(len(a), dtype=np.int64)
-    padded = np.concatenate((text.astype(np.int32), -1 - np.arange(2)))
     live = np.arange(len(a))
-    for k in range(most):
-        x, y = np.minimum(a[live] + k, len(text)), np.minimum(b[live] + k, len(text) + 1)
-        live = live[padded[x] == padded[np.where(y >= len(text), len(text) + 1, y)]]
+    for k in range(0, most, SYMBOLS):
+        x = keys[np.minimum(a[live] + k, len(keys) - 1)] ^ keys[np.minimum(b[live] + k, len(keys) - 1)]
+        differ = x != 0
+        at = live[differ]
+        # Leading symbols that agree: the first one that differs is the highest set one.
+        agree = np.zeros(len(at), dtype=np.int64)
+        for j in range(SYMBOLS - 1, 0, -1):
+            agree += x[differ] >> np.uint64(BITS * j) == 0
+        out[at] = k + agree
+        live = live[~differ]
+        out[live] = k + SYMBOLS
         if not len(live):
             break
-        out[live] += 1
-    return out
-
-
-def sort_by_keys(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """``at`` ordered by the ``depth`` symbols from each place on: by 8-byte keys, deeper only where they tie."""
-    padded = np.concatenate((text, np.zeros(depth + 16, text.dtype))).astype(np.uint64)
-    order, ties = np.arange(len(at)), np.zeros(len(at), dtype=np.int64)  # group of each place in the order
-    todo = np.arange(len(at))
-    for k in range(0, depth, 7):
-        where = at[order[todo]] + k
-        key = np.zeros(len(todo), dtype=np.uint64)
-        for j in range(7):  # seven symbols of nine bits
-            key = (key << np.uint64(9)) | padded[where + j]
-        by = np.lexsort((key, ties[todo]))
-        order[todo] = order[todo][by]
-        key, group = key[by], ties[todo][by]
-        new = np.ones(len(todo), dtype=bool)
-        new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        ties[todo] = todo[np.maximum.accumulate(np.where(new, np.arange(len(todo)), 0))]
-        again = ~new
-        again[:-1] |= ~new[1:]
-        todo = todo[again]
+    return np.minimum(np.minimum(out, most), n - np.maximum(a, b))
+
+
+def named(keys: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
+    """Ranks of the pieces of text from each of ``low`` (ascending places) to the next one, its first symbol included, or to the end.
+
+    Where one piece begins like another and goes on, it is the smaller one: a piece ends before a rise, and what goes on falls.
+    """
+    size = np.append(np.diff(low) + 1, n - low[-1])
+    name, todo = np.zeros(len(low), dtype=np.int64), np.arange(len(low))
+    for k in range(0, int(size.max()) + SYMBOLS, SYMBOLS):
+        # Beyond a piece's end stands what is larger than any symbol.
+        cut = np.clip(k + SYMBOLS - size[todo], 0, SYMBOLS).astype(np.uint64) * np.uint64(BITS)
+        key = keys[np.minimum(low[todo] + k, len(keys) - 1)] >> cut << cut | (np.uint64(1) << cut) - np.uint64(1)
+        order = np.argsort(key) if k == 0 else np.lexsort((key, name[todo]))
+        key, group = key[order], name[todo[order]]
+        other = np.ones(len(order), dtype=bool)
+        other[1:] = group[1:] != group[:-1]
+        new = other.copy()
+        new[1:] |= key[1:] != key[:-1]
+        at = np.arange(len(order))
+        name[todo[order]] = group + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(other, at, 0))
+        alone = new & np.append(new[1:], True)
+        todo = np.sort(todo[order[~alone & (cut[order] == 0)]])
         if not len(todo):
             break
-    return at[order]
+    return name
+
+
+def reduced_order(name: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the suffixes of the reduced text of names, as deep as ``depth`` names, by doubling: the recursion's last step."""
+    n, rank, have = len(name), np.unique(name, return_inverse=True)[1].astype(np.uint64), 1
+    while True:
+        nxt = np.zeros(n, dtype=np.uint64)
+        nxt[: n - have] = rank[have:] + np.uint64(1)
+        key = rank << np.uint64(32) | nxt
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))).astype(np.uint64)
+        have *= 2
+        if have >= depth or new[-1] == n - 1:
+            return order
+        rank = np.empty(n, dtype=np.uint64)
+        rank[order] = new
 
 
 def induced_order(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` (symbols from 0 on) in order as deep as ``depth``, and common prefixes with the one before."""
     n, symbols = len(text), int(text.max()) + 1 if len(text) else 0
-    up = rising(text)
+    up, keys = rising(text), packed(text, depth)
     low = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    low = sort_by_keys(text, low, depth)
-    low_prefix = np.concatenate(([0], common(text, low[:-1], low[1:], depth))).astype(np.int64) if len(low) else np.zeros(0, np.int64)
+    if len(low):
+        # The text is cut at these places; its pieces get names, and the text of names is ordered in place of the suffixes.
+        # A piece spans two symbols at least, so half as many names reach as deep.
+        low = low[reduced_order(named(keys, low, n), depth // 2 + 1)]
+    low_prefix = np.concatenate(([0], common(keys, n, low[:-1], low[1:], depth))).astype(np.int64) if len(low) else np.zeros(0, np.int64)
     low_cut = np.searchsorted(text[low], np.arange(symbols + 1)) if len(low) else np.zeros(symbols + 1, np.int64)
 
     def sweep(seeds, falling: bool) -> tuple[list, np.ndarray, np.ndarray]:
@@ -183,13 +224,13 @@ def induced_order(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> tu
                 if not real.all():
                     lcp[1:2] = 1
                 if size > begin:  # the last of the round before
-                    lcp[0] = common(text, placed[size - 1 : size], at[:1], depth)[0]
+                    lcp[0] = common(keys, n, placed[size - 1 : size], at[:1], depth)[0]
                 order, at = induce(at, put(at, lcp), c)
             made = (placed[begin:size].copy(), prefix[begin:size].copy())
             at, lcp = seeds(c)
             if len(at):
                 lcp = lcp.copy()
-                lcp[0] = common(text, placed[size - 1 : size], at[:1], depth)[0] if size else 0
+                lcp[0] = common(keys, n, placed[size - 1 : size], at[:1], depth)[0] if size else 0
                 induce(at, put(at, lcp), c)
             parts.append(made)
         queue.close()
@@ -212,7 +253,7 @@ def induced_order(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> tu
     if n:  # seams: the first of each bucket's falling and rising part
         sizes = np.cumsum([0] + [len(x) for c in range(symbols) for x in (down[c][0], risen[c][0])])[:-1]
         seams = np.unique(sizes[(sizes > 0) & (sizes < n)])
-        prefix[seams] = common(text, order[seams - 1], order[seams], depth)
+        prefix[seams] = common(keys, n, order[seams - 1], order[seams], depth)
         prefix[0] = 0
     return order, prefix
 
