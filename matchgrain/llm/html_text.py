@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: Ranked paths kept for each host.
 HOST_PATHS = 8
 PAGE_VOTES = 3
@@ -274,7 +276,10 @@ def main_text(pages: DataFrame) -> DataFrame:
             texts = [Page(html.as_py() or "").text(paths or []) for html, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    return pages.join(host_paths(pages), "host", "left").select("page_id", "url", "html", "paths").mapInArrow(run, RESULT)
+    # The table of paths is written: where its size shows that it is small it is broadcast and no page is moved; beyond that,
+    # pages are shuffled by host, and a hot host is split by the adaptive join.
+    paths, _ = stored(host_paths(pages))
+    return pages.join(paths, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(run, RESULT)
 
 
 def op3_main_text(spark, sf_dir: str) -> DataFrame:

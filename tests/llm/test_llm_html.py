@@ -14,7 +14,8 @@ WANT = "The ferry crossed the strait at dawn, and the pilot told us of the old l
         ('<div class="layout has-sidebar"><article>', "</article></div>"), ('<div class="site no-sidebar"><article>', "</article></div>"), ('<div class="post comments-open">', "</div>"),
         ('<div id="content-widget"><div>', "</div></div>"), ('<div title="the hidden valley"><article>', "</article></div>"), ("<form action=x><div>", "</div></form>"),
         ('<div class="sidebar"><main>', "</main></div>"), ('<div class="widget"><div>', "</div></div>"), ('<div class="comments"><div>', "</div></div>"), ('<div class="has-header">', "</div>"),
-        ('<div class="header"><main>', "</main></div>"), ("<input type=hidden><div>", "</div>"),
+        ('<div class="header"><main>', "</main></div>"), ("<input type=hidden><div>", "</div>"), ("<main><div class='text-share-guide'>", "</div></main>"), ("<div class='reply-story'>", "</div>"), ("<form><main>", "</main></form>"),
+        ("<div class='login-history'><article>", "</article></div>"), ("<div id=search-for-gold>", "</div>"),
     ],
 )
 def test_wrappers_do_not_take_the_text_with_them(start, end):
@@ -31,3 +32,27 @@ def test_whole_table(spark):
     page = f'<html><body><div class="layout has-sidebar"><article>{BODY}</article></div></body></html>'
     got = main_text(spark.createDataFrame([(1, "http://a.b/1", page), (2, "http://a.b/2", None)], "page_id long, url string, html string")).collect()
     assert {(r.page_id, r.text) for r in got} == {(1, WANT), (2, "")}
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ("", ""), ("   \n ", ""), ("no markup at all", "no markup at all"), ("<p>never closed <b>bold", "never closed bold"), ("<p>a &amp; b &#233; &nbsp;c</p>", "a & b é c"), ("<div><p>one\n  two</p><p>three</p>", "one two\nthree"),
+        ("<script>var x = '<p>no</p>';</script><p>yes</p>", "yes"), ("<p>ends<br>here</p><!-- <p>no</p> -->", "ends here"), ("<ul><li>a<li>b</ul>", "a\nb"), ("<style>p{}</style>", ""), ("<p" + " x" * 50 + ">ok</p>", "ok"), ("<p>" + "long " * 20000 + "</p>", ("long " * 20000).strip()),
+    ],
+)
+def test_odd_pages(html, want):
+    assert Page(html).text([]) == want
+
+
+def test_hosts_agree_on_a_path(spark):
+    """One page of a host whose own best container is another one is read by the host's path; rows of null hosts stay apart."""
+    usual = '<html><body><div class="box-12"><p>Short, dated note.</p></div><div class="story-{0}">' + BODY + "</div></body></html>"
+    odd = '<html><body><div class="box-7">' + BODY * 3 + '</div><div class="story-9"><p>A short story, but the one that counts.</p></div></body></html>'
+    rows = [(i, f"https://news.example/{i}", usual.format(i)) for i in range(8)] + [(8, "https://news.example/8", odd), (9, None, odd), (10, "https://news.example/10", None), (10, "https://news.example/10", None)]
+    frame = spark.createDataFrame([(*r, "x", "x") for r in rows], "page_id long, url string, html string, host string, paths string")
+    got = main_text(frame).collect()
+    assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+    text = {r.page_id: r.text for r in got}
+    assert all(text[i] == WANT for i in range(8)) and text[8] == "A short story, but the one that counts." and text[9] == "\n".join([WANT] * 3) and text[10] == ""
+    assert main_text(frame.limit(0)).count() == 0

@@ -140,3 +140,15 @@ def test_targets_are_met_and_the_toxic_go():
     r = {i: c for (i, _), c in zip(rows, rate, strict=True)}
     assert np.mean([r[i] < mixing.KEEP_RATE for i, _, x in labels if x == 1]) >= 0.95
     assert np.mean([r[i] >= mixing.KEEP_RATE for i, q, x in labels if q == 1 and x == 0]) >= 0.97
+
+
+def test_vocabulary_score_is_the_lattice_alone(spark):
+    rows = messy_rows()
+    pieces, given = lm.vocabulary_pieces()
+    lattice = lm.Lattice(pieces, given)
+    got = {}
+    for r in lm.lattice_scores(documents(spark, rows), mixing.F.col("doc_id").eqNullSafe(1)).collect():
+        got.setdefault(r.doc_id, []).append(round(r.vocabulary_score, 1))
+    for i in {i for i, _ in rows}:
+        want = sorted(round(float(lattice.forward([*(w.encode() for w in words(lower(t))), b""]).sum()) / math.log(10), 1) for d, t in rows if d == i)
+        assert sorted(got[i]) == pytest.approx(want, rel=1e-5, abs=0.11)
