@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Words, durable, mix, partitions, remove, stored, text_slices
+from .common import _BYTE, Words, durable, mix, partitions, remove, short, stored, text_slices
 
 #: Runs of one name beyond which its windows are dealt out one by one.
 HOT_RUNS = 20_000
@@ -125,7 +125,7 @@ def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in PASSAGES.split(", ")]
         types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.binary()]
-        for batch in batches:
+        for batch in short(batches):
             out: list[tuple] = []
             for rid, doc_id, listed, text in zip(*(batch.column(c) for c in ("rid", "doc_id", "runs", "text")), strict=True):
                 rid, doc_id, raw = rid.as_py(), doc_id.as_py(), text.as_py().encode()

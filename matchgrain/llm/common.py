@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Documents' text handled at once inside a task, in UTF-8 bytes; a longer single text forms a slice of its own.
@@ -67,6 +68,14 @@ def free_name(taken: Iterable[str], name: str) -> str:
     return name
 
 
+def short(batches: Iterable, rows: int = 1000) -> Iterator:
+    """The same rows in shorter batches, so that what a task builds from one of them stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def text_slices(batches: Iterable, columns: list[str], most: int = SLICE_BYTES) -> Iterator[tuple]:
     """Arrow batches to (lists of the columns ..., list of UTF-8 texts) of about ``most`` bytes; null texts become empty.
 
@@ -86,6 +95,7 @@ def text_slices(batches: Iterable, columns: list[str], most: int = SLICE_BYTES)
                 held, first, size = [], i + 1, 0
         if held:
             yield *(c.slice(first, len(held)) for c in cols), held
+    pa.default_memory_pool().release_unused()
 
 
 _SPACE = np.zeros(256, dtype=bool)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import short, stored
 
 #: Ranked paths kept for each host.
 HOST_PATHS = 8
@@ -250,7 +250,7 @@ def host(url: Column) -> Column:
 
 def page_votes(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             out = [(h, p, v) for h, html in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True) for p, v in Page(html.as_py() or "").votes()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))], names=["host", "path", "vote"])
 
@@ -272,7 +272,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("host", host(F.col("url")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             texts = [Page(html.as_py() or "").text(paths or []) for html, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[c.split()[0] for c in RESULT.split(", ")])
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import Words, text_slices
+from .common import Words, short, text_slices
 
 
 class Band(NamedTuple):
@@ -128,7 +128,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in short(batches):
             kept: list[bool] = []
             for (texts,) in text_slices([batch], ["text"]):
                 w = Words(texts)

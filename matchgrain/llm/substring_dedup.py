@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Unit, covered, repeated_windows
-from .common import fixed, free_name
+from .common import fixed, free_name, short
 
 WINDOW, GRAM = 35, 8
 
@@ -153,7 +153,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, **l
     """One row per document: words, words removed, and the hash of the words that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             out = []
             for doc_id, text, spans in zip(*(batch.column(c) for c in ("doc_id", "text", "spans")), strict=True):
                 words = (text.as_py() or "").encode().split()
@@ -182,7 +182,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         return b"".join(out).decode().strip()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             texts = [cut(t.as_py(), s.as_py()) if s.is_valid and t.is_valid else t.as_py() for t, s in zip(batch.column("text"), batch.columns[-1], strict=True)]
             cols = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in cols:

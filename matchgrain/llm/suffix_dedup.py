@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Unit, covered, repeated_windows
+from .common import short
 from .substring_dedup import with_rows
 
 WINDOW, GRAM = 100, 32
@@ -297,7 +298,7 @@ def suffix_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, budget
     repeats = repeated_windows(slim, Unit(False, window, gram), judge(window, budget), True, **limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in short(batches):
             out = []
             for doc_id, text, spans in zip(*(batch.column(c) for c in ("doc_id", "text", "spans")), strict=True):
                 raw = text.as_py().encode()

@@ -17,9 +17,9 @@ from .common import span_hash
 
 END_OF_TEXT = 50256
 #: UTF-8 bytes of text encoded at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Distinct words remembered by a worker (about 40 bytes each); when full the table starts anew, which changes no result.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 #: The last byte of a white-space character, a space, and the first byte of one; some other characters share these bytes.
 _AMID = re.compile(rb"[\s\x80-\x8a\x9f\xa0\xa8\xa9\xaf] [\s\xc2\xe1\xe2\xe3]")
 _EDGES = re.compile(rb"[\s\xc2\xe1\xe2\xe3]|.*[\s\x80-\x8a\x9f\xa0\xa8\xa9\xaf]\Z", re.S)
