@@ -3,6 +3,10 @@
 Each stage works on all rows that its predecessor kept, and its decisions take effect: rejected documents go, one document
 of each group of near duplicates stays, repeated passages are cut out of the texts, toxic documents go and low-quality ones
 are thinned or repeated as often as the mix's rates say, and the last stage packs what is left into sequences.
+
+Defined results: an empty table gives no rows at any stage; null and empty texts fail the quality rules; rows with a null or
+repeated doc_id are documents of their own; of equal documents the one with the smallest doc_id stays (a null one last);
+further columns travel along unchanged up to packing.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: Compression and tokenizers have no SQL form; tests/llm/test_pipeline.py holds the run against brute-force stages.
+#: Compression and tokenizers have no SQL form; tests/llm/test_llm_pipeline.py holds the run against brute-force stages.
 ORACLE_SQL = None
 
 
