@@ -11,6 +11,10 @@ from ..functions.scalars import cell
 N_X, N_Y = 16, 12
 
 
+class NotConverged(ArithmeticError):
+    """The fixed point was not reached; no last iterate is passed off as one."""
+
+
 def fit_surface(acts: DataFrame, n_x: int = N_X, n_y: int = N_Y, most: int = 200, tolerance: float = 1e-7) -> np.ndarray:
     """Value of each cell: shoot and score, or move on; failed passes and dangerous losses end the possession."""
     n = n_x * n_y
@@ -36,7 +40,7 @@ def fit_surface(acts: DataFrame, n_x: int = N_X, n_y: int = N_Y, most: int = 200
         if np.abs(new - value).max() < tolerance:
             return new
         value = new
-    return value
+    raise NotConverged(f"the surface still moves after {most} rounds")
 
 
 def surface_frame(spark, value: np.ndarray) -> DataFrame:

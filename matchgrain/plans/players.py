@@ -128,17 +128,36 @@ def compare_neighbours(spark, sf_dir):
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(d, 6).alias("diff"), leader.alias("leader"), F.round(F.col("wa") - F.col("wb"), 6).alias("style_diff"))
 
 
-@query()
+def construct_rates_declared(spark, sf_dir) -> DataFrame:
+    """Constructs on the declared surface, with each player's minutes and position."""
+    acts = gained(spark, sf_dir)
+    return rates(components(acts), total_minutes(acts)).join(neutral.players(acts).select("player_id", "position"), "player_id")
+
+
+_CELL = "CAST(least(11, floor({1} * 12)) AS INTEGER) * 16 + CAST(least(15, floor({0} * 16)) AS INTEGER)"
+#: The fixed point by a recursive query, far beyond where it stands still.
+SURFACE = neutral.SQL.replace("WITH ev", "WITH RECURSIVE ev", 1) + f""", sr AS (SELECT {_CELL.format('start_x', 'start_y')} AS c, {_CELL.format('end_x', 'end_y')} AS e, type IN ('pass', 'touch') AND coalesce(success, FALSE) AND NOT dangerous_loss AS m, type = 'shot' AS s, goal AS g,
+  (type = 'pass' AND coalesce(NOT success, FALSE)) OR dangerous_loss AS l FROM actions),
+sc AS (SELECT c, count(*) FILTER (WHERE m) AS m, count(*) FILTER (WHERE s) AS s, count(*) FILTER (WHERE g) AS g, greatest(1, count(*) FILTER (WHERE m) + count(*) FILTER (WHERE s) + count(*) FILTER (WHERE l)) AS t FROM sr GROUP BY c),
+sm AS (SELECT c, e, count(*) * 1.0 / sum(count(*)) OVER (PARTITION BY c) AS p FROM sr WHERE m GROUP BY c, e),
+cells AS (SELECT CAST(unnest(range(192)) AS INTEGER) AS c), par AS (SELECT cells.c, coalesce(s / t * g / greatest(s, 1), 0) AS score, coalesce(m / t, 0) AS move FROM cells LEFT JOIN sc USING (c)),
+it AS (SELECT 0 AS k, c, 0.0::DOUBLE AS v FROM par UNION ALL SELECT k + 1, c, score + move * coalesce((SELECT sum(p * it.v) FROM sm JOIN it ON it.c = sm.e WHERE sm.c = par.c), 0) FROM par, (SELECT DISTINCT k FROM it) WHERE k < 120),
+surface AS (SELECT c, v FROM it WHERE k = 120)"""
+
+
+@query(SURFACE + " SELECT c AS cell, round(v, 4) AS value FROM surface")
 def value_surface(spark, sf_dir):
-    """The fitted surface, one row a cell; its fixed point has no plain SQL form."""
-    return surface_frame(spark, fit_surface(neutral.actions(spark, sf_dir)))
+    """The fitted surface, one row a cell."""
+    return surface_frame(spark, fit_surface(neutral.actions(spark, sf_dir))).withColumn("value", F.round("value", 4))
 
 
-@query()
+@query(SURFACE + f"""{MINUTES}, d AS (SELECT a.player_id, y.v - x.v AS delta FROM actions a JOIN surface x ON x.c = {_CELL.format('a.start_x', 'a.start_y')} JOIN surface y ON y.c = {_CELL.format('a.end_x', 'a.end_y')} WHERE type = 'pass' AND success)
+SELECT m.player_id, m.minutes, round(coalesce(sum(greatest(delta, 0.0)), 0.0) * 90 / m.minutes, 3) AS progression, round(sum(greatest(delta, 0.0)) / nullif(count(delta), 0), 3) AS progression_per_action FROM mins m LEFT JOIN d USING (player_id) GROUP BY m.player_id, m.minutes""")
 def fitted_progression(spark, sf_dir):
-    """Constructs on the fitted surface, joined by broadcast."""
+    """Progression on the fitted surface, which is joined by broadcast."""
     acts = neutral.actions(spark, sf_dir)
-    return rates(components(with_delta(acts, surface_frame(spark, fit_surface(acts)))), total_minutes(acts))
+    r = rates(components(with_delta(acts, surface_frame(spark, fit_surface(acts)))), total_minutes(acts))
+    return r.select("player_id", "minutes", *[F.round(c, 3).alias(c) for c in ("progression", "progression_per_action")])
 
 
 @query(neutral.SQL + """, l AS (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY game_id DESC, team_id) AS r FROM lineups)

@@ -200,3 +200,26 @@ def test_entry_and_registry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_fields_and_licences_are_refused(spark):
+    from matchgrain.functions.text import refused_fields
+    from matchgrain.operators.evidence import NotAllowed, assert_may
+
+    df = spark.sql("select 1 as id, named_struct('overall', 1, 'x', array(named_struct('player_rating', 2))) as body, map('a', named_struct('fine', 1)) as m, 3 as operating")
+    assert refused_fields(df.schema) == ["body.overall", "body.x[].player_rating"]
+    assert_may("open-events", "commit")
+    for provider, use in (("research-only", "host"), ("unheard-of", "ingest")):
+        with pytest.raises(NotAllowed):
+            assert_may(provider, use)
+
+
+def test_value_ranks_as_by_sorting(spark):
+    from matchgrain.operators.ranks import average_ranks, order_statistics
+
+    values = [5.0, 1.0, 1.0, 3.0, 5.0, 5.0, 2.0, 9.0, None]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    known = sorted(v for v in values if v is not None)
+    want = {v: sum(k + 1 for k, x in enumerate(known) if x == v) / known.count(v) for v in known}
+    assert {(r.v, r.r) for r in average_ranks(rows, "v", "r").collect()} == set(want.items())
+    assert {r.p: r.value for r in order_statistics(rows, "v", (1, 50, 100)).collect()} == {1: 1.0, 50: 3.0, 100: 9.0}
