@@ -9,17 +9,17 @@ window, by its fingerprint, equal windows brought down to one with their number
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Words, durable, mix, partitions, remove, short, stored, text_slices
+from .common import _BASE, _BYTE, Words, durable, mix, partitions, powers, remove, short, stored, text_slices
 
 #: Runs of one name beyond which its windows are dealt out one by one.
 HOT_RUNS = 20_000
@@ -107,12 +107,16 @@ def runs(rows: DataFrame, unit: Unit) -> DataFrame:
     return rows.select("rid", "text").mapInArrow(run, "name long, rid long, start int, n int, again boolean")
 
 
-def fingerprint(b: bytes) -> int:
-    """64 bits of the symbols; with the 64 bits of the name they identify a passage."""
-    return int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little", signed=True)
+PASSAGES = "name long, sid long, doc_id long, rid long, start int, n int, again boolean, hot boolean, content binary"
 
 
-PASSAGES = "name long, sid long, doc_id long, rid long, start int, n int, again boolean, hot boolean, content binary"
+def prints(raw: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits of each span of bytes; with the 64 bits of the name they identify a passage."""
+    value = _BYTE[np.frombuffer(raw, dtype=np.uint8)]
+    value *= powers(len(value))[: len(value)]
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+    back = powers(len(value), np.uint64(pow(int(_BASE), -1, 1 << 64)))  # so that the place of a span does not matter
+    return mix((total[b] - total[a]) * back[np.minimum(a, len(back) - 1)] + mix((b - a).astype(np.uint64))).view(np.int64)
 
 
 def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
@@ -122,24 +126,36 @@ def passages(rows: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     window.
     """
 
+    names = [c.split()[0] for c in PASSAGES.split(", ")]
+
+    def symbols(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All texts as one, words by single spaces; where each symbol begins, and the first symbol of each text."""
+        if not unit.words:
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            return b"".join(texts), np.arange(int(size.sum()) + 1), np.cumsum(size) - size
+        words = [t.split() for t in texts]
+        flat = [w for ws in words for w in ws]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        return b" ".join(flat), np.concatenate(([0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1))), np.cumsum(size) - size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in PASSAGES.split(", ")]
-        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_()] * 2 + [pa.binary()]
-        for batch in short(batches):
-            out: list[tuple] = []
-            for rid, doc_id, listed, text in zip(*(batch.column(c) for c in ("rid", "doc_id", "runs", "text")), strict=True):
-                rid, doc_id, raw = rid.as_py(), doc_id.as_py(), text.as_py().encode()
-                symbols = raw.split() if unit.words else raw
-                for r in listed.as_py():
-                    a, n, step = r["start"], r["n"], 1 if r["hot"] else unit.grams
-                    for b, m in [(a + j, min(step, n - j)) for j in range(0, n, step)]:
-                        part = symbols[b : b + m + unit.window - 1]
-                        content = b" ".join(part) if unit.words else part
-                        out.append((r["name"], fingerprint(content), doc_id, rid, b, m, r["again"], r["hot"], content))
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
-                    out = []
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
+        for batch in short(batches, 500):
+            raw, begin, first = symbols([t.encode() for t in batch.column("text").to_pylist()])
+            lists = batch.column("runs")
+            row, run = pc.list_parent_indices(lists).to_numpy(), lists.flatten()
+            start, n, name, hot, again = (run.field(f).to_numpy(zero_copy_only=False) for f in ("start", "n", "name", "hot", "again"))
+            step = np.where(hot, 1, unit.grams)
+            pieces = -(-n // step)
+            of = np.repeat(np.arange(len(n)), pieces)
+            offset = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * step[of]
+            at, size = start[of] + offset, np.minimum(step[of], n[of] - offset)
+            a = begin[first[row[of]] + at]
+            b = begin[first[row[of]] + at + size + unit.window - 1] - unit.words  # no space after the last word
+            sid = prints(raw, a, b)
+            content = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+            rows = pa.array(row[of])
+            cols = [pa.array(name[of]), pa.array(sid), batch.column("doc_id").take(rows), batch.column("rid").take(rows), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again[of]), pa.array(hot[of]), content]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return rows.join(wanted, "rid").select("rid", "doc_id", "runs", "text").mapInArrow(run, PASSAGES)
 

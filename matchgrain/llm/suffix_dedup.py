@@ -61,7 +61,7 @@ class Queues:
                 if isinstance(part[0], np.ndarray):
                     at = self.file.tell()
                     for x in part:
-                        self.file.write(np.ascontiguousarray(x, dtype=np.int64).tobytes())
+                        self.file.write(np.ascontiguousarray(x, dtype=np.int32).tobytes())
                     q[i] = (at, len(part[0]))
         self.held = 0
 
@@ -72,13 +72,13 @@ class Queues:
                 self.held -= a.nbytes + b.nbytes
             else:
                 self.file.seek(a)
-                both = np.frombuffer(self.file.read(16 * b), dtype=np.int64)
+                both = np.frombuffer(self.file.read(8 * b), dtype=np.int32)
                 a, b = both[:b], both[b:]
             orders.append(a)
             positions.append(b)
         self.parts[symbol] = []
         if not orders:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
         return np.concatenate(orders), np.concatenate(positions)
 
     def close(self) -> None:
@@ -110,7 +110,7 @@ def packed(text: np.ndarray, depth: int) -> np.ndarray:
 
 def common(keys: np.ndarray, n: int, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Common prefix of the suffixes at a and b of a text of n symbols, up to ``most``; seven symbols at a time."""
-    out = np.zeros(len(a), dtype=np.int64)
+    out = np.zeros(len(a), dtype=np.int32)
     live = np.arange(len(a))
     for k in range(0, most, SYMBOLS):
         x = keys[np.minimum(a[live] + k, len(keys) - 1)] ^ keys[np.minimum(b[live] + k, len(keys) - 1)]
@@ -180,25 +180,26 @@ def induced_order(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> tu
         # The text is cut at these places; its pieces get names, and the text of names is ordered in place of the suffixes.
         # A piece spans two symbols at least, so half as many names reach as deep.
         low = low[reduced_order(named(keys, low, n), depth // 2 + 1)]
-    low_prefix = np.concatenate(([0], common(keys, n, low[:-1], low[1:], depth))).astype(np.int64) if len(low) else np.zeros(0, np.int64)
+    low = low.astype(np.int32)
+    low_prefix = np.concatenate(([0], common(keys, n, low[:-1], low[1:], depth))).astype(np.int32) if len(low) else np.zeros(0, np.int32)
     low_cut = np.searchsorted(text[low], np.arange(symbols + 1)) if len(low) else np.zeros(symbols + 1, np.int64)
 
     def sweep(seeds, falling: bool) -> tuple[list, np.ndarray, np.ndarray]:
         """Place what the seeds induce. ``seeds(c)``: suffixes of symbol c known beforehand, in sweep order, with prefixes."""
         queue = Queues(symbols, budget)
-        placed, prefix = np.empty(n + len(low) + 2, dtype=np.int64), np.empty(n + len(low) + 2, dtype=np.int64)
+        placed, prefix = np.empty(n + len(low) + 2, dtype=np.int32), np.empty(n + len(low) + 2, dtype=np.int32)
         size, parts = 0, []
 
         def put(at: np.ndarray, lcp: np.ndarray) -> np.ndarray:
             nonlocal size
             placed[size : size + len(at)], prefix[size : size + len(at)] = at, lcp
-            order = np.arange(size, size + len(at))
+            order = np.arange(size, size + len(at), dtype=np.int32)
             size += len(at)
             return order
 
         def prefixes(order: np.ndarray) -> np.ndarray:
             """Each induced suffix's common prefix with the one before it in the bucket, from what induced the two."""
-            lcp = np.zeros(len(order), dtype=np.int64)
+            lcp = np.zeros(len(order), dtype=np.int32)
             if len(order) > 1:
                 lcp[1:] = 1 + np.minimum.reduceat(prefix[: order[-1] + 2], order + 1)[:-1]
             return np.minimum(lcp, depth)
@@ -210,16 +211,16 @@ def induced_order(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> tu
             ok = (up[p] != falling) & ((text[p] >= text[p + 1]) if falling else (text[p] <= text[p + 1]))
             p, o = p[ok], o[ok]
             same = text[p] == c
-            queue.push(text[p[~same]].astype(np.int64), o[~same], p[~same])
+            queue.push(text[p[~same]].astype(np.uint16), o[~same], p[~same])
             return o[same], p[same]
 
         for c in range(symbols) if falling else range(symbols - 1, -1, -1):
             begin = size
             order, at = queue.pop(c)
             if falling and n and text[n - 1] == c:  # the last suffix follows from the end
-                at, order = np.concatenate(([n - 1], at)), np.concatenate(([-1], order))
+                at, order = np.append(np.int32(n - 1), at).astype(np.int32), np.append(np.int32(-1), order).astype(np.int32)
             while len(at):
-                lcp = np.zeros(len(at), np.int64)
+                lcp = np.zeros(len(at), np.int32)
                 real = order >= 0
                 lcp[real] = prefixes(order[real])
                 if not real.all():
@@ -267,8 +268,8 @@ def judge(window: int, budget: int):
         text[begin + size] = 0
         order, prefix = induced_order(text, window, budget)
         group = np.cumsum(prefix < window)
-        passage = np.repeat(np.arange(len(contents)), size + 1)
-        offset = np.arange(len(text)) - begin[passage]
+        passage = np.repeat(np.arange(len(contents), dtype=np.int32), size + 1)
+        offset = np.arange(len(text), dtype=np.int32) - begin.astype(np.int32)[passage]
         whole = (offset + window <= size[passage])[order]
         order, group = order[whole], group[whole]
         # When each window first occurs: by document, row and start.
