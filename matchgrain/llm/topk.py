@@ -5,7 +5,7 @@ blocks meet shards in two passes: every block first searches one shard, which gi
 along to the other shards, where a box whose bound stays below it is never opened.
 
 Defined results: vectors that are null, empty, or hold a null or non-finite component take no part; a query's own row is any
-row with its id, and repeated query ids are answered once; vectors of another length than the query's are not compared
+row with its id, and repeated query ids are answered once, for the smallest of their vectors; vectors of another length than the query's are not compared
 (shards hold one length); fewer than k candidates give all of them; ties go to the smaller id; an empty table gives no rows.
 """
 
@@ -156,7 +156,8 @@ def top_k(embeddings: DataFrame, is_query: F.Column, k: int = 10, scale: int = S
         return pd.DataFrame([(*[int(x) for x in key], pickle.dumps(Tree(rows["vec_id"].to_numpy(np.int64), points)))], columns=["dim", "shard", "tree"])
 
     index = durable(dealt.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, tree binary"))
-    asked = vectors.where(is_query).dropDuplicates(["vec_id"])
+    # Of rows that repeat a query's id the smallest vector (by length, then by its bytes) asks.
+    asked = vectors.where(is_query).groupBy("vec_id").agg(F.min(F.struct("dim", "vector")).alias("least")).select("vec_id", "least.dim", "least.vector")
     n_asked = max(1, asked.count())
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(-(-n_asked // QUERY_BLOCK)))).withColumn("shards", shards)
     # First pass: each block searches one shard.

@@ -51,6 +51,12 @@ def test_top_k_of_nothing_and_of_few(spark):
     assert collected(topk.top_k(two, F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score") == [(0, 1, 1, 1024 * -2560)]
 
 
+def test_repeated_query_ids_are_answered_alike_however_rows_lie(spark):
+    rows = [(0, [1.0, 2.0], 0, 0, 0, 0, 0, 0), (0, [0.5, -9.0], 0, 0, 0, 0, 0, 0), (0, [3.0, 0.0], 0, 0, 0, 0, 0, 0)] + [(i, [float(i), float(5 - i)], 0, 0, 0, 0, 0, 0) for i in range(1, 9)]
+    got = [collected(topk.top_k(spark.createDataFrame(r, EMB).repartition(n), F.col("vec_id") == 0, k=3), "query_id", "rank", "vec_id", "score") for r in (rows, rows[::-1]) for n in (1, 3)]
+    assert len(got[0]) == 3 and all(g == got[0] for g in got)
+
+
 @given(st.lists(st.lists(st.integers(-5, 5), min_size=3, max_size=3), min_size=1, max_size=80), st.lists(st.integers(-5, 5), min_size=3, max_size=3), st.integers(1, 6))
 @settings(max_examples=100, deadline=None)
 def test_tree_search(points, q, k):
