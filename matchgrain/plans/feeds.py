@@ -229,3 +229,34 @@ def named_values(spark, sf_dir):
 def descriptor_sentence(spark, sf_dir):
     """What the team descriptor counts, in its own words."""
     return spark.range(1).select(F.lit(ATTACKS.events.describe()).alias("events"), F.lit(", ".join(ATTACKS.partition.names)).alias("parts"))
+
+
+@query(neutral.SQL + " SELECT l.game_id, l.team_id, l.player_id, 'Player ' || l.player_id AS name, CAST(minutes AS BIGINT) AS minutes FROM lineups l")
+def roster_tables(spark, sf_dir):
+    """A team's roster page, one HTML table, back to rows."""
+    s = neutral.lineups(neutral.actions(spark, sf_dir))
+    row = F.concat(F.lit("<tr class=r><td>"), F.col("player_id"), F.lit("</td>\n<TD><a href='#'>Player "), F.col("player_id"), F.lit("</a> </td><td><b>"), F.col("minutes"), F.lit("</b></td></tr>"))
+    page = s.groupBy("game_id", "team_id").agg(F.concat(F.lit("<table><tr><th>Id</th><th>Name</th></tr>"), F.array_join(F.collect_list(row), ""), F.lit("</table>")).alias("html"))
+    r = page.select("game_id", "team_id", F.explode(T.table_rows(F.col("html"))).alias("c"))
+    return r.select("game_id", "team_id", F.col("c")[0].cast("long").alias("player_id"), F.col("c")[1].alias("name"), F.col("c")[2].cast("long").alias("minutes"))
+
+
+@query("SELECT p_partkey, round(CASE WHEN x = 0 THEN 0 ELSE sign(x) * sqrt(sqrt(pow(2 / (3.141592653589793 * 0.147) + ln(1 - x * x) / 2, 2) - ln(1 - x * x) / 0.147) - (2 / (3.141592653589793 * 0.147) + ln(1 - x * x) / 2)) END, 6) + 0.0 AS z FROM (SELECT p_partkey, CAST(p_partkey % 199 - 99 AS DOUBLE) / 100 AS x FROM part)")
+def normal_scores(spark, sf_dir):
+    """Shares to standard scores by the inverse error function."""
+    x = (F.col("p_partkey") % 199 - 99).cast("double") / 100
+    return _t(spark, sf_dir, "part").select("p_partkey", (F.round(T.inverse_erf(x), 6) + 0.0).alias("z"))
+
+
+@query(neutral.SQL + """, m AS (SELECT player_id, sum(minutes) AS minutes FROM lineups GROUP BY player_id), v AS (SELECT player_id, count(*) FILTER (WHERE type = 'pass' AND success IS NOT NULL) AS judged, count(*) FILTER (WHERE type = 'pass' AND success) AS done FROM actions GROUP BY player_id),
+s AS (SELECT unnest(['left back', 'centre', 'wing']) AS slot), c AS (SELECT p.player_id, slot, CASE WHEN coalesce(minutes, 0) <= 0 THEN 'no minutes' WHEN position IS NULL OR position = 'GK' THEN 'position' WHEN NOT (CASE slot WHEN 'left back' THEN position = 'DF' WHEN 'centre' THEN position IN ('DF', 'MD') ELSE position IN ('MD', 'FW') END) THEN 'slot' WHEN coalesce(judged, 0) = 0 THEN 'not measured' ELSE 'eligible' END AS status
+  FROM players p LEFT JOIN m USING (player_id) LEFT JOIN v USING (player_id), s) SELECT player_id, slot, status FROM c""")
+def eligible_assignments(spark, sf_dir):
+    """Who may stand where: minutes, position, slot, and a value for every active metric; the first that fails is named."""
+    a = neutral.actions(spark, sf_dir)
+    p = neutral.players(a).select("player_id", "position").join(neutral.lineups(a).groupBy("player_id").agg(F.sum("minutes").alias("minutes")), "player_id", "left")
+    p = p.join(a.groupBy("player_id").agg(F.count_if((F.col("type") == "pass") & F.col("success").isNotNull()).alias("judged")), "player_id", "left")
+    slots = {"left back": ("DF",), "centre": ("DF", "MD"), "wing": ("MD", "FW")}
+    p = p.withColumn("s", F.explode(F.array(*[F.struct(F.lit(n).alias("slot"), F.array(*map(F.lit, at)).alias("at")) for n, at in slots.items()])))
+    status = F.when(F.coalesce("minutes", F.lit(0)) <= 0, "no minutes").when(F.col("position").isNull() | (F.col("position") == "GK"), "position").when(~F.array_contains("s.at", F.col("position")), "slot")
+    return p.select("player_id", F.col("s.slot").alias("slot"), status.when(F.coalesce("judged", F.lit(0)) == 0, "not measured").otherwise("eligible").alias("status"))
