@@ -10,8 +10,7 @@ from ..operators.evidence import POSTURES, spread, sum_kind, weakest
 from ..sources import neutral
 from .players import RATES, construct_rates_declared
 from .registry import query
-from .reliability import SEED, WORLDS
-from .statistics import PM, per_match
+from .statistics import PM, SEED, WORLDS, per_match
 
 
 @query(

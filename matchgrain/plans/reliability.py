@@ -12,7 +12,7 @@ from ..sources import neutral
 from .matches import SIDES, _sides
 from .players import gained
 from .registry import query
-from .statistics import PM, pearson, pearson_sql, per_match
+from .statistics import PM, SEED, WORLDS, pearson, pearson_sql, per_match
 
 HALVES = PM + """, gm AS (SELECT game_id, dense_rank() OVER (PARTITION BY game_id % 3 ORDER BY game_id) % 2 AS half, game_id % 3 AS league FROM (SELECT DISTINCT game_id FROM pm)),
 hv AS (SELECT player_id, league, sum(d) AS d, sum(d) FILTER (WHERE half = 0) AS d0, sum(d) FILTER (WHERE half = 1) AS d1, sum(n) FILTER (WHERE half = 0) / nullif(sum(d) FILTER (WHERE half = 0), 0) AS x, sum(n) FILTER (WHERE half = 1) / nullif(sum(d) FILTER (WHERE half = 1), 0) AS y FROM pm JOIN gm USING (game_id) GROUP BY ALL)"""
@@ -122,7 +122,6 @@ def discriminant_validity(spark, sf_dir):
     return one.select("explained", F.round("rank_after", 5).alias("rank_after"), F.when(~(F.coalesce("ty", F.lit(True)) | F.coalesce("tr", F.lit(True))), F.col("s")).alias("survival"))
 
 
-WORLDS, SEED = 40, 20260831
 QUANTILES = (0.0, 0.05, 0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 0.95, 1.0)
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gain, ratio
+from ..operators import worlds as ws
 from ..operators.ranks import average_ranks
 from ..sources import neutral
 from .registry import query
@@ -70,36 +71,30 @@ def top_k_with_tie_refusal(spark, sf_dir):
     return t.where("r <= 10").join(F.broadcast(edge)).select("player_id", "v", "undefined")
 
 
-#: Both engines compute the same weights of a match in a world, so that the oracle can repeat the resampling.
-WORLDS = 12
-WEIGHT = "(game_id * 7 + w * 13 + game_id * w) % 4"
+WORLDS, SEED = 40, 20260831
+WORLD_RATES = PM + ", " + ws.weights_sql("pm", WORLDS, SEED) + ", v AS (SELECT player_id, w, sum(g * k) / nullif(sum(d * k), 0) AS x FROM pm JOIN mw USING (game_id) GROUP BY ALL)"
 
 
-@query(PM + f""", w AS (SELECT unnest(range({WORLDS})) AS w), s AS (SELECT player_id, w, sum(g * ({WEIGHT})) AS num, sum(d * ({WEIGHT})) AS den FROM pm, w GROUP BY ALL),
-v AS (SELECT player_id, w, num / nullif(den, 0) AS x FROM s)
-SELECT player_id, count(x) AS worlds, round(quantile_cont(x, 0.05), 6) AS low, round(quantile_cont(x, 0.5), 6) AS mid, round(quantile_cont(x, 0.95), 6) AS high FROM v GROUP BY player_id""")
+def world_rates(spark, sf_dir) -> DataFrame:
+    pm = per_match(spark, sf_dir)
+    return ws.ratios(pm, ws.match_weights(pm, WORLDS, SEED), "player_id", "g", "d")
+
+
+@query(WORLD_RATES + " SELECT player_id, count(x) AS worlds, round(quantile_cont(x, 0.05), 5) AS low, round(quantile_cont(x, 0.5), 5) AS mid, round(quantile_cont(x, 0.95), 5) AS high FROM v GROUP BY player_id")
 def shared_match_bootstrap(spark, sf_dir):
     """Resampled matches are shared by all players of a world; a world without exposure is a hole, not a zero."""
-    worlds = spark.range(WORLDS).withColumnRenamed("id", "w")
-    pm = per_match(spark, sf_dir)
-    weights = pm.select("game_id").distinct().join(F.broadcast(worlds)).withColumn("k", F.expr(WEIGHT))
-    s = pm.join(F.broadcast(weights), "game_id").groupBy("player_id", "w").agg(F.sum(F.col("g") * F.col("k")).alias("num"), F.sum(F.col("d") * F.col("k")).alias("den"))
-    q = s.withColumn("x", ratio(F.col("num"), F.col("den"))).groupBy("player_id")
-    return q.agg(F.count("x").alias("worlds"), *[F.round(F.percentile("x", F.lit(p)), 6).alias(c) for p, c in ((0.05, "low"), (0.5, "mid"), (0.95, "high"))])
+    q = world_rates(spark, sf_dir).groupBy("player_id")
+    return q.agg(F.count("x").alias("worlds"), *[F.round(F.percentile("x", F.lit(p)), 5).alias(c) for p, c in ((0.05, "low"), (0.5, "mid"), (0.95, "high"))])
 
 
-@query(PM + f""", w AS (SELECT unnest(range({WORLDS})) AS w), s AS (SELECT player_id, w, sum(g * ({WEIGHT})) / nullif(sum(d * ({WEIGHT})), 0) AS x FROM pm, w GROUP BY ALL)
-SELECT a.player_id AS a, b.player_id AS b, count(*) AS worlds, round(avg(a.x - b.x), 6) AS mean, round(avg(CASE WHEN a.x > b.x THEN 1.0 ELSE 0.0 END), 6) AS share
-FROM s a JOIN s b ON b.player_id = a.player_id + 1 AND a.w = b.w WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""")
+@query(WORLD_RATES + """ SELECT a.player_id AS a, b.player_id AS b, count(*) AS worlds, round(avg(a.x - b.x), 6) + 0.0 AS mean, round(avg(CASE WHEN a.x > b.x THEN 1.0 ELSE 0.0 END), 6) AS share
+FROM v a JOIN v b ON b.player_id = a.player_id + 1 AND a.w = b.w WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY ALL HAVING count(*) >= 2""")
 def paired_differences(spark, sf_dir):
     """Differences of two players world by world; both must be measured."""
-    worlds = spark.range(WORLDS).withColumnRenamed("id", "w")
-    pm = per_match(spark, sf_dir)
-    weights = pm.select("game_id").distinct().join(F.broadcast(worlds)).withColumn("k", F.expr(WEIGHT))
-    s = pm.join(F.broadcast(weights), "game_id").groupBy("player_id", "w").agg(ratio(F.sum(F.col("g") * F.col("k")), F.sum(F.col("d") * F.col("k"))).alias("x")).where("x is not null")
+    s = world_rates(spark, sf_dir).where("x is not null")
     a, b = s.toDF("a", "w", "xa"), s.toDF("b", "w", "xb")
     j = a.join(b, (F.col("b") == F.col("a") + 1) & (a["w"] == b["w"]))
-    out = j.groupBy("a", "b").agg(F.count("*").alias("worlds"), F.round(F.avg(F.col("xa") - F.col("xb")), 6).alias("mean"), F.round(F.avg((F.col("xa") > F.col("xb")).cast("double")), 6).alias("share"))
+    out = j.groupBy("a", "b").agg(F.count("*").alias("worlds"), (F.round(F.avg(F.col("xa") - F.col("xb")), 6) + 0.0).alias("mean"), F.round(F.avg((F.col("xa") > F.col("xb")).cast("double")), 6).alias("share"))
     return out.where("worlds >= 2")
 
 
