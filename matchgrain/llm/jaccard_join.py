@@ -335,29 +335,44 @@ def open_pairs(sets: DataFrame, parts: DataFrame, threshold: int, every: bool) -
         h, place = flat.field("h").to_numpy(), flat.field("place").to_numpy().astype(np.int64)
         order = np.lexsort((of, h))
         of, h, place = of[order], h[order], place[order]
-        codes, held = [np.zeros(0, np.int64)], 0
+        bound = most_common(rows.column("sketch").to_pylist(), n)
+        codes: list[np.ndarray] = []
+        kept = [np.zeros((3, 0), dtype=np.int64)]
+
+        def nearest(x: np.ndarray, y: np.ndarray, common: np.ndarray) -> np.ndarray:
+            """Of these pairs, those that are the nearest of one of their sets."""
+            order = np.lexsort((-y, -x, common / (n[x] + n[y] - common)))
+            last = np.full(m, -1)
+            for end in (x, y):
+                last[end[order]] = np.maximum(last[end[order]], np.arange(len(order)))  # of a set's pairs the nearest comes last
+            return order[np.unique(last[last >= 0])]
+
+        def judge() -> None:
+            """The pairs gathered so far, each once: what their sketches leave is kept."""
+            code = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+            codes.clear()
+            x, y = code // m, code % m
+            common = bound(x, y)
+            ok = similar(n[x], n[y], common, threshold)
+            found = np.stack((x[ok], y[ok], common[ok]))
+            kept.append(found if every else found[:, nearest(*found)])
+
+        held = 0
         for members, at in zip(*(np.split(v, np.flatnonzero(np.diff(h)) + 1) for v in (of, place)), strict=True):
             for x, y in in_list(n[members], at):
                 x, y = members[x], members[y]
                 ok = (c[x] != c[y]) & (np.maximum(low[y] - high[x], low[x] - high[y]) <= far + 1e-9)
+                if cross:
+                    ok &= i[x] != i[y]
                 codes.append(x[ok] * m + y[ok])
                 held += len(codes[-1])
                 if held > 4 * PAIRS_AT_ONCE:
-                    codes = [np.unique(np.concatenate(codes))]
+                    judge()
                     held = 0
-        code = np.unique(np.concatenate(codes))
-        x, y = code // m, code % m
-        if cross:
-            x, y = (v[i[x] != i[y]] for v in (x, y))
-        common = most_common(rows.column("sketch").to_pylist(), n)(x, y)
-        ok = similar(n[x], n[y], common, threshold)
-        x, y, common = x[ok], y[ok], common[ok]
-        if not every and len(x):
-            order = np.lexsort((-y, -x, common / (n[x] + n[y] - common)))
-            last = np.full(m, -1)
-            for end in (x, y):
-                last[end[order]] = np.maximum(last[end[order]], np.arange(len(order)))  # of a set's pairs the nearest comes last
-            take = order[np.unique(last[last >= 0])]
+        judge()
+        x, y, common = np.unique(np.concatenate(kept, axis=1), axis=1)
+        if not every:
+            take = nearest(x, y, common)
             take = take[spanning(x[take], y[take], common[take], n, c)]
             x, y = x[take], y[take]
         if len(x):
