@@ -22,10 +22,15 @@ class StoreError(ValueError):
 
 
 def workspace(spark: SparkSession) -> str:
-    """A folder that all executors see: the cluster's checkpoint folder; one of our own where none is set, as in tests."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return f"{spark.sparkContext.getCheckpointDir()}/store-{uuid.uuid4().hex}"
+    """A new place in the cluster's checkpoint folder, which all executors see; where none is set, as in tests on one machine,
+    in a folder of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise StoreError("spark.checkpoint.dir is unset: executors would not see each other's files")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    return f"{context.getCheckpointDir()}/store-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
