@@ -154,8 +154,9 @@ def named(keys: np.ndarray, low: np.ndarray, n: int) -> np.ndarray:
     return name
 
 
-def reduced_order(name: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of the reduced text of names, as deep as ``depth`` names, by doubling: the recursion's last step."""
+def reduced_order(name: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of the reduced text of names, as deep as ``depth`` names, by doubling: the recursion's last step;
+    and whether each one is the same as the one before it, that deep."""
     n, rank, have = len(name), np.unique(name, return_inverse=True)[1].astype(np.uint64), 1
     while True:
         nxt = np.zeros(n, dtype=np.uint64)
@@ -166,7 +167,7 @@ def reduced_order(name: np.ndarray, depth: int) -> np.ndarray:
         new = np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))).astype(np.uint64)
         have *= 2
         if have >= depth or new[-1] == n - 1:
-            return order
+            return order, np.append(False, new[1:] == new[:-1])
         rank = np.empty(n, dtype=np.uint64)
         rank[order] = new
 
@@ -179,9 +180,15 @@ def induced_order(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> tu
     if len(low):
         # The text is cut at these places; its pieces get names, and the text of names is ordered in place of the suffixes.
         # A piece spans two symbols at least, so half as many names reach as deep.
-        low = low[reduced_order(named(keys, low, n), depth // 2 + 1)]
+        order, same = reduced_order(named(keys, low, n), depth // 2 + 1)
+        low = low[order]
     low = low.astype(np.int32)
-    low_prefix = np.concatenate(([0], common(keys, n, low[:-1], low[1:], depth))).astype(np.int32) if len(low) else np.zeros(0, np.int32)
+    low_prefix = np.zeros(len(low), np.int32)
+    if len(low):
+        # Where the names agree all the way the prefix is as long as it can matter, but for the text's end.
+        apart = np.flatnonzero(~same)[1:]
+        low_prefix[1:] = np.minimum(depth, n - np.maximum(low[:-1], low[1:]))
+        low_prefix[apart] = common(keys, n, low[apart - 1], low[apart], depth)
     low_cut = np.searchsorted(text[low], np.arange(symbols + 1)) if len(low) else np.zeros(symbols + 1, np.int64)
 
     def sweep(seeds, falling: bool) -> tuple[list, np.ndarray, np.ndarray]:
@@ -208,7 +215,7 @@ def induced_order(text: np.ndarray, depth: int, budget: int = QUEUE_BYTES) -> tu
             """Push predecessors; those of the same symbol come back at once."""
             ok = at > 0
             p, o = at[ok] - 1, order[ok]
-            ok = (up[p] != falling) & ((text[p] >= text[p + 1]) if falling else (text[p] <= text[p + 1]))
+            ok = up[p] != falling  # a falling suffix begins with no smaller a symbol than the next one, a rising one with no larger
             p, o = p[ok], o[ok]
             same = text[p] == c
             queue.push(text[p[~same]].astype(np.uint16), o[~same], p[~same])
