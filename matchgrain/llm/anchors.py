@@ -25,6 +25,8 @@ from .common import _BASE, _BYTE, Words, durable, mix, partitions, powers, remov
 HOT_RUNS = 20_000
 #: Bytes of passages for each shard, about.
 SHARD_BYTES = 6 << 20
+#: Bytes of distinct passages judged at once, about; one name's passages stay together.
+JUDGED_BYTES = 3 << 20
 
 
 class Unit(NamedTuple):
@@ -195,7 +197,15 @@ def repeated_windows(rows: DataFrame, unit: Unit, judge: Judge, first_stays: boo
         first = np.flatnonzero(np.append(True, (name[1:] != name[:-1]) | (sid[1:] != sid[:-1])))
         copies, take = np.add.reduceat(col["copies"][order], first), order[first]
         at = pd.DataFrame({"doc_id": doc[take], "rid": col["rid"][take], "start": col["start"][take]})
-        spans = judge(rows.column("content").take(pa.array(take)).to_pylist(), copies, at)
+        # Names have nothing in common, so a shard is judged a few names at a time: memory is bounded however names are dealt.
+        content = rows.column("content").take(pa.array(take))
+        size = np.cumsum(pc.binary_length(content).to_numpy())
+        lead = np.flatnonzero(np.append(True, name[first][1:] != name[first][:-1]))
+        part = (size[lead] - 1) // JUDGED_BYTES
+        cut = np.append(lead[np.append(True, part[1:] != part[:-1])], len(take)).tolist()
+        spans: list[list[tuple[int, int]]] = []
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            spans += judge(content.slice(a, b - a).to_pylist(), copies[a:b], at.iloc[a:b].reset_index(drop=True))
         keep = [i for i, s in enumerate(spans) if s or (first_stays and copies[i] > 1)]
         kept = take[keep]
         listed = pa.array([[{"a": a, "b": b} for a, b in spans[i]] for i in keep], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))
