@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .html_text import op3_main_text
 from .jaccard_join import op8_jaccard_join
 from .lattice_lm import op5_lattice_lm
+from .lexical_search import OP11_SQL, op11_lexical_search
 from .mixing import op6_mixing_rates
 from .packing import op2_best_fit_packing
 from .quality_bands import op1_quality_bands
@@ -21,8 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op3_main_text, op4_substring_dedup, op5_lattice_lm, op6_mixing_rates, op7_exact_top_k, op8_jaccard_join, op9_suffix_dedup, op10_token_counts)}
+    return {f.__name__: f for f in (op1_quality_bands, op2_best_fit_packing, op3_main_text, op4_substring_dedup, op5_lattice_lm, op6_mixing_rates, op7_exact_top_k, op8_jaccard_join, op9_suffix_dedup, op10_token_counts, op11_lexical_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": OP7_SQL}
+    return {"op7_exact_top_k": OP7_SQL, "op11_lexical_search": OP11_SQL}
