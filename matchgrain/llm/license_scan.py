@@ -115,14 +115,15 @@ class Scanner:
     def _pattern(n: Notice):
         loose = f"(?:{regex.escape(n.words, literal_spaces=True)}){{e<={n.edits}}}" if n.words else ""
         body = " ".join(x for x in (regex.escape(n.name, literal_spaces=True), loose) if x)
-        return regex.compile(rf"(?<![^ ]){body}(?![^ ])", regex.BESTMATCH)
+        # The space before is part of the match: where a match begins, the library tries no insertion.
+        return regex.compile(rf" {body}(?![^ ])", regex.BESTMATCH)
 
     def _verified(self, i: int, window: str) -> tuple[int, int, int] | None:
         if (i, window) not in self.known:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             m = self.patterns[i].search(window)
-            self.known[i, window] = m and (m.start(), m.end(), sum(m.fuzzy_counts))
+            self.known[i, window] = m and (m.start() + 1, m.end(), sum(m.fuzzy_counts))
         return self.known[i, window]
 
     def spans(self, padded: str) -> list[tuple[int, int, int, int]]:
@@ -132,8 +133,8 @@ class Scanner:
             for i, at in uses:
                 n, k = len(self.notices[i].whole), self.notices[i].edits
                 start = last + 1 - size - at
-                # From the start of the word that the match can first begin in to the end of the word it can last end in.
-                a = padded.rfind(" ", 0, max(start - k, 0) + 1) + 1
+                # From the space before the word that the match can first begin in to the end of the word it can last end in.
+                a = padded.rfind(" ", 0, max(start - k, 0) + 1)
                 b = padded.find(" ", min(start + n + k, len(padded) - 1))
                 if hit := self._verified(i, padded[a:b]):
                     found.setdefault(i, set()).add((hit[2], a + hit[0], a + hit[1]))
