@@ -100,9 +100,9 @@ def test_a_piece_survives_any_permitted_edits():
     r = random.Random(4)
     for n in scan.NOTICES:
         assert "".join(p for p, _ in scan.pieces(n)) == (n.words if not n.name else f" {n.name} ")
-        for _ in range(200):
-            if not n.name:
-                assert any(p in harmed(r, n.words, n.edits) for p, _ in scan.pieces(n))
+        for _ in range(0 if n.name else 200):
+            text = harmed(r, n.words, n.edits)
+            assert any(p in text for p, _ in scan.pieces(n))
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None), (2, "")]], ids=["empty", "no text"])
