@@ -37,6 +37,12 @@ def checked(candidates: DataFrame, names: Sequence[str]) -> DataFrame:
     return candidates
 
 
+def member(by: Sequence[str]) -> Column:
+    """A squad's players as bits of a long, by ascending id; a squad has 63 at most."""
+    at = F.row_number().over(Window.partitionBy(*by).orderBy("player_id")) - 1
+    return F.when(at < 63, F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))).otherwise(F.raise_error(F.lit("a squad has more than 63 players")).cast("long"))
+
+
 def leaves(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], declared: DataFrame | None, by: Sequence[str], applies: Mapping[str, Sequence[str]]) -> tuple[DataFrame, int]:
     """One-player states with their ``block``, and the number of blocks (a power of two)."""
     slots, names = list(formation), list(minima)
@@ -50,7 +56,7 @@ def leaves(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[
         rows = rows.join(d, [*by, "player_id"], "left").fillna(False, ["excluded", "must"])
     group = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in slots]), F.element_at("slots", 1)) - 1, F.lit(0))
     rows = rows.where(F.size("slots") > 0).withColumn("g", group)
-    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by, "g").orderBy("player_id")) - 1)
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by, "g").orderBy("player_id")) - 1).withColumn("bit", member(by))
     rows = cut(rows)
     wide = 1 << max((rows.agg(F.max("i")).first()[0] or 0), 1).bit_length()
     groups = 1 << (len(slots) - 1).bit_length()
@@ -59,12 +65,12 @@ def leaves(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[
     def state(slot: str | None) -> Column:
         fills = [F.lit(int(s == slot)).cast("int").alias(f"f_{s}") for s in slots]
         brings = [(F.least(F.lit(minima[n]), F.col(n)) if slot in applies[n] else F.lit(0)).cast("long").alias(n) for n in names]
-        return F.struct(*fills, *brings)
+        return F.struct(*fills, *brings, (F.lit(0) if slot is None else F.col("bit")).cast("long").alias("xi"))
 
     choice = [F.when(~F.col("must"), state(None))]
     choice += [F.when(F.array_contains("slots", s) & ~F.col("excluded") & (F.col("pin").isNull() | (F.col("pin") == s)), state(s)) for s in slots]
     own = rows.select(*by, "block", F.explode(F.filter(F.array(*choice), lambda x: x.isNotNull())).alias("x")).select(*by, "block", "x.*")
-    nobody = [F.lit(0).cast("int").alias(f"f_{s}") for s in slots] + [F.lit(0).cast("long").alias(n) for n in names]
+    nobody = [F.lit(0).cast("int").alias(f"f_{s}") for s in slots] + [F.lit(0).cast("long").alias(n) for n in (*names, "xi")]
     every = rows.select(*by).distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups * wide - 1).cast("long"))))
     empty = every.join(rows.select(*by, "block"), [*by, "block"], "left_anti").select(*by, "block", *nobody)
     return own.unionByName(empty), groups * wide
@@ -73,47 +79,148 @@ def leaves(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[
 def undominated(states: DataFrame, key: Sequence[str], names: Sequence[str]) -> DataFrame:
     """The best of the last sum for each others; of those alike but in the last two, the ones with more of one than all with more of the other."""
     *others, last = names
-    best = states.groupBy(*key, *others).agg(F.max(last).alias(last))
+    best = states.groupBy(*key, *others).agg(F.max(F.struct(last, "xi")).alias("_b")).select(*key, *others, f"_b.{last}", "_b.xi")
     if not others:
         return best
     above = Window.partitionBy(*key, *others[:-1]).orderBy(F.desc(others[-1])).rowsBetween(Window.unboundedPreceding, -1)
     return best.withColumn("_top", F.max(last).over(above)).where(F.col("_top").isNull() | (F.col(last) > F.col("_top"))).drop("_top")
 
 
-def states(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], declared: DataFrame | None = None, by: Sequence[str] = ("squad",), applies: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """``by``, places filled and sums: what each squad's players can do together, within the formation's places.
+def halves(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], declared: DataFrame | None, by: Sequence[str], applies: Mapping[str, Sequence[str]] | None) -> DataFrame:
+    """``by``, ``block`` (0 or 1), places filled and sums: what each half of a squad's blocks can do within the formation.
 
-    ``candidates``: player_id, slots (array, the first one is the own), a whole number for each of ``minima``; ``applies``
-    names the slots that a requirement counts (all, if not given); ``declared`` has the columns of ``by`` and ``DECLARED``.
+    The blocks of a pair meet in one of a fixed number of partitions: few bytes go in and much work comes out, so partitions
+    must not be put together by their size.
     """
     slots, names = list(formation), list(minima)
     fills = [f"f_{s}" for s in slots]
     rows, blocks = leaves(candidates, formation, minima, declared, by, applies or {n: slots for n in names})
-    while blocks > 1:
-        rows = cut(rows)
-        left = rows.where(F.col("block") % 2 == 0).withColumn("block", F.expr("block div 2"))
-        right = rows.where(F.col("block") % 2 == 1).select(*by, F.expr("block div 2").alias("block"), *[F.col(c).alias(f"_{c}") for c in (*fills, *names)])
-        room = _all([F.col(f"f_{s}") + F.col(f"_f_{s}") <= n for s, n in formation.items()])
-        met = left.join(right, [*by, "block"]).where(room)
-        met = met.select(*by, "block", *[(F.col(f) + F.col(f"_{f}")).alias(f) for f in fills], *[F.least(F.lit(minima[n]), F.col(n) + F.col(f"_{n}")).alias(n) for n in names])
+    n = partitions(candidates)
+    while blocks > 2:
+        dealt = cut(rows.withColumn("half", F.col("block") % 2).withColumn("block", F.expr("block div 2")).repartition(n, *by, "block"))
+        right = dealt.where("half = 1").select(*by, "block", *[F.col(c).alias(f"_{c}") for c in (*fills, *names, "xi")])
+        room = _all([F.col(f"f_{s}") + F.col(f"_f_{s}") <= most for s, most in formation.items()])
+        met = dealt.where("half = 0").repartition(n, *by, "block").join(right.repartition(n, *by, "block"), [*by, "block"]).where(room)
+        met = met.select(*by, "block", *[(F.col(f) + F.col(f"_{f}")).alias(f) for f in fills], *_together(minima))
         rows, blocks = undominated(met, [*by, "block", *fills], names), blocks // 2
-    return rows.drop("block")
+    return rows
+
+
+def partitions(df: DataFrame) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _together(minima: Mapping[str, int]) -> list[Column]:
+    return [F.least(F.lit(m), F.col(n) + F.col(f"_{n}")).alias(n) for n, m in minima.items()] + [F.col("xi").bitwiseOR(F.col("_xi")).alias("xi")]
 
 
 def values(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], declared: DataFrame | None = None, by: Sequence[str] = ("squad",), applies: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """``by, status, max_short, total_short``: the least loss of each squad, or UNFIELDABLE (proven: all states were kept)."""
-    rows = states(candidates, formation, minima, declared, by, applies)
-    want = {s: F.lit(n) for s, n in formation.items()}
+    """``by, status, max_short, total_short, xi``: the least loss of each squad and players who have it (bits by ascending id), or
+    UNFIELDABLE (proven: all states were kept).
+
+    ``candidates``: player_id, slots (array, the first one is the own), a whole number for each of ``minima``; ``applies``
+    names the slots that a requirement counts (all, if not given); ``declared`` has the columns of ``by`` and ``DECLARED``.
+    """
+    names = list(minima)
+    rows = cut(halves(candidates, formation, minima, declared, by, applies))
+    n = partitions(candidates)
+    left = rows.where("block = 0")
+    want = {s: F.lit(k) for s, k in formation.items()}
     if declared is not None:
         gone = declared.where(F.col("kind") == "VACANT").groupBy(*by).agg(*[F.count_if(F.col("slot") == s).alias(f"v_{s}") for s in formation])
-        rows = rows.join(gone, list(by), "left").fillna(0, [f"v_{s}" for s in formation])
-        want = {s: n - F.col(f"v_{s}") for s, n in formation.items()}
-    worst, total = shortfalls({n: F.col(n) for n in minima}, minima)
-    least = rows.where(_all([F.col(f"f_{s}") == w for s, w in want.items()])).groupBy(*by).agg(F.min(F.struct(worst.alias("max_short"), total.alias("total_short"))).alias("z"))
+        left = left.join(gone, list(by), "left").fillna(0, [f"v_{s}" for s in formation])
+        want = {s: k - F.col(f"v_{s}") for s, k in formation.items()}
+    # One half fills what the other leaves open.
+    needs = [f"need_{s}" for s in formation]
+    left = left.select(*by, *[(want[s] - F.col(f"f_{s}")).cast("long").alias(f"need_{s}") for s in formation], *names, "xi").repartition(n, *by, *needs)
+    right = rows.where("block = 1").select(*by, *[F.col(f"f_{s}").cast("long").alias(f"need_{s}") for s in formation], *[F.col(c).alias(f"_{c}") for c in (*names, "xi")]).repartition(n, *by, *needs)
+    met = left.join(right, [*by, *needs]).select(*by, *_together(minima))
+    worst, total = shortfalls({m: F.col(m) for m in minima}, minima)
+    least = met.groupBy(*by).agg(F.min(F.struct(worst.alias("max_short"), total.alias("total_short"), "xi")).alias("z"))
     asked = candidates.select(*by).distinct()
-    return asked.join(least, list(by), "left").select(*by, F.when(F.col("z").isNull(), "UNFIELDABLE").otherwise("CERTIFIED").alias("status"), "z.max_short", "z.total_short")
+    return asked.join(least, list(by), "left").select(*by, F.when(F.col("z").isNull(), "UNFIELDABLE").otherwise("CERTIFIED").alias("status"), "z.max_short", "z.total_short", "z.xi")
 
 
 def scenarios(candidates: DataFrame, declared: DataFrame, by: Sequence[str], scenario: str = "scenario") -> DataFrame:
     """``candidates`` once for each scenario that ``declared`` names for their squad."""
     return candidates.join(declared.select(*by, scenario).distinct(), list(by))
+
+
+def elements(mask: Column) -> Column:
+    """The bits of a squad's set, ascending."""
+    return F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.call_function("getbit", mask, i) == 1)
+
+
+def without(mask: Column, i: Column) -> Column:
+    return mask.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+
+
+def absences(candidates: DataFrame, formation: Mapping[str, int], most: int = 3) -> DataFrame:
+    """``squad, k, absent, fieldable``: every set of up to ``most`` players of a squad that has an eleven, without sets that hold
+    a smaller one after which there is none.
+
+    Sets grow level by level: two that differ in their last player make one, which stays if every set with one player less
+    leaves an eleven. Whether it does itself is counted: an eleven is left if every group of slots keeps as many players as
+    places. ``absent`` has bits by ascending id; a row that is not fieldable is a core.
+    """
+    groups = cut(slot_groups(candidates, formation).withColumn("places", places(formation)).groupBy("squad").agg(F.collect_list(F.struct("able", "places")).alias("groups")))
+    kept = lambda g, gone: F.bit_count(g["able"].bitwiseAND(F.bitwise_not(gone))) >= g["places"]
+    whole = groups.where(F.forall("groups", lambda g: kept(g, F.lit(0).cast("long"))))
+    sets = cut(candidates.withColumn("absent", member(["squad"])).select("squad", "absent").join(whole.select("squad"), "squad"))
+    out = None
+    for k in range(1, most + 1):
+        if k > 1:
+            last = F.element_at(elements(F.col("absent")), -1)
+            one = level.where("fieldable").select("squad", "absent", last.alias("top"), without(F.col("absent"), last).alias("rest"))
+            two = one.select("squad", "rest", F.col("absent").alias("_absent"), F.col("top").alias("_top"))
+            sets = one.join(two, ["squad", "rest"]).where("top < _top").select("squad", F.col("absent").bitwiseOR(F.col("_absent")).alias("absent"))
+            parts = sets.select("squad", "absent", F.explode(elements(F.col("absent"))).alias("i")).select("squad", F.col("absent").alias("more"), without(F.col("absent"), F.col("i")).alias("absent"))
+            held = parts.join(level.where("fieldable").select("squad", "absent"), ["squad", "absent"]).groupBy("squad", F.col("more").alias("absent")).count()
+            sets = held.where(F.col("count") == k).drop("count")
+        level = sets.join(whole, "squad").select("squad", F.lit(k).alias("k"), "absent", F.forall("groups", lambda g: kept(g, F.col("absent"))).alias("fieldable"))
+        level = cut(level)
+        out = level if out is None else out.unionByName(level)
+    return out
+
+
+def stress(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], most: int = 3, applies: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``squad, k, absent, status, max_short, total_short``: what each set of ``absences`` leaves of its squad.
+
+    If the best eleven without all but one of a set's players does without that one too, the set inherits its loss; the
+    others are solved, a level of all squads at once. An UNFIELDABLE row is a core.
+    """
+    sets = absences(candidates, formation, most)
+    bits = cut(candidates.withColumn("bit", member(["squad"])))
+    base = values(candidates, formation, minima, None, ("squad",), applies).where(F.col("status") == "CERTIFIED")
+    known = cut(base.select("squad", F.lit(0).cast("long").alias("absent"), "max_short", "total_short", "xi"))
+    out = sets.where("not fieldable").select("squad", "k", "absent", F.lit("UNFIELDABLE").alias("status"), F.lit(None).cast("long").alias("max_short"), F.lit(None).cast("long").alias("total_short"))
+    for k in range(1, most + 1):
+        own = sets.where(F.col("fieldable") & (F.col("k") == k)).select("squad", "absent")
+        parts = own.select("squad", "absent", F.explode(elements(F.col("absent"))).alias("i")).withColumn("less", without(F.col("absent"), F.col("i")))
+        smaller = known.select("squad", F.col("absent").alias("less"), "max_short", "total_short", "xi")
+        idle = F.when(F.call_function("getbit", "xi", F.col("i")) == 0, F.struct("max_short", "total_short", "xi"))
+        met = cut(parts.join(smaller, ["squad", "less"]).groupBy("squad", "absent").agg(F.min(idle).alias("z")))
+        asked = met.where(F.col("z").isNull()).select("squad", "absent")
+        gone = asked.join(bits.select("squad", "player_id", "bit"), "squad").where(F.col("bit").bitwiseAND(F.col("absent")) != 0)
+        declared = gone.select("squad", "absent", "player_id", F.lit("EXCLUDED").alias("kind"), F.lit(None).cast("string").alias("slot"))
+        solved = values(bits.drop("bit").join(asked, "squad"), formation, minima, declared, ("squad", "absent"), applies)
+        known = cut(met.where(F.col("z").isNotNull()).select("squad", "absent", "z.*").unionByName(solved.drop("status")))
+        out = out.unionByName(known.select("squad", F.lit(k).alias("k"), "absent", F.lit("CERTIFIED").alias("status"), "max_short", "total_short"))
+    return out
+
+
+def slot_groups(candidates: DataFrame, formation: Mapping[str, int], by: Sequence[str] = ("squad",)) -> DataFrame:
+    """``by, mask, able``: for every group of slots (bits in the formation's order) the players, as bits, who can stand in it."""
+    own = reduce(Column.bitwiseOR, [F.when(F.array_contains("slots", s), 1 << i).otherwise(0) for i, s in enumerate(formation)])
+    rows = candidates.select(*by, member(by).alias("bit"), own.alias("own"))
+    every = F.array(*[F.lit(m) for m in range(1, 1 << len(formation))])
+    return rows.withColumn("mask", F.explode(every)).groupBy(*by, "mask").agg(F.bit_or(F.when(F.col("own").bitwiseAND(F.col("mask")) != 0, F.col("bit")).otherwise(0)).alias("able"))
+
+
+def places(formation: Mapping[str, int], mask: str = "mask") -> Column:
+    """How many places a group of slots has."""
+    return reduce(Column.__add__, [F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, n).otherwise(0) for i, n in enumerate(formation.values())])
+
+
+def spelled_group(formation: Mapping[str, int], mask: str = "mask") -> Column:
+    return F.concat_ws("+", *[F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, F.lit(s)) for i, s in enumerate(formation)])

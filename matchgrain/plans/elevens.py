@@ -14,7 +14,7 @@ from ..sources import neutral
 from .registry import query
 
 FORMATION = {"GK": 1, "DF": 4, "MD": 3, "FW": 3}
-MINIMA = {"passes": 45, "shots": 43, "touches": 44}
+MINIMA = {"passes": 56, "shots": 54, "touches": 55}
 APPLIES = {n: ("DF", "MD", "FW") for n in MINIMA}
 #: A player needs so many minutes to be asked to play.
 GATE = 600
@@ -62,7 +62,7 @@ def squads(spark, sf_dir) -> DataFrame:
 
 
 def valued(s: DataFrame, declared: DataFrame | None, by: tuple[str, ...]) -> DataFrame:
-    return E.values(s, FORMATION, MINIMA, declared, by, APPLIES)
+    return E.values(s, FORMATION, MINIMA, declared, by, APPLIES).drop("xi")
 
 
 _PICK = """, pick AS (SELECT squad, 'base' AS scenario, NULL AS player_id, NULL AS kind, NULL AS slot FROM squad GROUP BY squad
@@ -130,3 +130,52 @@ def standings(s: DataFrame) -> DataFrame:
 def eleven_standings(spark, sf_dir):
     """Whether a player in a slot leaves the squad's least loss alone, raises it, or leaves no eleven."""
     return standings(squads(spark, sf_dir))
+
+
+_ABSENT = """, base AS (SELECT DISTINCT squad FROM loss), member AS (SELECT squad, player_id, bit FROM squad JOIN base USING (squad)), single AS (SELECT squad, 1 AS k, bit AS absent FROM member),
+pair AS (SELECT a.squad, 2 AS k, a.bit | b.bit AS absent FROM member a JOIN member b ON b.squad = a.squad AND b.player_id > a.player_id),
+triple AS (SELECT a.squad, 3 AS k, a.bit | b.bit | c.bit AS absent FROM member a JOIN member b ON b.squad = a.squad AND b.player_id > a.player_id JOIN member c ON c.squad = a.squad AND c.player_id > b.player_id),
+away AS (SELECT * FROM single UNION ALL SELECT * FROM pair UNION ALL SELECT * FROM triple)"""
+# Elevens with the same loss, by the players that some set of absences could take away from all better ones.
+_WORST = _ABSENT + """, distinct_loss AS (SELECT squad, mask, min(z) AS z FROM loss GROUP BY squad, mask), ev2 AS (SELECT w.squad, w.k, w.absent, (SELECT min(l.z) FROM distinct_loss l WHERE l.squad = w.squad AND l.mask & w.absent = 0) AS z FROM away w)"""
+
+
+@query(
+    SETS + _WORST + """, top AS (SELECT squad, k, max(z) AS top FROM ev2 GROUP BY squad, k)
+SELECT squad, k, count(*) AS sets, count(*) FILTER (WHERE z IS NULL) AS unfieldable, CAST(any_value(top).m AS BIGINT) AS worst_max, CAST(any_value(top).t AS BIGINT) AS worst_total, count(*) FILTER (WHERE z = top) AS worst_sets FROM ev2 JOIN top USING (squad, k) GROUP BY squad, k"""
+)
+def eleven_stress(spark, sf_dir):
+    """All sets of one to three absences: how many leave no eleven, the largest loss of the others, and how many sets reach it."""
+    s = squads(spark, sf_dir)
+    rows = E.stress(s, FORMATION, MINIMA, 3, APPLIES)
+    z = F.struct("max_short", "total_short")
+    top = rows.where("status = 'CERTIFIED'").groupBy("squad", "k").agg(F.max(z).alias("top"), F.count("*").alias("fieldable"))
+    ties = rows.where("status = 'CERTIFIED'").withColumn("z", z).join(top, ["squad", "k"]).where(F.col("z") == F.col("top")).groupBy("squad", "k").agg(F.count("*").alias("worst_sets"))
+    n = s.groupBy("squad").agg(F.count("*").alias("n")).join(rows.select("squad").distinct(), "squad").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    ways = F.when(F.col("k") == 1, F.col("n")).when(F.col("k") == 2, F.expr("n * (n - 1) div 2")).otherwise(F.expr("n * (n - 1) * (n - 2) div 6"))
+    every = n.withColumn("sets", ways).join(top, ["squad", "k"], "left").join(ties, ["squad", "k"], "left")
+    lost = F.col("sets") - F.coalesce("fieldable", F.lit(0))
+    return every.select("squad", "k", "sets", lost.alias("unfieldable"), F.col("top.max_short").alias("worst_max"), F.col("top.total_short").alias("worst_total"), F.coalesce("worst_sets", F.lit(0)).alias("worst_sets"))
+
+
+_GROUPS = ", ".join(f"({m}, {sum(n for i, n in enumerate(FORMATION.values()) if m >> i & 1)}, '{'+'.join(s for i, s in enumerate(FORMATION) if m >> i & 1)}')" for m in range(1, 16))
+
+
+@query(
+    SETS + _ABSENT + f""", slot_group AS (SELECT * FROM (VALUES {_GROUPS}) AS v(g, places, name)), own AS (SELECT squad, player_id, bit, list_sum(list_transform(slots, lambda x: CASE x WHEN 'GK' THEN 1 WHEN 'DF' THEN 2 WHEN 'MD' THEN 4 ELSE 8 END)) AS own FROM squad),
+able AS (SELECT squad, g, places, name, bit_or(CASE WHEN CAST(own AS BIGINT) & g <> 0 THEN bit ELSE 0 END) AS able FROM own, slot_group GROUP BY ALL), lost AS (SELECT DISTINCT squad, k, absent FROM away WHERE NOT EXISTS (SELECT 1 FROM eleven e WHERE e.squad = away.squad AND e.mask & away.absent = 0)),
+core AS (SELECT * FROM lost a WHERE NOT EXISTS (SELECT 1 FROM lost b WHERE b.squad = a.squad AND b.k < a.k AND b.absent & a.absent = b.absent)),
+why AS (SELECT core.*, min_by(name, {{'n': bit_count(g), 'g': g}}) AS slots, min_by(bit_count(able & ~absent), {{'n': bit_count(g), 'g': g}}) AS left_over FROM core JOIN able ON able.squad = core.squad AND bit_count(able & ~absent) < places GROUP BY core.squad, core.k, core.absent)
+SELECT w.squad, CAST(k AS INTEGER) AS k, string_agg(CAST(player_id AS VARCHAR), ',' ORDER BY player_id) AS absent, slots, CAST(left_over AS BIGINT) AS left_over FROM why w JOIN member m ON m.squad = w.squad AND m.bit & w.absent <> 0 GROUP BY w.squad, k, w.absent, slots, left_over"""
+)
+def eleven_cores(spark, sf_dir):
+    """Minimal sets of up to three absences that leave no eleven, each with a group of slots that has too few players left."""
+    s = squads(spark, sf_dir)
+    core = E.absences(s, FORMATION).where("not fieldable").select("squad", "k", "absent")
+    able = E.slot_groups(s, FORMATION).withColumn("places", E.places(FORMATION)).withColumn("name", E.spelled_group(FORMATION))
+    remain = F.bit_count(F.col("able").bitwiseAND(F.bitwise_not(F.col("absent"))))
+    met = core.join(able, "squad").withColumn("remain", remain.cast("long")).where(F.col("remain") < F.col("places"))
+    why = met.groupBy("squad", "k", "absent").agg(F.min(F.struct(F.bit_count("mask").alias("n"), "mask", "name", "remain")).alias("w"))
+    who = s.select("squad", "player_id", E.member(["squad"]).alias("bit"))
+    named = why.join(who, "squad").where(F.col("bit").bitwiseAND(F.col("absent")) != 0).groupBy("squad", "k", "absent", "w").agg(F.array_sort(F.collect_list("player_id")).alias("ids"))
+    return named.select("squad", "k", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("absent"), F.col("w.name").alias("slots"), F.col("w.remain").alias("left_over"))
