@@ -46,7 +46,8 @@ def member(by: Sequence[str]) -> Column:
 def leaves(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], declared: DataFrame | None, by: Sequence[str], applies: Mapping[str, Sequence[str]]) -> tuple[DataFrame, int]:
     """One-player states with their ``block``, and the number of blocks (a power of two)."""
     slots, names = list(formation), list(minima)
-    rows = checked(candidates, names).select(*by, "player_id", "slots", *names)
+    tag = F.col("tag") if "tag" in candidates.columns else F.lit(0)
+    rows = checked(candidates, names).select(*by, "player_id", "slots", *names, tag.cast("long").alias("tag"))
     if declared is None:
         rows = rows.withColumn("excluded", F.lit(False)).withColumn("must", F.lit(False)).withColumn("pin", F.lit(None).cast("string"))
     else:
@@ -65,12 +66,12 @@ def leaves(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[
     def state(slot: str | None) -> Column:
         fills = [F.lit(int(s == slot)).cast("int").alias(f"f_{s}") for s in slots]
         brings = [(F.least(F.lit(minima[n]), F.col(n)) if slot in applies[n] else F.lit(0)).cast("long").alias(n) for n in names]
-        return F.struct(*fills, *brings, (F.lit(0) if slot is None else F.col("bit")).cast("long").alias("xi"))
+        return F.struct(*fills, *brings, (F.lit(0) if slot is None else F.col("bit")).cast("long").alias("xi"), (F.lit(0) if slot is None else F.col("tag")).cast("long").alias("tag"))
 
     choice = [F.when(~F.col("must"), state(None))]
     choice += [F.when(F.array_contains("slots", s) & ~F.col("excluded") & (F.col("pin").isNull() | (F.col("pin") == s)), state(s)) for s in slots]
     own = rows.select(*by, "block", F.explode(F.filter(F.array(*choice), lambda x: x.isNotNull())).alias("x")).select(*by, "block", "x.*")
-    nobody = [F.lit(0).cast("int").alias(f"f_{s}") for s in slots] + [F.lit(0).cast("long").alias(n) for n in (*names, "xi")]
+    nobody = [F.lit(0).cast("int").alias(f"f_{s}") for s in slots] + [F.lit(0).cast("long").alias(n) for n in (*names, "xi", "tag")]
     every = rows.select(*by).distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups * wide - 1).cast("long"))))
     empty = every.join(rows.select(*by, "block"), [*by, "block"], "left_anti").select(*by, "block", *nobody)
     return own.unionByName(empty), groups * wide
@@ -86,23 +87,23 @@ def undominated(states: DataFrame, key: Sequence[str], names: Sequence[str]) ->
     return best.withColumn("_top", F.max(last).over(above)).where(F.col("_top").isNull() | (F.col(last) > F.col("_top"))).drop("_top")
 
 
-def halves(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], declared: DataFrame | None, by: Sequence[str], applies: Mapping[str, Sequence[str]] | None) -> DataFrame:
+def halves(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], declared: DataFrame | None, by: Sequence[str], applies: Mapping[str, Sequence[str]] | None, down_to: int = 2) -> DataFrame:
     """``by``, ``block`` (0 or 1), places filled and sums: what each half of a squad's blocks can do within the formation.
 
-    The blocks of a pair meet in one of a fixed number of partitions: few bytes go in and much work comes out, so partitions
+    A column ``tag`` of the candidates (bits) is kept apart: a state says which tags its players have. The blocks of a pair meet in one of a fixed number of partitions: few bytes go in and much work comes out, so partitions
     must not be put together by their size.
     """
     slots, names = list(formation), list(minima)
     fills = [f"f_{s}" for s in slots]
     rows, blocks = leaves(candidates, formation, minima, declared, by, applies or {n: slots for n in names})
     n = partitions(candidates)
-    while blocks > 2:
+    while blocks > down_to:
         dealt = cut(rows.withColumn("half", F.col("block") % 2).withColumn("block", F.expr("block div 2")).repartition(n, *by, "block"))
-        right = dealt.where("half = 1").select(*by, "block", *[F.col(c).alias(f"_{c}") for c in (*fills, *names, "xi")])
+        right = dealt.where("half = 1").select(*by, "block", *[F.col(c).alias(f"_{c}") for c in (*fills, *names, "xi", "tag")])
         room = _all([F.col(f"f_{s}") + F.col(f"_f_{s}") <= most for s, most in formation.items()])
         met = dealt.where("half = 0").repartition(n, *by, "block").join(right.repartition(n, *by, "block"), [*by, "block"]).where(room)
         met = met.select(*by, "block", *[(F.col(f) + F.col(f"_{f}")).alias(f) for f in fills], *_together(minima))
-        rows, blocks = undominated(met, [*by, "block", *fills], names), blocks // 2
+        rows, blocks = undominated(met, [*by, "block", *fills, "tag"], names), blocks // 2
     return rows
 
 
@@ -111,7 +112,8 @@ def partitions(df: DataFrame) -> int:
 
 
 def _together(minima: Mapping[str, int]) -> list[Column]:
-    return [F.least(F.lit(m), F.col(n) + F.col(f"_{n}")).alias(n) for n, m in minima.items()] + [F.col("xi").bitwiseOR(F.col("_xi")).alias("xi")]
+    sums = [F.least(F.lit(m), F.col(n) + F.col(f"_{n}")).alias(n) for n, m in minima.items()]
+    return sums + [F.col(c).bitwiseOR(F.col(f"_{c}")).alias(c) for c in ("xi", "tag")]
 
 
 def values(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], declared: DataFrame | None = None, by: Sequence[str] = ("squad",), applies: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -132,8 +134,8 @@ def values(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[
         want = {s: k - F.col(f"v_{s}") for s, k in formation.items()}
     # One half fills what the other leaves open.
     needs = [f"need_{s}" for s in formation]
-    left = left.select(*by, *[(want[s] - F.col(f"f_{s}")).cast("long").alias(f"need_{s}") for s in formation], *names, "xi").repartition(n, *by, *needs)
-    right = rows.where("block = 1").select(*by, *[F.col(f"f_{s}").cast("long").alias(f"need_{s}") for s in formation], *[F.col(c).alias(f"_{c}") for c in (*names, "xi")]).repartition(n, *by, *needs)
+    left = left.select(*by, *[(want[s] - F.col(f"f_{s}")).cast("long").alias(f"need_{s}") for s in formation], *names, "xi", "tag").repartition(n, *by, *needs)
+    right = rows.where("block = 1").select(*by, *[F.col(f"f_{s}").cast("long").alias(f"need_{s}") for s in formation], *[F.col(c).alias(f"_{c}") for c in (*names, "xi", "tag")]).repartition(n, *by, *needs)
     met = left.join(right, [*by, *needs]).select(*by, *_together(minima))
     worst, total = shortfalls({m: F.col(m) for m in minima}, minima)
     least = met.groupBy(*by).agg(F.min(F.struct(worst.alias("max_short"), total.alias("total_short"), "xi")).alias("z"))
@@ -141,6 +143,16 @@ def values(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[
     return asked.join(least, list(by), "left").select(*by, F.when(F.col("z").isNull(), "UNFIELDABLE").otherwise("CERTIFIED").alias("status"), "z.max_short", "z.total_short", "z.xi")
 
 
+def totals(candidates: DataFrame, formation: Mapping[str, int], names: Sequence[str], by: Sequence[str] = ("squad",), applies: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``by`` and sums of elevens: every nondominated one is there, and some that others dominate."""
+    no_cut = dict.fromkeys(names, 1 << 40)
+    rows = cut(halves(candidates, formation, no_cut, None, by, applies))
+    n, needs = partitions(candidates), [f"need_{s}" for s in formation]
+    left = rows.where("block = 0").select(*by, *[(F.lit(k) - F.col(f"f_{s}")).cast("long").alias(f"need_{s}") for s, k in formation.items()], *names).repartition(n, *by, *needs)
+    right = rows.where("block = 1").select(*by, *[F.col(f"f_{s}").cast("long").alias(f"need_{s}") for s in formation], *[F.col(m).alias(f"_{m}") for m in names]).repartition(n, *by, *needs)
+    return left.join(right, [*by, *needs]).select(*by, *[(F.col(m) + F.col(f"_{m}")).alias(m) for m in names]).distinct()
+
+
 def scenarios(candidates: DataFrame, declared: DataFrame, by: Sequence[str], scenario: str = "scenario") -> DataFrame:
     """``candidates`` once for each scenario that ``declared`` names for their squad."""
     return candidates.join(declared.select(*by, scenario).distinct(), list(by))
@@ -224,3 +236,80 @@ def places(formation: Mapping[str, int], mask: str = "mask") -> Column:
 
 def spelled_group(formation: Mapping[str, int], mask: str = "mask") -> Column:
     return F.concat_ws("+", *[F.when(F.col(mask).bitwiseAND(F.lit(1 << i)) != 0, F.lit(s)) for i, s in enumerate(formation)])
+
+
+def satisfied(candidates: DataFrame, formation: Mapping[str, int], floors: Mapping[str, int], excluded: int, locked: int, by: Sequence[str] = ("squad",), applies: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``by, sats``: the sets of declarations (as bits) that some partial assignment meets together.
+
+    Bits go by the declared order: coverage of each slot, then ``excluded`` players, then floors, then ``locked`` players; a
+    candidate's ``tag`` has the bits of their exclusion (0 on) and lock (``excluded`` on). A place may stay empty and an
+    excluded player may stand in one, which then does not meet that declaration. One state relation answers all subsets.
+    """
+    slots, names = list(formation), list(floors)
+    rows = halves(candidates, formation, floors, None, by, applies, down_to=1)
+    met = [F.when(F.col(f"f_{s}") == n, 1 << i).otherwise(0) for i, (s, n) in enumerate(formation.items())]
+    at = len(slots)
+    met += [F.when(F.call_function("getbit", "tag", F.lit(i)) == 0, 1 << (at + i)).otherwise(0) for i in range(excluded)]
+    at += excluded
+    met += [F.when(F.col(n) >= floors[n], 1 << (at + i)).otherwise(0) for i, n in enumerate(names)]
+    at += len(names)
+    met += [F.when(F.call_function("getbit", "tag", F.lit(excluded + i)) == 1, 1 << (at + i)).otherwise(0) for i in range(locked)]
+    return rows.select(*by, reduce(Column.__add__, met).cast("long").alias("sat")).distinct().groupBy(*by).agg(F.collect_list("sat").alias("sats"))
+
+
+def _holds(sats: Column, mask: Column) -> Column:
+    return F.exists(sats, lambda s: s.bitwiseAND(mask) == mask)
+
+
+def conflicts(sats: DataFrame, declarations: int, by: Sequence[str] = ("squad",)) -> DataFrame:
+    """``by, status, conflict, restores``: by deletion, in the declared order, a minimal set that cannot be met (bits), and the
+    single declarations without which all others can."""
+    every = F.lit((1 << declarations) - 1).cast("long")
+    order = F.sequence(F.lit(0), F.lit(declarations - 1))
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+
+    def dropped(mask: Column, i: Column) -> Column:
+        rest = mask.bitwiseAND(F.bitwise_not(bit(i)))
+        return F.when(_holds(F.col("sats"), rest), mask).otherwise(rest)
+
+    feasible = _holds(F.col("sats"), every)
+    kept = F.when(~feasible, F.aggregate(order, every, dropped)).otherwise(F.lit(0).cast("long"))
+    restores = F.aggregate(order, F.lit(0).cast("long"), lambda m, i: F.when(~feasible & _holds(F.col("sats"), every.bitwiseAND(F.bitwise_not(bit(i)))), m.bitwiseOR(bit(i))).otherwise(m))
+    return sats.select(*by, F.when(feasible, "FEASIBLE").otherwise("CONFLICT").alias("status"), kept.alias("conflict"), restores.alias("restores"))
+
+
+def named_bits(mask: str, names: Sequence[str]) -> Column:
+    return F.concat_ws(" + ", *[F.when(F.col(mask).bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(n)) for i, n in enumerate(names)])
+
+
+def skyline(points: DataFrame, dims: Sequence[str], by: Sequence[str] = ("squad",), most: int = 64) -> DataFrame:
+    """``by, place, dims, complete``: nondominated vectors of three dimensions in descending order, the first ``most`` of them.
+
+    Points are dealt to ranges of the first dimension. In a range, a point falls to one with no less of anything; across
+    ranges, it falls if the staircase of all higher ranges (most of the third for so much of the second or more) reaches it.
+    Staircases have a step for each value of the second dimension, and running maxima merge them. A list that is cut is the
+    largest part in that order, and says so.
+    """
+    a, b, c = dims
+    best = points.groupBy(*by, a, b).agg(F.max(c).alias(c))
+    column = Window.partitionBy(*by, b).orderBy(F.desc(a)).rowsBetween(Window.unboundedPreceding, -1)
+    row = Window.partitionBy(*by, a).orderBy(F.desc(b)).rowsBetween(Window.unboundedPreceding, -1)
+    best = best.withColumn("_c", F.max(c).over(column)).where(F.col("_c").isNull() | (F.col(c) > F.col("_c"))).drop("_c")
+    best = best.withColumn("_c", F.max(c).over(row)).where(F.col("_c").isNull() | (F.col(c) > F.col("_c"))).drop("_c")
+    span = best.groupBy(*by).agg(F.min(a).alias("_low"), F.greatest(F.expr(f"(max({a}) - min({a})) div 64"), F.lit(1)).alias("_wide"))
+    best = cut(best.join(span, list(by)).withColumn("_range", F.expr(f"({a} - _low) div _wide")).drop("_low", "_wide"))
+    # Across ranges: a staircase for every range, then the running maximum over higher ranges and over more of the second.
+    steps = best.groupBy(*by, "_range", b).agg(F.max(c).alias("_top"))
+    grid = best.select(*by, "_range").distinct().join(best.select(*by, b).distinct(), list(by)).join(steps, [*by, "_range", b], "left")
+    higher = Window.partitionBy(*by, b).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    more = Window.partitionBy(*by, "_range").orderBy(F.desc(b)).rowsBetween(Window.unboundedPreceding, 0)
+    grid = grid.withColumn("_top", F.max("_top").over(higher)).withColumn("_top", F.max("_top").over(more)).where(F.col("_top").isNotNull())
+    left = best.join(grid, [*by, "_range", b], "left").where(F.col("_top").isNull() | (F.col(c) > F.col("_top"))).drop("_top")
+    # In a range.
+    other = left.toDF(*[f"_{x}" for x in left.columns])
+    same = _all([F.col(x) == F.col(f"_{x}") for x in (*by, "_range")])
+    reached = _all([F.col(f"_{d}") >= F.col(d) for d in dims]) & reduce(Column.__or__, [F.col(f"_{d}") > F.col(d) for d in dims])
+    left = left.join(other, same & reached, "left_anti").drop("_range")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(d) for d in dims]))
+    n = F.count("*").over(Window.partitionBy(*by))
+    return left.withColumn("place", place).withColumn("complete", n <= most).where(F.col("place") <= most).select(*by, "place", *dims, "complete")

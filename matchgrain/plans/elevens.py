@@ -179,3 +179,61 @@ def eleven_cores(spark, sf_dir):
     who = s.select("squad", "player_id", E.member(["squad"]).alias("bit"))
     named = why.join(who, "squad").where(F.col("bit").bitwiseAND(F.col("absent")) != 0).groupBy("squad", "k", "absent", "w").agg(F.array_sort(F.collect_list("player_id")).alias("ids"))
     return named.select("squad", "k", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("absent"), F.col("w.name").alias("slots"), F.col("w.remain").alias("left_over"))
+
+
+#: Declarations of every squad: slots covered, three defenders out, floors, and players who must be in.
+FLOORS = {"passes": 52, "shots": 51, "touches": 52}
+OUT, IN = 3, 3
+DECLARATIONS = [f"cover {s}" for s in FORMATION] + [f"out {i + 1}" for i in range(OUT)] + [f"{n} >= {v}" for n, v in FLOORS.items()] + [f"in {i + 1}" for i in range(IN)]
+_EVERY = (1 << len(DECLARATIONS)) - 1
+
+
+def _upto(name: str, slot: str) -> str:
+    """SQL of all sets of a slot with no more players than places."""
+    parts = [_set(f"{name}{k}", slot, k) for k in range(1, FORMATION[slot] + 1)]
+    rows = [f"SELECT squad, mask, {k} AS filled, {', '.join(MINIMA)} FROM {name}{k}" for k in range(1, FORMATION[slot] + 1)]
+    return ", ".join(parts) + f", {name}_any AS ({' UNION ALL '.join(rows)} UNION ALL SELECT DISTINCT squad, CAST(0 AS BIGINT), 0, {', '.join('0' for _ in MINIMA)} FROM squad)"
+
+
+_SAT = " + ".join(
+    [f"CASE WHEN {x}.filled = {n} THEN {1 << i} ELSE 0 END" for i, (x, n) in enumerate(zip("gdmf", FORMATION.values(), strict=True))]
+    + [f"CASE WHEN (g.mask | d.mask | m.mask | f.mask) & t.out{i + 1} = 0 THEN {1 << (4 + i)} ELSE 0 END" for i in range(OUT)]
+    + [f"CASE WHEN g.{n} + d.{n} + m.{n} + f.{n} >= {v} THEN {1 << (4 + OUT + i)} ELSE 0 END" for i, (n, v) in enumerate(FLOORS.items())]
+    + [f"CASE WHEN (g.mask | d.mask | m.mask | f.mask) & t.in{i + 1} <> 0 THEN {1 << (4 + OUT + len(FLOORS) + i)} ELSE 0 END" for i in range(IN)]
+)
+_BITS = lambda col: "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {col} & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(DECLARATIONS)) + "], lambda x: x IS NOT NULL), ' + ')"
+
+
+@query(
+    SQUAD + ", " + ", ".join(_upto(a, s) for a, s in zip(("pg", "pd", "pm", "pf"), FORMATION, strict=True)) + f""",
+ranked AS (SELECT squad, bit, CASE WHEN position = 'DF' THEN row_number() OVER (PARTITION BY squad, position ORDER BY passes DESC, player_id) END AS o,
+  CASE WHEN position = 'FW' THEN row_number() OVER (PARTITION BY squad, position ORDER BY passes, player_id) WHEN position = 'DF' AND row_number() OVER (PARTITION BY squad, position ORDER BY passes DESC, player_id) = 1 THEN {IN} END AS i FROM squad),
+tags AS (SELECT squad, {', '.join(f"coalesce(max(CASE WHEN o = {i + 1} THEN bit END), 0) AS out{i + 1}" for i in range(OUT))}, {', '.join(f"coalesce(max(CASE WHEN i = {i + 1} THEN bit END) FILTER (WHERE {'o IS NULL' if i + 1 < IN else 'o = 1'}), 0) AS in{i + 1}" for i in range(IN))} FROM ranked GROUP BY squad),
+sat AS (SELECT DISTINCT g.squad, CAST({_SAT} AS BIGINT) AS sat FROM pg_any g JOIN pd_any d ON d.squad = g.squad JOIN pm_any m ON m.squad = g.squad AND m.mask & d.mask = 0 JOIN pf_any f ON f.squad = g.squad AND f.mask & (d.mask | m.mask) = 0 JOIN tags t ON t.squad = g.squad),
+sats AS (SELECT squad, list(sat) AS sats FROM sat GROUP BY squad),
+fold AS (SELECT squad, len(list_filter(sats, lambda s: s = {_EVERY})) > 0 AS ok, sats, list_reduce(list_prepend(CAST({_EVERY} AS BIGINT), CAST(range({len(DECLARATIONS)}) AS BIGINT[])), lambda t, i: CASE WHEN len(list_filter(sats, lambda s: s & (t & ~(CAST(1 AS BIGINT) << i)) = t & ~(CAST(1 AS BIGINT) << i))) > 0 THEN t ELSE t & ~(CAST(1 AS BIGINT) << i) END) AS kept,
+  list_sum(list_transform(range({len(DECLARATIONS)}), lambda i: CASE WHEN len(list_filter(sats, lambda s: s & ({_EVERY} & ~(CAST(1 AS BIGINT) << i)) = {_EVERY} & ~(CAST(1 AS BIGINT) << i))) > 0 THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS back FROM sats)
+SELECT squad, CASE WHEN ok THEN 'FEASIBLE' ELSE 'CONFLICT' END AS status, CASE WHEN ok THEN '' ELSE {_BITS('kept')} END AS conflict, CASE WHEN ok THEN '' ELSE {_BITS('CAST(back AS BIGINT)')} END AS restores FROM fold"""
+)
+def eleven_conflicts(spark, sf_dir):
+    """Which of a squad's declarations cannot hold together, none of them dispensable, over all partial assignments; and the
+    single ones without which all the others can. One defender is declared both out and in."""
+    s = squads(spark, sf_dir)
+    o = F.row_number().over(Window.partitionBy("squad", "position").orderBy(F.desc("passes"), "player_id"))
+    i = F.row_number().over(Window.partitionBy("squad", "position").orderBy("passes", "player_id"))
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))
+    out = F.when((F.col("position") == "DF") & (F.col("o") <= OUT), bit(F.col("o") - 1)).otherwise(0)
+    into = F.when((F.col("position") == "FW") & (F.col("i") < IN), bit(F.col("i") - 1 + OUT)).when((F.col("position") == "DF") & (F.col("o") == 1), 1 << (OUT + IN - 1)).otherwise(0)
+    tagged = s.withColumn("o", o).withColumn("i", i).withColumn("tag", out + into)
+    c = E.conflicts(E.satisfied(tagged, FORMATION, FLOORS, OUT, IN, applies=APPLIES), len(DECLARATIONS))
+    return c.select("squad", "status", E.named_bits("conflict", DECLARATIONS).alias("conflict"), E.named_bits("restores", DECLARATIONS).alias("restores"))
+
+
+@query(
+    SETS + """, v AS (SELECT DISTINCT squad, passes, shots, touches FROM eleven), best AS (SELECT * FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.squad = a.squad AND b.passes >= a.passes AND b.shots >= a.shots AND b.touches >= a.touches AND (b.passes > a.passes OR b.shots > a.shots OR b.touches > a.touches))),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY squad ORDER BY passes DESC, shots DESC, touches DESC) AS INTEGER) AS place, count(*) OVER (PARTITION BY squad) AS n FROM best)
+SELECT squad, place, CAST(passes AS BIGINT) AS passes, CAST(shots AS BIGINT) AS shots, CAST(touches AS BIGINT) AS touches, n <= 64 AS complete FROM k WHERE place <= 64"""
+)
+def eleven_frontier(spark, sf_dir):
+    """The nondominated sums of all elevens in three requirements, complete or the largest part in descending order."""
+    return E.skyline(E.totals(squads(spark, sf_dir), FORMATION, list(MINIMA), applies=APPLIES), list(MINIMA))
