@@ -313,3 +313,27 @@ def skyline(points: DataFrame, dims: Sequence[str], by: Sequence[str] = ("squad"
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.desc(d) for d in dims]))
     n = F.count("*").over(Window.partitionBy(*by))
     return left.withColumn("place", place).withColumn("complete", n <= most).where(F.col("place") <= most).select(*by, "place", *dims, "complete")
+
+
+def depth(stages: DataFrame, formation: Mapping[str, int], names: Sequence[str], by: Sequence[str] = ("squad",)) -> DataFrame:
+    """``by, stage, kappa, filled, lost, tight``: how firm each stage of a chain leaves a squad.
+
+    ``stages``: a player's slots at each stage, as a column of bits with the stage's name. A group of slots has so many
+    players to spare as can stand in it beyond its places; ``kappa`` is the least spare of all groups and one, the smallest
+    number of absences that can leave a place open. The most places that can be filled are those of the formation less the
+    largest deficit of a group; ``lost`` is what the stage itself takes of them. ``tight`` names the largest groups with the
+    least spare.
+    """
+    long = stages.select(*by, "player_id", F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(n).alias("stage"), F.col(n).cast("long").alias("own")) for i, n in enumerate(names)])).alias("x")).select(*by, "x.*")
+    masks = F.explode(F.array(*[F.lit(m) for m in range(1, 1 << len(formation))]))
+    able = long.groupBy(*by, "at", "stage", "own").count().withColumn("mask", masks)
+    able = able.groupBy(*by, "at", "stage", "mask").agg(F.sum(F.when(F.col("own").bitwiseAND(F.col("mask")) != 0, F.col("count")).otherwise(0)).alias("able"))
+    spare = able.withColumn("spare", F.col("able") - places(formation))
+    group = spare.groupBy(*by, "at", "stage").agg(F.min("spare").alias("least"), F.collect_list(F.struct("spare", "mask", spelled_group(formation).alias("name"))).alias("all"))
+    low = F.filter("all", lambda g: g["spare"] == F.col("least"))
+    widest = F.filter("low", lambda g: ~F.exists("low", lambda h: (h["mask"] != g["mask"]) & (h["mask"].bitwiseAND(g["mask"]) == g["mask"])))
+    group = group.withColumn("low", low).withColumn("tight", F.concat_ws(" ", F.array_sort(F.transform(widest, lambda g: g["name"]))))
+    filled = sum(formation.values()) + F.least(F.lit(0), F.col("least"))
+    before = F.lag("filled").over(Window.partitionBy(*by).orderBy("at"))
+    out = group.withColumn("filled", filled).withColumn("lost", F.coalesce(before, F.lit(sum(formation.values()))) - F.col("filled"))
+    return out.select(*by, "stage", (F.col("least") + 1).alias("kappa"), "filled", "lost", "tight")

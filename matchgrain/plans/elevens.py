@@ -237,3 +237,53 @@ SELECT squad, place, CAST(passes AS BIGINT) AS passes, CAST(shots AS BIGINT) AS
 def eleven_frontier(spark, sf_dir):
     """The nondominated sums of all elevens in three requirements, complete or the largest part in descending order."""
     return E.skyline(E.totals(squads(spark, sf_dir), FORMATION, list(MINIMA), applies=APPLIES), list(MINIMA))
+
+
+#: Stages of a player's way into a slot; each takes away from the one before.
+STAGES = ("position_admissible", "rule_eligible", "gated", "measured", "available", "shortfall_neutral")
+_OWN = "list_sum(list_transform(slots, lambda x: CASE x WHEN 'GK' THEN 1 WHEN 'DF' THEN 2 WHEN 'MD' THEN 4 ELSE 8 END))"
+_STAGE = f"""roster AS (SELECT * REPLACE (slots AS slots), CASE position WHEN 'GK' THEN 1 WHEN 'MD' THEN 4 WHEN 'DF' THEN 6 ELSE 12 END AS s0, CAST({_OWN} AS BIGINT) AS s1, m >= {GATE} AS in_gate, least(passes, shots, touches) > 0 OR position = 'GK' AS has_all, player_id % 29 <> 0 AS stays FROM squad),
+stage AS (SELECT *, CASE WHEN in_gate THEN s1 ELSE 0 END AS s2, CASE WHEN in_gate AND has_all THEN s1 ELSE 0 END AS s3, CASE WHEN in_gate AND has_all AND stays THEN s1 ELSE 0 END AS s4 FROM roster)"""
+_CHAIN = (
+    SQUAD + ", " + _STAGE + ", ready AS (SELECT * FROM stage WHERE s4 <> 0), " + ", ".join([_set("gk", "GK", 1, "ready"), _set("df", "DF", 4, "ready"), _set("md", "MD", 3, "ready"), _set("fw", "FW", 3, "ready"), _join("eleven", "gk df md fw")])
+    + f", loss AS (SELECT squad, gm, dm, mm, fm, mask, {_LOSS} AS z FROM eleven)" + _STANDING.replace("FROM squad)", "FROM ready)", 1)
+    + ", neutral AS (SELECT squad, player_id, sum(CASE slot WHEN 'GK' THEN 1 WHEN 'DF' THEN 2 WHEN 'MD' THEN 4 ELSE 8 END) AS s5 FROM standing WHERE standing = 'NEUTRAL' GROUP BY squad, player_id), chain AS (SELECT stage.*, CAST(coalesce(s5, 0) AS BIGINT) AS s5 FROM stage LEFT JOIN neutral USING (squad, player_id))"
+)
+
+
+def depth_stages(spark, sf_dir) -> DataFrame:
+    """Each player's slots (bits) at each stage; the last one asks whether the squad's least loss stands with the player there."""
+    s = squads(spark, sf_dir)
+    own = sum((F.when(F.array_contains("slots", x), 1 << i).otherwise(0) for i, x in enumerate(FORMATION)), F.lit(0))
+    position = F.when(F.col("position") == "GK", 1).when(F.col("position") == "MD", 4).when(F.col("position") == "DF", 6).otherwise(12)
+    measured = (F.least(*MINIMA) > 0) | (F.col("position") == "GK")
+    gated, stays = F.col("m") >= GATE, F.col("player_id") % 29 != 0
+    keep = lambda ok: F.when(ok, F.col("rule_eligible")).otherwise(0)
+    rows = s.withColumn("position_admissible", position).withColumn("rule_eligible", own)
+    rows = rows.withColumn("gated", keep(gated)).withColumn("measured", keep(gated & measured)).withColumn("available", keep(gated & measured & stays))
+    at = F.array_position(F.array(*[F.lit(x) for x in FORMATION]), F.col("slot")) - 1
+    neutral_at = standings(rows.where("available <> 0")).where("standing = 'NEUTRAL'").groupBy("squad", "player_id").agg(F.sum(F.call_function("shiftleft", F.lit(1).cast("long"), at.cast("int"))).alias("shortfall_neutral"))
+    return rows.join(neutral_at, ["squad", "player_id"], "left").fillna(0, ["shortfall_neutral"])
+
+
+_LONG = " UNION ALL ".join(f"SELECT squad, player_id, {i} AS step, '{n}' AS stage, CAST(s{i} AS BIGINT) AS own FROM chain" for i, n in enumerate(STAGES))
+
+
+@query(_CHAIN + f", long AS ({_LONG}) SELECT squad, stage, slot, count(*) FILTER (WHERE own & bit <> 0) AS players FROM long, (VALUES ('GK', 1), ('DF', 2), ('MD', 4), ('FW', 8)) AS b(slot, bit) GROUP BY squad, stage, slot")
+def depth_chain(spark, sf_dir):
+    """How many players each stage leaves for each slot."""
+    rows = depth_stages(spark, sf_dir)
+    cells = [F.struct(F.lit(n).alias("stage"), F.lit(s).alias("slot"), (F.col(n).bitwiseAND(F.lit(1 << i)) != 0).alias("on")) for n in STAGES for i, s in enumerate(FORMATION)]
+    return rows.select("squad", F.explode(F.array(*cells)).alias("c")).groupBy("squad", "c.stage", "c.slot").agg(F.count_if("c.on").alias("players"))
+
+
+@query(
+    _CHAIN + f", long AS ({_LONG}), slot_group AS (SELECT * FROM (VALUES {_GROUPS}) AS v(g, places, name))," + """
+spare AS (SELECT squad, step, stage, g, name, count(*) FILTER (WHERE own & g <> 0) - places AS spare FROM long, slot_group GROUP BY squad, step, stage, g, name, places), low AS (SELECT *, min(spare) OVER (PARTITION BY squad, step) AS least FROM spare),
+tight AS (SELECT squad, step, string_agg(name, ' ' ORDER BY name) AS tight FROM low a WHERE spare = least AND NOT EXISTS (SELECT 1 FROM low b WHERE b.squad = a.squad AND b.step = a.step AND b.spare = b.least AND b.g <> a.g AND b.g & a.g = a.g) GROUP BY squad, step),
+k AS (SELECT squad, step, stage, any_value(least) AS least FROM low GROUP BY squad, step, stage), f AS (SELECT *, 11 + least(0, least) AS filled FROM k)
+SELECT squad, stage, CAST(least + 1 AS BIGINT) AS kappa, CAST(filled AS BIGINT) AS filled, CAST(coalesce(lag(filled) OVER (PARTITION BY squad ORDER BY step), 11) - filled AS BIGINT) AS lost, tight FROM f JOIN tight USING (squad, step)"""
+)
+def depth_by_stage(spark, sf_dir):
+    """The fewest absences that can leave a place open, the places that can be filled, and those that each stage costs."""
+    return E.depth(depth_stages(spark, sf_dir), FORMATION, STAGES)
