@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -32,3 +34,24 @@ def ratios(parts: DataFrame, weights: DataFrame, unit: str, top: str, bottom: st
     """``unit, w, x``: ratio of weighted sums in every world; a world without exposure is a hole, not a zero."""
     s = parts.join(F.broadcast(weights), "game_id").groupBy(unit, "w").agg(F.sum(F.col(top) * F.col("k")).alias("_t"), F.sum(F.col(bottom) * F.col("k")).alias("_b"))
     return s.select(unit, "w", F.try_divide(F.col("_t"), F.nullif(F.col("_b"), F.lit(0))).alias("x"))
+
+
+#: A Poisson(1) draw is the number of these that 32 hashed bits reach: the distribution's steps, times 2**32.
+POISSON = tuple(int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12))
+
+
+def poisson_weight(unit: Column, world: Column, seed: int) -> Column:
+    """How often a unit is drawn in a world, from a hash of both: no table of weights, no order of units, the same everywhere."""
+    text = F.concat_ws("-", F.lit(seed), unit, world)
+    bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    return sum((F.when(bits >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
+
+
+def poisson_sql(unit: str, world: str, seed: int) -> str:
+    bits = f"CAST('0x' || substr(md5('{seed}-' || {unit} || '-' || {world}), 1, 8) AS BIGINT)"
+    return f"len(list_filter([{', '.join(map(str, POISSON))}], lambda s: {bits} >= s))"
+
+
+def in_worlds(rows: DataFrame, worlds: int) -> DataFrame:
+    """Each row once for every world, to be summed at once: put it behind an aggregation by unit."""
+    return rows.withColumn("w", F.explode(F.sequence(F.lit(0), F.lit(worlds - 1))))
