@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
 KEYS = ("context_id", "unit_id", "context_home")
 
 
@@ -29,40 +31,55 @@ def state_at(rows: DataFrame, parts: Sequence[str], before: Column, weight: Colu
     return rows.where(before & F.col("valid") & (w > 0)).groupBy(*KEYS).agg(*[F.sum(F.col(f"n_{p}") * w).alias(p) for p in parts], F.sum(F.col("exposure") * w).alias("exposure"))
 
 
-def league(state: DataFrame, parts: Sequence[str], pseudo: float) -> DataFrame:
-    """One row: the league's composition ``pi_*`` and its venue offsets ``nu0_*`` (away), ``nu1_*`` (home)."""
+def league(state: DataFrame, parts: Sequence[str], pseudo: float, by: Sequence[str] = ()) -> DataFrame:
+    """One row for each of ``by``: the league's composition ``pi_*`` and its venue offsets ``nu0_*`` (away), ``nu1_*`` (home)."""
     at = lambda h, p: F.coalesce(F.sum(F.when(F.col("context_home") == h, F.col(p))), F.lit(0.0))
-    sums = state.agg(*[at(h, p).alias(f"v{h}_{p}") for h in (0, 1) for p in parts])
+    sums = state.groupBy(*by).agg(*[at(h, p).alias(f"v{h}_{p}") for h in (0, 1) for p in parts])
     pi = composition([F.col(f"v0_{p}") + F.col(f"v1_{p}") + pseudo for p in parts])
     venue = {h: composition([F.col(f"v{h}_{p}") + pseudo for p in parts]) for h in (0, 1)}
-    return sums.select(*[c.alias(f"pi_{p}") for c, p in zip(pi, parts, strict=True)], *[(F.log(v) - F.log(c)).alias(f"nu{h}_{p}") for h in (0, 1) for v, c, p in zip(venue[h], pi, parts, strict=True)])
+    return sums.select(*by, *[c.alias(f"pi_{p}") for c, p in zip(pi, parts, strict=True)], *[(F.log(v) - F.log(c)).alias(f"nu{h}_{p}") for h in (0, 1) for v, c, p in zip(venue[h], pi, parts, strict=True)])
+
+
+def with_league(df: DataFrame, lg: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    return df.join(lg, list(by)) if by else df.join(F.broadcast(lg))
 
 
 def nu(p: str) -> Column:
     return F.when(F.col("context_home") == 1, F.col(f"nu1_{p}")).otherwise(F.col(f"nu0_{p}"))
 
 
-def contexts(state: DataFrame, parts: Sequence[str], lg: DataFrame, k_context: float) -> DataFrame:
+def contexts(state: DataFrame, parts: Sequence[str], lg: DataFrame, k_context: float, by: Sequence[str] = ()) -> DataFrame:
     """Each context team's composition, shrunk to the league's."""
-    by = state.groupBy("context_id").agg(*[F.sum(p).alias(p) for p in parts]).join(F.broadcast(lg))
+    own = with_league(state.groupBy(*by, "context_id").agg(*[F.sum(p).alias(p) for p in parts]), lg, by)
     comp = composition([F.col(p) + k_context * F.col(f"pi_{p}") for p in parts])
-    return by.select("context_id", *[c.alias(f"ctx_{p}") for c, p in zip(comp, parts, strict=True)])
+    return own.select(*by, "context_id", *[c.alias(f"ctx_{p}") for c, p in zip(comp, parts, strict=True)])
 
 
-def shape(state: DataFrame, parts: Sequence[str], pseudo: float, k_context: float, k_unit: float) -> DataFrame:
-    """``unit_id, total, delta_*``: log deviation of a unit's composition from what its opponents and venues let expect."""
-    lg = F.broadcast(league(state, parts, pseudo))
-    by_context = state.groupBy("context_id").agg(*[F.sum(p).alias(f"c_{p}") for p in parts])
-    own = state.groupBy("context_id", "unit_id").agg(*[F.sum(p).alias(f"o_{p}") for p in parts])
-    without = own.join(by_context, "context_id").join(lg)
+def expected(state: DataFrame, parts: Sequence[str], pseudo: float, k_context: float, by: Sequence[str] = ()) -> DataFrame:
+    """``by, unit_id``, a unit's counts, ``e_*`` that its opponents (without it) and venues let expect, and ``total``."""
+    lg = league(state, parts, pseudo, by)
+    by_context = state.groupBy(*by, "context_id").agg(*[F.sum(p).alias(f"c_{p}") for p in parts])
+    own = state.groupBy(*by, "context_id", "unit_id").agg(*[F.sum(p).alias(f"o_{p}") for p in parts])
+    without = with_league(own.join(by_context, [*by, "context_id"]), lg, by)
     rest = composition([F.col(f"c_{p}") - F.col(f"o_{p}") + k_context * F.col(f"pi_{p}") for p in parts])
-    without = without.select("context_id", "unit_id", *[c.alias(f"w_{p}") for c, p in zip(rest, parts, strict=True)])
-    met = state.join(without, ["context_id", "unit_id"]).join(lg)
+    without = without.select(*by, "context_id", "unit_id", *[c.alias(f"w_{p}") for c, p in zip(rest, parts, strict=True)])
+    met = with_league(state.join(without, [*by, "context_id", "unit_id"]), lg, by)
     share = composition([F.col(f"w_{p}") * F.exp(nu(p)) for p in parts])
     total = _sum([F.col(p) for p in parts])
-    units = met.groupBy("unit_id").agg(*[F.sum(p).alias(p) for p in parts], *[F.sum(total * s).alias(f"e_{p}") for s, p in zip(share, parts, strict=True)]).withColumn("total", total)
-    prior = [F.col(f"e_{p}") / F.col("total") for p in parts]
-    delta = [F.when(F.col("total") > 0, F.log((F.col(p) + k_unit * q) / (F.col("total") + k_unit)) - F.log(q)).otherwise(0.0) for p, q in zip(parts, prior, strict=True)]
+    return met.groupBy(*by, "unit_id").agg(*[F.sum(p).alias(p) for p in parts], *[F.sum(total * s).alias(f"e_{p}") for s, p in zip(share, parts, strict=True)]).withColumn("total", total)
+
+
+def deviation(counts: Sequence[Column], expected: Sequence[Column], k_unit: Column | float) -> list[Column]:
+    """Log deviations of counts from what is expected of as many, shrunk by ``k_unit`` expected ones; none without counts."""
+    total = _sum(counts)
+    prior = [e / total for e in expected]
+    return [F.when(total > 0, F.log((n + k_unit * q) / (total + k_unit)) - F.log(q)).otherwise(0.0) for n, q in zip(counts, prior, strict=True)]
+
+
+def shape(state: DataFrame, parts: Sequence[str], pseudo: float, k_context: float, k_unit: float) -> DataFrame:
+    """``unit_id, total, delta_*``: log deviation of a unit's composition from what its opponents and venues let expect."""
+    units = expected(state, parts, pseudo, k_context)
+    delta = deviation([F.col(p) for p in parts], [F.col(f"e_{p}") for p in parts], k_unit)
     return units.select("unit_id", "total", *[d.alias(f"delta_{p}") for d, p in zip(delta, parts, strict=True)])
 
 
@@ -115,3 +132,66 @@ def recent(rows: DataFrame, parts: Sequence[str], k: int) -> DataFrame:
     """Sums over the last ``k`` valid matches strictly before each valid match."""
     w = Window.partitionBy("unit_id").orderBy("day").rowsBetween(-k, -1)
     return rows.where("valid").select("unit_id", "day", *[F.coalesce(F.sum(f"n_{p}").over(w), F.lit(0)).cast("long").alias(f"recent_{p}") for p in parts], F.round(F.coalesce(F.sum("exposure").over(w), F.lit(0.0)), 6).alias("recent_exposure"))
+
+
+def prior_states(rows: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """``day`` and ``KEYS``: sums of valid matches strictly before every match day, from running sums carried forward.
+
+    A day's matches are in no state of that day. Rows come only for days on which a valid match is played.
+    """
+    valid = rows.where("valid")
+    by = Window.partitionBy(*KEYS).orderBy("day")
+    run = by.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    days = valid.select("day").distinct()
+    per_day = valid.groupBy(*KEYS, "day").agg(*[F.sum(f"n_{p}").cast("double").alias(p) for p in parts])
+    last = days.agg(F.max("day").alias("last"))
+    held = per_day.select(*KEYS, "day", F.lead("day").over(by).alias("next"), *[F.sum(p).over(run).alias(p) for p in parts]).join(F.broadcast(last))
+    until = F.coalesce("next", F.col("last"))
+    spread = held.where(F.col("day") + 1 <= until).select(*KEYS, *parts, F.explode(F.sequence(F.col("day") + 1, until)).alias("day"))
+    return spread.join(days, "day", "left_semi")
+
+
+def donors(tiers: DataFrame, seed: int) -> DataFrame:
+    """``day, unit_id, donor``: a permutation of each tier, the i-th team by id against the i-th by a hash of (seed, day, team)."""
+    text = F.concat_ws("-", F.lit(seed), "day", "unit_id")
+    ids = Window.partitionBy("day", "tier").orderBy("unit_id")
+    mixed = Window.partitionBy("day", "tier").orderBy(F.md5(text.cast("binary")), "unit_id")
+    a = tiers.select("day", "tier", "unit_id", F.row_number().over(ids).alias("i"))
+    b = tiers.select("day", "tier", F.col("unit_id").alias("donor"), F.row_number().over(mixed).alias("i"))
+    return a.join(b, ["day", "tier", "i"]).select("day", "unit_id", "donor")
+
+
+def composition_losses(rows: DataFrame, parts: Sequence[str], mirror: Sequence[int], strengths: Sequence[float], pseudo: float, k_context: float, recent_matches: int, smoothing: float, seed: int, n_tiers: int = 3, least: int = 3) -> DataFrame:
+    """``day, unit_id, k, events`` and the log loss of each forecast of a match's composition, all known before its day.
+
+    ``candidate``: opponent, venue and the team's own deviation, shrunk by ``k``; against the league at the venue, opponent and
+    venue alone, the team's last matches raw, the deviation with its parts swapped by ``mirror``, that of the other teams of its
+    strength, and that of a donor drawn in its strength group.
+    """
+    by = ["day"]
+    rows = cut(rows)
+    states = cut(prior_states(rows, parts))
+    lg = league(states, parts, pseudo, by)
+    ctx = contexts(states, parts, lg, k_context, by)
+    units = cut(expected(states, parts, pseudo, k_context, by))
+    standing = tiers(rows.select("unit_id", "day", "goals_for", "goals_against", "valid"), n_tiers, least)
+    pooled = [*parts, *[f"e_{p}" for p in parts]]
+    known = standing.select("day", "unit_id", "tier", "ready").join(units, ["day", "unit_id"])
+    groups = known.groupBy("day", "tier").agg(*[F.sum(c).alias(f"t_{c}") for c in pooled])
+    peers = known.join(groups, ["day", "tier"]).select("day", "unit_id", "ready", *pooled, *[(F.col(f"t_{c}") - F.col(c)).alias(f"peer_{c}") for c in pooled])
+    given = units.select("day", F.col("unit_id").alias("donor"), *[F.col(c).alias(f"donor_{c}") for c in pooled])
+    past = recent(rows, parts, recent_matches).select("unit_id", "day", *[f"recent_{p}" for p in parts])
+    target = rows.where("valid").select("day", "unit_id", "context_id", "context_home", *[f"n_{p}" for p in parts])
+    met = target.join(peers.where("ready"), ["day", "unit_id"]).join(donors(known, seed), ["day", "unit_id"]).join(given, ["day", "donor"]).join(past, ["unit_id", "day"])
+    met = with_league(met.join(ctx, ["day", "context_id"]), lg, by).withColumn("k", F.explode(F.array(*[F.lit(float(k)) for k in strengths])))
+    base = [F.col(f"ctx_{p}") * F.exp(nu(p)) for p in parts]
+    delta = lambda prefix: deviation([F.col(f"{prefix}{p}") for p in parts], [F.col(f"{prefix}e_{p}") for p in parts], F.col("k"))
+    moved = lambda d: composition([b * F.exp(x) for b, x in zip(base, d, strict=True)])
+    own = delta("")
+    forecasts = {
+        "candidate": moved(own), "league_venue": composition([F.col(f"pi_{p}") * F.exp(nu(p)) for p in parts]), "context": composition(base), "recent": composition([F.col(f"recent_{p}") + smoothing for p in parts]),
+        "mirror": moved([own[i] for i in mirror]), "peers": moved(delta("peer_")), "permuted": moved(delta("donor_")),
+    }
+    counts = [F.col(f"n_{p}") for p in parts]
+    loss = lambda shares: -_sum([n * F.log(q) for n, q in zip(counts, shares, strict=True)])
+    return met.select("day", "unit_id", "k", _sum(counts).alias("events"), (F.col("donor") != F.col("unit_id")).alias("donor_changed"), *[loss(q).alias(n) for n, q in forecasts.items()])

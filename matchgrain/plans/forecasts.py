@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import linear
+from ..operators import estimators, linear
 from ..operators import worlds as ws
 from ..sources import neutral
+from . import teams
 from .registry import query
 from .reliability import PRIOR, forecast
 
@@ -96,3 +97,67 @@ def fold_verdict(spark, sf_dir):
     few = (F.col("n") < LEAST_ROWS) | (F.col("weeks") < LEAST_WEEKS)
     status = F.when(few, "INCONCLUSIVE").when(F.col("high") < 0, "INCREMENTAL_PREDICTION").otherwise("NOT_ESTABLISHED")
     return t.select("n", "weeks", "worlds", *[F.round(c, 5).alias(c) for c in ("difference", "low", "high")], status.alias("status"))
+
+
+STRENGTHS, RECENT, SMOOTHING, TEAM_SEED = (4.0, 16.0, 64.0), 5, 0.5, 97
+_SWAP = {"l": "r", "r": "l", "c": "c"}
+
+
+def _three(f) -> str:
+    return ", ".join(f(p) for p in "lrc")
+
+
+def _dev(prefix: str, p: str) -> str:
+    n, t = f"{prefix}{p}", f"({prefix}l + {prefix}r + {prefix}c)"
+    return f"CASE WHEN {t} > 0 THEN ln(({n} + k * ({prefix}e{p} / {t})) / ({t} + k)) - ln({prefix}e{p} / {t}) ELSE 0 END"
+
+
+def _log_loss(weights: dict[str, str]) -> str:
+    total = " + ".join(f"({w})" for w in weights.values())
+    return "-(" + " + ".join(f"n_{p} * ln(({w}) / ({total}))" for p, w in weights.items()) + ")"
+
+
+_BASE = {p: f"k{p} * (CASE context_home WHEN 1 THEN v{p}1 ELSE v{p}0 END / p{p})" for p in "lrc"}
+_FORECASTS = {
+    "candidate": {p: f"({_BASE[p]}) * exp(d_{p})" for p in "lrc"}, "league_venue": {p: f"CASE context_home WHEN 1 THEN v{p}1 ELSE v{p}0 END" for p in "lrc"}, "context": _BASE, "recent": {p: f"recent_{p} + {SMOOTHING}" for p in "lrc"},
+    "mirror": {p: f"({_BASE[p]}) * exp(d_{_SWAP[p]})" for p in "lrc"}, "peers": {p: f"({_BASE[p]}) * exp(peer_{p})" for p in "lrc"}, "permuted": {p: f"({_BASE[p]}) * exp(donor_{p})" for p in "lrc"},
+}
+# The oracle sums every day's past anew.
+COMPOSITION = neutral.SQL + teams.ROWS + f""", m AS (SELECT day, unit_id, context_id, context_home, n_left AS n_l, n_right AS n_r, n_centre AS n_c FROM r WHERE valid),
+st AS (SELECT t.day, m.context_id, m.unit_id, m.context_home, {_three(lambda p: f"CAST(sum(n_{p}) AS DOUBLE) AS {p}")} FROM (SELECT DISTINCT day FROM m) t JOIN m ON m.day < t.day GROUP BY ALL),
+v AS (SELECT day, {", ".join(f"coalesce(sum({p}) FILTER (WHERE context_home = {h}), 0) AS {p}{h}" for p in "lrc" for h in (0, 1))} FROM st GROUP BY day),
+g AS (SELECT day, {_three(lambda p: f"({p}0 + {p}1 + 1) / (l0 + l1 + r0 + r1 + c0 + c1 + 3) AS p{p}")}, {", ".join(f"({p}{h} + 1) / (l{h} + r{h} + c{h} + 3) AS v{p}{h}" for p in "lrc" for h in (0, 1))} FROM v),
+bc AS (SELECT day, context_id, {_three(lambda p: f"sum({p}) AS {p}")} FROM st GROUP BY ALL), bu AS (SELECT day, context_id, unit_id, {_three(lambda p: f"sum({p}) AS {p}")} FROM st GROUP BY ALL),
+w AS (SELECT bu.day, context_id, unit_id, {_three(lambda p: f"bc.{p} - bu.{p} + {teams.K_CONTEXT} * p{p} AS w{p}")} FROM bu JOIN bc USING (day, context_id) JOIN g USING (day)),
+q AS (SELECT st.*, {_three(lambda p: f"w{p} * CASE context_home WHEN 1 THEN v{p}1 ELSE v{p}0 END / p{p} AS q{p}")} FROM st JOIN w USING (day, context_id, unit_id) JOIN g USING (day)),
+u AS (SELECT day, unit_id, {_three(lambda p: f"sum({p}) AS {p}")}, {_three(lambda p: f"sum((l + r + c) * q{p} / (ql + qr + qc)) AS e{p}")} FROM q GROUP BY ALL),
+b AS (SELECT unit_id, day, CASE WHEN goals_for > goals_against THEN 3 WHEN goals_for = goals_against THEN 1 ELSE 0 END AS p, goals_for - goals_against AS m, valid FROM r),
+days AS (SELECT unnest(range(min(day) + 1, max(day) + 1)) AS day FROM r), rec AS (SELECT b.unit_id, d.day, count(*) AS sheet, count(*) FILTER (WHERE valid) AS played, sum(p) AS points, sum(m) AS margin FROM days d JOIN b ON b.day < d.day GROUP BY ALL),
+tier AS (SELECT unit_id, day, CAST(floor(3 * (row_number() OVER (PARTITION BY day ORDER BY points / sheet DESC, margin / sheet DESC, unit_id) - 1) / count(*) OVER (PARTITION BY day)) AS INTEGER) AS tier, played >= 3 AS ready FROM rec),
+known AS (SELECT * FROM tier JOIN u USING (day, unit_id)), pool AS (SELECT day, tier, {", ".join(f"sum({c}) AS t{c}" for c in ("l", "r", "c", "el", "er", "ec"))} FROM known GROUP BY ALL),
+peer AS (SELECT known.*, {", ".join(f"t{c} - {c} AS p_{c}" for c in ("l", "r", "c", "el", "er", "ec"))} FROM known JOIN pool USING (day, tier)),
+mixed AS (SELECT day, tier, unit_id, row_number() OVER (PARTITION BY day, tier ORDER BY unit_id) AS i, row_number() OVER (PARTITION BY day, tier ORDER BY md5('{TEAM_SEED}-' || day || '-' || unit_id), unit_id) AS j FROM known),
+donor AS (SELECT a.day, a.unit_id, b.unit_id AS donor FROM mixed a JOIN mixed b ON b.day = a.day AND b.tier = a.tier AND b.j = a.i),
+near AS (SELECT unit_id, day, {_three(lambda p: f"coalesce(sum(n_{p}) OVER w, 0) AS recent_{p}")} FROM m WINDOW w AS (PARTITION BY unit_id ORDER BY day ROWS BETWEEN {RECENT} PRECEDING AND 1 PRECEDING)),
+ctx AS (SELECT bc.day, context_id, {_three(lambda p: f"({p} + {teams.K_CONTEXT} * p{p}) / (l + r + c + {teams.K_CONTEXT}) AS k{p}")} FROM bc JOIN g USING (day)),
+met AS (SELECT m.*, k, donor <> m.unit_id AS donor_changed, {_three(lambda p: f"recent_{p}, k{p}, p{p}, v{p}0, v{p}1")}, {", ".join(f"peer.{c} AS o_{c}, p_{c}, z.{c} AS z_{c}" for c in ("l", "r", "c", "el", "er", "ec"))}
+  FROM m JOIN peer ON peer.day = m.day AND peer.unit_id = m.unit_id AND ready JOIN donor ON donor.day = m.day AND donor.unit_id = m.unit_id JOIN u z ON z.day = m.day AND z.unit_id = donor JOIN near ON near.day = m.day AND near.unit_id = m.unit_id
+  JOIN ctx ON ctx.day = m.day AND ctx.context_id = m.context_id JOIN g ON g.day = m.day, (SELECT unnest([{', '.join(map(str, STRENGTHS))}]) AS k)),
+dv AS (SELECT *, {_three(lambda p: f"{_dev('o_', p)} AS d_{p}, {_dev('p_', p)} AS peer_{p}, {_dev('z_', p)} AS donor_{p}")} FROM met),
+ls AS (SELECT day, unit_id, k, n_l + n_r + n_c AS events, donor_changed, {', '.join(f'{_log_loss(w)} AS {n}' for n, w in _FORECASTS.items())} FROM dv)"""
+
+
+@query(
+    COMPOSITION + " SELECT CAST(k AS DOUBLE) AS k, count(*) AS matches, CAST(sum(events) AS BIGINT) AS events, count(*) FILTER (WHERE donor_changed) AS donors_changed, " + ", ".join(f"round(sum({n}) / sum(events), 5) AS {n}" for n in _FORECASTS)
+    + f", round(sum(candidate) / sum(events) - least({', '.join(f'sum({n})' for n in _FORECASTS if n != 'candidate')}) / sum(events), 5) + 0.0 AS above_best FROM ls GROUP BY k"
+)
+def composition_loss(spark, sf_dir):
+    """Loss an event of a team's composition forecast and of six simpler ones, walking forward, for each strength of shrinkage."""
+    r = teams.rows(spark, sf_dir)
+    ls = estimators.composition_losses(r, teams.PARTS, [1, 0, 2], STRENGTHS, teams.PSEUDO, teams.K_CONTEXT, RECENT, SMOOTHING, TEAM_SEED)
+    others = [n for n in _FORECASTS if n != "candidate"]
+    best = F.least(*[F.sum(n) for n in others])
+    per = lambda c: F.round(c / F.sum("events"), 5)
+    return ls.groupBy("k").agg(
+        F.count("*").alias("matches"), F.sum("events").alias("events"), F.count_if("donor_changed").alias("donors_changed"), *[per(F.sum(n)).alias(n) for n in _FORECASTS], (per(F.sum("candidate") - best) + 0.0).alias("above_best")
+    )

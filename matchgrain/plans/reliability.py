@@ -152,15 +152,13 @@ def cluster_difference(spark, sf_dir):
 
 
 @query(
-    PM + ", " + ws.weights_sql("pm", WORLDS, SEED) + ", pl AS (SELECT DISTINCT player_id AS game_id FROM pm), " + ws.weights_sql("pl", WORLDS, SEED + 1, "pw") + """, s AS (SELECT mw.w, sum(n * mw.k * pw.k) / nullif(sum(d * mw.k * pw.k), 0) AS x FROM pm JOIN mw USING (game_id) JOIN pw ON pw.game_id = pm.player_id AND pw.w = mw.w GROUP BY ALL)
+    PM + f""", d AS (SELECT w, n, d, {ws.poisson_sql('game_id', 'w', SEED)} * {ws.poisson_sql('player_id', 'w', SEED + 1)} AS k FROM pm, (SELECT unnest(range({WORLDS})) AS w)), s AS (SELECT w, sum(n * k) / nullif(sum(d * k), 0) AS x FROM d GROUP BY w)
 SELECT count(x) AS worlds, round(quantile_cont(x, 0.05), 5) AS low, round(quantile_cont(x, 0.5), 5) AS mid, round(quantile_cont(x, 0.95), 5) AS high FROM s"""
 )
 def two_way_interval(spark, sf_dir):
-    """Matches and players resampled at once: a row's weight is the product of both."""
-    pm = per_match(spark, sf_dir)
-    m = ws.match_weights(pm, WORLDS, SEED)
-    p = ws.match_weights(pm.select(F.col("player_id").alias("game_id")), WORLDS, SEED + 1).select(F.col("game_id").alias("player_id"), "w", F.col("k").alias("kp"))
-    x = pm.join(F.broadcast(m), "game_id").join(p, ["player_id", "w"]).groupBy("w").agg(ratio(F.sum(F.col("n") * F.col("k") * F.col("kp")), F.sum(F.col("d") * F.col("k") * F.col("kp"))).alias("x"))
+    """Matches and players resampled at once: a row's weight is the product of both, each from a hash where the row is."""
+    k = ws.poisson_weight(F.col("game_id"), F.col("w"), SEED) * ws.poisson_weight(F.col("player_id"), F.col("w"), SEED + 1)
+    x = ws.in_worlds(per_match(spark, sf_dir), WORLDS).withColumn("k", k).groupBy("w").agg(ratio(F.sum(F.col("n") * F.col("k")), F.sum(F.col("d") * F.col("k"))).alias("x"))
     return x.agg(F.count("x").alias("worlds"), *[F.round(F.percentile("x", F.lit(q)), 5).alias(c) for q, c in ((0.05, "low"), (0.5, "mid"), (0.95, "high"))])
 
 

@@ -24,16 +24,14 @@ def per_match(spark, sf_dir):
 
 
 def pearson(x: str, y: str) -> F.Column:
-    """From sums; a constant has no correlation and gives null."""
-    n, sx, sy = F.count(x), F.sum(x), F.sum(y)
-    cov = n * F.sum(F.col(x) * F.col(y)) - sx * sy
-    vx, vy = n * F.sum(F.col(x) * F.col(x)) - sx * sx, n * F.sum(F.col(y) * F.col(y)) - sy * sy
-    return F.when((n >= 3) & (vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(vx * vy))
+    """From centred sums; a constant has no correlation and gives null."""
+    spread = lambda a: F.var_pop(a) > 1e-12 * F.avg(F.col(a) * F.col(a))
+    return F.when((F.count(x) >= 3) & spread(x) & spread(y), F.covar_pop(x, y) / F.sqrt(F.var_pop(x) * F.var_pop(y)))
 
 
 def pearson_sql(x: str, y: str) -> str:
-    v = lambda a: f"(count({a}) * sum({a} * {a}) - sum({a}) * sum({a}))"
-    return f"CASE WHEN count({x}) >= 3 AND {v(x)} > 1e-12 AND {v(y)} > 1e-12 THEN (count({x}) * sum({x} * {y}) - sum({x}) * sum({y})) / sqrt({v(x)} * {v(y)}) END"
+    spread = lambda a: f"var_pop({a}) > 1e-12 * avg({a} * {a})"
+    return f"CASE WHEN count({x}) >= 3 AND {spread(x)} AND {spread(y)} THEN covar_pop({x}, {y}) / sqrt(var_pop({x}) * var_pop({y})) END"
 
 
 @query(PM + f""", g AS (SELECT game_id, dense_rank() OVER (ORDER BY game_id) % 2 AS half FROM (SELECT DISTINCT game_id FROM pm)),
