@@ -101,7 +101,7 @@ def match_files(spark, sf_dir) -> str:
         F.when(F.col("type") == "pass", F.struct(F.array(F.col("end_x") * 120, F.col("end_y") * 80).alias("end_location"), failed.alias("outcome"))).alias("pass"), F.when(F.col("type") == "shot", F.struct(F.struct(F.when(F.col("goal"), "Goal").otherwise("Saved").alias("name")).alias("outcome"))).alias("shot"),
     )
     path = store.workspace(spark)
-    out.repartition("match").write.partitionBy("match").json(path)
+    store.salted(out, "match").write.partitionBy("match").json(path)
     return path
 
 

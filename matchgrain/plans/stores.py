@@ -15,7 +15,8 @@ def published(spark, sf_dir) -> str:
     root = store.workspace(spark)
     a = neutral.actions(spark, sf_dir).withColumn("competition", F.concat(F.lit("c"), F.col("game_id") % 3)).withColumn("provider", F.lit(store.PROVIDER))
     minutes = neutral.lineups(a).withColumn("competition", F.concat(F.lit("c"), F.col("game_id") % 3))
-    store.publish(spark, root, {"actions": a, "lineups": minutes}, {"actions": ("event_id", "game_id", "type"), "lineups": ("player_id", "minutes")})
+    schemas = {"actions": ("event_id bigint", "game_id bigint", "type string"), "lineups": ("player_id", "minutes")}
+    store.publish(spark, root, {"actions": a, "lineups": minutes}, schemas, {"actions": "event_id"})
     return root
 
 
@@ -70,3 +71,14 @@ def bundled_minutes(spark, sf_dir):
     path = store.workspace(spark)
     store.write_bundle(neutral.lineups(neutral.actions(spark, sf_dir)).groupBy("player_id").agg(F.sum("minutes").alias("minutes")), path, "v2")
     return store.read_bundle(spark, path, "player_id long, minutes long", "v2")
+
+
+@query(neutral.SQL + f" SELECT {COMPETITION} AS competition, 'only ours' AS side, count(*) AS n, min(event_id) AS least FROM actions WHERE start_x = 0 OR success IS NULL GROUP BY ALL")
+def sidecar_differences(spark, sf_dir):
+    """Events of the published actions that a sidecar, which leaves out unjudged ones, does not have."""
+    root = published(spark, sf_dir)
+    every = [store.load(spark, root, "actions", c, ["event_id", "start_x", "success"]).withColumn("competition", F.lit(c)) for c in store.competitions(spark, root, ["actions"])]
+    ours = every[0]
+    for e in every[1:]:
+        ours = ours.unionByName(e)
+    return store.key_differences(ours, ours.where("start_x <> 0 and success is not null"), "event_id", "competition")

@@ -50,31 +50,94 @@ def content(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("rows"), F.concat_ws(":", F.coalesce(F.bit_xor(row), F.lit(0)), F.coalesce(F.sum(F.pmod(row, F.lit(1 << 40))), F.lit(0))).alias("hash"))
 
 
-def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], schemas: Mapping[str, Sequence[str]] | None = None) -> None:
-    """Write ``tables`` (each with a column ``competition``) and, when all are whole, the manifest.
+#: Rows of a file at most, and bytes of a row's partition that make one more salt.
+CHUNK_ROWS = 1_000_000
+MUST_NOT_BE_NULL = "must not be null"
 
-    ``schemas`` names columns that must be there and hold no nulls.
+
+def _files(spark: SparkSession):
+    return spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    make, conf = _files(spark)
+    make(path).getFileSystem(conf).delete(make(path), True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> None:
+    make, conf = _files(spark)
+    fs = make(old).getFileSystem(conf)
+    fs.mkdirs(make(new).getParent())
+    if not fs.rename(make(old), make(new)):
+        raise StoreError(f"{old} could not be moved to {new}")
+
+
+def enforced(df: DataFrame, name: str, schema: Sequence[str]) -> DataFrame:
+    """``df`` under a schema of entries "column" or "column type": columns are there, have that type, and a null fails the write."""
+    kinds = dict(df.dtypes)
+    for entry in schema:
+        column, _, kind = entry.partition(" ")
+        if column not in kinds:
+            raise StoreError(f"{name} has no column {column}")
+        if kind and kinds[column] != kind:
+            raise StoreError(f"{name} has {column} as {kinds[column]} and not as {kind}")
+        df = df.withColumn(column, F.when(F.col(column).isNull(), F.raise_error(F.lit(f"{name}.{column} {MUST_NOT_BE_NULL}")).cast(kinds[column])).otherwise(F.col(column)))
+    return df
+
+
+def salted(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` and a salt of the row, so that a large partition is written by as many tasks as any other."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(n)))
+
+
+def publish(spark: SparkSession, root: str, tables: Mapping[str, DataFrame], schemas: Mapping[str, Sequence[str]] | None = None, unique: Mapping[str, str] | None = None, replace: bool = False) -> None:
+    """Write ``tables`` (each with a column ``competition``) in two steps: beside the store, then by one move; the manifest last.
+
+    ``schemas`` names columns (and types) that must be there and hold no nulls, checked in the write itself; ``unique`` names
+    a table's key. Tables are written to a staging folder in chunks and checked there; only then does what was published
+    before lose its manifest and give way, the staging folder takes its name, and the new manifest is written. A publication
+    that fails a check leaves the store as it was; one that is cut off in the move leaves no manifest, and without a manifest
+    there is no store.
     """
-    if exists(spark, f"{root}/manifest"):
+    if exists(spark, f"{root}/manifest") and not replace:
         raise StoreError(f"{root} is published already")
+    staging = f"{root}.staging-{uuid.uuid4().hex}"
     parts = []
-    for name, df in tables.items():
-        for c in (schemas or {}).get(name, ()):
-            if c not in df.columns:
-                raise StoreError(f"{name} has no column {c}")
-        df.repartition("competition").write.partitionBy("competition").parquet(f"{root}/{name}")
-        back = spark.read.parquet(f"{root}/{name}")
-        must = list((schemas or {}).get(name, ()))
-        if must and not back.where(" or ".join(f"`{c}` is null" for c in must)).isEmpty():
-            raise StoreError(f"{name} has nulls where none may be")
-        row = F.xxhash64(*[F.col(c) for c in sorted(set(back.columns) - {"competition"})])
-        parts += [
-            {"table": name, "competition": r["competition"], "rows": r["rows"], "hash": f"{r['x']}:{r['s']}"}
-            for r in back.groupBy(F.col("competition").cast("string").alias("competition")).agg(F.count("*").alias("rows"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit(1 << 40))).alias("s")).collect()  # one row a competition
-        ]
+    try:
+        for name, df in tables.items():
+            held = enforced(df, name, (schemas or {}).get(name, ()))
+            try:
+                salted(held, "competition").write.partitionBy("competition").option("maxRecordsPerFile", CHUNK_ROWS).parquet(f"{staging}/{name}")
+            except Exception as e:
+                if MUST_NOT_BE_NULL in str(e):
+                    raise StoreError(f"{name} has nulls where none may be") from e
+                raise
+            back = spark.read.parquet(f"{staging}/{name}")
+            if name in (unique or {}) and not back.groupBy("competition", unique[name]).count().where("count > 1").limit(1).isEmpty():
+                raise StoreError(f"{unique[name]} is not unique in {name}")
+            row = F.xxhash64(*[F.col(c) for c in sorted(set(back.columns) - {"competition"})])
+            parts += [
+                {"table": name, "competition": r["competition"], "rows": r["rows"], "hash": f"{r['x']}:{r['s']}"}
+                for r in back.groupBy(F.col("competition").cast("string").alias("competition")).agg(F.count("*").alias("rows"), F.bit_xor(row).alias("x"), F.sum(F.pmod(row, F.lit(1 << 40))).alias("s")).collect()  # one row a competition
+            ]
+        if exists(spark, root):  # what an earlier publication left: its manifest goes first
+            remove(spark, f"{root}/manifest")
+            remove(spark, root)
+        rename(spark, staging, root)
+    finally:
+        remove(spark, staging)
     spark.createDataFrame([(json.dumps(p),) for p in parts], "value string").coalesce(1).write.text(f"{root}/manifest")
 
 
+def key_differences(ours: DataFrame, theirs: DataFrame, key: str, group: str) -> DataFrame:
+    """``group, side, n, least``: keys that only one of two tables has, or has more often, by group; no row where they agree."""
+    count = lambda df, c: df.groupBy(group, key).agg(F.count("*").alias(c))
+    met = count(ours, "a").join(count(theirs, "b"), [group, key], "full").fillna(0, ["a", "b"]).where("a <> b")
+    side = F.when(F.col("a") > F.col("b"), "only ours").otherwise("only theirs")
+    return met.groupBy(group, side.alias("side")).agg(F.count("*").alias("n"), F.min(key).alias("least"))
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
     if not exists(spark, f"{root}/manifest"):
         raise StoreError(f"{root} was never published")

@@ -137,6 +137,14 @@ def test_store_refuses_what_is_not_there(spark, tmp_path):
         store.publish(spark, root, {"actions": a})
     with pytest.raises(store.StoreError):
         store.publish(spark, str(tmp_path / "n"), {"actions": a.withColumn("event_id", F.lit(None).cast("long"))}, {"actions": ("event_id",)})
+    for bad, schema, unique in ((a, ("event_id string",), {}), (a, ("nothing",), {}), (a.unionByName(a), (), {"actions": "event_id"})):
+        with pytest.raises(store.StoreError):  # the store that is there stays as it was
+            store.publish(spark, root, {"actions": bad}, {"actions": schema}, unique, replace=True)
+        assert store.load(spark, root, "actions", "c0", ["event_id"], verify=True).count() == 1
+    store.publish(spark, root, {"actions": a.unionByName(a.withColumn("event_id", F.col("event_id") + 10))}, replace=True)
+    assert store.load(spark, root, "actions", "c0", ["event_id"], verify=True).count() == 2 and not list(tmp_path.glob("*staging*"))
+    gone = {(r.competition, r.side, r.n, r.least) for r in store.key_differences(a, a.where("event_id = 1").unionByName(a.where("event_id = 1")), "event_id", "competition").collect()}
+    assert gone == {("c0", "only theirs", 1, 1), ("c1", "only ours", 1, 2)}
     a.where("competition = 'c0'").write.mode("append").partitionBy("competition").parquet(f"{root}/actions")
     with pytest.raises(store.StoreError):
         store.load(spark, root, "actions", "c0")
