@@ -101,6 +101,27 @@ def test_pairing_as_by_a_greedy_pass(spark):
     got = {(r.a, r.b, round(r.gap, 9)) for r in pair_events(x, y, ["game_id", "period", "team_id"], 1.0).collect()}
     assert got == {(i, j, round(gap, 9)) for i, j, gap in greedy(x.collect(), y.collect(), 1.0)}
     assert pair_events(x.limit(0), y, ["game_id", "period", "team_id"], 1.0).count() == 0
+    for most in (0, 5):  # clusters that are too large for one pass, thinned by rounds
+        assert got == {(r.a, r.b, round(r.gap, 9)) for r in pair_events(x, y, ["game_id", "period", "team_id"], 1.0, most).collect()}
+
+
+def test_a_chain_of_falling_gaps_is_one_pass(spark):
+    """Every pair is nearer than the one before, so mutual choices would take a round each."""
+    at, times = 0.0, []
+    for k in range(60):
+        times.append(at)
+        at += 4.0 - k * 0.05
+    rows = [("g", t, i, 0.0, 0.0) for i, t in enumerate(times)]
+    cols = "g string, seconds double, event_id long, start_x double, start_y double"
+    a, b = spark.createDataFrame(rows[::2], cols), spark.createDataFrame(rows[1::2], cols)
+    got = {(r.a, r.b) for r in pair_events(a, b, ["g"], 5.0).collect()}
+    pairs = sorted((round(abs(x[1] - y[1]), 9), x[2], y[2]) for x in rows[::2] for y in rows[1::2] if abs(x[1] - y[1]) <= 5)
+    used, want = set(), set()
+    for _, x, y in pairs:
+        if not {x, y} & used:
+            used |= {x, y}
+            want.add((x, y))
+    assert got == want
 
 
 def test_identity(spark):
