@@ -3,12 +3,15 @@
 The labelled table defines the domains: ``toxic`` (toxic = 1), ``clean`` (quality = 1) and ``low`` (the rest). A presence
 naive Bayes over the most telling words gives every document a posterior over the domains. Nonnegative document rates are
 then fitted so that the expected token total of each domain meets its target: projected-gradient least squares, in the norm
-in which the domains' token masses are white, so that few steps are needed. A step only depends on one number a domain, so a
-document's rate is recomputed from the steps so far; nothing a document holds ever reaches the driver.
+in which the token masses of the documents that are still in (rate above 0) are white, so that few steps are needed; a step
+that does not bring the totals nearer is halved. A step only depends on one number a domain, so a document's rate is
+recomputed from the steps so far; nothing a document holds ever reaches the driver. What no rates can meet is reported:
+``gap`` is the largest distance of a domain's total from its target, as a share of the target.
 
 Defined results: a null or empty text has 0 tokens and the prior as its posterior; labels without a document, null labels
-and repeated labels (the worst counts) do no harm; without any labels every posterior is uniform; every row of the documents
-gives one row; an empty table gives no rows.
+and repeated labels (the worst counts) do no harm; without any labels every posterior is uniform; where labels tell no words
+apart (or there are none) every rate is 1, the gap says how far off that is, and the pipeline's stage keeps every document;
+every row of the documents gives one row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,15 +30,16 @@ TARGETS: Mapping[str, float] = {"clean": 0.88, "low": 0.1, "toxic": 0.02}
 #: Labelled rows that the classifier is fitted on (those of smallest hash), and words that it keeps.
 LABELLED_ROWS = 20_000
 FEATURES = 512
-#: A word is telling if its likelihood ratio statistic reaches this (half of it, in nats); chance words stay below.
-LEAST_GAIN = 12.0
+#: A word is telling if its likelihood ratio statistic reaches this (half of it, in nats). Large samples have enough words far
+#: above; in small ones few words reach much more, and without some the posteriors span no mix that meets the targets.
+LEAST_GAIN = 3.0
 SMOOTHING = 0.5
-STEPS, TOLERANCE = 30, 1e-6
+#: Steps are taken until every total is within this share of its target, or no part of a step brings them nearer.
+TOLERANCE = 1e-6
+STEPS, HALVINGS = 100, 12
 #: Share of the token mass added to the diagonal of the domains' Gram matrix: domains that the posteriors hardly tell apart
 #: then move by small steps instead of being pulled apart by rounding errors.
-RIDGE = 1e-4
-#: Documents of at least this rate count as kept where rates alone are judged; the pipeline's stage thins instead.
-KEEP_RATE = 0.5
+RIDGE = 1e-6
 
 _SPACE = r"[\x20\x09-\x0D]+"
 #: White space, or the edge from a letter or digit to a mark. Neither begins with a letter or digit, which the first part
@@ -143,43 +147,66 @@ def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [rows[i][n] / rows[i][i] for i in range(n)]
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, most: int = STEPS) -> list[list[float]]:
-    """The projected steps that bring the domains' expected token totals to their targets.
+def distance(mass: Sequence[float], wanted: Sequence[float]) -> float:
+    """The largest distance of a total from its target, as a share of the target (of a millionth of all, if that is more)."""
+    least = 1e-6 * sum(wanted)
+    return max(abs(m - w) / max(w, least) for m, w in zip(mass, wanted, strict=True))
 
-    Documents start at rate 1. Each step is one aggregation over ``members`` (``n_tokens``, ``p``) to one number a domain.
+
+def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, most: int = STEPS) -> tuple[list[list[float]], float]:
+    """The projected steps that bring the domains' expected token totals to their targets, and the gap that is left.
+
+    Documents start at rate 1. Each step is one aggregation over ``members`` (``n_tokens``, ``p``) to a few numbers: the
+    totals, and the Gram matrix of the documents that are still in.
     """
     k = range(len(DOMAINS))
     t = F.col("n_tokens").cast("double")
-    first = members.agg(*[F.sum(t * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}{j}") for i in k for j in k], *[F.sum(t * F.col("p")[i]).alias(f"m{i}") for i in k]).first()
-    mass = [first[f"m{i}"] or 0.0 for i in k]
+
+    def totals(steps: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        r = members.withColumn("r", rate_after(steps))
+        still = F.when(F.col("r") > 0, t).otherwise(0.0)
+        now = r.agg(*[F.sum(still * F.col("p")[i] * F.col("p")[j]).alias(f"g{i}{j}") for i in k for j in k if j <= i], *[F.sum(F.col("r") * t * F.col("p")[i]).alias(f"m{i}") for i in k]).first()
+        return [now[f"m{i}"] or 0.0 for i in k], [[now[f"g{max(i, j)}{min(i, j)}"] or 0.0 for j in k] for i in k]
+
+    mass, gram = totals([])
     total = sum(mass)
     if total == 0:
-        return []
-    gram = [[(first[f"g{i}{j}"] or 0.0) + (RIDGE * total if i == j else 0.0) for j in k] for i in k]
+        return [], 0.0
     scale = mass[0] / targets[DOMAINS[0]] if targets[DOMAINS[0]] else total
     wanted = [targets[d] * scale for d in DOMAINS]
     steps: list[list[float]] = []
+    gap = distance(mass, wanted)
     for _ in range(most):
-        off = [m - w for m, w in zip(mass, wanted, strict=True)]
-        if max(map(abs, off)) <= TOLERANCE * total:
+        if gap <= TOLERANCE:
+            break
+        whole = solve([[gram[i][j] + (RIDGE * total if i == j else 0.0) for j in k] for i in k], [m - w for m, w in zip(mass, wanted, strict=True)])
+        for half in range(HALVINGS):
+            step = [x / (1 << half) for x in whole]
+            mass_then, gram_then = totals([*steps, step])
+            if distance(mass_then, wanted) < gap:
+                break
+        else:  # nothing brings the totals nearer
+            break
+        steps.append(step)
+        mass, gram, before, gap = mass_then, gram_then, gap, distance(mass_then, wanted)
+        if before - gap <= 1e-4 * gap and gap > 0.01:  # no rates meet the targets: what is left hardly moves
             break
-        steps.append(solve(gram, off))
-        now = members.withColumn("r", rate_after(steps)).agg(*[F.sum(F.col("r") * t * F.col("p")[i]).alias(f"m{i}") for i in k]).first()
-        mass = [now[f"m{i}"] or 0.0 for i in k]
-    return steps
+    return steps, gap
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, keep: Sequence[str] | None = None) -> DataFrame:
-    """``docs`` (its own columns, or those in ``keep``, but for those named like a result) with ``n_tokens``, ``p_<domain>`` and ``rate``.
+    """``docs`` (its own columns, or those in ``keep``, but for those named like a result) with ``n_tokens``, ``p_<domain>``, ``rate`` and ``gap``.
 
     Texts are read once for the posteriors, which are written with the row; rates are worked out on what is written.
     """
-    made = {"n_tokens", "rate", "p", "_here", "_hits", "_score", "_e", *(f"p_{d}" for d in DOMAINS)}
+    made = {"n_tokens", "rate", "gap", "p", "_here", "_hits", "_score", "_e", *(f"p_{d}" for d in DOMAINS)}
     docs = docs.select(*[c for c in docs.columns if c.lower() not in made])
     kept = docs.columns if keep is None else [c for c in keep if c in docs.columns]
-    members, _ = stored(posteriors(docs, fit(docs, labels)).select(*kept, "n_tokens", "p"))
-    steps = fit_rates(members.select("n_tokens", "p"), targets)
-    return members.select(*kept, "n_tokens", *[F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.round(rate_after(steps), 9).alias("rate"))
+    model = fit(docs, labels)
+    members, _ = stored(posteriors(docs, model).select(*kept, "n_tokens", "p"))
+    # Without telling words all posteriors are alike, and there is nothing to choose between.
+    steps, gap = fit_rates(members.select("n_tokens", "p"), targets, STEPS if model[1] else 0)
+    return members.select(*kept, "n_tokens", *[F.round(F.col("p")[i], 9).alias(f"p_{d}") for i, d in enumerate(DOMAINS)], F.round(rate_after(steps), 9).alias("rate"), F.lit(round(gap, 9)).alias("gap"))
 
 
 def op6_mixing_rates(spark, sf_dir: str) -> DataFrame:
@@ -190,12 +217,13 @@ def op6_mixing_rates(spark, sf_dir: str) -> DataFrame:
 def keep_mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` in the numbers that their fitted rates ask for (pipeline stage).
 
-    What is at least as likely toxic as anything else goes by its own posterior, whatever the corpus holds of it, so the
-    toxic target is a ceiling. What is most likely clean stays, once. The others come ``rate`` times: the whole part as
-    copies, the rest by the hash of the row, so a rerun draws the same rows.
+    A document comes ``rate`` times: the whole part as copies, the rest by the hash of the row, so a rerun draws the same
+    rows. Two rules stand above the draw: what is more likely toxic than anything else goes, so the toxic target is a ceiling,
+    and what is as likely clean as anything else stays, at least once.
     """
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / F.lit(float(1 << 32))
     slim = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), chance.alias("_chance"))
-    copies = F.when(F.col("p_toxic") >= F.greatest("p_clean", "p_low"), 0).when(F.col("p_clean") >= F.col("p_low"), 1).otherwise(F.floor(F.col("rate") + F.col("_chance"))).cast("int")
-    drawn = mixing_rates(slim, labels, keep=["_row", "_chance"]).select("_row", copies.alias("copies")).where("copies > 0")
-    return drawn.select(F.explode(F.array_repeat("_row", F.col("copies"))).alias("_row")).select("_row.*")
+    drawn = F.floor(F.col("rate") + F.col("_chance"))
+    copies = F.when(F.col("p_toxic") > F.greatest("p_clean", "p_low"), 0).when(F.col("p_clean") >= F.greatest("p_low", "p_toxic"), F.greatest(F.lit(1), drawn)).otherwise(drawn).cast("int")
+    kept = mixing_rates(slim, labels, keep=["_row", "_chance"]).select("_row", copies.alias("copies")).where("copies > 0")
+    return kept.select(F.explode(F.array_repeat("_row", F.col("copies"))).alias("_row")).select("_row.*")

@@ -8,12 +8,11 @@ import pytest
 from cases import SMALL, documents, messy_rows, ordered, small_documents, words
 from test_llm_dedup import plain_words
 from test_llm_jaccard import plain as plain_sets
-from test_llm_models import plain_rates
+from test_llm_models import copies_of, plain_rates
 from test_llm_packing import ids_of
 from test_llm_quality import plain as plain_quality
 
 import corpus_pipeline
-from matchgrain.llm import mixing
 
 
 def cut(rows):
@@ -54,8 +53,8 @@ def test_stages_as_done_plainly(spark, tmp_path, rows):
     assert {i for i, _ in kept if i is not None} == {c for _, _, c in groups if c is not None}
     left = cut(kept)
     assert ordered([(i, words(t)) for i, t in seen["substring dedup"]]) == ordered(left)
-    _, _, rate, _ = plain_rates(seen["substring dedup"], labels)
-    assert ordered(seen["mixing sources to target weights"]) == ordered([r for r, x in zip(seen["substring dedup"], rate, strict=True) if x >= mixing.KEEP_RATE])
+    _, p, rate, _ = plain_rates(seen["substring dedup"], labels)
+    assert ordered(seen["mixing sources to target weights"]) == ordered(copies_of(spark, seen["substring dedup"], p, rate))
     pieces = ordered([(r.doc_id, r.piece, r.length, r.ids_crc32) for r in docs.collect()])
     want = []
     for i, t in seen["mixing sources to target weights"]:
