@@ -34,9 +34,11 @@ FEATURES = 512
 #: above; in small ones few words reach much more, and without some the posteriors span no mix that meets the targets.
 LEAST_GAIN = 3.0
 SMOOTHING = 0.5
-#: Steps are taken until every total is within this share of its target, or no part of a step brings them nearer.
-TOLERANCE = 1e-6
-STEPS, HALVINGS = 100, 12
+#: Steps are taken until every total is within this share of its target. They end before where no rates meet the targets: no
+#: part of a step brings the totals nearer, or ``STALLS`` steps on end close less than ``LEAST_CLOSED`` of the gap.
+TOLERANCE = 1e-4
+STEPS, HALVINGS = 100, 8
+STALLS, LEAST_CLOSED = 2, 0.1
 #: Share of the token mass added to the diagonal of the domains' Gram matrix: domains that the posteriors hardly tell apart
 #: then move by small steps instead of being pulled apart by rounding errors.
 RIDGE = 1e-6
@@ -175,9 +177,9 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, most:
     scale = mass[0] / targets[DOMAINS[0]] if targets[DOMAINS[0]] else total
     wanted = [targets[d] * scale for d in DOMAINS]
     steps: list[list[float]] = []
-    gap = distance(mass, wanted)
+    gap, stalled = distance(mass, wanted), 0
     for _ in range(most):
-        if gap <= TOLERANCE:
+        if gap <= TOLERANCE or stalled == STALLS:
             break
         whole = solve([[gram[i][j] + (RIDGE * total if i == j else 0.0) for j in k] for i in k], [m - w for m, w in zip(mass, wanted, strict=True)])
         for half in range(HALVINGS):
@@ -189,8 +191,7 @@ def fit_rates(members: DataFrame, targets: Mapping[str, float] = TARGETS, most:
             break
         steps.append(step)
         mass, gram, before, gap = mass_then, gram_then, gap, distance(mass_then, wanted)
-        if before - gap <= 1e-4 * gap and gap > 0.01:  # no rates meet the targets: what is left hardly moves
-            break
+        stalled = stalled + 1 if before - gap < LEAST_CLOSED * before else 0
     return steps, gap
 
 

@@ -101,9 +101,9 @@ def plain_rates(rows, labels, targets=mixing.TARGETS):
     if mass.sum() > 0 and odds:
         everything = mass.sum()
         wanted = np.array([targets[d] for d in mixing.DOMAINS]) * mass[0] / targets["clean"]
-        gap = mixing.distance(mass, wanted)
+        gap, stalled = mixing.distance(mass, wanted), 0
         for _ in range(mixing.STEPS):
-            if gap <= mixing.TOLERANCE:
+            if gap <= mixing.TOLERANCE or stalled == mixing.STALLS:
                 break
             still = rate > 0
             gram = (p[still] * t[still, None]).T @ p[still] + mixing.RIDGE * everything * np.eye(3)
@@ -114,8 +114,7 @@ def plain_rates(rows, labels, targets=mixing.TARGETS):
                 break
             rate, mass, before = better, (t * better) @ p, gap
             gap = mixing.distance(mass, wanted)
-            if before - gap <= 1e-4 * gap and gap > 0.01:
-                break
+            stalled = stalled + 1 if before - gap < mixing.LEAST_CLOSED * before else 0
     return t, p, rate, mass
 
 
