@@ -1,14 +1,14 @@
 """Mixing documents to domain target weights by soft membership, with DataFrame functions only.
 
 The labelled table defines the domains: ``toxic`` (toxic = 1), ``clean`` (quality = 1) and ``low`` (the rest). A presence
-naive Bayes over the most telling words gives every document a posterior over the domains. Nonnegative document rates are
+naive Bayes over the most telling words, present or absent, gives every document a posterior over the domains. Nonnegative document rates are
 then fitted so that the expected token total of each domain meets its target: projected-gradient least squares, in the norm
 in which the token masses of the documents that are still in (rate above 0) are white, so that few steps are needed; a step
 that does not bring the totals nearer is halved. A step only depends on one number a domain, so a document's rate is
 recomputed from the steps so far; nothing a document holds ever reaches the driver. What no rates can meet is reported:
 ``gap`` is the largest distance of a domain's total from its target, as a share of the target.
 
-Defined results: a null or empty text has 0 tokens and the prior as its posterior; labels without a document, null labels
+Defined results: a null or empty text has 0 tokens and the posterior of a text without telling words; labels without a document, null labels
 and repeated labels (the worst counts) do no harm; without any labels every posterior is uniform; where labels tell no words
 apart (or there are none) every rate is 1, the gap says how far off that is, and the pipeline's stage keeps every document;
 every row of the documents gives one row; an empty table gives no rows.
@@ -33,6 +33,9 @@ FEATURES = 512
 #: A word is telling if its likelihood ratio statistic reaches this (half of it, in nats). Large samples have enough words far
 #: above; in small ones few words reach much more, and without some the posteriors span no mix that meets the targets.
 LEAST_GAIN = 3.0
+#: and if it is so many times as frequent in one domain as in another: hundreds of words that differ a little, which large
+#: samples single out too, go together, and a sum over them would outvote what tells domains apart.
+LEAST_RATIO = 8.0
 SMOOTHING = 0.5
 #: Steps are taken until every total is within this share of its target. They end before where no rates meet the targets: no
 #: part of a step brings the totals nearer, or ``STALLS`` steps on end close less than ``LEAST_CLOSED`` of the gap.
@@ -66,7 +69,7 @@ def n_tokens(text: Column) -> Column:
     return (F.size(parts) - (F.element_at(parts, 1) == "").cast("int") - ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")).cast("long")
 
 
-#: Log priors of the domains and, for each telling word, its bucket and its log odds by domain.
+#: Log odds of the domains for a text without telling words and, for each of these, its bucket and what its presence adds.
 Model = tuple[list[float], list[tuple[str, int, list[float]]]]
 
 
@@ -91,13 +94,18 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS, most
     found = known.select("domain", F.explode_outer("words").alias("word")).where("word <> ''").groupBy("word").agg(*[c.alias(f"n{k}") for k, c in enumerate(of)])
     df = sum((F.col(f"n{k}") for k in range(len(DOMAINS))), F.lit(0))
     gain = sum((F.when(F.col(f"n{k}") > 0, F.col(f"n{k}") * F.log(F.col(f"n{k}") * n / (df * total[k]))).otherwise(0.0) for k in range(len(DOMAINS)) if total[k]), F.lit(0.0))
-    telling = found.withColumn("gain", gain).withColumn("bucket", bucket("word")).where(F.col("gain") >= LEAST_GAIN).orderBy(F.desc("gain"), "word").limit(most_words).collect()
+    share = [(F.col(f"n{k}") + SMOOTHING * df / n) / (total[k] + SMOOTHING) for k in range(len(DOMAINS)) if total[k]]
+    strong = F.greatest(*share, F.lit(0.0)) >= LEAST_RATIO * F.least(*share, F.lit(1.0))
+    telling = found.withColumn("gain", gain).withColumn("bucket", bucket("word")).where((F.col("gain") >= LEAST_GAIN) & strong).orderBy(F.desc("gain"), "word").limit(most_words).collect()
+    none = [log((t + 1) / (n + len(DOMAINS))) for t in total]
     odds = []
     for row in telling:
         seen = [row[f"n{k}"] for k in range(len(DOMAINS))]
         base = sum(seen) / n
-        odds.append((row["word"], row["bucket"], [log((s + SMOOTHING * base) / (t + SMOOTHING)) - log(base) for s, t in zip(seen, total, strict=True)]))
-    return [log((t + 1) / (n + len(DOMAINS))) for t in total], odds
+        share = [(s + SMOOTHING * base) / (t + SMOOTHING) for s, t in zip(seen, total, strict=True)]
+        none = [a + log(1 - p) for a, p in zip(none, share, strict=True)]
+        odds.append((row["word"], row["bucket"], [log(p / (1 - p)) for p in share]))
+    return none, odds
 
 
 def posteriors(docs: DataFrame, model: Model) -> DataFrame:
