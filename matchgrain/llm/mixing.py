@@ -36,6 +36,8 @@ LEAST_GAIN = 3.0
 #: and if it is so many times as frequent in one domain as in another: hundreds of words that differ a little, which large
 #: samples single out too, go together, and a sum over them would outvote what tells domains apart.
 LEAST_RATIO = 8.0
+#: What the absence of a telling word counts against its presence: words that a domain's texts share are absent together.
+ABSENCE = 0.4
 SMOOTHING = 0.5
 #: Steps are taken until every total is within this share of its target. They end before where no rates meet the targets: no
 #: part of a step brings the totals nearer, or ``STALLS`` steps on end close less than ``LEAST_CLOSED`` of the gap.
@@ -103,8 +105,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = LABELLED_ROWS, most
         seen = [row[f"n{k}"] for k in range(len(DOMAINS))]
         base = sum(seen) / n
         share = [(s + SMOOTHING * base) / (t + SMOOTHING) for s, t in zip(seen, total, strict=True)]
-        none = [a + log(1 - p) for a, p in zip(none, share, strict=True)]
-        odds.append((row["word"], row["bucket"], [log(p / (1 - p)) for p in share]))
+        none = [a + ABSENCE * log(1 - p) for a, p in zip(none, share, strict=True)]
+        odds.append((row["word"], row["bucket"], [log(p) - ABSENCE * log(1 - p) for p in share]))
     return none, odds
 
 

@@ -93,8 +93,8 @@ def plain_rates(rows, labels, targets=mixing.TARGETS):
         share = {w: [(a + 0.5 * sum(x) / n) / (t + 0.5) for a, t in zip(x, total, strict=True)] for w, x in seen.items()}
         strong = lambda q: max(a for a, t in zip(q, total, strict=True) if t) >= mixing.LEAST_RATIO * min(a for a, t in zip(q, total, strict=True) if t)
         best = sorted(((-gain(x), w) for w, x in seen.items() if gain(x) >= mixing.LEAST_GAIN and strong(share[w])))[: mixing.FEATURES]
-        odds = {w: [math.log(a) - math.log(1 - a) for a in share[w]] for _, w in best}
-        none = [math.log((total[k] + 1) / (n + 3)) + sum(math.log(1 - share[w][k]) for w in odds) for k in range(3)]
+        odds = {w: [math.log(a) - mixing.ABSENCE * math.log(1 - a) for a in share[w]] for _, w in best}
+        none = [math.log((total[k] + 1) / (n + 3)) + mixing.ABSENCE * sum(math.log(1 - share[w][k]) for w in odds) for k in range(3)]
         score = np.array([[none[k] + sum(odds[w][k] for w in s if w in odds) for k in range(3)] for s in sets]).reshape(-1, 3)
         p = np.exp(score - score.max(axis=1, keepdims=True, initial=-1e300))
         p /= p.sum(axis=1, keepdims=True)
