@@ -261,22 +261,6 @@ def role_scores(spark, sf_dir):
     return v.join(F.broadcast(m), "position").select("player_id", F.round(ratio(F.col("t") - F.col("m"), F.col("s")), 6).alias("z"))
 
 
-TRIALS, CHOICES = 400, 10
-_UNIT = "CAST('0x' || substr(md5('curse-' || t || '-' || c || '-' || i), 1, 8) AS BIGINT) / 4294967296.0"
-
-
-@query(f"""WITH u AS (SELECT t, c, sum({_UNIT}) - 6 AS z FROM (SELECT unnest(range({TRIALS})) AS t) a, (SELECT unnest(range({CHOICES})) AS c) b, (SELECT unnest(range(12)) AS i) d GROUP BY t, c),
-o AS (SELECT noise, t, max(noise * z) AS gain FROM u, (SELECT unnest([0.1, 0.3, 0.6])::DOUBLE AS noise) GROUP BY ALL) SELECT noise, count(*) AS trials, round(avg(gain), 6) AS optimism FROM o GROUP BY noise""")
-def selection_optimism(spark, sf_dir):
-    """What choosing the largest of ten equally good candidates overstates, by the noise of their measurement."""
-    draws = spark.range(TRIALS * CHOICES * 12)
-    u = draws.select(F.floor(F.col("id") / (CHOICES * 12)).alias("t"), (F.floor(F.col("id") / 12) % CHOICES).alias("c"), (F.col("id") % 12).alias("i"))
-    one = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit("curse"), "t", "c", "i").cast("binary")), 1, 8), 16, 10).cast("long") / 4294967296.0
-    z = u.groupBy("t", "c").agg((F.sum(one) - 6).alias("z")).withColumn("noise", F.explode(F.array(*map(F.lit, (0.1, 0.3, 0.6)))))
-    best = z.groupBy("noise", "t").agg(F.max(F.col("noise") * F.col("z")).alias("gain"))
-    return best.groupBy("noise").agg(F.count("*").alias("trials"), F.round(F.avg("gain"), 6).alias("optimism"))
-
-
 @query(neutral.SQL + """, m AS (SELECT player_id, type AS role, count(*) AS n FROM actions WHERE player_id <> 0 GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY player_id) AS p, row_number() OVER (PARTITION BY player_id ORDER BY n DESC, role) AS r, lead(n, 1, 0) OVER (PARTITION BY player_id ORDER BY n DESC, role) AS nxt, sum(n) OVER (PARTITION BY player_id) AS t FROM m)
 SELECT player_id, role, round(p, 6) AS share, p < 0.5 OR (n - nxt) / t < 0.1 AS ambiguous FROM s WHERE r = 1""")
 def role_distributions(spark, sf_dir):
