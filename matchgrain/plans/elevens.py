@@ -47,7 +47,7 @@ _LOSS = f"{{'m': greatest({', '.join(_SHORT)}), 't': {' + '.join(_SHORT)}}}"
 SETS = SQUAD + ", " + ", ".join([_set("gk", "GK", 1), _set("df", "DF", 4), _set("md", "MD", 3), _set("fw", "FW", 3), _join("eleven", "gk df md fw")])
 # The masks of a squad's elevens with the least loss of each: what a question about players needs.
 SETS += f", loss AS (SELECT squad, gm, dm, mm, fm, mask, {_LOSS} AS z FROM eleven)"
-_STATUS = "CASE WHEN z IS NULL THEN 'UNFIELDABLE' ELSE 'CERTIFIED' END AS status, CAST(z.m AS BIGINT) AS max_short, CAST(z.t AS BIGINT) AS total_short"
+_STATUS = "CASE WHEN z IS NULL THEN 'UNFIELDABLE' ELSE 'CERTIFIED' END AS status, CAST(z.m AS VARCHAR) AS max_short, CAST(z.t AS VARCHAR) AS total_short"
 
 
 def squads(spark, sf_dir) -> DataFrame:
@@ -65,6 +65,11 @@ def valued(s: DataFrame, declared: DataFrame | None, by: tuple[str, ...]) -> Dat
     return E.values(s, FORMATION, MINIMA, declared, by, APPLIES).drop("xi")
 
 
+def spelled(df: DataFrame) -> DataFrame:
+    """Losses as text, where no eleven leaves them out."""
+    return df.withColumn("max_short", F.col("max_short").cast("string")).withColumn("total_short", F.col("total_short").cast("string"))
+
+
 _PICK = """, pick AS (SELECT squad, 'base' AS scenario, NULL AS player_id, NULL AS kind, NULL AS slot FROM squad GROUP BY squad
   UNION ALL SELECT squad, 'without the most passes', max_by(player_id, {'p': passes, 'i': player_id}), 'EXCLUDED', NULL FROM squad WHERE position <> 'GK' GROUP BY squad
   UNION ALL SELECT squad, 'with the fewest passes', min_by(player_id, {'p': passes, 'i': player_id}), 'LOCKED', NULL FROM squad WHERE position <> 'GK' GROUP BY squad
@@ -90,7 +95,7 @@ def eleven_values(spark, sf_dir):
     declared = declared.unionByName(one("with the fewest passes", s.where(out), F.min(by_passes)["player_id"], "LOCKED", None))
     declared = declared.unionByName(one("one pinned to MD", s.where(F.array_contains("slots", "MD") & (F.col("position") != "MD")), F.min("player_id"), "PINNED", "MD"))
     declared = declared.unionByName(one("a forward vacant", s, nobody, "VACANT", "FW"))
-    return valued(E.scenarios(s, declared, ["squad"]), declared, ("squad", "scenario"))
+    return spelled(valued(E.scenarios(s, declared, ["squad"]), declared, ("squad", "scenario")))
 
 
 @query(
@@ -105,7 +110,7 @@ def eleven_absences(spark, sf_dir):
     base = valued(s, None, ("squad",)).select("squad", F.struct("max_short", "total_short").alias("z0"), (F.col("status") == "CERTIFIED").alias("had"))
     v = valued(E.scenarios(s, declared, ["squad"], "absent"), declared, ("squad", "absent")).join(base, "squad")
     necessary = F.col("had") & ~F.struct("max_short", "total_short").eqNullSafe(F.col("z0"))
-    return v.select("squad", F.col("absent").alias("player_id"), "status", "max_short", "total_short", necessary.alias("necessary"))
+    return spelled(v.select("squad", F.col("absent").alias("player_id"), "status", "max_short", "total_short", necessary.alias("necessary")))
 
 
 _STANDING = """, base AS (SELECT squad, min(z) AS z0 FROM loss GROUP BY squad), place AS (SELECT squad, player_id, bit, unnest(slots) AS slot FROM squad),
@@ -126,10 +131,10 @@ def standings(s: DataFrame) -> DataFrame:
     return v.select("squad", at[0].cast("long").alias("player_id"), at[1].alias("slot"), word.alias("standing"), "max_short", "total_short")
 
 
-@query(SETS + _STANDING + " SELECT squad, player_id, slot, standing, CAST(z.m AS BIGINT) AS max_short, CAST(z.t AS BIGINT) AS total_short FROM standing")
+@query(SETS + _STANDING + " SELECT squad, player_id, slot, standing, CAST(z.m AS VARCHAR) AS max_short, CAST(z.t AS VARCHAR) AS total_short FROM standing")
 def eleven_standings(spark, sf_dir):
     """Whether a player in a slot leaves the squad's least loss alone, raises it, or leaves no eleven."""
-    return standings(squads(spark, sf_dir))
+    return spelled(standings(squads(spark, sf_dir)))
 
 
 _ABSENT = """, base AS (SELECT DISTINCT squad FROM loss), member AS (SELECT squad, player_id, bit FROM squad JOIN base USING (squad)), single AS (SELECT squad, 1 AS k, bit AS absent FROM member),
