@@ -226,11 +226,11 @@ def named_values(spark, sf_dir):
     return v.select("player_id", "metric", F.try_element_at("values", F.col("metric")).cast("double").alias("value"))
 
 
-@query(neutral.SQL + teams.ROWS + f" SELECT '{ATTACKS.events.describe()}' AS events, '{', '.join(ATTACKS.partition.names)}' AS parts, CAST(sum(n_left + n_right + n_centre) AS BIGINT) AS counted, CAST(sum(dropped) AS BIGINT) AS dropped FROM r")
+@query(neutral.SQL + teams.ROWS + f" SELECT '{ATTACKS.events.words}' AS events, '{', '.join(ATTACKS.names)}' AS parts, CAST(sum(n_left + n_right + n_centre) AS BIGINT) AS counted, CAST(sum(dropped) AS BIGINT) AS dropped FROM r")
 def descriptor_sentence(spark, sf_dir):
     """What the team descriptor counts, in its own words, and how many actions that are."""
     n = teams.rows(spark, sf_dir).agg(F.sum(sum((F.col(f"n_{p}") for p in teams.PARTS), F.lit(0))).alias("counted"), F.sum("dropped").alias("dropped"))
-    return n.select(F.lit(ATTACKS.events.describe()).alias("events"), F.lit(", ".join(ATTACKS.partition.names)).alias("parts"), "counted", "dropped")
+    return n.select(F.lit(ATTACKS.events.words).alias("events"), F.lit(", ".join(ATTACKS.names)).alias("parts"), "counted", "dropped")
 
 
 @query(neutral.SQL + " SELECT l.game_id, l.team_id, l.player_id, 'Player ' || l.player_id AS name, CAST(minutes AS BIGINT) AS minutes FROM lineups l")

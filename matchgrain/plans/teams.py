@@ -10,7 +10,7 @@ from ..operators.descriptors import ATTACKS
 from ..sources import neutral
 from .registry import query
 
-PARTS = ATTACKS.partition.names
+PARTS = ATTACKS.names
 CUT, PSEUDO, K_CONTEXT, K_UNIT = 20, 1.0, 8.0, 12.0
 
 _PLACED = "(start_x BETWEEN 0 AND 1 AND start_y BETWEEN 0 AND 1 AND NOT (start_x = 0 AND start_y = 0) AND NOT (start_x = 1 AND start_y = 1) AND end_x BETWEEN 0 AND 1 AND end_y BETWEEN 0 AND 1 AND NOT (end_x = 0 AND end_y = 0) AND NOT (end_x = 1 AND end_y = 1))"

@@ -182,12 +182,29 @@ def test_store_refuses_what_is_not_there(spark, tmp_path):
         store.read_bundle(spark, str(tmp_path / "b"), "event_id long, competition string, provider string", "v2")
 
 
-def test_descriptor_says_what_it_counts():
-    from matchgrain.operators.descriptors import ATTACKS, Partition
+def test_tally_says_what_it_counts():
+    from matchgrain.operators.descriptors import ATTACKS
 
-    assert ATTACKS.events.describe() == "completed pass, or shot, starting outside the last fifth (x >= 4/5), ending in the attacking half (x > 1/2)"
-    with pytest.raises(ValueError):
-        Partition("end", (("left", ()), ("right", ())))
+    assert ATTACKS.events.words == "either a completed pass or a shot and not from the last fifth (start x at least 4/5) and into the attacking half (end x above 1/2)"
+    assert ATTACKS.names == ("left", "right", "centre") and ATTACKS.events.ends == {"start", "end"}
+
+
+def test_tally_against_a_loop(spark):
+    """Unknown outcomes and flags meet no condition and so meet its negation; sentinel and missing places are dropped, not counted."""
+    from fractions import Fraction
+    from itertools import product
+
+    from matchgrain.operators.descriptors import Along, Tally, done, marked
+
+    rows = [(k, s, f, x, y) for k, s, f, x, y in product(("pass", "shot", None), (True, False, None), (True, None), (None, 0.0, 0.5, 0.75, 1.0, 1.5), (None, 0.0, 0.35, 0.7, 1.0))]
+    acts = spark.createDataFrame(rows, "type string, success boolean, key boolean, end_x double, end_y double")
+    tally = Tally((done("pass", False) | done("shot") & ~marked("key")) & ~Along("end", "x").up_to(Fraction(1, 2)), {"low": Along("end", "y").below(Fraction(7, 20)), "mid": Along("end", "y").up_to(Fraction(7, 10))}, "high")
+    want = {"n_low": 0, "n_mid": 0, "n_high": 0, "dropped": 0}
+    for k, s, f, x, y in rows:
+        if ((k == "pass" and s is False) or (k == "shot" and not f)) and not (x is not None and x <= 0.5):
+            placed = x is not None and y is not None and 0 <= x <= 1 and 0 <= y <= 1 and (x, y) not in ((0, 0), (1, 1))
+            want["dropped" if not placed else "n_low" if y < 0.35 else "n_mid" if y <= 0.7 else "n_high"] += 1
+    assert tally.counts(acts).first().asDict() == want and min(want.values()) > 0
 
 
 def test_surface_is_a_fixed_point(spark):
