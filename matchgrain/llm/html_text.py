@@ -2,8 +2,11 @@
 
 Every page scores its containers by the text of the blocks just below them; the best ones vote, in Spark, for their
 generalised tag-class path (digits in classes do not matter) within the page's host. Pages are then read again: the
-elements on the host's highest-ranked path that the page has give its text, without menus, headers, footers, asides,
-notices, adverts, forms, scripts, styles and reader comments.
+elements on the host's highest-ranked path that the page has, those beside it on paths with at least a third of its votes,
+and what else their article (or main element, where there is no article) holds give the page's text, without menus, headers,
+footers, asides, notices, adverts, forms, scripts, styles and reader comments. Of an article's own header, headings and
+paragraphs stay, unless they are named as bylines or dates. Outside the elements on winning paths, blocks that are mostly
+links, and articles inside the article (readers' or other ones), stay out.
 
 Names count as whole class tokens or in known compounds (``_out_name``). An element that is out by its name, or as a form,
 stays in if it holds the page's main element, all its articles or most of its text; if nothing is left, the page is read
@@ -28,7 +31,9 @@ from .common import short, stored
 
 #: Ranked paths kept for each host.
 HOST_PATHS = 8
-PAGE_VOTES = 3
+PAGE_VOTES = 6
+#: Paths beside the winning one belong to the text from this share of its votes on.
+BESIDE_SHARE = 1 / 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -41,6 +46,7 @@ _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var img br wbr".split()
 )
 _LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li pre blockquote dt dd figcaption caption".split())
+_LEAD = frozenset("p blockquote".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _OUT_TAGS = frozenset("head nav footer aside form button select dialog menu object".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar".split())
@@ -54,6 +60,8 @@ _PLACES = frozenset("site page main top bottom left right header footer head foo
 _PARTS = frozenset("area bar block box button buttons container form holder icons inner item items label links list menu message nav outer panel section slot text unit widget wrap wrapper posts articles stories content cards feed tools top bottom left right primary secondary mobile desktop sticky fixed".split())
 #: Names of what readers wrote: often longer than the page's own text, so its length says nothing.
 _READERS = frozenset("comment comments discussion disqus reply replies respond".split())
+#: Names of what an article's own header says about the article.
+_ABOUT = frozenset("byline author authors date dateline datetime timestamp published updated meta metadata credit credits".split())
 _GOOD_NAMES = frozenset("article content entry post story main body text".split())
 _KEEP_TAGS = frozenset("html body main article".split())
 #: Elements that end an open paragraph of the same kind.
@@ -86,7 +94,8 @@ class Page:
 
     def _start(self, html: str) -> None:
         self.parent, self.tag, self.path, self.bonus = [-1], ["#root"], [""], [0.5]
-        self.out, self.head_only = [False], [False]
+        self.out, self.head_only, self.lead = [False], [False], [False]
+        self.region, self.inner = [0], [False]  # the article or main element around, and whether it is an article in another
         self.soft, self.hard, self.readers, self.mass = [False], [False], [False], [0]  # out by name, out otherwise, own characters outside links
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self._read(html)
@@ -103,7 +112,9 @@ class Page:
         form = tag == "form" or role == "form"
         soft = tag not in _KEEP_TAGS and (form or named_head or _named(tokens, _OUT_NAMES))
         hard = tag not in _KEEP_TAGS and ((tag in _OUT_TAGS and tag != "form") or hidden or (role in _OUT_ROLES and role != "form"))
-        head = tag == "header" or (named_head and not spared)
+        around = self.region[parent]
+        lead = self.lead[parent] or (tag == "header" and around > 0 and not self.head_only[parent])
+        head = (tag == "header" and not lead) or (named_head and not spared) or (lead and (tag == "address" or _named(tokens, _ABOUT)))
         out = hard or (soft and not spared and (form or _named(tokens, _OUT_NAMES)))
         self.soft.append(soft)
         self.hard.append(self.hard[parent] or hard)
@@ -116,6 +127,10 @@ class Page:
         self.bonus.append({"article": 1.3, "main": 1.2, "body": 0.7}.get(tag, 1.0) * (1.25 if names & _GOOD_NAMES else 1.0))
         self.out.append(self.out[parent] or out)
         self.head_only.append(self.head_only[parent] or head)
+        self.lead.append(lead)
+        here = tag == "article" or ((tag == "main" or role == "main") and self.tag[around] != "article")
+        self.inner.append(self.inner[parent] or (tag == "article" and self.tag[around] == "article"))
+        self.region.append(len(self.tag) - 1 if here and self.tag[around] != "article" else around)
         return len(self.tag) - 1
 
     def _read(self, html: str) -> None:
@@ -133,7 +148,7 @@ class Page:
             if text:
                 whole = " ".join(unescape("".join(text)).split())
                 self.mass[block] += 0 if self.hard[block] else max(0, len(whole) - links)
-                if whole and not self.out[block] and not (self.head_only[block] and not self._in_heading(block)):
+                if whole and not self.out[block] and (self._in_heading(block) or not (self.head_only[block] or (self.lead[block] and self.tag[block] not in _LEAD))):
                     self.blocks.append((block, whole, links))
             text, links = [], 0
 
@@ -229,18 +244,22 @@ class Page:
         best = sorted(by.items(), key=lambda kv: (-kv[1], kv[0]))[:PAGE_VOTES]
         return [(p, s / best[0][1]) for p, s in best]
 
-    def text(self, paths: list[str]) -> str:
-        """The blocks below the elements of the first of ``paths`` that has any."""
+    def text(self, paths: list[tuple[str, float]]) -> str:
+        """The text by the first of ``paths`` (with their votes) that the page has; by its own best one if it has none."""
         have = set(self.path)
-        for path in [*paths, *[p for p, _ in self.votes()]]:
-            if path not in have:
-                continue
-            inside = [False] * len(self.tag)
-            for i in range(len(self.tag)):
-                inside[i] = self.path[i] == path or (i > 0 and inside[self.parent[i]])
-            found = [t for i, t, _ in self.blocks if inside[i]]
-            if found:
-                return "\n".join(found)
+        for ranked in (paths, self.votes()):
+            for path, votes in ranked:
+                if path not in have:
+                    continue
+                above = path.rpartition(">")[0]
+                win = {path} | {p for p, v in ranked if v >= BESIDE_SHARE * votes and p.rpartition(">")[0] == above}
+                inside = [False] * len(self.tag)
+                for i in range(len(self.tag)):
+                    inside[i] = self.path[i] in win or (i > 0 and inside[self.parent[i]])
+                if not any(inside[i] for i, _, _ in self.blocks):
+                    continue
+                regions = {self.region[i] for i, _, _ in self.blocks if inside[i]} - {0}
+                return "\n".join(t for i, t, links in self.blocks if inside[i] or (self.region[i] in regions and not self.inner[i] and 2 * links <= len(t)))
         return ""
 
 
@@ -258,10 +277,10 @@ def page_votes(pages: DataFrame) -> DataFrame:
 
 
 def host_paths(pages: DataFrame, most: int = HOST_PATHS) -> DataFrame:
-    """``host, paths``: each host's paths by their votes. Votes are summed before any group meets in a task."""
+    """``host, paths``: each host's paths and votes, highest first. Votes are summed before any group meets in a task."""
     tally = page_votes(pages).groupBy("host", "path").agg(F.round(F.sum("vote"), 6).alias("votes"))
     ranked = tally.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), "path"))).where(F.col("place") <= most)
-    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path"))), lambda x: x["path"]).alias("paths"))
+    return ranked.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "path", "votes"))), lambda x: F.struct(x["path"], x["votes"])).alias("paths"))
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -273,7 +292,7 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in short(batches):
-            texts = [Page(html.as_py() or "").text(paths or []) for html, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True)]
+            texts = [Page(html.as_py() or "").text([(p["path"], p["votes"]) for p in paths or []]) for html, paths in zip(batch.column("html"), batch.column("paths").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[c.split()[0] for c in RESULT.split(", ")])
 
     # The table of paths is written: where its size shows that it is small it is broadcast and no page is moved; beyond that,

@@ -56,3 +56,32 @@ def test_hosts_agree_on_a_path(spark):
     text = {r.page_id: r.text for r in got}
     assert all(text[i] == WANT for i in range(8)) and text[8] == "A short story, but the one that counts." and text[9] == "\n".join([WANT] * 3) and text[10] == ""
     assert main_text(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "body,want",
+    [
+        ("<article><h1>T</h1><div class=lead><p>L1</p></div><div class=rest><p>R1</p><p>R2</p><p>R3</p></div></article>", "T\nL1\nR1\nR2\nR3"),
+        ("<article><h1>T</h1><div class=lead>L1</div><div class=rest>R1 R2 R3</div></article>", "T\nL1\nR1 R2 R3"),
+        ("<main><div class=intro><p>The way in.</p></div><div class=chapter>" + BODY + "</div><div class=outro><p>The way out.</p></div></main>", "The way in.\n" + WANT + "\nThe way out."),
+        ("<main><header><h1>T</h1></header><div class=content>" + BODY + "</div></main>", "T\n" + WANT),
+        ("<article><header><h1>T</h1><p>A lead.</p><p class=byline>By A. N. Other</p><div class=tools>Print this</div></header>" + BODY + "</article>", "T\nA lead.\n" + WANT),
+        ("<div class=story><div class=chapter-1>" + BODY + "</div><div class=chapter-2>" + BODY + "</div></div>", WANT + "\n" + WANT),
+        ("<div class=wrap><div class=first>" + BODY + "</div><div class=second>" + BODY + "</div></div>", WANT + "\n" + WANT),
+        ("<main><ul><li><a href=x>One</a><li><a href=y>Two</a></ul><div>" + BODY + "</div></main>", WANT),
+        ("<article>" + BODY + "<div><article><p>A reader writes of the ferry.</p></article></div></article>", None),
+        ("<header><p>Site line</p></header><div>" + BODY + "</div>", WANT),
+    ],
+)
+def test_articles_of_several_containers(spark, body, want):
+    page = f"<html><body><nav><a href=/>Home</a></nav>{body}<footer>Imprint</footer></body></html>"
+    want = want or Page(page).text([])
+    assert Page(page).text([]) == want and want.startswith(WANT) == body.startswith(("<div", "<main><ul", "<article><p", "<header"))
+
+
+def test_all_containers_win_on_their_host(spark):
+    """Twenty pages of a host whose articles have three containers of different lengths, one of them very long."""
+    page = "<html><body><main><div class='intro-{0}'><p>The way in, number {0}.</p></div><div class='chapter-{0}'>{1}</div><div class='outro'><p>The way out, number {0}.</p></div></main></body></html>"
+    rows = [(i, "http://a.b/x", page.format(i, BODY * (30_000 if i == 7 else 1))) for i in range(20)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "\n".join([f"The way in, number {i}.", *[WANT] * (30_000 if i == 7 else 1), f"The way out, number {i}."]) for i in range(20)}
