@@ -2,7 +2,8 @@
 
 The length histogram (at most ``capacity`` rows, whatever the input) goes to the driver, which solves the configuration
 linear program on it: multiplicative weights price the lengths, a knapsack dynamic program finds the best configuration at
-these prices. The fractional multiplicities are rounded down; what is left is priced and filled again in the same way.
+these prices. The fractional multiplicities are rounded to whole ones while the pieces last, and the program is solved
+again for what is left, until a rounding places little.
 Pieces then get their places on Spark: a rank within their length picks the configuration copy and the slot.
 
 Defined results: strings of special tokens in a text, such as ``<|endoftext|>``, are ordinary text, since a document must not
@@ -27,12 +28,13 @@ CAPACITY = 1024
 END = 2
 #: Ranks are dealt in groups of about this many pieces of one length.
 GROUP_ROWS = 20_000
-#: Pricing rounds for each distinct length, and how fast a covered length loses weight.
-ROUNDS, EPSILON = 1.0, 0.3
+#: The share of the tokens that a solution may leave to the next one, which prices them afresh, and how fast a covered
+#: length loses weight.
+UNCOVERED, EPSILON = 0.5, 0.3
+#: The program is solved again while a rounding places at least this share of the tokens left.
+LEAST_PLACED = 0.1
 #: First prices: a piece's share of a sequence to this power, so that long pieces find their fillings before these run short.
-LONG_FIRST = 1.3
-#: A multiplicity of the program is rounded down to whole sequences from this on, if they leave nothing free.
-ROUND_FROM = 2
+LONG_FIRST = 1.1
 #: On what is left a piece's price is its share of a sequence to this power: a little dearer by length, so that short pieces,
 #: which fill any gap, are spent last.
 BIAS = 1.05
@@ -66,51 +68,27 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END) -> D
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def best_configuration(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack by dynamic programming: how many of each length make the dearest configuration (at most ``limit`` of each)."""
+def unbounded_configuration(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """The dearest configuration with any number of each length: a pass over the room used, all lengths at once."""
     by_length = np.zeros(capacity + 1)
     by_length[lengths] = price
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
     for w in range(1, capacity + 1):
         gain = best[:w] + by_length[w:0:-1]  # a piece of length w - j on top of the best for j
         j = int(gain.argmax())
-        if gain[j] > best[w - 1]:
-            best[w], took[w] = gain[j], w - j
-        else:
-            best[w] = best[w - 1]
+        best[w], took[w] = (gain[j], w - j) if gain[j] > best[w - 1] else (best[w - 1], 0)
     out, w = np.zeros(capacity + 1, dtype=np.int64), capacity
     while w > 0:
-        if took[w]:
-            out[took[w]] += 1
-            w -= took[w]
-        else:
-            w -= 1
-    return np.minimum(out[lengths], limit)
-
-
-def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: float = ROUNDS, epsilon: float = EPSILON) -> dict[tuple, float]:
-    """Multiplicative weights on the configuration program: configuration -> fractional multiplicity, mean coverage one.
-
-    Prices start near the pieces' share of a sequence, which is the dual solution wherever whole sequences can be filled; a
-    length loses weight as it is covered, so that the next configurations turn to the others.
-    """
-    weight, cover = np.ones(len(lengths)), np.zeros(len(lengths))
-    x: dict[tuple, float] = {}
-    for _ in range(int(rounds * len(lengths)) + 1 if len(lengths) else 0):
-        c = best_configuration(lengths, (lengths / capacity) ** LONG_FIRST * weight, counts, capacity)
-        used = np.flatnonzero(c)
-        step = float((counts[used] / c[used]).min())
-        key = tuple(c.tolist())
-        x[key] = x.get(key, 0.0) + step
-        cover += step * c / counts
-        weight *= np.exp(-epsilon * step * c / counts)
-        weight /= weight.max()
-    mean = float((cover * counts * lengths).sum() / (counts * lengths).sum()) if len(lengths) else 1.0
-    return {k: v / mean for k, v in x.items()}
+        out[took[w]] += 1
+        w -= max(1, int(took[w]))
+    return out[lengths]
 
 
-def fill(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack by dynamic programming with at most ``limit`` of each length: the dearest configuration within ``capacity``."""
+def best_configuration(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: int) -> np.ndarray:
+    """Knapsack by dynamic programming: the dearest configuration within ``capacity``, with at most ``limit`` of each length."""
+    free = unbounded_configuration(lengths, price, capacity)
+    if (free <= limit).all():
+        return free
     best, took = np.zeros(capacity + 1), []
     for i, (size, most) in enumerate(zip(lengths.tolist(), np.minimum(limit, capacity // lengths).tolist(), strict=True)):
         some = 1
@@ -129,24 +107,54 @@ def fill(lengths: np.ndarray, price: np.ndarray, limit: np.ndarray, capacity: in
     return out
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
+def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int, uncovered: float = UNCOVERED, epsilon: float = EPSILON) -> dict[tuple, float]:
+    """Multiplicative weights on the configuration program: configuration -> fractional multiplicity.
+
+    Prices start near the pieces' share of a sequence, which is the dual solution wherever whole sequences can be filled; a
+    length loses weight as it is covered, so that the next configurations turn to the others. Every configuration goes in as
+    often as its scarcest length allows. It ends when all but ``uncovered`` of the tokens are covered; what is covered more
+    than once is scaled down at rounding, where the pieces run out.
+    """
+    weight, cover = np.ones(len(lengths)), np.zeros(len(lengths))
+    mass = lengths * counts
+    x: dict[tuple, float] = {}
+    while len(lengths) and float((mass * np.maximum(0, 1 - cover)).sum()) > uncovered * float(mass.sum()):
+        c = best_configuration(lengths, (lengths / capacity) ** LONG_FIRST * weight, counts, capacity)
+        used = np.flatnonzero(c)
+        step = float((counts[used] / c[used]).min())
+        key = tuple(c.tolist())
+        x[key] = x.get(key, 0.0) + step
+        cover += step * c / counts
+        weight *= np.exp(-epsilon * step * c / counts)
+        weight /= weight.max()
+    return x
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int, bool]]:
     """Configurations (how many of each length) with whole multiplicities that use up exactly ``counts``.
 
-    The program's multiplicities are rounded down. What is left is priced again, configuration by configuration: the longest
-    piece left with the dearest filling for the rest of its sequence, as often as the pieces allow.
+    The program's full configurations are taken in order of their multiplicities, each as often as these say and the pieces
+    left allow; then the program is solved again for what is left, until a rounding places little. The last
+    flag says whether the program gave a configuration. Only what the last rounding cannot place is filled sequence by
+    sequence: the longest piece left with the dearest filling for the rest.
     """
     left, out = counts.copy(), []
 
-    def take(c: np.ndarray, k: int) -> None:
+    def take(c: np.ndarray, k: int, program: bool) -> None:
         nonlocal left
-        out.append((c, k))
+        out.append((c, k, program))
         left = left - k * c
 
-    for key, v in sorted(solve(lengths, counts, capacity).items(), key=lambda kv: (-kv[1], kv[0])):
-        c = np.array(key)
-        k = min(int(v), int((left[c > 0] // c[c > 0]).min()))
-        if k >= ROUND_FROM and c @ lengths == capacity:
-            take(c, k)
+    placed = True
+    while placed and left.any():
+        before, have = int(left @ lengths), np.flatnonzero(left)
+        for key, v in sorted(solve(lengths[have], left[have], capacity).items(), key=lambda kv: (-kv[1], kv[0])):
+            c = np.zeros_like(left)
+            c[have] = key
+            k = min(int(np.ceil(v)), int((left[c > 0] // c[c > 0]).min()))
+            if k and c @ lengths == capacity:
+                take(c, k, True)
+        placed = before - int(left @ lengths) >= LEAST_PLACED * before
     while left.any():
         c = np.zeros_like(left)
         longest = int(np.flatnonzero(left)[-1])
@@ -154,8 +162,8 @@ def plan(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[n
         room = capacity - int(lengths[longest])
         here = (left > c) & (lengths <= room)
         if here.any():
-            c[here] += fill(lengths[here], (lengths[here] / capacity) ** BIAS, (left - c)[here], room)
-        take(c, int((left[c > 0] // c[c > 0]).min()))
+            c[here] += best_configuration(lengths[here], (lengths[here] / capacity) ** BIAS, (left - c)[here], room)
+        take(c, int((left[c > 0] // c[c > 0]).min()), False)
     return out
 
 
@@ -167,7 +175,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     lengths = np.array([r["length"] for r in histogram], dtype=np.int64)
     counts = np.array([r["count"] for r in histogram], dtype=np.int64)
     rows, base, rank = [], 0, np.zeros(len(lengths), dtype=np.int64)
-    for c, k in plan(lengths, counts, capacity):
+    for c, k, _ in plan(lengths, counts, capacity):
         at = 0
         for i in np.flatnonzero(c):
             m = int(c[i])

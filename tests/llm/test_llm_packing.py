@@ -80,7 +80,28 @@ def test_plans_use_up_the_counts(pieces):
     h = np.bincount(pieces, minlength=1)
     lengths = np.flatnonzero(h)
     plan = packing.plan(lengths, h[lengths], 40)
-    assert sum((k * c for c, k in plan), np.zeros(len(lengths), np.int64)).tolist() == h[lengths].tolist()
-    assert all(k > 0 and c @ lengths <= 40 for c, k in plan)
+    assert sum((k * c for c, k, _ in plan), np.zeros(len(lengths), np.int64)).tolist() == h[lengths].tolist()
+    assert all(k > 0 and c @ lengths <= 40 for c, k, _ in plan)
     # Never more than first fit could need: all but one sequence are more than half full.
-    assert sum(k for _, k in plan) <= 2 * sum(pieces) / 40 + 1
+    assert sum(k for _, k, _ in plan) <= 2 * sum(pieces) / 40 + 1
+
+
+def test_limits_bind_the_knapsack():
+    c = packing.best_configuration(np.array([3, 4, 7]), np.array([2.0, 3.1, 5.0]), np.array([9, 1, 1]), 20)
+    assert c.tolist() == [3, 1, 1]
+
+
+def test_the_program_decides(monkeypatch):
+    """Most sequences are configurations of the program, and without it more of them are needed."""
+    pieces = [10, 15, 18, 19, 21, 30, 34, 34, 35, 37, 37, 42, 43, 43, 44, 45, 46, 47, 49, 50, 55, 55, 56, 57, 57]
+
+    def run(sizes, capacity):
+        h = np.bincount(sizes)
+        lengths = np.flatnonzero(h)
+        return packing.plan(lengths, h[lengths], capacity)
+
+    got = run(pieces, 100)
+    many = run(np.random.default_rng(1).integers(1, 300, 3000), 300)
+    assert sum(k for _, k, program in many if program) >= 0.8 * sum(k for _, k, _ in many)
+    monkeypatch.setattr(packing, "solve", lambda *_: {})
+    assert sum(k for _, k, _ in got) < sum(k for _, k, _ in run(pieces, 100))
