@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Query]:
-    from . import agreement, chains, elevens, evidence, extended, feeds, forecasts, links, matches, panels, players, reliability, selection, statistics, stores, tables, teams  # noqa: F401  they register themselves
+    from . import agreement, chains, elevens, evidence, extended, feeds, forecasts, links, matches, panels, players, reliability, selection, statistics, stores, streams, tables, teams  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 
