@@ -37,7 +37,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Share of the training documents that a language needs for a model of its own; so there are at most 51 models.
 LEAST_SHARE = 0.02
 _BASE = np.uint64(0xD1342543DE82EF95)
-#: Bytes of a word, beyond which it is scored but teaches nothing about pieces.
+#: Ends of a word whose arcs are held at a time on the way back; of longer words they are found again, part by part.
 LONG = 256
 
 
@@ -124,7 +124,7 @@ class Lattice:
 
     def _one_length(self, text: np.ndarray, uses: np.ndarray | None) -> np.ndarray:
         n, length = text.shape
-        keep = uses is not None and length <= LONG  # longer ones are scored but teach nothing about pieces
+        keep, short = uses is not None, length <= LONG
         alpha = np.full((len(self.log), length + 1, n), -np.inf)
         alpha[:, 0] = 0
         arcs = []
@@ -134,12 +134,12 @@ class Lattice:
                 top = paths.max(axis=0)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     reached[j] = np.where(np.isfinite(top), top + np.log(np.exp(paths - top).sum(axis=0)), -np.inf)
-            if keep:
+            if keep and short:
                 arcs.append((j, i, at.ravel()[there], there))
         if keep:
             first, beta = alpha[0], np.full((length + 1, n), -np.inf)
             beta[length] = 0
-            for j, i, piece, there in reversed(arcs):
+            for j, i, piece, there in reversed(arcs) if short else self._backwards(text):
                 start, word = i + there // n, there % n
                 rest = self.log[0][piece] + beta[j][word]
                 with np.errstate(invalid="ignore"):
@@ -149,6 +149,14 @@ class Lattice:
                 beta[start, word] = np.logaddexp(beta[start, word], rest)
         return alpha[:, length].T
 
+    def _backwards(self, text: np.ndarray):
+        """The arcs from the last end to the first, of ``LONG`` ends at a time: an arc reaches back by the longest piece only."""
+        n, length = text.shape
+        for a in range((length - 1) // LONG * LONG, -1, -LONG):
+            first = max(0, a - self.longest)
+            part = [(first + j, first + i, at.ravel()[there], there) for j, i, at, there in self._arcs(text[:, first : a + LONG]) if first + j > a]
+            yield from reversed(part)
+
 
 BLOCKS = "block long, wid int, word binary, c array<long>, row long, doc_id long, held_out boolean, ids binary"
 

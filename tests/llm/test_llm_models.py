@@ -193,3 +193,14 @@ def test_vocabulary_score_is_the_lattice_alone(spark):
     for i in {i for i, _ in rows}:
         want = sorted(round(float(lattice.forward([*(w.encode() for w in words(lower(t))), b""]).sum()) / math.log(10), 1) for d, t in rows if d == i)
         assert sorted(got[i]) == pytest.approx(want, rel=1e-5, abs=0.11)
+
+
+def test_long_words_teach_pieces_too(monkeypatch):
+    pieces = [bytes([b]) for b in range(256)] + [b" ab", b"abc", b"bca", b"cabcab"]
+    lattice = lm.Lattice(pieces, np.full(len(pieces), 1 / len(pieces)))
+    for words in ([b"abc" * 300, b"bca" * 300], [b"ab" + b"cab" * 85], [b"x" * (lm.LONG * 2 - 1)]):
+        uses = lattice.expected(words)
+        assert np.isclose(uses @ np.array([len(p) for p in pieces]), sum(len(w) + 1 for w in words))  # every byte is covered once
+        with monkeypatch.context() as m:
+            m.setattr(lm, "LONG", 10_000)
+            assert np.allclose(uses, lattice.expected(words))
