@@ -1,8 +1,9 @@
 """Exact selection without a solver: the feasible player sets of a formation, as a relation, for any number of squads.
 
 Slots are filled one after another and equal sets collapse after each slot, so permutations never pile up. A question about
-selections is then an aggregate over the sets, by squad where ``by`` names the squad's columns. The number of sets is bounded
-before any work: beyond ``cap`` the answer is refused, never cut.
+selections is then an aggregate over the sets, by squad where ``by`` names the squad's columns. The number of sets of a squad is
+bounded before any work: beyond ``cap`` the answer is refused, never cut. Squads may be as many as there are: their sets are
+dealt to as many partitions as they need at ``SETS`` sets each, by squad, and stay there.
 """
 
 from __future__ import annotations
@@ -13,6 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import cut
+
+
+#: Sets in a partition, about.
+SETS = 100_000
+
 
 class TooManySets(ValueError):
     """The relation would exceed its cap; the question stays undecided."""
@@ -22,32 +29,46 @@ def _and(parts: Sequence[Column]) -> Column:
     return reduce(Column.__and__, parts, F.lit(True))
 
 
-def most_sets(candidates: DataFrame, formation: Mapping[str, int], by: Sequence[str] = ()) -> int:
-    """No more sets than this are feasible: the product over the slots of the ways to choose, summed over squads."""
+def _bounds(candidates: DataFrame, formation: Mapping[str, int], by: Sequence[str]) -> tuple[int, int]:
     n = candidates.groupBy(*by).agg(*[F.count_if(F.array_contains("slots", s)).alias(f"_{i}") for i, s in enumerate(formation)])
     ways = F.lit(1.0)
     for i, places in enumerate(formation.values()):
         for k in range(places):
             ways = ways * F.greatest(F.lit(0), F.col(f"_{i}") - k) / (k + 1)
-    return round(n.agg(F.sum(ways)).first()[0] or 0)
+    every, most = n.agg(F.sum(ways), F.max(ways)).first()
+    return round(every or 0), round(most or 0)
+
+
+def most_sets(candidates: DataFrame, formation: Mapping[str, int], by: Sequence[str] = ()) -> int:
+    """No more sets than this are feasible: the product over the slots of the ways to choose, summed over squads."""
+    return _bounds(candidates, formation, by)[0]
+
 
+def feasible_sets(candidates: DataFrame, formation: Mapping[str, int], cap: int = 5_000_000, by: Sequence[str] = (), names: Sequence[str] = ()) -> DataFrame:
+    """``candidates`` (player_id, slots array) to ``xi``: sorted arrays of players that fill ``formation`` (slot -> places).
 
-def feasible_sets(candidates: DataFrame, formation: Mapping[str, int], cap: int = 5_000_000, by: Sequence[str] = ()) -> DataFrame:
-    """``candidates`` (player_id, slots array) to ``xi``: sorted arrays of players that fill ``formation`` (slot -> places)."""
-    bound = most_sets(candidates, formation, by)
+    The sums of the candidates' columns ``names`` (longs) come along. ``cap`` bounds the sets of one squad.
+    """
+    candidates = cut(candidates.select(*by, "player_id", "slots", *names))
+    every, bound = _bounds(candidates, formation, by)
     if bound > cap:
         raise TooManySets(f"up to {bound} sets, the cap is {cap}")
-    empty = F.array().cast("array<long>").alias("xi")
-    state = candidates.select(*by, empty).distinct() if by else candidates.sparkSession.range(1).select(empty)
+    several = bool(candidates.where(F.size("slots") > 1).take(1))
+    empty = [F.array().cast("array<long>").alias("xi"), *[F.lit(0).cast("long").alias(n) for n in names]]
+    # Few bytes go in and many sets come out: a fixed number of partitions, which are not put together by their size.
+    n = max(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-every // SETS))
+    state = candidates.select(*by).distinct().repartition(n, *by).select(*by, *empty) if by else candidates.sparkSession.range(1).select(empty)
     for slot, places in formation.items():
-        fit = candidates.where(F.array_contains("slots", slot)).select(*[F.col(b).alias(f"_{b}") for b in by], F.col("player_id").alias("p"))
+        fit = candidates.where(F.array_contains("slots", slot)).select(*[F.col(b).alias(f"_{b}") for b in by], F.col("player_id").alias("p"), *[F.coalesce(m, F.lit(0)).alias(f"_{m}") for m in names])
         state = state.withColumn("prev", F.lit(None).cast("long"))
         for _ in range(places):
             # Within one slot kind players come in ascending order: no permutations.
             new = ~F.array_contains("xi", F.col("p")) & (F.col("prev").isNull() | (F.col("p") > F.col("prev")))
             grown = state.join(fit, _and([F.col(b) == F.col(f"_{b}") for b in by] + [new]))
-            state = grown.select(*by, F.concat("xi", F.array("p")).alias("xi"), F.col("p").alias("prev"))
-        state = state.select(*by, F.array_sort("xi").alias("xi")).distinct()
+            state = grown.select(*by, F.concat("xi", F.array("p")).alias("xi"), *[(F.col(m) + F.col(f"_{m}")).alias(m) for m in names], F.col("p").alias("prev"))
+        state = state.select(*by, F.array_sort("xi").alias("xi"), *names)
+        if several:  # the same players may stand in different slots
+            state = state.distinct()
     return state
 
 
@@ -63,10 +84,11 @@ def shortfalls(sum_of: Mapping[str, Column], minima: Mapping[str, int]) -> tuple
     return F.greatest(*short) if len(short) > 1 else short[0], sum(short[1:], short[0])
 
 
-def losses(sets: DataFrame, coefficients: DataFrame, minima: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
-    """``xi``, its integer sums, and the pair (largest shortfall, total shortfall)."""
+def losses(sets: DataFrame, coefficients: DataFrame | None, minima: Mapping[str, int], by: Sequence[str] = ()) -> DataFrame:
+    """``xi``, its integer sums, and the pair (largest shortfall, total shortfall); without ``coefficients`` the sets have the sums."""
     worst, total = shortfalls({n: F.col(n) for n in minima}, minima)
-    return sums(sets, coefficients, list(minima), by).withColumn("max_short", worst).withColumn("total_short", total)
+    summed = sets if coefficients is None else sums(sets, coefficients, list(minima), by)
+    return summed.withColumn("max_short", worst).withColumn("total_short", total)
 
 
 def least(rows: DataFrame, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -36,7 +36,7 @@ def squads(spark, sf_dir) -> DataFrame:
 
 def loss(spark, sf_dir) -> DataFrame:
     s = squads(spark, sf_dir)
-    return L.losses(L.feasible_sets(s, FORMATION, by=BY), s, MINIMA, BY)
+    return L.losses(L.feasible_sets(s, FORMATION, by=BY, names=list(MINIMA)), None, MINIMA, BY)
 
 
 def spelled(df: DataFrame) -> DataFrame:
@@ -124,8 +124,8 @@ wl AS (SELECT squad, xi, w, CAST(greatest(0, {10 * MINIMA['passes']} - v) AS BIG
 def world_losses(spark, sf_dir) -> DataFrame:
     """``squad, xi, w, m``: the shortfall of every set in every world."""
     s = squads(spark, sf_dir)
-    c = s.select("player_id", *[(F.col("passes") * (8 + (F.col("player_id") + w) % 5)).alias(f"w{w}") for w in range(WORLDS)])
-    v = L.sums(L.feasible_sets(s, FORMATION, by=BY), c, [f"w{w}" for w in range(WORLDS)], BY)
+    c = s.select("squad", "player_id", "slots", *[(F.col("passes") * (8 + (F.col("player_id") + w) % 5)).alias(f"w{w}") for w in range(WORLDS)])
+    v = L.feasible_sets(c, FORMATION, by=BY, names=[f"w{w}" for w in range(WORLDS)])
     m = [F.struct(F.lit(w).cast("long").alias("w"), F.greatest(F.lit(0), 10 * MINIMA["passes"] - F.col(f"w{w}")).cast("long").alias("m")) for w in range(WORLDS)]
     return v.select("squad", "xi", F.explode(F.array(*m)).alias("x")).select("squad", "xi", "x.w", "x.m")
 
@@ -175,8 +175,8 @@ INJECT = SQUAD + """, rb AS (SELECT DISTINCT squad, passes, shots FROM back), cd
 def vacant(spark, sf_dir) -> DataFrame:
     """Distinct sums of the sets with the forward's place left open: all that matters of them for who comes in."""
     s = squads(spark, sf_dir)
-    four = L.feasible_sets(s, {k: v for k, v in FORMATION.items() if k != "FW"}, by=BY)
-    return L.sums(four, s, list(MINIMA), BY).select("squad", "passes", "shots").distinct()
+    four = L.feasible_sets(s, {k: v for k, v in FORMATION.items() if k != "FW"}, by=BY, names=list(MINIMA))
+    return four.select("squad", "passes", "shots").distinct()
 
 
 def injectable(spark, sf_dir) -> DataFrame:
