@@ -33,12 +33,16 @@ from .common import _BYTE, Words, durable, remove, stored, text_slices
 BLOCK_BYTES = 16 << 20
 END = b" "  #: no word holds a space
 EM_STEPS = 2
+#: Words of a language whose pieces' uses are found together.
+AT_ONCE = 30_000
 FOLDS, HELD_OUT = 7, 2
 #: Share of the training documents that a language needs for a model of its own; so there are at most 51 models.
 LEAST_SHARE = 0.02
 _BASE = np.uint64(0xD1342543DE82EF95)
 #: Ends of a word whose arcs are held at a time on the way back; of longer words they are found again, part by part.
 LONG = 256
+#: Below this a word's probability is found in logarithms: paths that are lost to underflow would weigh less than 1e-50 of it above.
+TINY = 1e-250
 
 
 def vocabulary_pieces(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
@@ -70,6 +74,7 @@ class Lattice:
         with np.errstate(divide="ignore"):
             log = np.log(np.atleast_2d(weights))[:, self.order]
         self.log = np.concatenate((log, np.full((len(log), 1), -np.inf)), axis=1)  # the last stands for no piece
+        self.weight = np.exp(self.log)
         self.maybe = np.zeros(1 << 20, dtype=bool)  # by the first bits of the hash: most spans are no piece
         self.maybe[self.hashes >> np.uint64(44)] = True
 
@@ -81,21 +86,21 @@ class Lattice:
         return h
 
     def _arcs(self, text: np.ndarray):
-        """For each end j: the first start i, and the pieces' places by (start - i, word), with those that are pieces."""
+        """For each end j: the first start i, and what is a piece, as (start - i) * words + word with its place among the pieces."""
         n, length = text.shape
         value = _BYTE[text]
-        h = np.zeros((0, n), dtype=np.uint64)
+        h = np.zeros((length, n), dtype=np.uint64)
         for j in range(1, length + 1):
-            h = np.concatenate((h, np.zeros((1, n), np.uint64)))[-self.longest :] * _BASE + value[:, j - 1]
-            flat = h.ravel()
+            i = max(0, j - self.longest)
+            now = h[i:j]
+            now *= _BASE
+            now += value[:, j - 1]
+            flat = now.ravel()
             there = np.flatnonzero(self.maybe[flat >> np.uint64(44)])
             found = flat[there]
             place = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
             ok = self.hashes[place] == found
-            there, place = there[ok], place[ok]
-            at = np.full(len(flat), len(self.hashes), dtype=np.int32)
-            at[there] = place
-            yield j, j - len(h), at.reshape(h.shape), there
+            yield j, i, there[ok], place[ok]
 
     def forward(self, words: list[bytes]) -> np.ndarray:
         """Natural log probability of each word, with the space before it; one column a model if there are several."""
@@ -123,19 +128,53 @@ class Lattice:
         return out
 
     def _one_length(self, text: np.ndarray, uses: np.ndarray | None) -> np.ndarray:
+        n, length = text.shape
+        if length > LONG:
+            return self._in_logarithms(text, uses)
+        alpha = np.zeros((len(self.log), length + 1, n))
+        alpha[:, 0] = 1
+        arcs = []
+        for j, i, there, piece in self._arcs(text):
+            start, word = there + i * n, there % n
+            for weight, reached in zip(self.weight, alpha, strict=True):
+                reached[j] = np.bincount(word, reached.ravel()[start] * weight[piece], n)
+            if uses is not None:
+                arcs.append((j, start, word, piece))
+        tiny = np.flatnonzero((alpha[:, length] < TINY).any(axis=0))
+        with np.errstate(divide="ignore"):
+            out = np.log(alpha[:, length].T)
+        if uses is not None:
+            beta = np.zeros((length + 1, n))
+            with np.errstate(divide="ignore"):
+                beta[length] = 1 / alpha[0, length]
+            beta[length, tiny] = 0
+            shares = []
+            for j, start, word, piece in reversed(arcs):
+                rest = self.weight[0][piece] * beta[j][word]
+                shares.append(alpha[0].ravel()[start] * rest)
+                beta.ravel()[start] += rest  # a start has one arc a word to this end
+            uses += np.bincount(np.concatenate([piece for *_, piece in reversed(arcs)]), np.concatenate(shares), len(uses))
+        if len(tiny):
+            out[tiny] = self._in_logarithms(text[tiny], uses)
+        return out
+
+    def _in_logarithms(self, text: np.ndarray, uses: np.ndarray | None) -> np.ndarray:
         n, length = text.shape
         keep, short = uses is not None, length <= LONG
         alpha = np.full((len(self.log), length + 1, n), -np.inf)
         alpha[:, 0] = 0
         arcs = []
-        for j, i, at, there in self._arcs(text):
+        for j, i, there, piece in self._arcs(text):
+            at = np.full((j - i) * n, len(self.hashes), dtype=np.int32)
+            at[there] = piece
+            at = at.reshape(j - i, n)
             for log, reached in zip(self.log, alpha, strict=True):
                 paths = reached[i:j] + log[at]
                 top = paths.max(axis=0)
                 with np.errstate(invalid="ignore", divide="ignore"):
                     reached[j] = np.where(np.isfinite(top), top + np.log(np.exp(paths - top).sum(axis=0)), -np.inf)
             if keep and short:
-                arcs.append((j, i, at.ravel()[there], there))
+                arcs.append((j, i, piece, there))
         if keep:
             first, beta = alpha[0], np.full((length + 1, n), -np.inf)
             beta[length] = 0
@@ -154,7 +193,7 @@ class Lattice:
         n, length = text.shape
         for a in range((length - 1) // LONG * LONG, -1, -LONG):
             first = max(0, a - self.longest)
-            part = [(first + j, first + i, at.ravel()[there], there) for j, i, at, there in self._arcs(text[:, first : a + LONG]) if first + j > a]
+            part = [(first + j, first + i, piece, there) for j, i, there, piece in self._arcs(text[:, first : a + LONG]) if first + j > a]
             yield from reversed(part)
 
 
@@ -223,10 +262,16 @@ def fit_pieces(words: DataFrame, pieces: list[bytes], weights: np.ndarray, model
 
         def run(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
             lattices, total = [Lattice(pieces, w) for w in weights], np.zeros(weights.shape)
+            waiting: list[list[bytes]] = [[] for _ in lattices]
             for batch in batches:
                 words, c = batch.column("word").to_pylist(), batch.column("c").flatten().to_numpy().reshape(-1, models)
                 for k, lattice in enumerate(lattices):
-                    total[k] += lattice.expected([words[i] for i in np.flatnonzero(c[:, k]).tolist() if words[i] != END])
+                    waiting[k] += [words[i] for i in np.flatnonzero(c[:, k]).tolist() if words[i] != END]
+                    if len(waiting[k]) >= AT_ONCE or sum(map(len, waiting[k])) >= BLOCK_BYTES:  # few words of one length at once cost most by the calls
+                        total[k] += lattice.expected(waiting[k])
+                        waiting[k] = []
+            for k, lattice in enumerate(lattices):
+                total[k] += lattice.expected(waiting[k])
             model, used = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(model.astype(np.int32)), pa.array(used.astype(np.int32)), pa.array(total[model, used])], names=["model", "piece", "uses"])
 
