@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 from ..operators import worlds as ws
 from ..sources import neutral
+from ..sources.store import cut
 from .registry import query
 from .statistics import PM, per_match
 
 WORLDS, SEED = 40, 613
 #: scheme: (what a row's weight is drawn by, what a player's is drawn by)
 SCHEMES = {"players": (None, "player_id"), "days": ("game_id", None), "weeks": ("game_id // 7", None), "pigeonhole": ("game_id", "player_id")}
+#: The different weights of rows; days are drawn alike with and without players.
+DRAWN = ("one", "days", "weeks")
 LEAST_PLAYERS, BAR = 8, 0.1
 
 _LINK = """, link AS (SELECT player_id, coalesce(position, 'none') AS stratum, coalesce(lead(player_id) OVER w, first_value(player_id) OVER w) AS partner FROM players WINDOW w AS (PARTITION BY coalesce(position, 'none') ORDER BY md5('613-' || player_id), player_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
@@ -43,8 +46,8 @@ cell AS (SELECT stratum, scheme, count(r) AS worlds, quantile_cont(r, 0.05) AS l
 decided AS (SELECT cell.*, point.r, point.players, point.control, CASE WHEN point.players < {LEAST_PLAYERS} OR point.r IS NULL THEN 'TOO_FEW' WHEN low >= {BAR} THEN 'AGREES' WHEN high < {BAR} THEN 'DISAGREES' ELSE 'INCONCLUSIVE' END AS decision FROM cell JOIN point USING (stratum))"""
 
 
-def _weight(by: str | None, seed: int) -> Column:
-    return F.lit(1) if by is None else ws.poisson_weight(F.expr(by.replace("//", "div")), F.col("w"), seed)
+def _weight(by: str, seed: int, world: Column) -> Column:
+    return ws.poisson_weight(F.expr(by.replace("//", "div")), world, seed)
 
 
 def _correlation() -> Column:
@@ -56,29 +59,25 @@ def _correlation() -> Column:
 
 def decided(spark, sf_dir) -> DataFrame:
     """A row for each stratum and scheme: the point, its control under permuted links, the interval and the decision."""
-    pm = per_match(spark, sf_dir).withColumn("odd", F.col("game_id") % 2)
-    sums = [F.sum(F.col(c) * F.col("k")).alias(c) for c in "nd"]
-    worlds = ws.in_worlds(pm, WORLDS)
-    parts = [worlds.withColumn("k", _weight(a, SEED)).groupBy(F.lit(n).alias("scheme"), "w", "player_id", "odd").agg(*sums) for n, (a, _) in SCHEMES.items()]
-    parts.append(pm.withColumn("k", F.lit(1)).groupBy(F.lit("point").alias("scheme"), F.lit(0).alias("w"), "player_id", "odd").agg(*sums))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    at = lambda odd, c: F.sum(F.when(F.col("odd") == odd, F.col(c)))
-    rate = every.groupBy("scheme", "w", "player_id").agg(ratio(at(0, "n"), at(0, "d")).alias("x"), ratio(at(1, "n"), at(1, "d")).alias("y"))
+    pm = per_match(spark, sf_dir).select("player_id", "game_id", "n", "d")
+    # Days and weeks are drawn once for the match list, not where their rows are; a player's rows stay together over all worlds.
+    each = lambda by: F.transform(F.sequence(F.lit(0), F.lit(WORLDS - 1)), lambda w: _weight(by, SEED, w))
+    games = cut(pm.select("game_id").distinct().select("game_id", *[each(SCHEMES[s][0]).alias(s) for s in ("days", "weeks")]))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    worlds = pm.join(F.broadcast(games), "game_id").repartition(n, "player_id")
+    worlds = worlds.select("player_id", (F.col("game_id") % 2).alias("odd"), "n", "d", F.posexplode(F.arrays_zip("days", "weeks")).alias("w", "k")).select("*", "k.days", "k.weeks", F.lit(1).alias("one"))
+    at = lambda odd, c, k: F.sum(F.when(F.col("odd") == odd, F.col(c) * F.col(k)))
+    rate = worlds.groupBy("player_id", "w").agg(*[ratio(at(odd, "n", k), at(odd, "d", k)).alias(f"{name}_{k}") for k in DRAWN for odd, name in ((0, "x"), (1, "y"))])
     a = neutral.actions(spark, sf_dir)
     circle = Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws("-", F.lit(SEED), "player_id").cast("binary")), "player_id")
     whole = circle.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     link = neutral.players(a).select("player_id", F.coalesce("position", F.lit("none")).alias("stratum"))
     link = link.withColumn("partner", F.coalesce(F.lead("player_id").over(circle), F.first("player_id").over(whole)))
-    other = rate.select("scheme", "w", F.col("player_id").alias("partner"), F.col("y").alias("other"))
-    paired = rate.join(link, "player_id").join(other, ["scheme", "w", "partner"], "left")
-    kp = F.lit(1)
-    for n, (_, b) in SCHEMES.items():
-        kp = F.when(F.col("scheme") == n, _weight(b, SEED + 1)).otherwise(kp)
-    paired = paired.withColumn("kp", kp)
-    kinds = F.array(F.struct(F.lit("link").alias("kind"), F.col("y").alias("v")), F.struct(F.lit("permuted").alias("kind"), F.col("other").alias("v")))
-    long = paired.select("scheme", "w", "stratum", "x", "kp", F.explode(kinds).alias("z")).select("scheme", "w", "stratum", "z.kind", "x", F.col("z.v").alias("y"), "kp").dropna(subset=["x", "y"])
+    other = rate.select("w", F.col("player_id").alias("partner"), *[F.col(f"y_{k}").alias(f"other_{k}") for k in DRAWN])
+    paired = rate.join(link, "player_id").join(other, ["w", "partner"], "left").withColumn("drawn", _weight("player_id", SEED + 1, F.col("w")))
+    cases = [(n, "one" if a is None else "weeks" if n == "weeks" else "days", F.lit(1) if b is None else F.col("drawn")) for n, (a, b) in SCHEMES.items()] + [("point", "one", F.lit(1))]
+    kinds = [F.struct(F.lit(n).alias("scheme"), F.lit(kind).alias("kind"), F.col(f"x_{k}").alias("x"), F.col(f"{of}_{k}").alias("y"), kp.alias("kp")) for n, k, kp in cases for kind, of in (("link", "y"), ("permuted", "other"))]
+    long = paired.select("w", "stratum", F.explode(F.array(*kinds)).alias("z")).select("w", "stratum", "z.*").where("scheme <> 'point' or w = 0").dropna(subset=["x", "y"])
     r = long.groupBy("scheme", "w", "stratum", "kind").agg(F.count("*").alias("players"), F.sum("kp").alias("drawn"), _correlation().alias("r")).where("drawn > 0")
     pick = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
     point = r.where("scheme = 'point'").groupBy("stratum").agg(pick("link", "r").alias("r"), pick("link", "players").alias("players"), pick("permuted", "r").alias("control"))
