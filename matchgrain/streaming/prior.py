@@ -11,11 +11,14 @@ value counts as a row without a value; rows without a day are left out; days tha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+EPOCH = date(1970, 1, 1)
 RESULT = "unit_id long, day date, n long, total double, prior_n long, prior_total double"
 #: Days closed so far, and the open ones with their end in milliseconds.
 STATE = "n long, total double, days array<int>, ends array<long>, ns array<long>, totals array<double>"
@@ -29,15 +32,19 @@ def _unit(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.Dat
     n, total, days, ends, ns, totals = state.get if state.exists else (0, 0.0, [], [], [], [])
     open_days = {d: (e, c, t) for d, e, c, t in zip(days, ends, ns, totals, strict=True)}
     for batch in batches:
-        for (d, e), v in batch.groupby(["since", "ends"])["value"]:
-            _, c, t = open_days.get(int(d), (0, 0, 0.0))
-            open_days[int(d)] = (int(e), c + len(v), t + float(v.sum()))
+        # Plain arrays: most units have few rows, and a data frame's own grouping would cost more than all else.
+        since, first, at = np.unique(batch["since"].to_numpy(), return_index=True, return_inverse=True)
+        value = batch["value"].to_numpy(dtype=float, na_value=np.nan)
+        sums = np.bincount(at, np.where(np.isnan(value), 0.0, value), len(since))
+        for d, e, m, v in zip(since.tolist(), batch["ends"].to_numpy()[first].tolist(), np.bincount(at).tolist(), sums.tolist(), strict=True):
+            _, c, t = open_days.get(d, (0, 0, 0.0))
+            open_days[d] = (int(e), c + m, t + v)
     out, now = [], state.getCurrentWatermarkMs()
     for d in sorted(open_days):
         end, c, t = open_days[d]
         if end > now:
             break
-        out.append((key[0], pd.Timestamp(d, unit="D").date(), c, t, n, total))
+        out.append((key[0], EPOCH + timedelta(days=d), c, t, n, total))
         n, total = n + c, total + t
         del open_days[d]
     left = sorted(open_days.items())
