@@ -17,10 +17,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.store import cut
+from . import ranked
 from .lineups import shortfalls
 
 DECLARED = "player_id long, kind string, slot string"
@@ -278,11 +281,55 @@ def absences(candidates: DataFrame, formation: Mapping[str, int], most: int = 3)
     return out
 
 
+#: A squad with no more ways than this to choose each slot's players has all its elevens looked at in one task.
+WAYS = 1 << 20
+
+
 def stress(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], most: int = 3, applies: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """``squad, k, absent, status, max_short, total_short``: what each set of ``absences`` leaves of its squad.
+    """``squad, k, absent, status, max_short, total_short``: what each set of ``absences`` leaves of its squad. An UNFIELDABLE
+    row is a core.
+
+    A squad's elevens are put in a row once and serve all its sets, as each set's loss is that of the first eleven without its
+    players. Squads with too many ways for that are solved by states, set by set.
+    """
+    open_to = [F.coalesce(F.array_contains("slots", s), F.lit(False)) for s in formation]
+    ways = F.lit(1.0)
+    for c, places in zip(open_to, formation.values(), strict=True):
+        able = F.sum(c.cast("int")).over(Window.partitionBy("squad"))
+        for k in range(places):
+            ways = ways * F.greatest(F.lit(0), able - k) / (k + 1)
+    own = reduce(Column.__add__, [F.when(c, F.lit(1 << i)).otherwise(0) for i, c in enumerate(open_to)])
+    rows = cut(checked(candidates, list(minima)).where("squad is not null").select("squad", "player_id", "slots", *minima, own.cast("long").alias("own"), member(["squad"]).alias("bit"), ways.alias("ways")))
+    few, many = rows.where((F.col("ways") > 0) & (F.col("ways") <= WAYS)), rows.where(F.col("ways") > WAYS)
+    out = stress_by_rank(few, formation, minima, most, applies)
+    return out if many.isEmpty() else out.unionByName(stress_by_states(many.select("squad", "player_id", "slots", *minima), formation, minima, most, applies))
+
+
+def stress_by_rank(rows: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], most: int, applies: Mapping[str, Sequence[str]] | None) -> DataFrame:
+    """``stress`` of squads with few ways; ``own`` has the bits of a player's slots in the formation's order."""
+    names, slots = list(minima), list(formation)
+    counts = np.array([[applies is None or s in applies[n] for n in names] for s in slots]).astype(int)
+
+    def run(key: tuple, players: pa.Table) -> pa.Table:
+        players = players.sort_by("bit")
+        able = players["own"].to_numpy()[None] >> np.arange(len(slots))[:, None] & 1 > 0
+        worth = np.stack([players[n].to_numpy() for n in names], axis=1)
+        masks, worst, total = ranked.ranked(able, worth, counts, list(formation.values()), list(minima.values()), most)
+        k, absent, at = ranked.after_absences(masks, players.num_rows, most) if len(masks) else np.zeros((3, 0), dtype=np.int64)
+        loss = [pa.array(x[at] if len(masks) else at, mask=at < 0) for x in (worst, total)]
+        return pa.table({"squad": pa.repeat(key[0], len(k)), "k": k.astype(np.int32), "absent": absent, "max_short": loss[0], "total_short": loss[1]})
+
+    # Few bytes go in and much work is done: a fixed number of partitions, which are not put together by their size.
+    dealt = rows.select("squad", "bit", "own", *[F.col(n).cast("long").alias(n) for n in names]).repartition(partitions(rows), "squad")
+    found = dealt.groupBy("squad").applyInArrow(run, f"squad {rows.schema['squad'].dataType.simpleString()}, k int, absent long, max_short long, total_short long")
+    return found.select("squad", "k", "absent", F.when(F.col("max_short").isNull(), "UNFIELDABLE").otherwise("CERTIFIED").alias("status"), "max_short", "total_short")
+
+
+def stress_by_states(candidates: DataFrame, formation: Mapping[str, int], minima: Mapping[str, int], most: int = 3, applies: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``stress`` of squads of any number of elevens.
 
     If the best eleven without all but one of a set's players does without that one too, the set inherits its loss; the
-    others are solved, a level of all squads at once. An UNFIELDABLE row is a core.
+    others are solved, a level of all squads at once.
     """
     sets = absences(candidates, formation, most)
     bits = cut(candidates.withColumn("bit", member(["squad"])))

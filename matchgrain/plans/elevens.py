@@ -164,15 +164,15 @@ SELECT squad, k, count(*) AS sets, count(*) FILTER (WHERE z IS NULL) AS unfielda
 def eleven_stress(spark, sf_dir):
     """All sets of one to three absences: how many leave no eleven, the largest loss of the others, and how many sets reach it."""
     s = squads(spark, sf_dir)
-    rows = E.stress(s, FORMATION, MINIMA, 3, APPLIES)
-    z = F.struct("max_short", "total_short")
-    top = rows.where("status = 'CERTIFIED'").groupBy("squad", "k").agg(F.max(z).alias("top"), F.count("*").alias("fieldable"))
-    ties = rows.where("status = 'CERTIFIED'").withColumn("z", z).join(top, ["squad", "k"]).where(F.col("z") == F.col("top")).groupBy("squad", "k").agg(F.count("*").alias("worst_sets"))
-    n = s.groupBy("squad").agg(F.count("*").alias("n")).join(rows.select("squad").distinct(), "squad").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    alike = E.stress(s, FORMATION, MINIMA, 3, APPLIES).groupBy("squad", "k", "status", "max_short", "total_short").agg(F.count("*").alias("n"))
+    certified = F.col("status") == "CERTIFIED"
+    top = F.max(F.when(certified, F.struct("max_short", "total_short", "n")))
+    level = cut(alike.groupBy("squad", "k").agg(F.sum(F.when(certified, F.col("n"))).alias("fieldable"), top.alias("top")))
+    n = s.groupBy("squad").agg(F.count("*").alias("n")).join(level.select("squad").distinct(), "squad").withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
     ways = F.when(F.col("k") == 1, F.col("n")).when(F.col("k") == 2, F.expr("n * (n - 1) div 2")).otherwise(F.expr("n * (n - 1) * (n - 2) div 6"))
-    every = n.withColumn("sets", ways).join(top, ["squad", "k"], "left").join(ties, ["squad", "k"], "left")
+    every = n.withColumn("sets", ways).join(level, ["squad", "k"], "left")
     lost = F.col("sets") - F.coalesce("fieldable", F.lit(0))
-    return every.select("squad", "k", "sets", lost.alias("unfieldable"), F.col("top.max_short").alias("worst_max"), F.col("top.total_short").alias("worst_total"), F.coalesce("worst_sets", F.lit(0)).alias("worst_sets"))
+    return every.select("squad", "k", "sets", lost.alias("unfieldable"), F.col("top.max_short").alias("worst_max"), F.col("top.total_short").alias("worst_total"), F.coalesce("top.n", F.lit(0)).alias("worst_sets"))
 
 
 _GROUPS = ", ".join(f"({m}, {sum(n for i, n in enumerate(FORMATION.values()) if m >> i & 1)}, '{'+'.join(s for i, s in enumerate(FORMATION) if m >> i & 1)}')" for m in range(1, 16))
